@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from talus.llm import mixing
+from talus.llm.fingerprint import op7_fingerprint
+from talus.llm.language import op4_language
 from talus.llm.quality import op5_quality
+from talus.llm.toxicity import op1_toxicity
 
-QUERIES = {"op5_quality": op5_quality}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_language": op4_language,
+    "op5_quality": op5_quality,
+    "op7_fingerprint": op7_fingerprint,
+    "op8_mixing": mixing.op8_mixing,
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_mixing": mixing.SQL}
