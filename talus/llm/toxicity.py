@@ -150,11 +150,12 @@ def _units(text: str | None) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) >= n}
 
 
-def learn_insults(sample: DataFrame, least_rows: int, least_weight: float) -> dict[str, float]:
+def learn_insults(sample: DataFrame, evidence: float, least_weight: float) -> dict[str, float]:
     """Words and word beginnings that mark label 1, with the log ratio of their shares among documents of either label.
 
-    `sample` has text and label and is bounded; what stands in fewer than `least_rows`
-    documents of label 1, or weighs less than `least_weight`, is left out.
+    `sample` has text and label and is bounded. Kept is what weighs `least_weight` at least
+    and whose log-likelihood ratio against the overall share of label 1 exceeds the
+    logarithm of the number of words and beginnings tried by `evidence`.
     """
 
     def count(keep: set[str] | None) -> Callable:
@@ -172,11 +173,18 @@ def learn_insults(sample: DataFrame, least_rows: int, least_weight: float) -> di
     if set(rows) != {0.0, 1.0}:
         return {}
     of = lambda label, keep: sample.filter(F.col("label") == label).select("text").mapInPandas(count(keep), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    least = max(least_rows, int(0.004 * rows[1.0]))
-    marked = {r["unit"]: r["n"] for r in of(1.0, None).filter(F.col("n") >= least).collect()}
+    tried = of(1.0, None).persist()
+    least = np.log(max(tried.count(), 1)) + evidence
+    base = rows[1.0] / (rows[0.0] + rows[1.0])
+    marked = {r["unit"]: r["n"] for r in tried.filter(F.col("n") * F.lit(float(-np.log(base))) > F.lit(float(least))).collect()}
+    tried.unpersist()
     clean = {r["unit"]: r["n"] for r in of(0.0, set(marked)).collect()}
-    ratio = lambda n, total: np.log((n + 0.5) / (total + 1.0))
-    weights = {u: float(ratio(n, rows[1.0]) - ratio(clean.get(u, 0), rows[0.0])) for u, n in marked.items()}
+    weights = {}
+    for u, n in marked.items():
+        m = clean.get(u, 0)
+        told = n * np.log(n / ((n + m) * base)) + (m * np.log(m / ((n + m) * (1 - base))) if m else 0.0)
+        if told > least:
+            weights[u] = float(np.log((n + 0.5) / (rows[1.0] + 1.0)) - np.log((m + 0.5) / (rows[0.0] + 1.0)))
     kept: dict[str, float] = {}
     for u in sorted((u for u, w in weights.items() if w >= least_weight), key=lambda u: (len(u.rstrip("*")), not u.endswith("*"), u)):
         shorter = [kept[p] for n in (4, 5, 6) if n <= len(u.rstrip("*")) and (p := u[:n] + "*") in kept]
@@ -199,7 +207,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return beta
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_on=None, max_labelled: int = 8000, least_rows: int = 3, least_weight: float = 2.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_on=None, max_labelled: int = 8000, evidence: float = 2.0, least_weight: float = 2.0) -> DataFrame:
     """doc_id, score (probability that toxic is 1) and matched kinds for each row of `docs`.
 
     `train_on` is a condition on doc_id: only labels of rows that meet it are learned, and
@@ -209,8 +217,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_on=None, max_labell
     known = majority(labels, "toxic")
     if train_on is not None:
         known = known.filter(train_on)
-    sample = docs.join(bounded(known, "doc_id", max_labelled), "doc_id").select("text", "label").persist()
-    grammar = Grammar(learn_insults(sample, least_rows, least_weight))
+    sample = docs.join(bounded(known, "doc_id", max_labelled), "doc_id").dropDuplicates(["text"]).select("text", "label").persist()
+    grammar = Grammar(learn_insults(sample, evidence, least_weight))
 
     def matches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
