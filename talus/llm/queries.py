@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talus.llm import decontamination, mixing, secrets
+from talus.llm import decontamination, mixing, phrases, secrets
 from talus.llm.fingerprint import op7_fingerprint
 from talus.llm.language import op4_language
 from talus.llm.quality import op5_quality
@@ -11,6 +11,7 @@ from talus.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": secrets.op2_secrets,
+    "op3_phrases": phrases.op3_phrases,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op7_fingerprint": op7_fingerprint,
@@ -20,6 +21,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_secrets": secrets.SQL,
+    "op3_phrases": phrases.SQL,
     "op8_mixing": mixing.SQL,
     "op9_decontamination": decontamination.SQL,
 }
