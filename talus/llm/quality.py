@@ -150,17 +150,22 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(log[0.0] - log[1.0], -500, 500)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, shrink: float = 0.3, ridge: float = 0.05) -> DataFrame:
-    """doc_id and score (probability that quality is 1) for each row of `docs`.
+def fit_quality(stats: DataFrame, labels: DataFrame, train_on=None, shrink: float = 0.3, ridge: float = 0.05) -> Discriminant:
+    """The discriminant of labelled rows of `stats` (doc_id, stats).
 
     `train_on` is a condition on doc_id: only labels of rows that meet it are learned.
     `shrink` moves class covariances to the pooled one, `ridge` to a multiple of the identity.
     """
-    stats = stored(document_statistics(docs), "quality-stats")
     known = majority(labels, "quality")
     if train_on is not None:
         known = known.filter(train_on)
-    model = Discriminant(class_moments(stats.join(known, "doc_id")), shrink, ridge)
+    return Discriminant(class_moments(stats.join(known, "doc_id")), shrink, ridge)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, shrink: float = 0.3, ridge: float = 0.05) -> DataFrame:
+    """doc_id and score (probability that quality is 1) for each row of `docs`; see fit_quality."""
+    stats = stored(document_statistics(docs), "quality-stats")
+    model = fit_quality(stats, labels, train_on, shrink, ridge)
     p = len(STATISTICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +176,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, shrink: flo
     return stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all their columns, that score `least` or more; no shuffle of texts."""
+    model = fit_quality(document_statistics(docs), labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in byte_views(batch.column(at))]).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

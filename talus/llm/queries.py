@@ -5,6 +5,7 @@ from __future__ import annotations
 from talus.llm import decontamination, mixing, phrases, secrets
 from talus.llm.fingerprint import op7_fingerprint
 from talus.llm.language import op4_language
+from talus.llm.licenses import op6_license
 from talus.llm.neardup import op10_neardup
 from talus.llm.quality import op5_quality
 from talus.llm.toxicity import op1_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_phrases": phrases.op3_phrases,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
+    "op6_license": op6_license,
     "op7_fingerprint": op7_fingerprint,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontamination.op9_decontamination,

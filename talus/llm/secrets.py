@@ -161,9 +161,9 @@ def _spans(rule: Rule, rank: int, at: str) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and `found`, an array of start, rank (of the rule in `rules`), end, for each row of `docs`."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    few = candidates(docs, rules).withColumnRenamed("doc_id", "candidate_id")
+    """doc_id, text, `row` (the other columns of the input) and `found`, an array of start, rank (of the rule in `rules`), end, for each row of `docs`."""
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+    few = candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc_id", "candidate_id")
     rows = docs.join(few, F.col("doc_id").eqNullSafe(F.col("candidate_id")), "left").drop("candidate_id")
     columns = {}
     for rule in rules:
@@ -176,7 +176,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = rows.withColumns({f"p_{r.kind}": F.when(F.size(f"m_{r.kind}") > 0, F.split("text", ("(?i)" if r.any_case else "") + r.pattern, -1)) for r in rules})
     rows = rows.withColumns({f"g_{r.kind}": F.col(f"m_{r.kind}") for r in rules if not r.group})
     found = F.array_sort(F.concat(*(_spans(r, k, r.kind) for k, r in enumerate(rules))))
-    return rows.select("doc_id", "text", found.alias("found"))
+    return rows.select("doc_id", "text", "row", found.alias("found"))
 
 
 def _joined(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -190,6 +190,13 @@ def redacted(text: Column, found: Column) -> Column:
     return F.aggregate(found, text, mask)
 
 
+def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of `docs`, with all their columns, in which each found span is made asterisks; a null text becomes empty."""
+    found = find_secrets(docs, rules)
+    clean = redacted(F.col("text"), F.col("found")).alias("text")
+    return found.select(*(clean if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each document."""
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
