@@ -98,7 +98,8 @@ class Scanner:
         same = [m for m in SequenceMatcher(None, want, given, autojunk=False).get_matching_blocks() if m.size]
         if sum(m.size for m in same) < self.least_words * len(want):
             return None
-        first, last = same[0].b, same[-1].b + same[-1].size
+        first = max(0, same[0].b - same[0].a)
+        last = min(len(given), same[-1].b + len(want) - same[-1].a)
         if last - first > 1.5 * len(want) + 2:
             return None
         changes = [f"-{' '.join(want[a:b])} +{' '.join(given[first:last][c:d])}".replace("- ", "").removesuffix(" +") for op, a, b, c, d in SequenceMatcher(None, want, given[first:last], autojunk=False).get_opcodes() if op != "equal"]

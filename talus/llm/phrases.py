@@ -110,10 +110,6 @@ def _runs(anchors: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first[keep], last[keep]
 
 
-def _first_of_each(codes: np.ndarray) -> np.ndarray:
-    return np.sort(np.unique(codes, return_index=True)[1])
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -138,7 +134,7 @@ def _scan(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _run_rows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """code, doc_id, pos, n: each different run of wanted windows of a document, n words from word pos."""
+    """code, doc_id, pos, n: each run of wanted windows of a document, n words from word pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +145,7 @@ def _run_rows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 first, last = _runs(window_anchors(words, window, phrase), wanted.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 n = last - first + window
                 codes = sequence_hashes(words, first, n)
-                at = _first_of_each(codes)
-                for part, x in zip(out, (codes[at], np.full(len(at), ids[i], np.int64), first[at], n[at]), strict=True):
+                for part, x in zip(out, (codes, np.full(len(codes), ids[i], np.int64), first, n), strict=True):
                     part.append(x)
             code, doc, pos, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
             yield pa.RecordBatch.from_arrays([_signed(code), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], ["code", "doc_id", "pos", "n"])
@@ -159,7 +154,7 @@ def _run_rows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """code, doc_id, pos, n: each different window of the runs (`pos` and `n`, arrays) of a document."""
+    """code, doc_id, pos, n: each window of the runs (`pos` and `n`, arrays) of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +165,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
                 own = [np.arange(p, p + k - window + 1) for p, k in zip(pos.values.to_numpy(), n.values.to_numpy(), strict=True)]
                 at = np.unique(np.concatenate(own))
                 codes = sequence_hashes(words, at, window)
-                keep = _first_of_each(codes)
-                for part, x in zip(out, (codes[keep], np.full(len(keep), ids[i], np.int64), at[keep]), strict=True):
+                for part, x in zip(out, (codes, np.full(len(codes), ids[i], np.int64), at), strict=True):
                     part.append(x)
             code, doc, pos = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
             yield pa.RecordBatch.from_arrays([_signed(code), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.full(len(pos), window, np.int32))], ["code", "doc_id", "pos", "n"])
@@ -179,14 +173,15 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "code long, doc_id long, pos int, n int")
 
 
-def _claims(rows: DataFrame) -> DataFrame:
-    """Rows that stand in an earlier document, with the first such document and the place there."""
-    first = rows.groupBy("code", "n").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("latest")).filter("f.doc_id < latest")
-    first = first.select("code", "n", F.col("f.doc_id").alias("from_id"), F.col("f.pos").alias("from_pos"))
-    return rows.join(first, ["code", "n"]).filter("doc_id > from_id").select("doc_id", "pos", "n", "from_id", "from_pos")
+def _with_first(rows: DataFrame) -> DataFrame:
+    """`rows` with the first document that holds the same words (from_id) and the place there (from_pos)."""
+    first = rows.groupBy("code", "n").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
+    return rows.join(first, ["code", "n"]).select("doc_id", "pos", "n", F.col("f.doc_id").alias("from_id"), F.col("f.pos").alias("from_pos"))
 
 
-_CLAIM = "array<struct<pos:int,n:int,from_id:bigint,from_pos:int>>"
+def _claims(rows: DataFrame) -> DataFrame:
+    """Those of `rows` that stand in an earlier document."""
+    return rows.filter("doc_id > from_id").select("doc_id", "pos", "n", "from_id", "from_pos")
 
 
 def _passages(claims: DataFrame, window: int) -> DataFrame:
@@ -269,10 +264,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
     held = stored(docs.filter("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]), "phrases-held")
-    runs = stored(_run_rows(held, window, phrase), "phrases-runs")
-    unmatched = runs.groupBy("code", "n").agg(F.min(F.struct("doc_id", "pos")).alias("f")).groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list("f.pos").alias("pos"), F.collect_list("n").alias("n"))
-    rows = _window_rows(held.select("doc_id", "text").join(unmatched, "doc_id"), window)
-    claims = _claims(runs).unionByName(_claims(stored(rows, "phrases-windows")))
+    runs = stored(_with_first(_run_rows(held, window, phrase)), "phrases-runs")
+    unmatched = runs.filter("doc_id = from_id").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
+    rows = stored(_window_rows(held.select("doc_id", "text").join(unmatched, "doc_id"), window), "phrases-windows")
+    claims = _claims(runs).unionByName(_claims(_with_first(rows)))
     passages = stored(_passages(claims, window), "phrases-passages")
     targets = passages.select("doc_id").distinct()
     n_shards = max(1, targets.count() // SHARD_DOCS)
