@@ -1,4 +1,6 @@
 """All registered queries of the hazard operators, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from talus.plans import rain  # noqa: F401
+from talus.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
