@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     least = math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
     parts = stored(_similar_parts(nodes.join(signatures, "id"), least), "neardup-parts")
     wanted = parts.select("id").distinct()
-    sets = _sets(docs.filter("text is not null").withColumnRenamed("doc_id", "id").join(wanted, "id"), size)
+    # a merge join at every size: `wanted` grows with the input, and small inputs should plan like large ones
+    sets = _sets(docs.filter("text is not null").withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id"), size)
     components = connected(_links(parts, sets, numerator, denominator))
     named = classes.select("set_key", "id").join(components, "id", "left").select("set_key", F.coalesce("component", "id").alias("found"))
     out = scanned.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
