@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _erf = np.frompyfunc(math.erf, 1, 1)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Cumulative normal distribution; null for null."""
     out = pd.Series(np.full(len(x), np.nan), dtype="object")

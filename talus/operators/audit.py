@@ -82,8 +82,8 @@ def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def robust_noise(df: DataFrame, by: list[str], value: str, least: int = 100) -> DataFrame:
     """1.4826 times the median distance from the median; null for fewer than `least` values."""
-    med = df.groupBy(*by).agg(F.median(value).alias("_m"), F.count(value).alias("n"))
-    away = df.filter(F.col(value).isNotNull()).join(med, by).groupBy(*by).agg((F.median(F.abs(F.col(value) - F.col("_m"))) * 1.4826).alias("sigma"), F.first("n").alias("n"))
+    med = df.groupBy(*by).agg(F.median(value).alias("_m"), F.count(value).alias("_n"))
+    away = df.filter(F.col(value).isNotNull()).join(med, by).groupBy(*by).agg((F.median(F.abs(F.col(value) - F.col("_m"))) * 1.4826).alias("sigma"), F.first("_n").alias("n"))
     return away.select(*by, "n", F.when(F.col("n") >= least, F.col("sigma")).alias("sigma"))
 
 

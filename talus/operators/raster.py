@@ -71,17 +71,18 @@ def gaussian_highpass(pixels: DataFrame, by: list[str], value: str, sigma: float
     k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weights = (k / k.sum()).tolist()
     df = pixels.withColumns({"_n": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_d": F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0)})
-    for line, order in (("col", "row"), ("row", "col")):
-        keys = [*by, line]
 
-        def smooth(frame: pd.DataFrame, order=order) -> pd.DataFrame:
+    def along(order: str):
+        def smooth(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(order)
             for c in ("_n", "_d"):
-                x = np.pad(frame[c].to_numpy(), reach, mode="edge")
-                frame[c] = np.convolve(x, weights, mode="valid")
+                frame[c] = np.convolve(np.pad(frame[c].to_numpy(), reach, mode="edge"), weights, mode="valid")
             return frame
 
-        df = df.groupBy(*keys).applyInPandas(smooth, df.schema)
+        return smooth
+
+    for line, order in (("col", "row"), ("row", "col")):
+        df = df.groupBy(*by, line).applyInPandas(along(order), df.schema)
     low = F.when(F.col("_d") > 1e-3, F.col("_n") / F.col("_d"))
     return df.withColumns({"low": low, "highpass": F.col(value) - low}).drop("_n", "_d")
 
