@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_erf = np.frompyfunc(math.erf, 1, 1)
-
-
 @pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Cumulative normal distribution; null for null."""
     out = pd.Series(np.full(len(x), np.nan), dtype="object")
     known = x.notna().to_numpy()
-    out[known] = 0.5 * (1.0 + _erf(x.to_numpy(float)[known] / math.sqrt(2.0)).astype(float))
+    out[known] = [0.5 * (1.0 + math.erf(v / math.sqrt(2.0))) for v in x.to_numpy(float)[known]]
     return out.where(pd.Series(known), None).astype("Float64")
 
 

@@ -110,7 +110,7 @@ def summary(spark, sf_dir: str) -> DataFrame:
     return audit.distribution(px_pixels(spark, sf_dir), BY, "velocity").withColumns(r6("min", "p5", "median", "p95", "max", "mean", "std"))
 
 
-@query("a05_mad_noise", f"{W}, m AS (SELECT stack, median(velocity) AS m, count(velocity) AS n FROM px_pixels GROUP BY stack) SELECT p.stack, max(n) AS n, round(CASE WHEN max(n) >= 100 THEN median(abs(velocity - m)) * 1.4826 END, 6) AS sigma FROM px_pixels p JOIN m ON p.stack = m.stack GROUP BY p.stack")
+@query("a05_mad_noise", f"{W}, m AS (SELECT stack, median(velocity) AS m, count(velocity) AS nv FROM px_pixels GROUP BY stack) SELECT p.stack, max(nv) AS n, round(CASE WHEN max(nv) >= 100 THEN median(abs(velocity - m)) * 1.4826 END, 6) AS sigma FROM px_pixels p JOIN m ON p.stack = m.stack GROUP BY p.stack")
 def noise(spark, sf_dir: str) -> DataFrame:
     return audit.robust_noise(px_pixels(spark, sf_dir), BY, "velocity").withColumns(r6("sigma"))
 
