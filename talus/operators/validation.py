@@ -72,12 +72,27 @@ def roc_area(rows: DataFrame, by: list[str]) -> DataFrame:
     return p.withColumn("_a", part).groupBy(*by).agg(F.sum("_a").alias("auc"))
 
 
+def ordinal_ranks(df: DataFrame, by: list[str], score: str, tie: str, cuts: int = 256) -> DataFrame:
+    """`rank` of each row by score and tie, from 1.
+
+    Approximate quantiles cut the scores into ranges; ranks are exact within a range, plus
+    the rows of the ranges before, so that no task sorts all rows.
+    """
+    edges = df.groupBy(*by).agg(F.percentile_approx(score, [i / cuts for i in range(1, cuts)]).alias("_cuts"))
+    joined = df.join(edges, by) if by else df.crossJoin(edges)  # one row of cuts
+    ranged = joined.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+    counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*by, "_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(score, tie))
+    return ranged.join(offsets, [*by, "_range"]).withColumn("rank", own + F.col("_before")).drop("_range", "_before")
+
+
 def rank_auc(df: DataFrame, by: list[str], score: str, label: str, tie: str) -> DataFrame:
     """Mann-Whitney area from ordinal ranks; ties are ordered by `tie`."""
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(score, tie))
-    ranked = df.filter(F.col(score).isNotNull()).withColumn("_r", r)
+    ranked = ordinal_ranks(df.filter(F.col(score).isNotNull()), by, score, tie)
     n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    return ranked.groupBy(*by).agg(n1.alias("n_pos"), n0.alias("n_neg"), F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("_r"))) - n1 * (n1 + 1) / 2.0, (n1 * n0).cast("double")).alias("auc"))
+    return ranked.groupBy(*by).agg(n1.alias("n_pos"), n0.alias("n_neg"), F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("rank"))) - n1 * (n1 + 1) / 2.0, (n1 * n0).cast("double")).alias("auc"))
 
 
 def _areas(tpr: np.ndarray, fpr: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """All registered queries of the hazard operators, with their SQL."""
 
-from talus.plans import pixels, places, rain  # noqa: F401
+from talus.plans import composites, pixels, places, rain  # noqa: F401
 from talus.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
