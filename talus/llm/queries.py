@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from talus.llm import decontamination, mixing, phrases, secrets
+from talus.llm import decontamination, mixing, neardup, phrases, secrets
 from talus.llm.fingerprint import op7_fingerprint
 from talus.llm.language import op4_language
 from talus.llm.licenses import op6_license
-from talus.llm.neardup import op10_neardup
 from talus.llm.quality import op5_quality
 from talus.llm.toxicity import op1_toxicity
 
@@ -20,7 +19,7 @@ QUERIES = {
     "op7_fingerprint": op7_fingerprint,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontamination.op9_decontamination,
-    "op10_neardup": op10_neardup,
+    "op10_neardup": neardup.op10_neardup,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +27,5 @@ SQL: dict[str, str] = {
     "op3_phrases": phrases.SQL,
     "op8_mixing": mixing.SQL,
     "op9_decontamination": decontamination.SQL,
+    "op10_neardup": neardup.SQL,
 }
