@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.sources.storage import stored
+
 
 def band_pairs(scenes: DataFrame, by: list[str], time: str, scene: str, n_neighbours: int, max_days: int) -> DataFrame:
     """Pairs of each scene with the next n of its series, one to max_days days apart."""
@@ -28,19 +27,6 @@ def new_pairs(pairs: DataFrame, jobs: DataFrame) -> DataFrame:
     return keyed.join(done, ["lo", "hi"], "left_anti").drop("lo", "hi")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="talus-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """`component`, the smallest node that each node reaches; nodes (node), edges (a, b), each with `by`.
 
@@ -48,13 +34,13 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     changes, with each round written out.
     """
     both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _stored(both)
-    labels = _stored(nodes.select(*by, "node", F.col("node").alias("component")))
+    both = stored(both)
+    labels = stored(nodes.select(*by, "node", F.col("node").alias("component")))
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(seen, [*by, "node"], "left").select(*by, "node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = low.select(*by, F.col("node").alias("component"), F.col("component").alias("further"))
-        new = _stored(low.join(jump, [*by, "component"], "left").select(*by, "node", "old", F.least("component", "further").alias("component")))
+        new = stored(low.join(jump, [*by, "component"], "left").select(*by, "node", "old", F.least("component", "further").alias("component")))
         if new.filter("old <> component").isEmpty():
             return new.drop("old")
         labels = new.drop("old")

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.operators.network import _stored
+from talus.operators.network import components
+from talus.sources.storage import stored
 
 #: The eight neighbours, as row and column steps, in the order in which ties are broken.
 EIGHT = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -137,13 +138,11 @@ def label_zones(pixels: DataFrame, by: list[str], mask: Column, least: int = 3)
     on = pixels.filter(F.coalesce(mask, F.lit(False)))
     line = Window.partitionBy(*by, "row").orderBy("col")
     marked = on.withColumn("_g", F.col("col") - F.row_number().over(line))
-    runs = _stored(marked.groupBy(*by, "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).withColumn("node", F.col("row").cast("long") * 1_000_000_000 + F.col("c0")))
+    runs = stored(marked.groupBy(*by, "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).withColumn("node", F.col("row").cast("long") * 1_000_000_000 + F.col("c0")))
     # runs of neighbouring rows that overlap share a pixel's column: joined on the column of each pixel
     cells = runs.select(*by, "row", "node", F.explode(F.sequence("c0", "c1")).alias("col"))
     below = cells.select(*by, (F.col("row") - 1).alias("row"), "col", F.col("node").alias("b"))
     edges = cells.withColumnRenamed("node", "a").join(below, [*by, "row", "col"]).select(*by, "a", "b").distinct()
-    from talus.operators.network import components
-
     labels = components(runs.select(*by, "node"), edges, by)
     named = marked.join(runs.select(*by, "row", "_g", "node"), [*by, "row", "_g"]).join(labels, [*by, "node"]).withColumnRenamed("component", "zone").drop("_g", "node")
     sizes = named.groupBy(*by, "zone").agg(F.count("*").alias("n_pixels")).filter(F.col("n_pixels") >= least)
@@ -168,14 +167,14 @@ def flow_accumulation(pixels: DataFrame, by: list[str], value: str) -> DataFrame
     rounds grow with the logarithm of the longest path.
     """
     cells = flow_receivers(pixels, by, value).select(*by, "row", "col", "to_row", "to_col", F.lit(1).cast("long").alias("accum"))
-    cells = _stored(cells)
+    cells = stored(cells)
     while True:
         given = cells.filter("to_row is not null").groupBy(*by, F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("accum").alias("_more"))
         if given.isEmpty():
             return cells.drop("to_row", "to_col")
         ahead = cells.select(*by, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("_r"), F.col("to_col").alias("_c"))
         new = cells.join(given, [*by, "row", "col"], "left").join(ahead, [*by, "to_row", "to_col"], "left")
-        cells = _stored(new.select(*by, "row", "col", F.col("_r").alias("to_row"), F.col("_c").alias("to_col"), (F.col("accum") + F.coalesce("_more", F.lit(0))).alias("accum")))
+        cells = stored(new.select(*by, "row", "col", F.col("_r").alias("to_row"), F.col("_c").alias("to_col"), (F.col("accum") + F.coalesce("_more", F.lit(0))).alias("accum")))
 
 
 def wetness_index(pixels: DataFrame, by: list[str], dem: str, slope_deg: str, size: float) -> DataFrame:
