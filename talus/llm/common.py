@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.sources.storage import stored
+
+__all__ = ["bounded", "byte_views", "fold", "majority", "stored"]
+
 
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo `modulus`; a null key counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Only a local session (tests) may fall back to a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="talus-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def byte_views(column: pa.Array) -> Iterator[np.ndarray | None]:
     """The UTF-8 bytes of each text of an Arrow string column without copying; None for null."""
     if pa.types.is_large_string(column.type):
