@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+#: Unit weight of water (kN/m3), radar wavelength (m); below, the sites' soil and retention curve.
 WATER_WEIGHT = 9.81
 WAVELENGTH_M = 0.055465763
 

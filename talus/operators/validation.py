@@ -22,7 +22,8 @@ def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str,
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("_zlon"), F.col("_zlat"))
     z = zones.select(*by, F.col(zone).alias("_zone"), F.col("lon").alias("_zlon"), F.col("lat").alias("_zlat"))
     out, left, ring = None, points, 1
-    spread = points.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).crossJoin(zones.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat"))).first()  # one row each
+    ends = lambda df: tuple(df.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first())
+    spread = ends(points) + ends(zones)
     known = [x for x in spread if x is not None]
     reach = 1 if len(known) < 8 else int(max(max(spread[1], spread[5]) - min(spread[0], spread[4]), max(spread[3], spread[7]) - min(spread[2], spread[6])) / cell_deg) + 2
     while True:
@@ -79,7 +80,7 @@ def ordinal_ranks(df: DataFrame, by: list[str], score: str, tie: str, cuts: int
     the rows of the ranges before, so that no task sorts all rows.
     """
     edges = df.groupBy(*by).agg(F.percentile_approx(score, [i / cuts for i in range(1, cuts)]).alias("_cuts"))
-    joined = df.join(edges, by) if by else df.crossJoin(edges)  # one row of cuts
+    joined = df.join(edges, by) if by else df.withColumn("_cuts", F.array(*map(F.lit, edges.first()[0] or [])).cast(f"array<{df.schema[score].dataType.simpleString()}>"))
     ranged = joined.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
     counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

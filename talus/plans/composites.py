@@ -189,8 +189,8 @@ SELECT zone, round(m_star, 6) AS m_star, round(m_eff, 6) AS m_star_eff, (SELECT
 def zone_gate(spark, sf_dir: str) -> DataFrame:
     """On how many armed days each zone is active, by a running count over zones and days on one scale."""
     z = px_zones(spark, sf_dir)
-    mean = z.agg(F.avg("twi").alias("twi_mean"))
-    e = z.crossJoin(mean).select("stack", "zone", "m_star", P.effective_critical_saturation(F.col("m_star"), F.col("twi"), F.col("twi_mean"), 0.06).alias("m_eff"))  # one row of means
+    mean = z.agg(F.avg("twi")).first()[0]
+    e = z.select("stack", "zone", "m_star", P.effective_critical_saturation(F.col("m_star"), F.col("twi"), F.lit(mean), 0.06).alias("m_eff"))
     d = calendar(spark, sf_dir).filter("site = '1-URGENT' and alarm_level <> 'DORMANT'").select(F.explode(F.array(*(F.lit(f"look{i}") for i in range(3)))).alias("stack"), F.least(F.col("water_mm") / 40.0, F.lit(1.0)).alias("m"))
     scale = e.select("stack", F.col("m_eff").alias("m"), F.lit(0).alias("n"), "zone").unionByName(d.select("stack", "m", F.lit(1).alias("n"), F.lit(None).cast("long").alias("zone")))
     more = F.sum("n").over(Window.partitionBy("stack").orderBy(F.desc("m")).rangeBetween(Window.unboundedPreceding, 0))
@@ -299,8 +299,8 @@ def fractions(spark, sf_dir: str) -> DataFrame:
 def status(spark, sf_dir: str) -> DataFrame:
     """How old each site's newest day is."""
     last = calendar(spark, sf_dir).groupBy("site").agg(F.max("date").alias("last"))
-    age = F.datediff("today", "last")
-    return last.crossJoin(last.agg(F.max("last").alias("today"))).select("site", "last", age.alias("age_d"), F.when(age <= 7, "fresh").when(age <= 14, "amber").otherwise("unknown").alias("state"))  # one row of today
+    age = F.datediff(F.lit(last.agg(F.max("last")).first()[0]), "last")
+    return last.select("site", "last", age.alias("age_d"), F.when(age <= 7, "fresh").when(age <= 14, "amber").otherwise("unknown").alias("state"))
 
 
 @query("g16_shared_grids", "WITH g AS (SELECT l_suppkey AS s, l_linenumber % (l_suppkey % 2 + 1) AS x0 FROM lineitem) SELECT s, count(DISTINCT x0) = 1 AS shared FROM g GROUP BY 1")
