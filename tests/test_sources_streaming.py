@@ -126,3 +126,19 @@ def test_only_gapless_days_are_added_and_changes_told_once(spark, tmp_path):
     source = spark.readStream.schema("site string, date date, alarm_level string").parquet(path)
     S.run_available(S.level_changes(source), str(tmp_path / "c4"), "append", table="changes")
     assert sorted((r.date.day, r.alarm_level, r.previous) for r in spark.table("changes").collect())[:1] == [(1, "DORMANT", None)]
+
+
+def test_site_files(tmp_path, monkeypatch):
+    import pytest
+
+    from talus.sources.config import load_site
+
+    (tmp_path / "a.json").write_text(json.dumps({"name": "A", "slug": "a", "start": "2025-05-01", "end": "2025-09-30T00:00:00Z", "soil": {"phi": 32}, "other": 1}))
+    (tmp_path / "p.json").write_text(json.dumps({"site_file": "a.json"}))
+    monkeypatch.setenv("TALUS_SITE", str(tmp_path / "p.json"))
+    s = load_site()
+    assert (s.slug, s.soil.phi, s.soil.depth, s.suction, s.operational_m) == ("a", 32, 3.0, None, 0.5)
+    assert s.start.isoformat() == "2025-05-01T00:00:00+00:00" and s.end.tzinfo is not None
+    (tmp_path / "b.json").write_text(json.dumps({"name": "B"}))
+    with pytest.raises(ValueError, match="slug"):
+        load_site(str(tmp_path / "b.json"))
