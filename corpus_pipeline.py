@@ -43,7 +43,8 @@ def scrub_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are drawn, with how often and where in their source's permutation."""
     drawn = mix(docs, entropy_share=0.98, max_repetition=4.0).filter("n_copies > 0").groupBy("doc_id").agg(F.max("n_copies").alias("n_copies"), F.min("slot").alias("slot"), F.first("weight").alias("weight"))
-    return docs.drop("n_copies", "slot", "weight").join(drawn, "doc_id")
+    same = F.col("doc_id").eqNullSafe(F.col("drawn_id"))
+    return docs.drop("n_copies", "slot", "weight").join(drawn.withColumnRenamed("doc_id", "drawn_id"), same).drop("drawn_id")
 
 
 STAGES = [
