@@ -56,7 +56,7 @@ def curve(spark, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n")).select(F.col("p_size").cast("long").alias("days"), F.round(R.threshold_intensity(d * 24.0, a, b), 6).alias("intensity"), F.round(R.threshold_depth(d, a, b), 6).alias("depth"), "n")
 
 
-@query("p25_pixel_world", f"{W} SELECT stack, row, col, round(500000.0 + (col + 0.5) * 80.0, 6) AS x, round(3650000.0 + (row + 0.5) * -80.0, 6) AS y, floor((500000.0 + (col + 0.5) * 80.0 - 500000.0) / 80.0)::INT AS col_back FROM px_pixels")
+@query("p25_pixel_world", f"{W} SELECT stack, row, col, round((500000.0 + (col + 0.5) * 80.0)::DOUBLE, 6) AS x, round((3650000.0 + (row + 0.5) * -80.0)::DOUBLE, 6) AS y, floor((500000.0 + (col + 0.5) * 80.0 - 500000.0) / 80.0)::INT AS col_back FROM px_pixels")
 def pixel_world(spark, sf_dir: str) -> DataFrame:
     """P25: pixels to places and back."""
     x, y = geo.pixel_centre(F.col("col"), 500_000, 80.0), geo.pixel_centre(F.col("row"), 3_650_000, -80.0)

@@ -309,7 +309,12 @@ def planes(spark, sf_dir: str) -> DataFrame:
     return inversion.fit_planes(px_pixels(spark, sf_dir), BY, "dem").withColumns(r6("a", "b") | {"c": F.round("c", 5)})
 
 
-@query("g15_reference_pixel")
+@query(
+    "g15_reference_pixel",
+    f"""{W}, mid AS (SELECT stack, (min(row) + max(row)) / 2.0 AS r, (min(col) + max(col)) / 2.0 AS c FROM px_pixels GROUP BY stack),
+sc AS (SELECT p.stack, row, col, abs(velocity) / 100.0 + 0.5 * sqrt((row - r) * (row - r) + (col - c) * (col - c)) / 60 AS score FROM px_pixels p JOIN mid ON mid.stack = p.stack),
+k AS (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY score, row, col) AS k FROM sc) SELECT stack, row, col, round(score, 6) AS score FROM k WHERE k = 1""",
+)
 def reference(spark, sf_dir: str) -> DataFrame:
     """The quietest pixel near the middle."""
     return raster.reference_pixel(px_pixels(spark, sf_dir), BY, F.abs("velocity") / 100.0, 60).withColumns(r6("score"))
@@ -346,7 +351,7 @@ _DESCRIBED = f"""{_ZONES}, desc1 AS (
 @query(
     "a09_zone_describe",
     f"""{_W}, {_DESCRIBED} SELECT stack, zone, n_pixels, round(centre_row, 6) AS centre_row, round(centre_col, 6) AS centre_col, round(mean_velocity, 6) AS mean_velocity, round(max_velocity, 6) AS max_velocity, round(mean_fs, 6) AS mean_fs,
-round(mean_slope, 6) AS mean_slope, round(n_pixels * 0.0064, 6) AS area_km2, CASE WHEN mean_velocity <= -50 OR mean_fs <= 0.7 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, row_number() OVER (PARTITION BY stack ORDER BY round(mean_velocity, 6), zone)::INT AS id FROM desc1""",
+round(mean_slope, 6) AS mean_slope, round(n_pixels * 0.0064::DOUBLE, 6) AS area_km2, CASE WHEN mean_velocity <= -50 OR mean_fs <= 0.7 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, row_number() OVER (PARTITION BY stack ORDER BY round(mean_velocity, 6), zone)::INT AS id FROM desc1""",
 )
 def described(spark, sf_dir: str) -> DataFrame:
     """Each zone described, numbered by its motion."""
@@ -365,7 +370,12 @@ def scenario(spark, sf_dir: str) -> DataFrame:
     return z.groupBy("stack").agg(F.count("*").alias("n_zones"), F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"), F.round(F.sum("n_pixels") * 0.0064, 6).alias("area_km2"))
 
 
-@query("g10_valley_flag")
+@query(
+    "g10_valley_flag",
+    f"""{_W}, {_ZONES}, z AS (SELECT stack, zone, count(*) AS n_pixels, avg(slope_deg) AS slope, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM zpx SEMI JOIN big USING (stack, zone) GROUP BY 1, 2),
+cut AS (SELECT stack, quantile_cont(twi, 0.9) AS q FROM px_pixels GROUP BY stack), va AS (SELECT p.stack, row, col FROM px_pixels p JOIN cut ON cut.stack = p.stack WHERE twi >= q)
+SELECT stack, zone, n_pixels, slope > 25 AND n_pixels > 4 AND EXISTS (SELECT 1 FROM va WHERE va.stack = z.stack AND va.row BETWEEN r0 - 5 AND r1 + 5 AND va.col BETWEEN c0 - 5 AND c1 + 5) AS llof_potential FROM z""",
+)
 def valley(spark, sf_dir: str) -> DataFrame:
     """Zones with a valley near them."""
     px = px_pixels(spark, sf_dir)
@@ -373,7 +383,14 @@ def valley(spark, sf_dir: str) -> DataFrame:
     return zones.valley_flag(z, px, BY).select("stack", "zone", "n_pixels", "llof_potential")
 
 
-@query("m02_hazard_timeline")
+@query(
+    "m02_hazard_timeline",
+    f"""{_W}, ms AS (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS m), t0 AS (SELECT stack, m, row, col, row::BIGINT * 1000000000 + col AS k FROM px_pixels, ms WHERE (1.0 - m) * fs_dry + m * fs_sat < 1.0 AND velocity < -15.0),
+te AS (SELECT a.stack, a.m, a.k AS a, b.k AS b FROM t0 a JOIN t0 b ON a.stack = b.stack AND a.m = b.m AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+tr(stack, m, a, b) AS (SELECT stack, m, k, k FROM t0 UNION SELECT r.stack, r.m, r.a, e.b FROM tr r JOIN te e ON e.stack = r.stack AND e.m = r.m AND e.a = r.b),
+tl AS (SELECT stack, m, a, min(b) AS zone FROM tr GROUP BY 1, 2, 3), tz AS (SELECT stack, m, zone, count(*) AS n FROM tl GROUP BY 1, 2, 3 HAVING count(*) >= 3)
+SELECT stack, m, count(*) AS n_zones, round(sum(n) * 0.0064::DOUBLE, 6) AS area_km2 FROM tz GROUP BY 1, 2""",
+)
 def timeline(spark, sf_dir: str) -> DataFrame:
     """Zones and area at each of several saturations, all in one pass."""
     px = px_pixels(spark, sf_dir).withColumn("m", F.explode(F.array(*(F.lit(m) for m in (0.25, 0.5, 0.75, 1.0)))))
@@ -382,7 +399,18 @@ def timeline(spark, sf_dir: str) -> DataFrame:
     return z.groupBy("stack", "m").agg(F.count_distinct("zone").alias("n_zones"), F.round(F.count("*") * 0.0064, 6).alias("area_km2"))
 
 
-@query("g05_flow_accumulation")
+_STEPS = " UNION ALL ".join(f"SELECT {i} AS i, {r} AS dr, {c} AS dc, {'1.0' if r == 0 or c == 0 else 'sqrt(2.0)'}::DOUBLE AS d" for i, (r, c) in enumerate(raster.EIGHT))
+
+
+@query(
+    "g05_flow_accumulation",
+    f"""{_W}, st AS ({_STEPS}),
+dr AS (SELECT a.stack, a.row, a.col, b.row AS to_row, b.col AS to_col, row_number() OVER (PARTITION BY a.stack, a.row, a.col ORDER BY (a.dem - b.dem) / d DESC, i) AS k
+  FROM px_pixels a, st JOIN px_pixels b ON b.stack = a.stack AND b.row = a.row + dr AND b.col = a.col + dc WHERE a.dem > b.dem),
+rv AS (SELECT * FROM dr WHERE k = 1),
+walk(stack, tr, tc) AS (SELECT stack, row, col FROM px_pixels UNION ALL SELECT w.stack, r.to_row, r.to_col FROM walk w JOIN rv r ON r.stack = w.stack AND r.row = w.tr AND r.col = w.tc)
+SELECT stack, tr AS row, tc AS col, count(*) AS accum FROM walk GROUP BY 1, 2, 3""",
+)
 def flow(spark, sf_dir: str) -> DataFrame:
     """Cells drained through each cell."""
     return raster.flow_accumulation(px_pixels(spark, sf_dir), BY, "dem")

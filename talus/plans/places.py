@@ -295,7 +295,7 @@ def trend(spark, sf_dir: str) -> DataFrame:
 @query("m14_failure_times")
 def failures(spark, sf_dir: str) -> DataFrame:
     """Classes and times to failure by the inverse velocity."""
-    return inversion.failure_times(_series(spark, sf_dir), ["user_id"], creep=10.0, least_share=0.3, least_v=3, least_r2=0.2).withColumns(r6("net_mmyr", "creep_share", "r2", "ttf_days"))
+    return inversion.failure_times(_series(spark, sf_dir), ["user_id"], creep=10.0, least_share=0.3, least_v=3, least_r2=0.2).withColumns(r6("net_mmyr", "creep_share", "r2") | {"ttf_days": F.round("ttf_days", 4)})
 
 
 @query("a24_pattern_inversion")
