@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
 
     rows, small = stored(_roots(classes, trees_for(recall, threshold)), "neardup-level"), []
     for level in range(1, LEVELS + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        # stored, so that the join deals both sides anew and Spark can split a node that very many classes share
+        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "neardup-sizes")
         met = rows.join(sizes, "node")
         small.append(met.filter(F.col("n") <= NODE).select("node", "id"))
         large = stored(met.filter(F.col("n") > NODE).select("tree", "node", "id", "n"), "neardup-large")

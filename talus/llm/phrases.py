@@ -174,8 +174,11 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _with_first(rows: DataFrame) -> DataFrame:
-    """`rows` with the first document that holds the same words (from_id) and the place there (from_pos)."""
-    first = rows.groupBy("code", "n").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
+    """`rows` with the first document that holds the same words (from_id) and the place there (from_pos).
+
+    The first ones are stored, so that the join deals both sides anew and Spark can split a code that very many rows have.
+    """
+    first = stored(rows.groupBy("code", "n").agg(F.min(F.struct("doc_id", "pos")).alias("f")), "phrases-firsts")
     return rows.join(first, ["code", "n"]).select("doc_id", "pos", "n", F.col("f.doc_id").alias("from_id"), F.col("f.pos").alias("from_pos"))
 
 
@@ -259,9 +262,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = stored(_scan(docs, window, phrase), "phrases-scan")
     identified = scanned.filter("doc_id is not null")
-    firsts = identified.groupBy("copy_key").agg(F.min("doc_id").alias("first_id"))
+    # what is joined back by a key that many rows may share is stored first: so Spark can split the key in the join
+    firsts = stored(identified.groupBy("copy_key").agg(F.min("doc_id").alias("first_id")), "phrases-copies")
     anchors = identified.join(firsts, "copy_key").filter("doc_id = first_id").select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    shared = stored(anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"), "phrases-shared")
     wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
     held = stored(docs.filter("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]), "phrases-held")
     runs = stored(_with_first(_run_rows(held, window, phrase)), "phrases-runs")
