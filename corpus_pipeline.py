@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm.common import stored
-from talus.llm.decontamination import contamination, is_contaminated
+from talus.llm.decontamination import decontaminated
 from talus.llm.mixing import mix
 from talus.llm.neardup import near_duplicates
 from talus.llm.quality import accepted
@@ -25,14 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 or more, the one with the smallest doc_id."""
     dropped = near_duplicates(docs, 80, 100).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    # a merge join at every size: the dropped ids grow with the input, and small inputs should plan like large ones
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up less than a twentieth."""
-    judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dropped = judged.filter(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def scrub_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

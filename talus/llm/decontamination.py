@@ -70,26 +70,40 @@ def phrase_candidates(docs: DataFrame, wins: DataFrame, few: bool) -> DataFrame:
     return met.filter(F.bit_count("ranks") == F.col("n_terms")).select("doc_id", "window_id", "start")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words and `hits` (start, words, items of each occurring window) for each row of `docs`."""
-    docs = docs.select("doc_id", "text")
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, whole_rows: bool = False) -> DataFrame:
+    """doc_id, n_words and `hits` (start, words, items of each occurring window) for each row of `docs`.
+
+    With `whole_rows` also `row`, all columns of the input, so that they need no second join.
+    """
+    given = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole_rows else []
+    whole, docs = docs.select("doc_id", "text", *given), docs.select("doc_id", "text")
     few = benchmark.count() <= MOST_BROADCAST // 100  # an item has about a hundred windows at most where this holds; else they are shuffled
     wins = windows(benchmark, n)
     if few:
         few = wins.count() <= MOST_BROADCAST
     found = phrase_candidates(docs, wins, few).join(_small(wins, few), "window_id")
     by_doc = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_list(F.struct("start", "words", "items")).alias("candidates"))
-    rows = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", words(F.col("text")).alias("w"), "candidates")
+    rows = whole.join(by_doc, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", words(F.col("text")).alias("w"), "candidates", *(["row"] if whole_rows else []))
     same = F.filter("candidates", lambda c: F.slice("w", c["start"] + 1, F.size(c["words"])) == c["words"])
-    return rows.select("doc_id", F.size("w").alias("n_words"), F.coalesce(same, F.expr("cast(array() as array<struct<start:int,words:array<string>,items:array<string>>>)")).alias("hits"))
+    extra = ["row"] if whole_rows else []
+    return rows.select("doc_id", *extra, F.size("w").alias("n_words"), F.coalesce(same, F.expr("cast(array() as array<struct<start:int,words:array<string>,items:array<string>>>)")).alias("hits"))
+
+
+def n_hit_words(hits: Column) -> Column:
+    """How many words stand inside hits."""
+    return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + F.size(h["words"]) - 1))))).cast("long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit (words inside a hit), items (ids as text, sorted) for each row of `docs`."""
-    matches = phrase_matches(docs, benchmark, n)
-    covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["words"]) - 1)))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    return matches.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), items.alias("items"))
+    return phrase_matches(docs, benchmark, n).select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit_words(F.col("hits")).alias("n_hit"), items.alias("items"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not contaminated."""
+    matches = phrase_matches(docs, benchmark, n, whole_rows=True).withColumn("n_hit", n_hit_words(F.col("hits")))
+    return matches.filter(~is_contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
