@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Blocks of text around cue words are compressed alone and with each license template as
-a raw zstandard dictionary. Templates are ranked by the bytes they save; the best are
-confirmed by aligning their words with the block's, and the exact differences in wording
-are returned.
+Every license template is aligned with the words of the blocks of text around cue words,
+at each place where enough of its words stand in order, until the rest of the block holds
+none. Each match's surroundings are compressed alone and with the template as a raw
+zstandard dictionary: the bytes saved decide between matches that overlap and rank the
+others. The exact differences in wording are returned.
 
 Edge cases: null and empty texts have no blocks and no license (empty text); a cue
 word without a confirmed template gives a block but no license; ties in bytes saved go
@@ -14,10 +15,12 @@ whole; an empty table gives no rows; other columns are ignored, whatever their n
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import cached_property
+from math import ceil
 
 import pyarrow as pa
 import zstandard
@@ -75,8 +78,8 @@ def blocks(text: str) -> list[tuple[int, int]]:
 class Scanner:
     """Compressors with each template as raw dictionary."""
 
-    def __init__(self, templates=TEMPLATES, confirm: int = 3, least_words: float = 0.8) -> None:
-        self.templates, self.confirm, self.least_words = templates, confirm, least_words
+    def __init__(self, templates=TEMPLATES, least_words: float = 0.8) -> None:
+        self.templates, self.least_words = templates, least_words
 
     @cached_property
     def compressors(self) -> list[zstandard.ZstdCompressor]:
@@ -88,45 +91,105 @@ class Scanner:
     def wordings(self) -> list[list[str]]:
         return [_WORD.findall(t) for _, t in self.templates]
 
+    @cached_property
+    def places(self) -> list[dict[str, int]]:
+        """For each template the places of each of its words, as bits."""
+        out: list[dict[str, int]] = []
+        for wording in self.wordings:
+            out.append({})
+            for i, word in enumerate(wording):
+                out[-1][word] = out[-1].get(word, 0) | 1 << i
+        return out
+
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("compressors", "wordings")}
-
-    def aligned(self, template: int, words: list[re.Match]) -> tuple[int, int, str] | None:
-        """First and last word of the block that the template stands for, and what differs; None if too little agrees."""
-        want = self.wordings[template]
-        given = [w.group() for w in words]
-        same = [m for m in SequenceMatcher(None, want, given, autojunk=False).get_matching_blocks() if m.size]
-        if sum(m.size for m in same) < self.least_words * len(want):
-            return None
-        first = max(0, same[0].b - same[0].a)
-        last = min(len(given), same[-1].b + len(want) - same[-1].a)
-        if last - first > 1.5 * len(want) + 2:
-            return None
+        return {k: v for k, v in self.__dict__.items() if k not in ("compressors", "wordings", "places")}
+
+    def spans(self, template: int, given: list[str], low: int, high: int) -> list[tuple[int, int]]:
+        """Stretches of given[low:high], apart from each other, that hold enough of the template's words in order.
+
+        From each word of the template the longest common subsequence is followed (bit by bit) over one and a half
+        template lengths and two words; the stretches with most words in common are taken first, then the shortest.
+        """
+        places, n = self.places[template], len(self.wordings[template])
+        least, widest, whole = self.least_words * n, 1.5 * n + 2, (1 << n) - 1
+        at = [i for i in range(low, high) if given[i] in places]
+        enough = []
+        for k, start in enumerate(at):
+            ahead = k + max(1, ceil(least)) - 1
+            if ahead >= len(at) or at[ahead] + 1 - start > widest:
+                continue
+            row, most, end = whole, 0, start
+            for i in at[k:]:
+                if i + 1 - start > widest:
+                    break
+                met = row & places[given[i]]
+                row = ((row + met) | (row - met)) & whole
+                if (common := n - row.bit_count()) > most:
+                    most, end = common, i + 1
+            if most >= least:
+                enough.append((-most, end - start, start))
+        return apart((start, start + size) for _, size, start in sorted(enough))
+
+    def aligned(self, template: int, given: list[str], span: tuple[int, int], low: int, high: int) -> tuple[int, int, str]:
+        """First word and end of what the template stands for at a span, within low and high, and what differs."""
+        want, (start, end) = self.wordings[template], span
+        same = [m for m in SequenceMatcher(None, want, given[start:end], autojunk=False).get_matching_blocks() if m.size]
+        first = max(low, start + same[0].b - same[0].a)
+        last = min(high, start + same[-1].b + len(want) - same[-1].a)
         changes = [f"-{' '.join(want[a:b])} +{' '.join(given[first:last][c:d])}".replace("- ", "").removesuffix(" +") for op, a, b, c, d in SequenceMatcher(None, want, given[first:last], autojunk=False).get_opcodes() if op != "equal"]
-        return first, last - 1, "; ".join(changes)
+        return first, last, "; ".join(changes)
+
+    def saving(self, template: int, text: str) -> tuple[int, int]:
+        """Bytes that the template saves, and bytes without it."""
+        raw = text.encode()
+        alone = len(self.compressors[0].compress(raw))
+        return alone - len(self.compressors[template + 1].compress(raw)), alone
 
     def scan(self, text: str) -> tuple[int, list[Found]]:
         """The number of candidate blocks, and the confirmed templates by bytes saved."""
         found, stretches = [], blocks(text)
         for start, end in stretches:
             block = text[start:end]
-            raw = block.encode()
-            alone, *given = (len(c.compress(raw)) for c in self.compressors)
-            ranked = sorted(range(len(given)), key=lambda t: (given[t], t))
-            words, used = list(_WORD.finditer(block)), []
-            rest = [t for t in ranked if given[t] < alone]
-            for k, t in enumerate(rest):
-                if k >= self.confirm and not self._holds(t, block):
-                    continue
-                if (match := self.aligned(t, words)) and not any(match[0] <= b and a <= match[1] for a, b in used):
-                    used.append(match[:2])
-                    saved = alone - given[t]
-                    found.append(Found(self.templates[t][0], start + words[match[0]].start(), start + words[match[1]].end(), saved, saved / alone, match[2]))
+            words = list(_WORD.finditer(block))
+            given, free = [w.group() for w in words], [(0, len(words))]
+            while free:
+                matches = []
+                for low, high in free:
+                    for t in range(len(self.templates)):
+                        for span in self.spans(t, given, low, high):
+                            first, last, changes = self.aligned(t, given, span, low, high)
+                            a, b = words[first].start(), words[last - 1].end()
+                            saved, alone = self.saving(t, block[max(0, a - AFTER) : b + AFTER])
+                            matches.append((-saved, t, first, last, Found(self.templates[t][0], start + a, start + b, saved, saved / alone, changes)))
+                best = {m[2:4]: m[4] for m in sorted(matches, key=lambda m: m[:4], reverse=True)}  # the best of equal places is put last
+                taken = apart(m[2:4] for m in sorted(matches, key=lambda m: m[:4]))
+                found += (best[place] for place in taken)
+                free = rest(free, taken)
         return len(stretches), sorted(found, key=lambda f: (-f.saved, f.start))
 
-    def _holds(self, template: int, block: str) -> bool:
-        """A template that saves less than the winners is still confirmed if its words stand in the block as they are."""
-        return " ".join(self.wordings[template]) in " ".join(_WORD.findall(block))
+
+def apart(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of `spans`, in the order given, that do not overlap one that is taken before."""
+    starts: list[int] = []
+    taken: list[tuple[int, int]] = []
+    out = []
+    for start, end in spans:
+        k = bisect(starts, start)
+        if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+            starts.insert(k, start)
+            taken.insert(k, (start, end))
+            out.append((start, end))
+    return out
+
+
+def rest(free: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What `taken` leaves of those stretches of `free` from which something is taken."""
+    out, ordered = [], sorted(taken)
+    for low, high in free:
+        own = ordered[bisect(ordered, (low,)) : bisect(ordered, (high,))]
+        edges = [low, *(e for t in own for e in t), high]
+        out += [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if own and a < b]
+    return out
 
 
 def find_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:

@@ -335,6 +335,28 @@ def test_licenses_are_confirmed(spark, empty):
     assert licenses.find_licenses(empty).count() == 0
 
 
+def test_every_license_of_a_block_is_found():
+    """Templates of lower rank with other wording, repeated ones, and left-over words that stand elsewhere in a joined block."""
+    texts = dict(reversed(licenses.TEMPLATES)) | {"MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    changed = {
+        "MIT": "Released under the MIT license.", "Apache-2.0": "Licensed under the Apache Licence, Version 2.0.", "GPL-3.0": "This book is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under the CC BY-NC 4.0.",
+        "CC-BY-4.0": "This book is licensed under a Creative Commons Attribution 4.0 International License.", "BSD-3-Clause": texts["BSD-3-Clause"].replace("permitted", "allowed"), "Proprietary": texts["Proprietary"].replace("publication", "book"),
+    }
+    scanner = licenses.Scanner()
+    notice = [(name, f"part {i} {text}") for i, (name, text) in enumerate(sorted(changed.items()) * 3)]
+    n, found = scanner.scan("\n".join(text for _, text in notice))
+    assert n == 1
+    assert [f.license for f in sorted(found, key=lambda f: f.start)] == [name for name, _ in notice]
+    assert all(f.differences and f.saved > 0 for f in found)
+    assert [f.saved for f in found] == sorted((f.saved for f in found), reverse=True)
+    # a template word that lacks at its place and stands far before it
+    far = "License texts follow. " + "word " * 40 + "Released under the MIT terms."
+    n, found = scanner.scan(far)
+    assert (n, [f.license for f in found]) == (1, ["MIT"]) and far[found[0].start : found[0].end] == "Released under the MIT terms"
+    long = "\n".join(["Copyright by its author. Licensed under CC BY-NC 4.0."] * 500)
+    assert len(scanner.scan(long)[1]) == 500
+
+
 def test_folds_follow_crc32(spark):
     from talus.llm.common import fold
 
