@@ -37,6 +37,8 @@ WINDOW = 50
 PHRASE = 10
 #: Documents of a shard, on average.
 SHARD_DOCS = 400
+#: Words of passages that one row asks of a first document, on average, and bytes of passages in a batch.
+PART_WORDS, BATCH_BYTES = 1 << 18, 1 << 25
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -212,21 +214,37 @@ def _passages(claims: DataFrame, window: int) -> DataFrame:
 
 
 def _phrases(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """shard, from_id, phrase: the words of each passage wanted by a shard, from the document that holds it first."""
+    """shard, from_id, phrase: the words of each passage wanted by a shard, from the document that holds it first.
+
+    A first document of which very many shards want passages is dealt, with its text, to as many parts as they need.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            shards, ids, phrases = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(ids, pa.int64()), pa.array(phrases, pa.binary())], ["shard", "from_id", "phrase"])
+
+        rows, size = [], 0
         for batch in batches:
-            shards, ids, phrases = [], [], []
             for doc, view, own in zip(batch.column(0).to_pylist(), byte_views(batch.column(1)), batch.column(2), strict=True):
                 words = view.tobytes().split()
                 for w in own.as_py():
-                    shards.append(w["shard"])
-                    ids.append(doc)
-                    phrases.append(b" ".join(words[w["from_pos"] : w["from_pos"] + w["n"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(ids, pa.int64()), pa.array(phrases, pa.binary())], ["shard", "from_id", "phrase"])
-
-    own = wanted.groupBy(F.col("from_id").alias("doc_id")).agg(F.collect_list(F.struct("shard", "from_pos", "n")).alias("own"))
-    return docs.select("doc_id", "text").join(own, "doc_id").mapInArrow(run, "shard long, from_id long, phrase binary")
+                    rows.append((w["shard"], doc, b" ".join(words[w["from_pos"] : w["from_pos"] + w["n"]])))
+                    size += len(rows[-1][2])
+                    if size >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    wanted = stored(wanted, "phrases-wanted")
+    # stored, so that the join can split a first document that very many passages come from
+    parts = stored(wanted.groupBy("from_id").agg(F.ceil(F.sum("n") / PART_WORDS).cast("int").alias("parts")), "phrases-parts")
+    part = F.pmod(F.xxhash64("shard", "from_pos", "n"), F.col("parts")).cast("int").alias("part")
+    own = wanted.join(parts, "from_id").groupBy(F.col("from_id").alias("doc_id"), part).agg(F.collect_list(F.struct("shard", "from_pos", "n")).alias("own"))
+    texts = docs.join(parts, F.col("doc_id") == F.col("from_id")).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
+    # a broadcast would leave all parts of a document in the task that dealt them out
+    return texts.join(own.hint("merge"), ["doc_id", "part"]).select("doc_id", "text", "own").mapInArrow(run, "shard long, from_id long, phrase binary")
 
 
 def locate(phrases: pd.DataFrame, docs: pd.DataFrame, window: int) -> pd.DataFrame:

@@ -188,6 +188,25 @@ def test_phrases_match_brute_force(spark, empty, window, phrase):
     assert phrases.remove_repeated(empty)[0].count() == 0
 
 
+def test_passages_of_one_first_document_are_dealt_out(spark):
+    """Near copies of one text want very many passages of it: several tasks make them, in bounded batches."""
+    text = words(3000, 5)
+    docs = spark.createDataFrame([(7, " ".join(text)), (8, "a b c")], "doc_id long, text string")
+    asked = [(k % 400, 7, (k * 7) % 2900, 60 + k % 37) for k in range(20000)] + [(1, 8, 1, 2)]
+    wanted = spark.createDataFrame(asked, "shard long, from_id long, from_pos int, n int").distinct()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = phrases._phrases(wanted, docs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = sorted((s, i, " ".join((text if i == 7 else ["a", "b", "c"])[p : p + n]).encode()) for s, i, p, n in set(asked))
+    assert sorted((r.shard, r.from_id, bytes(r.phrase)) for r in got) == want
+    by = defaultdict(int)
+    for r in got:
+        by[r.task] += r.from_id == 7
+    assert max(by.values()) < 0.9 * len(got)
+
+
 # -- near duplicates --------------------------------------------------------------------------
 
 
