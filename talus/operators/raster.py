@@ -184,21 +184,43 @@ def wetness_index(pixels: DataFrame, by: list[str], dem: str, slope_deg: str, si
     return pixels.join(accum, [*by, "row", "col"], "left").withColumn("twi", F.ln(F.col("accum") * size / tan))
 
 
-def reach_angle(pixels: DataFrame, sources: DataFrame, by: list[str], dem: str, size: float, reach: int) -> DataFrame:
+def reach_angle(pixels: DataFrame, sources: DataFrame, by: list[str], dem: str, size: float, reach: int | None) -> DataFrame:
     """`angle_deg`: the steepest line from any source cell within `reach` cells, to each cell; null out of reach.
 
     Sources are sent to the tiles that they can reach, so that cells meet near sources only.
+    Without a limit (None) tiles are widened for the cells that a farther source could still see
+    at a steeper angle, until they cover everything; null only without sources or height.
     """
-    tile = lambda c: F.floor(F.col(c) / reach).cast("int")
     near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    s = sources.select(*by, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(dem).alias("sz")).withColumn("o", near)
-    s = s.withColumns({"tr": tile("sr") + F.col("o.i"), "tc": tile("sc") + F.col("o.j")}).drop("o")
-    cells = pixels.select(*by, "row", "col", F.col(dem).alias("z")).withColumns({"tr": tile("row"), "tc": tile("col")})
     d = F.hypot(F.col("row") - F.col("sr"), F.col("col") - F.col("sc"))
-    met = cells.join(s, [*by, "tr", "tc"]).filter(d <= reach)
     tan = (F.col("sz") - F.col("z")) / F.greatest(d * size, F.lit(float(size)))
-    best = met.groupBy(*by, "row", "col").agg(F.degrees(F.atan(F.max(tan))).alias("angle_deg"))
-    return pixels.join(best, [*by, "row", "col"], "left")
+    s = sources.select(*by, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(dem).alias("sz"))
+    cells = pixels.select(*by, "row", "col", F.col(dem).alias("z"))
+
+    def steepest(cells: DataFrame, ring: int) -> DataFrame:
+        tile = lambda c: F.floor(F.col(c) / ring).cast("int")
+        sent = s.withColumn("o", near).withColumns({"tr": tile("sr") + F.col("o.i"), "tc": tile("sc") + F.col("o.j")}).drop("o")
+        met = cells.withColumns({"tr": tile("row"), "tc": tile("col")}).join(sent, [*by, "tr", "tc"])
+        return (met if reach is None else met.filter(d <= reach)).groupBy(*by, "row", "col").agg(F.max(tan).alias("_t"))
+
+    if reach is not None:
+        best = steepest(cells, reach)
+    else:
+        s, ring, best = stored(s.filter("sz is not null")), 8, None
+        left = stored(cells.join(s.groupBy(*by).agg(F.max("sz").alias("_high")), by).filter("z is not null"))
+        ends = left.select("row", "col").union(s.select("sr", "sc")).agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
+        widest = max(x or 0 for x in ends) + 1
+        while True:
+            ring = min(ring, widest)
+            joined = stored(left.join(steepest(left, ring), [*by, "row", "col"], "left"))
+            # sources outside the tiles are farther than the ring, and none is higher than the highest
+            sure = F.coalesce(F.col("_t") >= F.greatest((F.col("_high") - F.col("z")) / (ring * size), F.lit(0.0)), F.lit(False)) | F.lit(ring == widest)
+            found = joined.filter(sure).select(*by, "row", "col", "_t")
+            best = found if best is None else best.unionByName(found)
+            if ring == widest:
+                break
+            left, ring = joined.filter(~sure).drop("_t"), ring * 4
+    return pixels.join(best.select(*by, "row", "col", F.degrees(F.atan("_t")).alias("angle_deg")), [*by, "row", "col"], "left")
 
 
 def reference_pixel(pixels: DataFrame, by: list[str], net: Column, size: int) -> DataFrame:

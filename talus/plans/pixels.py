@@ -416,6 +416,13 @@ def flow(spark, sf_dir: str) -> DataFrame:
     return raster.flow_accumulation(px_pixels(spark, sf_dir), BY, "dem")
 
 
+def _runout(spark, sf_dir: str, reach: int | None) -> DataFrame:
+    px = px_pixels(spark, sf_dir).select("stack", "row", "col", "dem", "slope_deg")
+    out = raster.reach_angle(px, px.filter("slope_deg > 48.0"), BY, "dem", 80.0, reach)
+    a = F.col("angle_deg")
+    return out.select("stack", "row", "col", F.round(a, 6).alias("angle_deg"), F.when(a.isNull(), "OUTSIDE").when(a >= 10, "NEAR").when(a >= 3, "FAR").otherwise("CLEAR").alias("band"))
+
+
 @query(
     "g09_reach_angle",
     f"""{W}, s AS (SELECT stack, row AS sr, col AS sc, dem AS sz FROM px_pixels WHERE slope_deg > 48.0),
@@ -424,7 +431,15 @@ SELECT p.stack, p.row, p.col, round(degrees(atan(t)), 6) AS angle_deg, CASE WHEN
 )
 def runout(spark, sf_dir: str) -> DataFrame:
     """The steepest line from a source within ten cells, and its band."""
-    px = px_pixels(spark, sf_dir).select("stack", "row", "col", "dem", "slope_deg")
-    out = raster.reach_angle(px, px.filter("slope_deg > 48.0"), BY, "dem", 80.0, 10)
-    a = F.col("angle_deg")
-    return out.select("stack", "row", "col", F.round(a, 6).alias("angle_deg"), F.when(a.isNull(), "OUTSIDE").when(a >= 10, "NEAR").when(a >= 3, "FAR").otherwise("CLEAR").alias("band"))
+    return _runout(spark, sf_dir, 10)
+
+
+@query(
+    "g09_reach_angle_whole",
+    f"""{W}, s AS (SELECT stack, row AS sr, col AS sc, dem AS sz FROM px_pixels WHERE slope_deg > 48.0),
+a AS (SELECT p.stack, p.row, p.col, max((sz - dem) / greatest(sqrt((p.row - sr) * (p.row - sr) + (p.col - sc) * (p.col - sc)) * 80.0, 80.0)) AS t FROM px_pixels p JOIN s ON s.stack = p.stack GROUP BY 1, 2, 3)
+SELECT p.stack, p.row, p.col, round(degrees(atan(t)), 6) AS angle_deg, CASE WHEN t IS NULL THEN 'OUTSIDE' WHEN degrees(atan(t)) >= 10 THEN 'NEAR' WHEN degrees(atan(t)) >= 3 THEN 'FAR' ELSE 'CLEAR' END AS band FROM px_pixels p LEFT JOIN a ON a.stack = p.stack AND a.row = p.row AND a.col = p.col""",
+)
+def runout_whole(spark, sf_dir: str) -> DataFrame:
+    """The steepest line from any source of the stack, however far, and its band."""
+    return _runout(spark, sf_dir, None)
