@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 
 from talus.sources.storage import stored
 
-__all__ = ["bounded", "byte_views", "fold", "majority", "stored"]
+__all__ = ["bounded", "byte_views", "fold", "integer_id", "majority", "stored"]
+
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def integer_id(docs: DataFrame) -> Column:
+    """doc_id as a long, for operators that order documents by it; TypeError if it is no integer."""
+    if (kind := docs.schema["doc_id"].dataType.simpleString()) not in _INTEGERS:
+        raise TypeError(f"doc_id must be an integer, not {kind}")
+    return F.col("doc_id").cast("long").alias("doc_id")
 
 
 def fold(key: Column, modulus: int) -> Column:

@@ -1,11 +1,16 @@
 """MinHash near-dedup: a chosen-path set similarity join and the components of its links.
 
 Documents are sets of word shingles. Documents with equal sets are one class, which the
-smallest doc_id stands for. Each class has a signature of minwise hashes. A tree branches the
-classes by the minwise token of a coordinate that the tree chooses for each level; a node
-of few classes is compared exhaustively, a larger one branches on, and one that is
-still large at the last level is compared in blocks. Independent trees are repeated until a
-pair at the threshold meets with the target recall.
+smallest doc_id stands for. Each class has a signature of minwise tokens. In a tree every
+node chooses, by a hash of the path that leads to it, a few coordinates that the path has not
+used, and each of its classes descends into one child for each of them: the one of its
+minwise token there. A node of few classes is compared exhaustively, a larger one branches
+on. Independent trees are repeated until a pair at the threshold meets with the target recall.
+
+A large node whose classes are all alike would not get smaller by branching. It is linked
+through representatives: the classes nearest to the commonest token of each coordinate are
+compared with all others, block by block. What this does not join to the node's largest part
+is then compared with all of the node, so that no link to it is lost.
 
 Within a node the signatures show which classes may be similar (a cut four standard
 deviations below the threshold); their full sets are then fetched and intersected, and
@@ -14,9 +19,9 @@ large-star and small-star steps.
 
 Edge cases: null, empty and wordless texts have an empty set, link with nothing and are
 kept; texts of fewer words than a shingle are one shingle; repeated rows share their
-doc_id and component and are all kept or dropped alike; a row without doc_id is kept; an
-empty table gives no rows; texts are read whole; other columns are ignored, whatever
-their names.
+doc_id and component and are all kept or dropped alike; a row without doc_id is kept; a
+doc_id that is no integer is refused (TypeError); an empty table gives no rows; texts are
+read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,28 +31,46 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import byte_views, stored
-from talus.llm.phrases import _mixed, sequence_hashes, word_bounds, word_hashes
+from talus.llm.common import byte_views, integer_id, stored
+from talus.llm.hashing import mixed, sequence_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
 COORDINATES = 64
-#: Classes of a node that is compared exhaustively, and levels of a tree.
-NODE, LEVELS = 2048, 4
+#: Classes of a node that is compared exhaustively, levels of a tree, and coordinates that a node chooses.
+NODE, LEVELS, CHOSEN = 512, 4, 2
+#: Classes of a large node that show whether it is dense, and its representatives.
+SAMPLE, REPRESENTATIVES = 64, 16
+#: Shingles that one task holds at once to confirm links; a part with more is confirmed by pairs of pieces.
+PART_SHINGLES = 1 << 22
 
 _RANDOM = np.random.default_rng(20180711)
 _FACTORS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_NUMBERS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
+
+
+def meeting(threshold: float, levels: int) -> float:
+    """Probability that a pair at the threshold reaches a common node of some level in one tree.
+
+    Its signatures are taken to agree in one standard deviation less than the threshold.
+    """
+    p, q = threshold - math.sqrt(threshold * (1 - threshold) / COORDINATES), 1.0
+    for _ in range(levels):
+        q = 1 - (1 - p * q) ** CHOSEN
+    return q
 
 
 def trees_for(recall: float, threshold: float) -> int:
     """Trees in which a pair at the threshold reaches a common node of the last level with the given recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**LEVELS)))
+    q = meeting(threshold, LEVELS)
+    return 1 if q >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
 
 
 def shingle_set(text: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -89,42 +112,52 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(n, COORDINATES)
 
 
-def _order(tree: int) -> np.ndarray:
-    """The coordinates that a tree chooses, level by level."""
-    return np.random.default_rng([7, tree]).permutation(COORDINATES)
+def chosen_coordinates(nodes: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The coordinates that each node chooses by its path, of those that are not used (bits) on it."""
+    order = mixed(nodes[:, None] ^ _NUMBERS)
+    taken = (used[:, None] >> np.arange(COORDINATES, dtype=np.uint64)) & np.uint64(1)
+    order[taken.astype(bool)] = np.iinfo(np.uint64).max
+    return np.argpartition(order, CHOSEN - 1, axis=1)[:, :CHOSEN]
+
+
+def _children(nodes: np.ndarray, used: np.ndarray, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """node, used, id: the children into which classes (signatures m) descend."""
+    at = chosen_coordinates(nodes, used)
+    token = np.take_along_axis(m, at, 1).astype(np.uint64)
+    child = mixed(nodes[:, None] * np.uint64(3) + mixed(token + (at.astype(np.uint64) + np.uint64(1) << np.uint64(32))))
+    path = used[:, None] | np.uint64(1) << at.astype(np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(child.ravel().view(np.int64)), pa.array(path.ravel().view(np.int64)), pa.array(np.repeat(ids, CHOSEN))], ["node", "used", "id"])
 
 
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
-    """tree, node, id: the children of the root of each tree."""
+    """node, used, id: the children of the root of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            m = _matrix(batch.column(1), n)
-            nodes = [_mixed(m[:, _order(t)[0]].astype(np.uint64) + np.uint64((t + 1) << 32)) for t in range(trees)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(trees, dtype=np.int32), n)), pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.tile(batch.column(0).to_numpy(), trees))], ["tree", "node", "id"])
+            n, ids, m = batch.num_rows, batch.column(0).to_numpy(), _matrix(batch.column(1), batch.num_rows)
+            for root in mixed(np.arange(1, trees + 1, dtype=np.uint64)):
+                yield _children(np.full(n, root), np.zeros(n, np.uint64), ids, m)
 
-    return classes.select("id", "signature").mapInArrow(run, "tree int, node long, id long")
+    return classes.select("id", "signature").mapInArrow(run, "node long, used long, id long")
 
 
-def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """tree, node, id: the children of the nodes of `rows`, which have the signature."""
+def _branch(rows: DataFrame) -> DataFrame:
+    """node, used, id: the children of the nodes of `rows`, which have the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _matrix(batch.column(3), batch.num_rows)
-            trees = batch.column(0).to_numpy()
-            at = np.array([_order(t)[level] for t in range(trees.max() + 1)])[trees] if len(trees) else np.empty(0, int)
-            node = _mixed(batch.column(1).to_numpy().view(np.uint64) * np.uint64(3) + _mixed(m[np.arange(len(m)), at].astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), batch.column(2)], ["tree", "node", "id"])
+            nodes, used = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield _children(nodes, used, batch.column(2).to_numpy(), _matrix(batch.column(3), batch.num_rows))
 
-    return rows.select("tree", "node", "id", "signature").mapInArrow(run, "tree int, node long, id long")
+    return rows.select("node", "used", "id", "signature").mapInArrow(run, "node long, used long, id long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of rows with equal first column, which is sorted."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         key = batch.column(0).to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         at = 0
@@ -160,26 +193,49 @@ def _may_be_similar(signatures: np.ndarray, least: int) -> np.ndarray:
     return equal >= least
 
 
-def _similar_parts(nodes: DataFrame, least: int) -> DataFrame:
-    """part, id: within each node, the classes that signatures connect; equal parts of several nodes have the same name."""
+def _pieces(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers in order, cut where their sizes add up to more than `most`."""
+    piece = np.zeros(len(sizes), int)
+    held = 0
+    for i, n in enumerate(sizes.tolist()):
+        new = held and held + n > most
+        piece[i] = (piece[i - 1] if i else 0) + bool(new)
+        held = n if new else held + n
+    return [np.flatnonzero(piece == k) for k in range(piece[-1] + 1)] if len(piece) else []
+
+
+def _similar_parts(nodes: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """part, id: within each node, the classes that signatures connect; equal parts of several nodes have the same name.
+
+    Classes of one `label` (if `nodes` has one) are known to be connected, and are not compared with each other.
+    A part with very many shingles is dealt as pairs of its pieces.
+    """
+    labelled = "label" in nodes.columns
+
+    def emit(ids: np.ndarray) -> pa.RecordBatch:
+        name = int.from_bytes(hashlib.md5(ids.tobytes()).digest()[:8], "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name)), pa.array(ids)], ["part", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for group in _groups(batches):
             n = group.num_rows
-            ids, m = group.column(1).to_numpy(), _matrix(group.column(2), n)
-            if n == 2 and np.count_nonzero(m[0] == m[1]) < least:
-                continue
-            label = np.zeros(n, int) if n == 2 else _components(_may_be_similar(m, least))
-            for k in np.flatnonzero(np.bincount(label, minlength=n) > 1):
-                own = np.sort(ids[label == k])
-                name = int.from_bytes(hashlib.md5(own.tobytes()).digest()[:8], "little", signed=True)
-                if name not in seen:
-                    seen.add(name)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(own)], ["part", "id"])
-
-    dealt = nodes.select("node", "id", "signature").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "part long, id long").distinct()
+            ids, m, sizes = group.column(1).to_numpy(), _matrix(group.column(2), n), group.column(3).to_numpy()
+            linked = _may_be_similar(m, least)
+            if labelled:
+                label = group.column(4).to_numpy()
+                linked &= label[:, None] != label[None, :]
+                np.fill_diagonal(linked, True)
+            found = _components(linked)
+            for k in np.flatnonzero(np.bincount(found, minlength=n) > 1):
+                rows = np.flatnonzero(found == k)
+                rows = rows[np.argsort(ids[rows])]
+                pieces = _pieces(sizes[rows], PART_SHINGLES // 2)
+                for i, a in enumerate(pieces):
+                    for b in pieces[i + 1 :] if len(pieces) > 1 else [a[:0]]:
+                        yield emit(ids[rows[np.concatenate([a, b])]])
+
+    dealt = nodes.join(classes.select("id", "signature", "n_shingles"), "id").select("node", "id", "signature", "n_shingles", *(["label"] if labelled else []))
+    return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(run, "part long, id long").distinct()
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -233,6 +289,78 @@ def _links(parts: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _confirmed(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """a, b: links between the classes of `nodes` (node, id and perhaps label), confirmed on their full sets."""
+    threshold = numerator / denominator
+    least = math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
+    parts = stored(_similar_parts(nodes, classes, least), "neardup-parts")
+    wanted = parts.select("id").distinct()
+    # a merge join at every size: `wanted` grows with the input, and small inputs should plan like large ones
+    sets = _sets(docs.filter("text is not null").withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id"), size)
+    return _links(parts, sets, numerator, denominator)
+
+
+def _centres(large: DataFrame, threshold: float) -> DataFrame:
+    """node, n, centre (the commonest token of each coordinate, in a sample) and dense (whether classes agree with it) of large nodes."""
+    order = Window.partitionBy("node").orderBy(F.xxhash64(F.lit("centre"), "id"))
+    sample = large.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE)
+
+    def centre(frame: pd.DataFrame) -> pd.DataFrame:
+        m = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), COORDINATES)
+        middle = np.empty(COORDINATES, np.uint32)
+        for c in range(COORDINATES):
+            values, counts = np.unique(m[:, c], return_counts=True)
+            middle[c] = values[np.argmax(counts)]
+        return pd.DataFrame({"node": frame["node"].iloc[:1], "n": frame["n"].iloc[:1], "centre": [middle.tobytes()], "dense": [bool((m == middle).mean() >= threshold**2)]})
+
+    return sample.groupBy("node").applyInPandas(centre, "node long, n long, centre binary, dense boolean")
+
+
+def _representatives(rows: DataFrame) -> DataFrame:
+    """node, id: the classes of each node (with its `centre`) whose signatures agree most with the centre."""
+
+    def agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            same = (_matrix(batch.column(2), n) == _matrix(batch.column(3), n)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int32))], ["node", "id", "same"])
+
+    scored = rows.select("node", "id", "signature", "centre").mapInArrow(agreements, "node long, id long, same int")
+    order = Window.partitionBy("node").orderBy(F.desc("same"), "id")
+    return scored.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= REPRESENTATIVES).select("node", "id")
+
+
+def _block(n: int, name: str):
+    """A number from 0 to n_blocks - 1 for each class; blocks have about n classes."""
+    n_blocks = F.ceil(F.col("n") / max(n, 1)).cast("int")
+    return n_blocks, F.pmod(F.xxhash64(F.lit(name), "id"), n_blocks).cast("int")
+
+
+def through_representatives(dense: DataFrame, representatives: DataFrame) -> DataFrame:
+    """node, id: dense nodes (node, id, n) as blocks, each with the node's representatives."""
+    n_blocks, block = _block(NODE // 2, "block")
+    own = dense.select(F.xxhash64("node", block).alias("node"), "id")
+    sizes = dense.select("node", "n").distinct()
+    sent = representatives.join(sizes, "node").select("node", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("b"), "id")
+    return own.unionByName(sent.select(F.xxhash64("node", "b").alias("node"), "id")).distinct()
+
+
+def rest_with_all(dense: DataFrame, components: DataFrame) -> DataFrame:
+    """node, id, label: what is not in the largest known component of its dense node, block by block with all of the node."""
+    rows = dense.join(components, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("label"))
+    rows = stored(rows, "neardup-labels")
+    sizes = rows.groupBy("node", "label").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("n_rest"))
+    main = stored(main.filter("n_rest > 0"), "neardup-main")
+    rows = rows.join(main, "node")
+    n_rest, in_rest = F.ceil(F.col("n_rest") / max(NODE // 4, 1)).cast("int"), F.col("label") != F.col("main")
+    n_all, block = _block(NODE // 2, "all")
+    rest_block = F.pmod(F.xxhash64(F.lit("rest"), "id"), n_rest).cast("int")
+    every = rows.select("node", F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("i"), block.alias("j"), "id", "label")
+    rest = rows.filter(in_rest).select("node", rest_block.alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "id", "label")
+    return every.unionByName(rest).select(F.xxhash64("node", "i", "j").alias("node"), "id", "label").distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id it reaches) for each id of `edges` (a, b) but the smallest ones."""
 
@@ -261,48 +389,48 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     Linked are documents with denominator x intersection >= numerator x union of their sets.
     """
     threshold = numerator / denominator
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(integer_id(docs), F.col("text").cast("string").alias("text"))
     scanned = stored(_scan(docs, size), "neardup-scan")
     members = scanned.filter("doc_id is not null and n_shingles > 0")
-    classes = stored(members.groupBy("set_key").agg(F.min(F.struct("doc_id", "signature")).alias("m")).select("set_key", F.col("m.doc_id").alias("id"), F.col("m.signature").alias("signature")), "neardup-classes")
+    least = F.min(F.struct("doc_id", "signature", "n_shingles")).alias("m")
+    classes = stored(members.groupBy("set_key").agg(least).select("set_key", F.col("m.doc_id").alias("id"), F.col("m.signature").alias("signature"), F.col("m.n_shingles").alias("n_shingles")), "neardup-classes")
     signatures = classes.select("id", "signature")
+    confirmed = lambda nodes: _confirmed(nodes, classes, docs, size, numerator, denominator)
 
-    rows, small = stored(_roots(classes, trees_for(recall, threshold)), "neardup-level"), []
+    rows, small, dense = stored(_roots(classes, trees_for(recall, threshold)), "neardup-level"), [], []
     for level in range(1, LEVELS + 1):
         # stored, so that the join deals both sides anew and Spark can split a node that very many classes share
         sizes = stored(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "neardup-sizes")
         met = rows.join(sizes, "node")
         small.append(met.filter(F.col("n") <= NODE).select("node", "id"))
-        large = stored(met.filter(F.col("n") > NODE).select("tree", "node", "id", "n"), "neardup-large")
+        large = met.filter(F.col("n") > NODE).join(signatures, "id").select("node", "used", "id", "n", "signature")
+        large = stored(large, "neardup-large")
         if large.isEmpty():
             break
-        if level == LEVELS:
-            small.append(_blocks(large))
-            break
-        rows = stored(_branch(large.join(signatures, "id"), level), "neardup-level")
-    nodes = small[0]
+        centres = stored(_centres(large, threshold), "neardup-centres")
+        found = large.join(centres.drop("n"), "node")
+        stays = F.col("dense") | F.lit(level == LEVELS)
+        dense.append(found.filter(stays).select("node", "id", "n", "signature", "centre"))
+        if level < LEVELS:
+            rows = stored(_branch(found.filter(~F.col("dense"))), "neardup-level")
+    nodes, links = small[0], None
     for more in small[1:]:
         nodes = nodes.unionByName(more)
-    least = math.floor(COORDINATES * threshold - 4 * math.sqrt(COORDINATES * threshold * (1 - threshold)))
-    parts = stored(_similar_parts(nodes.join(signatures, "id"), least), "neardup-parts")
-    wanted = parts.select("id").distinct()
-    # a merge join at every size: `wanted` grows with the input, and small inputs should plan like large ones
-    sets = _sets(docs.filter("text is not null").withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id"), size)
-    components = connected(_links(parts, sets, numerator, denominator))
+    if dense:
+        alike = dense[0]
+        for more in dense[1:]:
+            alike = alike.unionByName(more)
+        alike = stored(alike, "neardup-dense")
+        links = stored(confirmed(through_representatives(alike, _representatives(alike))), "neardup-links")
+        rest = rest_with_all(alike.drop("signature", "centre"), connected(links))
+        nodes = nodes.withColumn("label", F.col("id")).unionByName(rest)
+    more = confirmed(nodes)
+    components = connected(more if links is None else links.unionByName(more))
     named = classes.select("set_key", "id").join(components, "id", "left").select("set_key", F.coalesce("component", "id").alias("found"))
-    out = scanned.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = scanned.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """node, id: nodes too large for one task as pairs of blocks, each pair a node of its own."""
-    n_blocks = F.ceil(F.col("n") / (NODE // 2)).cast("int")
-    block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("n_blocks")).cast("int")
-    dealt = large.withColumn("n_blocks", n_blocks).withColumn("block", block)
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return paired.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "id")
-
-
 def op10_neardup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document, linked from 85 % on."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85, 100)

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import byte_views, stored
+from talus.llm.common import byte_views, integer_id, stored
+from talus.llm.hashing import sequence_hashes, word_bounds, word_hashes
 
 WINDOW = 50
 #: Words of the phrases among which a window's anchor is chosen.
@@ -40,59 +41,6 @@ SHARD_DOCS = 400
 #: Words of passages that one row asks of a first document, on average, and bytes of passages in a batch.
 PART_WORDS, BATCH_BYTES = 1 << 18, 1 << 25
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_WRAP = (1 << 64) - 1
-
-
-class _Powers:
-    """Powers of an odd number modulo 2^64 and of its inverse, made as far as they are needed."""
-
-    def __init__(self, base: int) -> None:
-        self.bases = base, pow(base, -1, 1 << 64)
-        self.tables = [np.ones(1, np.uint64)] * 2
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.tables[0]) < n:
-            size = 1 << max(12, (n - 1).bit_length())
-            self.tables = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in self.bases]
-        return self.tables[0][:n], self.tables[1][:n]
-
-
-_BYTES, _WORDS = _Powers(_BASE | 1), _Powers(_STEP | 1)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text (UTF-8 bytes) start and end."""
-    inside = np.zeros(len(text) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[text]
-    edges = np.flatnonzero(np.diff(inside))
-    return edges[::2], edges[1::2]
-
-
-def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    up, down = _BYTES(len(text) + 1)
-    total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=total[1:])
-    return _mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def sequence_hashes(words: np.ndarray, start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    """A 64-bit hash of the n words from each start."""
-    up, down = _WORDS(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return _mixed((total[start + n] - total[start]) * down[start])
-
-
 def window_anchors(words: np.ndarray, window: int, phrase: int) -> np.ndarray:
     """The anchor of each window of words."""
     least = sequence_hashes(words, np.arange(len(words) - phrase + 1), phrase)
@@ -277,7 +225,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     words left), and the documents that lost words and are no copies of an earlier one:
     doc_id, key (MD5 of the text), n_removed, kept (the words left).
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(integer_id(docs), F.col("text").cast("string").alias("text"))
     scanned = stored(_scan(docs, window, phrase), "phrases-scan")
     identified = scanned.filter("doc_id is not null")
     # what is joined back by a key that many rows may share is stored first: so Spark can split the key in the join

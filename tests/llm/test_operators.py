@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,9 +228,10 @@ def brute_neardup(rows, numerator, denominator):
     return sorted((i, len(sets[i]), label[i], label[i] == i) for i, *_ in rows)
 
 
-@pytest.mark.parametrize("node", [2048, 6])
-def test_neardup_matches_brute_force(spark, empty, node, monkeypatch):
+@pytest.mark.parametrize(("node", "shingles"), [(512, 1 << 22), (8, 300)])
+def test_neardup_matches_brute_force(spark, empty, node, shingles, monkeypatch):
     monkeypatch.setattr(neardup, "NODE", node)
+    monkeypatch.setattr(neardup, "PART_SHINGLES", shingles)
     rows = edge_rows()
     for base in range(6):
         w = words(120, base, 5000)
@@ -239,25 +241,70 @@ def test_neardup_matches_brute_force(spark, empty, node, monkeypatch):
             for _ in range(r.randrange(5)):
                 own[r.randrange(len(own))] = f"edit{k}"
             rows.append((100 + base * 50 + k, " ".join(own).upper() if k % 2 else " ".join(own), "en", "a"))
-    rows += [(900, "A b c", "en", "a"), (901, "a B  c", "en", "a"), (902, "a b c d", "en", "a")]
+    rows += [(900, "A b c", "en", "a"), (901, "a B  c", "en", "a"), (902, "a b c d", "en", "a"), (None, "a b c", "en", "a")]
     got = neardup.near_duplicates(table(spark, rows), 85, 100).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_neardup(rows, 85, 100)
+    known = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None)
+    assert known == brute_neardup([r for r in rows if r[0] is not None], 85, 100)
+    assert [r.kept for r in got if r.doc_id is None] == [True]
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_pairs_at_the_threshold_meet(spark, monkeypatch):
+    """Recall of pairs of a similarity from 0.85 to 0.87 that have to go down to the last level."""
+    monkeypatch.setattr(neardup, "NODE", 1)
+    rows, pairs = [], 0
+    for k in range(300):
+        w = words(200, k, 10**6)
+        own, other = list(w), list(w)
+        for at in random.Random(k).sample(range(5, 195, 10), 3):
+            other[at] = f"edit{at}"
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (own, other)]
+        assert 0.85 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.87
+        rows += [(2 * k, " ".join(own), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
+        pairs += 1
+    got = neardup.near_duplicates(table(spark, rows), 85, 100)
+    assert got.filter("not kept").count() >= 0.99 * pairs
+    assert neardup.trees_for(0.999, 0.85) * neardup.CHOSEN**neardup.LEVELS <= 64 and neardup.meeting(0.85, neardup.LEVELS) > 0.9
+
+
+def test_nodes_choose_by_their_paths():
+    nodes = np.arange(1, 200, dtype=np.uint64)
+    at = neardup.chosen_coordinates(nodes, np.zeros(199, np.uint64))
+    assert at.shape == (199, neardup.CHOSEN) and len({tuple(sorted(x)) for x in at.tolist()}) > 150
+    used = np.uint64(1) << at[:, 0].astype(np.uint64)
+    again = neardup.chosen_coordinates(nodes, used)
+    assert not (again == at[:, :1]).any()
+
+
+def test_string_ids_are_refused(spark):
+    docs = spark.createDataFrame([("x", "a b c")], "doc_id string, text string")
+    for f in (neardup.near_duplicates, phrases.remove_repeated):
+        with pytest.raises(TypeError):
+            f(docs)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r.id: r.component for r in neardup.connected(edges).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
-def test_no_pair_is_lost_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "NODE", 4)
-    large = spark.createDataFrame([(0, 5, i, 17) for i in range(17)], "tree int, node long, id long, n long")
+def test_no_link_to_the_rest_is_lost(spark, monkeypatch):
+    """All pairs but those within one known component meet in a block."""
+    monkeypatch.setattr(neardup, "NODE", 8)
+    label = {i: 0 if i < 30 else (30 if i < 40 else i) for i in range(60)}
+    dense = spark.createDataFrame([(7, i, 60) for i in range(60)] + [(8, i, 5) for i in range(5)], "node long, id long, n long")
+    known = spark.createDataFrame([(i, c) for i, c in label.items() if i != c], "id long, component long")
     met = defaultdict(set)
-    for r in neardup._blocks(large).collect():
+    for r in neardup.rest_with_all(dense, known).collect():
         met[r.node].add(r.id)
+        assert r.label == label[r.id]
     pairs = {(a, b) for ids in met.values() for a in ids for b in ids if a < b}
-    assert len(pairs) == 17 * 16 // 2
+    assert all((a, b) in pairs for a in range(60) for b in range(a + 1, 60) if label[a] != label[b])
+    few = spark.createDataFrame([(7, 3), (7, 4)], "node long, id long")
+    blocks = defaultdict(set)
+    for r in neardup.through_representatives(dense.filter("node = 7"), few).collect():
+        blocks[r.node].add(r.id)
+    assert all({3, 4} <= ids for ids in blocks.values()) and set().union(*blocks.values()) == set(range(60))
 
 
 # -- benchmark --------------------------------------------------------------------------------
