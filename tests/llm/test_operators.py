@@ -310,7 +310,9 @@ def test_no_link_to_the_rest_is_lost(spark, monkeypatch):
 # -- benchmark --------------------------------------------------------------------------------
 
 
-def test_decontamination_matches_brute_force(spark, empty):
+@pytest.mark.parametrize("most", [decontamination.MOST_BROADCAST, 0])
+def test_decontamination_matches_brute_force(spark, empty, most, monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)  # 0: all joins by shuffles
     items = [(i, " ".join(words(n, 1000 + i, 60))) for i, n in enumerate((30, 13, 5, 1, 0, 40))] + [(6, None), (0, "W1, w2! w3")]
     rows = edge_rows()
     for i in range(10, 50):
@@ -322,9 +324,17 @@ def test_decontamination_matches_brute_force(spark, empty):
             w[20:20] = part
         rows.append((i, " ".join(w).title() + "É", "en", "a"))
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    rows += [(30, rows[20][1] + " more", "en", "a"), (None, rows[21][1], "en", "a"), (None, rows[22][1], "en", "a")]
+    posted = [x for _, t, *_ in rows for x in cut(t)]
+    rare = {}
+    for item, text in items:
+        v = cut(text)
+        rare.setdefault(str(item), []).extend(v)
+    rare = {item: sorted({x for x in v if x in posted}, key=lambda x: (posted.count(x), v.index(x)))[:4] for item, v in rare.items()}
     expected = []
     for i, t, *_ in rows:
         w, hit, met = cut(t), set(), set()
+        near = {item for item, v in rare.items() if v and any(set(v) <= set(w[k : k + 30]) for k in range(len(w)))}
         for item, text in items:
             v = cut(text)
             for k in range(max(len(v) - 12, 1) if v else 0):
@@ -333,18 +343,23 @@ def test_decontamination_matches_brute_force(spark, empty):
                     if w[at : at + len(phrase)] == phrase:
                         hit.update(range(at, at + len(phrase)))
                         met.add(str(item))
-        expected.append((i, len(w), len(hit), sorted(met)))
+        expected.append((i, len(w), len(hit), sorted(met), sorted(near)))
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(table(spark, rows), bench).collect()]
-    assert sorted(got) == sorted(expected)
+    got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.near_items) for r in decontamination.contamination(table(spark, rows), bench, proximity=True).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    bad = [(i, n) for i, n, k, *_ in expected if k and 20 * k >= n]
+    kept = decontamination.decontaminated(table(spark, rows), bench)
+    assert kept.count() == len(rows) - len(bad) and kept.columns == table(spark, rows).columns
     assert decontamination.contamination(empty, bench).count() == 0
     assert decontamination.contamination(table(spark, rows), bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
 def test_proximity_finds_scattered_terms(spark):
     docs = table(spark, [(0, "zeta x x alpha x x omega kappa", "en", "a"), (1, "zeta " + "x " * 50 + "alpha omega kappa", "en", "a")])
-    bench = spark.createDataFrame([(7, "alpha kappa omega zeta")], "item_id long, text string")
-    assert [(r.doc_id, r.item) for r in decontamination.proximity_matches(docs, bench).collect()] == [(0, "7")]
+    bench = spark.createDataFrame([(7, "alpha kappa unheard omega zeta"), (8, "unheard words")], "item_id long, text string")
+    index = decontamination.build_index(docs, bench)
+    assert [(r.doc_id, r.item) for r in decontamination.proximity_matches(index).collect()] == [(0, "7")]
+    assert index.lists.filter("term = 'x'").isEmpty() and index.lists.count() == 8
 
 
 # -- mixing, fingerprints, licenses -------------------------------------------------------------
