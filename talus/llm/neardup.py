@@ -9,8 +9,9 @@ on. Independent trees are repeated until a pair at the threshold meets with the
 
 A large node whose classes are all alike would not get smaller by branching. It is linked
 through representatives: the classes nearest to the commonest token of each coordinate are
-compared with all others, block by block. What this does not join to the node's largest part
-is then compared with all of the node, so that no link to it is lost.
+compared with all others, block by block; nodes that have the same nearest class are treated as
+one. What this does not join to the node's largest part is then compared with all of the
+node, so that no link to it is lost.
 
 Within a node the signatures show which classes may be similar (a cut four standard
 deviations below the threshold); their full sets are then fetched and intersected, and
@@ -317,7 +318,7 @@ def _centres(large: DataFrame, threshold: float) -> DataFrame:
 
 
 def _representatives(rows: DataFrame) -> DataFrame:
-    """node, id: the classes of each node (with its `centre`) whose signatures agree most with the centre."""
+    """node, id, k: the classes of each node (with its `centre`) whose signatures agree most with the centre, k from 1."""
 
     def agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +328,16 @@ def _representatives(rows: DataFrame) -> DataFrame:
 
     scored = rows.select("node", "id", "signature", "centre").mapInArrow(agreements, "node long, id long, same int")
     order = Window.partitionBy("node").orderBy(F.desc("same"), "id")
-    return scored.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= REPRESENTATIVES).select("node", "id")
+    return scored.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= REPRESENTATIVES).select("node", "id", "k")
+
+
+def _united(alike: DataFrame, representatives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large nodes (node, id, n) and their representatives (node, id), with nodes that have the same first representative made one."""
+    first = stored(representatives.filter("k = 1").select("node", F.col("id").alias("first")), "neardup-first")
+    of = lambda df: df.join(first, "node").select(F.col("first").alias("node"), "id").distinct()
+    rows = stored(of(alike.select("node", "id")), "neardup-united")
+    sizes = stored(rows.groupBy("node").agg(F.count("*").alias("n")), "neardup-united-sizes")
+    return rows.join(sizes, "node"), of(representatives.select("node", "id"))
 
 
 def _block(n: int, name: str):
@@ -353,8 +363,8 @@ def rest_with_all(dense: DataFrame, components: DataFrame) -> DataFrame:
     main = sizes.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("n_rest"))
     main = stored(main.filter("n_rest > 0"), "neardup-main")
     rows = rows.join(main, "node")
-    n_rest, in_rest = F.ceil(F.col("n_rest") / max(NODE // 4, 1)).cast("int"), F.col("label") != F.col("main")
-    n_all, block = _block(NODE // 2, "all")
+    n_rest, in_rest = F.ceil(F.col("n_rest") / NODE).cast("int"), F.col("label") != F.col("main")
+    n_all, block = _block(NODE, "all")
     rest_block = F.pmod(F.xxhash64(F.lit("rest"), "id"), n_rest).cast("int")
     every = rows.select("node", F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("i"), block.alias("j"), "id", "label")
     rest = rows.filter(in_rest).select("node", rest_block.alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "id", "label")
@@ -421,8 +431,9 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
         for more in dense[1:]:
             alike = alike.unionByName(more)
         alike = stored(alike, "neardup-dense")
-        links = stored(confirmed(through_representatives(alike, _representatives(alike))), "neardup-links")
-        rest = rest_with_all(alike.drop("signature", "centre"), connected(links))
+        united, representatives = _united(alike, stored(_representatives(alike), "neardup-representatives"))
+        links = stored(confirmed(through_representatives(united, representatives)), "neardup-links")
+        rest = rest_with_all(united, connected(links))
         nodes = nodes.withColumn("label", F.col("id")).unionByName(rest)
     more = confirmed(nodes)
     components = connected(more if links is None else links.unionByName(more))
