@@ -28,15 +28,33 @@ def block(pixels: DataFrame, row0: int, col0: int, height: int, width: int) -> D
     return pixels.filter(F.col("row").between(row0, row0 + height - 1) & F.col("col").between(col0, col0 + width - 1))
 
 
+def _beside(value: str, order: str, by: list[str], line: str) -> tuple[Column, Column]:
+    """The value of the cell before and of the cell after on its line; null where that cell is absent."""
+    w = Window.partitionBy(*by, line).orderBy(order)
+    before = F.when(F.lag(order).over(w) == F.col(order) - 1, F.lag(value).over(w))
+    after = F.when(F.lead(order).over(w) == F.col(order) + 1, F.lead(value).over(w))
+    return before, after
+
+
+def _difference(value: str, order: str, by: list[str], line: str, size: float) -> Column:
+    """Central difference along a line, one-sided beside borders and absent cells."""
+    (before, after), z = _beside(value, order, by, line), F.col(value)
+    return F.coalesce((after - before) / (2.0 * size), (after - z) / size, (z - before) / size)
+
+
+#: Derivatives along a line: name, the column that names the line, and the one that counts its cells.
+_AXES = (("d_row", "col", "row"), ("d_col", "row", "col"))
+
+
 def gradients(pixels: DataFrame, by: list[str], value: str, size: float) -> DataFrame:
-    """d_row and d_col: central differences, one-sided at borders; holes are filled with the mean before."""
+    """d_row and d_col: central differences, one-sided at borders and beside absent cells.
+
+    Cells that are there without a value are filled with the mean before.
+    """
     mean = pixels.groupBy(*by).agg(F.avg(value).alias("_mean"))
     df = pixels.join(mean, by).withColumn("_z", F.coalesce(value, "_mean"))
-    for name, line, order in (("d_row", "col", "row"), ("d_col", "row", "col")):
-        w = Window.partitionBy(*by, line).orderBy(order)
-        before, after, z = F.lag("_z").over(w), F.lead("_z").over(w), F.col("_z")
-        both = (after - before) / (2.0 * size)
-        df = df.withColumn(name, F.coalesce(both, (after - z) / size, (z - before) / size))
+    for name, line, order in _AXES:
+        df = df.withColumn(name, _difference("_z", order, by, line, size))
     return df.withColumns({c: F.when(F.col(value).isNotNull(), F.col(c)) for c in ("d_row", "d_col")}).drop("_z", "_mean")
 
 
@@ -47,45 +65,64 @@ def slope(pixels: DataFrame, by: list[str], value: str, size: float) -> DataFram
 
 
 def curvature_roughness(pixels: DataFrame, by: list[str], value: str, size: float) -> DataFrame:
-    """Laplacian curvature, and the distance from the mean of the cell and its four neighbours, which wrap around."""
-    g = gradients(pixels, by, value, size)
-    second = g
-    for name, line, order in (("d_row", "col", "row"), ("d_col", "row", "col")):
-        w = Window.partitionBy(*by, line).orderBy(order)
-        before, after, z = F.lag(name).over(w), F.lead(name).over(w), F.col(name)
-        second = second.withColumn(f"_{name}", F.coalesce((after - before) / (2.0 * size), (after - z) / size, (z - before) / size))
-    around = []
-    for line, order in (("col", "row"), ("row", "col")):
+    """Laplacian curvature, and the distance from the mean of the cell and its four neighbours.
+
+    The grid wraps around at its borders for the mean; it is null beside an absent cell.
+    """
+    df = gradients(pixels, by, value, size)
+    for name, line, order in _AXES:
+        df = df.withColumn(f"_{name}", _difference(name, order, by, line, size))
+    ends = pixels.groupBy(*by).agg(*(f(c).alias(f"_{c}{k}") for c in ("row", "col") for k, f in ((0, F.min), (1, F.max))))
+    df, around = df.join(ends, by), []
+    for _, line, order in _AXES:
+        before, after = _beside(value, order, by, line)
         whole = Window.partitionBy(*by, line).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        w = Window.partitionBy(*by, line).orderBy(order)
-        around += [F.coalesce(F.lag(value).over(w), F.last(value).over(whole)), F.coalesce(F.lead(value).over(w), F.first(value).over(whole))]
+        low, high = F.col(f"_{order}0"), F.col(f"_{order}1")
+        opposite = F.when(F.last(order).over(whole) == high, F.last(value).over(whole)), F.when(F.first(order).over(whole) == low, F.first(value).over(whole))
+        around += [F.when(F.col(order) == low, opposite[0]).otherwise(before), F.when(F.col(order) == high, opposite[1]).otherwise(after)]
     mean = sum(around, F.col(value)) / 5.0
-    return second.withColumns({"curvature": F.col("_d_row") + F.col("_d_col"), "roughness": F.abs(F.col(value) - mean)}).drop("d_row", "d_col", "_d_row", "_d_col")
+    out = df.withColumns({"curvature": F.col("_d_row") + F.col("_d_col"), "roughness": F.abs(F.col(value) - mean)})
+    return out.drop("d_row", "d_col", "_d_row", "_d_col", "_row0", "_row1", "_col0", "_col1")
+
+
+def gaussian_weights(sigma: float) -> list[float]:
+    """Weights of cells up to four sigma away, which add up to 1."""
+    reach = int(4.0 * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return (k / k.sum()).tolist()
 
 
 def gaussian_highpass(pixels: DataFrame, by: list[str], value: str, sigma: float) -> DataFrame:
     """low and highpass of a grid with holes: weighted means with edges repeated, first along rows, then along columns.
 
-    Weights reach four sigma. A line's windows are sums over its cells, one line a task at least.
+    Absent cells are holes like cells without a value: each line is laid on all places from the
+    grid's first to its last, one line a task at least.
     """
-    reach = int(4.0 * sigma + 0.5)
-    k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    weights = (k / k.sum()).tolist()
-    df = pixels.withColumns({"_n": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_d": F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0)})
+    weights = gaussian_weights(sigma)
+    reach = len(weights) // 2
+    ends = pixels.groupBy(*by).agg(*(f(c).cast("int").alias(f"_{c}{k}") for c in ("row", "col") for k, f in ((0, F.min), (1, F.max))))
+    known = F.col(value).isNotNull()
+    df = pixels.select(*by, "row", "col", F.when(known, F.col(value).cast("double")).otherwise(0.0).alias("_n"), F.when(known, 1.0).otherwise(0.0).alias("_d")).join(ends, by)
 
-    def along(order: str):
+    def along(line: str, order: str):
         def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(order)
+            first = frame.iloc[0]
+            low, high = int(first[f"_{order}0"]), int(first[f"_{order}1"])
+            place = frame[order].to_numpy() - low
+            out = {c: first[c] for c in (*by, line)} | {order: np.arange(low, high + 1)}
             for c in ("_n", "_d"):
-                frame[c] = np.convolve(np.pad(frame[c].to_numpy(), reach, mode="edge"), weights, mode="valid")
-            return frame
+                dense = np.zeros(high - low + 1)
+                dense[place] = frame[c].to_numpy()
+                out[c] = np.convolve(np.pad(dense, reach, mode="edge"), weights, mode="valid")
+            return pd.DataFrame(out | {c: first[c] for c in ("_row0", "_row1", "_col0", "_col1")})[list(frame.columns)]
 
         return smooth
 
-    for line, order in (("col", "row"), ("row", "col")):
-        df = df.groupBy(*by, line).applyInPandas(along(order), df.schema)
+    for _, line, order in _AXES:
+        df = df.groupBy(*by, line).applyInPandas(along(line, order), df.schema)
     low = F.when(F.col("_d") > 1e-3, F.col("_n") / F.col("_d"))
-    return df.withColumns({"low": low, "highpass": F.col(value) - low}).drop("_n", "_d")
+    smoothed = df.select(*by, "row", "col", low.alias("low"))
+    return pixels.join(smoothed, [*by, "row", "col"], "left").withColumn("highpass", F.col(value) - F.col("low"))
 
 
 def resample_nearest(pixels: DataFrame, factor: float, by: list[str]) -> DataFrame:

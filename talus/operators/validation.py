@@ -187,7 +187,7 @@ def kfold_auc(df: DataFrame, features: list[str], label: str, key: str, folds: i
 
 
 def null_points(spark, rings: list[list[tuple[float, float]]], n: int, seed: int = 20260606, cap: int = 50) -> DataFrame:
-    """At most n seeded points inside the rings, by rejection from their bounding box, at most cap n draws."""
+    """n seeded points inside the rings, by rejection from their bounding box; ValueError if cap n draws do not hold n."""
     g = np.random.default_rng(seed)
     corners = np.array([p for ring in rings for p in ring])
     lo, hi = corners.min(axis=0), corners.max(axis=0)
@@ -196,8 +196,11 @@ def null_points(spark, rings: list[list[tuple[float, float]]], n: int, seed: int
     for ring in rings:
         odd = np.zeros(len(draws), bool)
         for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-            cross = (y1 > draws[:, 1]) != (y2 > draws[:, 1])
-            odd ^= cross & (draws[:, 0] < (x2 - x1) * (draws[:, 1] - y1) / (y2 - y1 + 1e-30) + x1)
+            spans = (y1 > draws[:, 1]) != (y2 > draws[:, 1])
+            side = (x2 - x1) * (draws[:, 1] - y1) - (draws[:, 0] - x1) * (y2 - y1)
+            odd ^= spans & (np.sign(y2 - y1) * side > 0)
         inside |= odd
     kept = draws[inside][:n]
+    if len(kept) < n:
+        raise ValueError(f"only {len(kept)} of {len(draws)} draws lie inside the rings, {n} were asked for")
     return spark.createDataFrame(pd.DataFrame({"point": np.arange(len(kept)), "lon": kept[:, 0], "lat": kept[:, 1]}))

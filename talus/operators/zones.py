@@ -85,15 +85,33 @@ def combined_confidence(zones: DataFrame, by: list[str], group: str, p: str = "p
 
 
 def active_per_day(zones: DataFrame, days: DataFrame, by: list[str]) -> DataFrame:
-    """Zones whose effective critical saturation the day's saturation reaches, on WATCH and ALERT days.
+    """Zones whose effective critical saturation the day's saturation reaches, on WATCH and ALERT days."""
+    asked = days.withColumn("m_star_eff", F.col("saturation"))
+    counted = counts_up_to(zones, asked, by, "m_star_eff", "n_active").drop("m_star_eff")
+    armed = F.coalesce(F.col("alarm_level").isin("WATCH", "ALERT"), F.lit(False))
+    return counted.withColumn("n_active", F.when(armed, F.col("n_active")).otherwise(F.lit(0)).cast("long"))
 
-    Days and zones are put on one scale: a running count over thresholds and days, no pairs.
+
+def counts_up_to(items: DataFrame, asked: DataFrame, by: list[str], value: str, name: str, descending: bool = False, cells: int = 1024) -> DataFrame:
+    """The rows of `asked` with `name`: how many items of their group have a value as small or smaller (descending: as large or larger).
+
+    Values lie between 0 and 1 for the most part and are cut into cells: a running count within a cell plus the
+    counts of the cells before, so that a group with very many rows is dealt to many tasks. No pairs are made.
     """
-    a = zones.filter("m_star_eff is not null").select(*by, F.col("m_star_eff").alias("m"), F.lit(1).alias("n"), F.lit(None).cast("date").alias("date"))
-    b = days.select(*by, F.col("saturation").alias("m"), F.lit(0).alias("n"), "date")
-    run = F.sum("n").over(Window.partitionBy(*by).orderBy("m").rangeBetween(Window.unboundedPreceding, 0))
-    counted = a.unionByName(b).withColumn("n_active", run).filter("date is not null").select(*by, "date", "n_active")
-    return days.join(counted, [*by, "date"], "left").withColumn("n_active", F.when(F.col("alarm_level").isin("WATCH", "ALERT"), F.coalesce("n_active", F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    v = F.col(value)
+    share = 1.0 - v if descending else v
+    cell = F.least(F.greatest(F.floor(share * cells), F.lit(0)), F.lit(cells)).cast("int")
+    keyed = lambda df: df.withColumns({"_v": -v if descending else v, "_cell": cell})
+    counted = keyed(items.select(*by, value).filter(v.isNotNull())).groupBy(*by, "_cell", "_v").agg(F.count("*").alias("_n"))
+    rows = keyed(asked)
+    both = rows.withColumns({"_n": F.lit(0).cast("long"), "_asked": F.lit(True)}).unionByName(counted.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+    earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy(*by, "_cell").agg(F.sum("_n").alias("_s"))
+    before = sums.select(*by, "_cell", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    own = F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_v").rangeBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_own", own).filter("_asked").join(before, [*by, "_cell"], "left")
+    n = F.when(v.isNotNull(), F.col("_own") + F.col("_before")).otherwise(F.lit(0)).cast("long")
+    return placed.select(*(F.col(c) for c in asked.columns), n.alias(name))
 
 
 def zone_pixels(zones: DataFrame, pixels: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

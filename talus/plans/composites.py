@@ -126,12 +126,14 @@ def layers(spark, sf_dir: str) -> DataFrame:
 @query(
     "j12_sample_points",
     f"""{W}, pt AS (SELECT c_custkey AS point, (c_custkey % 60)::INT AS row, (c_custkey * 7 % 50)::INT AS col FROM customer),
-m AS (SELECT point, p.stack, fs_sat, row_number() OVER (PARTITION BY point ORDER BY p.stack) AS k FROM pt JOIN px_pixels p USING (row, col) WHERE fs_sat IS NOT NULL) SELECT point, stack, round(fs_sat, 6) AS fs_sat FROM m WHERE k = 1""",
+m AS (
+  SELECT point, p.stack, fs_sat, row_number() OVER (PARTITION BY point ORDER BY p.stack) AS k
+  FROM pt JOIN px_pixels p ON p.row = pt.row AND p.col = pt.col AND p.stack IN ('A-0', 'N-0', 'R-0') WHERE fs_sat IS NOT NULL) SELECT point, stack, round(fs_sat, 6) AS fs_sat FROM m WHERE k = 1""",
 )
 def sampled(spark, sf_dir: str) -> DataFrame:
     """Each place's value from the first stack that has one."""
     k = F.col("c_custkey")
-    pts = _read(spark, sf_dir, "customer").select(k.alias("point"), (k % 60).cast("int").alias("row"), (k * 7 % 50).cast("int").alias("col")).withColumn("stack", F.explode(F.array(*map(F.lit, "ANR"))))
+    pts = _read(spark, sf_dir, "customer").select(k.alias("point"), (k % 60).cast("int").alias("row"), (k * 7 % 50).cast("int").alias("col")).withColumn("stack", F.explode(F.array(*(F.lit(f"{k}-0") for k in "ANR"))))
     return raster.sample_points(pts, px_pixels(spark, sf_dir), ["stack"], "fs_sat", "point", "stack").withColumns(r6("fs_sat"))
 
 
@@ -182,20 +184,20 @@ def report(spark, sf_dir: str) -> DataFrame:
 
 @query(
     "m11_zone_gate",
-    f"""WITH {PX_ZONES}, {_CALENDAR}, e AS (SELECT zone, m_star, least(greatest(m_star - 0.06::DOUBLE * (twi - avg(twi) OVER ()), 0.0), 1.0) AS m_eff FROM px_zones),
-d AS (SELECT date, least(water_mm / 40.0, 1.0) AS m FROM calendar WHERE site = '1-URGENT' AND alarm_level <> 'DORMANT')
-SELECT zone, round(m_star, 6) AS m_star, round(m_eff, 6) AS m_star_eff, (SELECT count(*) FROM d WHERE d.m >= e.m_eff)::BIGINT AS n_days FROM e""",
+    f"""WITH {PX_ZONES}, {_CALENDAR},
+e AS (SELECT site, zone, m_star, least(greatest(m_star - 0.06::DOUBLE * (twi - avg(twi) OVER (PARTITION BY site)), 0.0), 1.0) AS m_eff FROM px_zones),
+d AS (SELECT site, date, least(water_mm / 40.0, 1.0) AS m FROM calendar WHERE alarm_level <> 'DORMANT')
+SELECT e.site, zone, round(m_star, 6) AS m_star, round(m_eff, 6) AS m_star_eff, count(d.date) AS n_days
+FROM e LEFT JOIN d ON d.site = e.site AND d.m >= e.m_eff GROUP BY e.site, zone, m_star, m_eff""",
 )
 def zone_gate(spark, sf_dir: str) -> DataFrame:
-    """On how many armed days each zone is active, by a running count over zones and days on one scale."""
+    """On how many armed days of its site each zone is active, by running counts over zones and days on one scale."""
     z = px_zones(spark, sf_dir)
-    mean = z.agg(F.avg("twi")).first()[0]
-    e = z.select("stack", "zone", "m_star", P.effective_critical_saturation(F.col("m_star"), F.col("twi"), F.lit(mean), 0.06).alias("m_eff"))
-    d = calendar(spark, sf_dir).filter("site = '1-URGENT' and alarm_level <> 'DORMANT'").select(F.explode(F.array(*(F.lit(f"look{i}") for i in range(3)))).alias("stack"), F.least(F.col("water_mm") / 40.0, F.lit(1.0)).alias("m"))
-    scale = e.select("stack", F.col("m_eff").alias("m"), F.lit(0).alias("n"), "zone").unionByName(d.select("stack", "m", F.lit(1).alias("n"), F.lit(None).cast("long").alias("zone")))
-    more = F.sum("n").over(Window.partitionBy("stack").orderBy(F.desc("m")).rangeBetween(Window.unboundedPreceding, 0))
-    n = scale.withColumn("n_days", more).filter("zone is not null").select("zone", "n_days")
-    return e.join(n, "zone").select("zone", F.round("m_star", 6).alias("m_star"), F.round("m_eff", 6).alias("m_star_eff"), F.col("n_days").cast("long").alias("n_days"))
+    e = z.join(z.groupBy("site").agg(F.avg("twi").alias("twi_mean")), "site")
+    e = e.select("site", "zone", "m_star", P.effective_critical_saturation(F.col("m_star"), F.col("twi"), F.col("twi_mean"), 0.06).alias("m"))
+    d = calendar(spark, sf_dir).filter("alarm_level <> 'DORMANT'").select("site", F.least(F.col("water_mm") / 40.0, F.lit(1.0)).alias("m"))
+    n = zones.counts_up_to(d, e, BY, "m", "n_days", descending=True)
+    return n.select("site", "zone", F.round("m_star", 6).alias("m_star"), F.round("m", 6).alias("m_star_eff"), "n_days")
 
 
 @query("m12_confidence_tiers")

@@ -57,8 +57,8 @@ def regression_audit(spark, sf_dir: str) -> DataFrame:
     return _audited(spark, sf_dir).withColumns(r6("pearson_r", "r_squared") | {c: F.round(c, 4) for c in ("slope", "intercept")})
 
 
-_STATS = "st AS (SELECT l_suppkey AS product, CASE WHEN l_suppkey % 13 = 0 THEN 'skipped' ELSE 'ok' END AS status, avg(l_discount) * 1000 AS surviving_pct, 0.4::DOUBLE + avg(l_tax) * 6 AS coh FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1)"
-_DECIDED = f"""{_AUDIT}, {_STATS}, half AS (SELECT * FROM aud WHERE product % 5 <> 0),
+_STATS = "st AS (SELECT l_suppkey AS product, CASE WHEN l_suppkey % 13 = 0 THEN 'skipped' ELSE 'ok' END AS status, avg(l_discount) * 1000 AS surviving_pct, 0.4::DOUBLE + avg(l_tax) * 6 AS coh FROM lineitem JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal >= 0 GROUP BY 1)"
+_DECIDED = f"""{_AUDIT}, {_STATS}, half AS (SELECT * FROM aud SEMI JOIN (SELECT s_suppkey AS product FROM supplier WHERE s_acctbal < 9000) USING (product)),
 j AS (SELECT coalesce(st.product, half.product) AS product, CASE WHEN st.product IS NULL THEN 'missing' ELSE status END AS coh_status, surviving_pct, coh, r_squared, coalesce(classification, 'missing') AS atmos_class FROM st FULL JOIN half ON st.product = half.product),
 dec AS (SELECT *, CASE WHEN atmos_class = 'QUARANTINE' OR (coh_status = 'ok' AND coalesce(coh, 0) < 0.6) THEN 'QUARANTINE' WHEN atmos_class = 'CONCERN' THEN 'CONCERN' ELSE 'KEEP' END AS decision,
   array_to_string(list_filter([CASE WHEN coh_status <> 'ok' THEN 'coh_status=' || coh_status END, CASE WHEN coh_status = 'ok' AND coalesce(coh, 0) < 0.6 THEN 'low_coh_surv' END,
@@ -66,9 +66,11 @@ dec AS (SELECT *, CASE WHEN atmos_class = 'QUARANTINE' OR (coh_status = 'ok' AND
 
 
 def _decided(spark, sf_dir: str) -> DataFrame:
-    k = F.col("l_suppkey")
-    st = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(k % 7 != 0).groupBy(k.alias("product"), F.when(k % 13 == 0, "skipped").otherwise("ok").alias("status")).agg((F.avg("l_discount") * 1000).alias("surviving_pct"), (0.4 + F.avg("l_tax") * 6).alias("mean_coherence_survivors"))
-    return audit.decide(st, _audited(spark, sf_dir).filter("product % 5 <> 0"), "product")
+    """Statistics are missing for suppliers in debt, audits for those with most money."""
+    k, money = F.col("l_suppkey"), spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("product"), "s_acctbal")
+    solvent = money.filter("s_acctbal >= 0").select(F.col("product").alias("l_suppkey"))
+    st = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(solvent, "l_suppkey", "left_semi").groupBy(k.alias("product"), F.when(k % 13 == 0, "skipped").otherwise("ok").alias("status")).agg((F.avg("l_discount") * 1000).alias("surviving_pct"), (0.4 + F.avg("l_tax") * 6).alias("mean_coherence_survivors"))
+    return audit.decide(st, _audited(spark, sf_dir).join(money.filter("s_acctbal < 9000"), "product", "left_semi"), "product")
 
 
 @query("j01_full_outer_decision", f"WITH {_DECIDED} SELECT product, coh_status, round(surviving_pct, 4) AS surviving_pct, round(coh, 6) AS mean_coh_survivors, round(r_squared, 6) AS atmos_r_squared, atmos_class, decision, reasons FROM dec")
@@ -197,10 +199,12 @@ def mstar_suction(spark, sf_dir: str) -> DataFrame:
 
 # -- neighbourhoods ---------------------------------------------------------------------------
 
-_LAG = lambda v, line, order: f"lag({v}) OVER (PARTITION BY stack, {line} ORDER BY {order})"
-_LEAD = lambda v, line, order: f"lead({v}) OVER (PARTITION BY stack, {line} ORDER BY {order})"
-_GRAD = lambda v, line, order: f"coalesce(({_LEAD(v, line, order)} - {_LAG(v, line, order)}) / 160.0, ({_LEAD(v, line, order)} - {v}) / 80.0, ({v} - {_LAG(v, line, order)}) / 80.0)"
-_GRADS = f"g AS (SELECT stack, row, col, dem, {_GRAD('dem', 'col', 'row')} AS d_row, {_GRAD('dem', 'row', 'col')} AS d_col FROM px_pixels)"
+_AT = lambda name, dr, dc, of="px_pixels": f"LEFT JOIN {of} {name} ON {name}.stack = p.stack AND {name}.row = p.row + {dr} AND {name}.col = p.col + {dc}"
+_GRAD = lambda v, before, after: f"coalesce(({after} - {before}) / 160.0, ({after} - {v}) / 80.0, ({v} - {before}) / 80.0)"
+_GRADS = f"""g AS (
+  SELECT p.stack, p.row, p.col, p.dem, {_GRAD("p.dem", "u.dem", "d.dem")} AS d_row, {_GRAD("p.dem", "l.dem", "r.dem")} AS d_col
+  FROM px_pixels p {_AT("u", -1, 0)} {_AT("d", 1, 0)} {_AT("l", 0, -1)} {_AT("r", 0, 1)})"""
+_ENDS = "ends AS (SELECT stack, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM px_pixels GROUP BY stack)"
 
 
 @query("g07_slope", f"{W}, {_GRADS} SELECT stack, row, col, round(degrees(atan(sqrt(d_row * d_row + d_col * d_col))), 6) AS slope_deg FROM g")
@@ -209,14 +213,20 @@ def slope(spark, sf_dir: str) -> DataFrame:
     return raster.slope(px, BY, "dem", 80.0).select("stack", "row", "col", F.round("slope_deg", 6).alias("slope_deg"))
 
 
-def _wrap(line: str, order: str) -> str:
-    return f"coalesce({_LAG('dem', line, order)}, last(dem) OVER (PARTITION BY stack, {line} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) + coalesce({_LEAD('dem', line, order)}, first(dem) OVER (PARTITION BY stack, {line} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+_WRAP = lambda name, axis, edge, other, step: f"LEFT JOIN px_pixels {name} ON {name}.stack = p.stack AND {name}.{'col' if axis == 'row' else 'row'} = p.{'col' if axis == 'row' else 'row'} AND {name}.{axis} = CASE WHEN p.{axis} = {edge} THEN {other} ELSE p.{axis} + {step} END"
 
 
 @query(
     "g14_roughness",
-    f"""{W}, {_GRADS}, r AS (SELECT stack, row, col, round(abs(dem - (dem + {_wrap('col', 'row')} + {_wrap('row', 'col')}) / 5.0), 6) AS roughness, round({_GRAD('d_row', 'col', 'row')} + {_GRAD('d_col', 'row', 'col')}, 6) AS curvature FROM g)
-SELECT stack, row, col, curvature, roughness FROM r""",
+    f"""{W}, {_GRADS}, {_ENDS},
+second AS (
+  SELECT p.stack, p.row, p.col, {_GRAD("p.d_row", "u.d_row", "d.d_row")} + {_GRAD("p.d_col", "l.d_col", "r.d_col")} AS curvature
+  FROM g p {_AT("u", -1, 0, "g")} {_AT("d", 1, 0, "g")} {_AT("l", 0, -1, "g")} {_AT("r", 0, 1, "g")}),
+rough AS (
+  SELECT p.stack, p.row, p.col, abs(p.dem - (p.dem + a.dem + b.dem + c.dem + d.dem) / 5.0) AS roughness
+  FROM px_pixels p JOIN ends ON ends.stack = p.stack
+  {_WRAP("a", "row", "r0", "r1", -1)} {_WRAP("b", "row", "r1", "r0", 1)} {_WRAP("c", "col", "c0", "c1", -1)} {_WRAP("d", "col", "c1", "c0", 1)})
+SELECT stack, row, col, round(curvature, 6) AS curvature, round(roughness, 6) AS roughness FROM second JOIN rough USING (stack, row, col)""",
 )
 def roughness(spark, sf_dir: str) -> DataFrame:
     """Curvature and roughness."""
@@ -240,7 +250,24 @@ def v_slope(spark, sf_dir: str) -> DataFrame:
     return g.select("stack", "row", "col", F.round("c", 6).alias("c"), F.round(P.slope_velocity(F.col("velocity"), F.col("c"), s, least_slope=5.0), 6).alias("v_slope"))
 
 
-@query("g06_highpass")
+_KERNEL = raster.gaussian_weights(2.0)
+
+
+@query(
+    "g06_highpass",
+    f"""{W}, {_ENDS}, k AS (SELECT unnest(range({-(len(_KERNEL) // 2)}, {len(_KERNEL) // 2 + 1})) AS o, unnest({_KERNEL}::DOUBLE[]) AS w),
+v AS (SELECT stack, row, col, CASE WHEN coh IS NOT NULL THEN velocity END AS velocity FROM px_pixels),
+lattice AS (SELECT stack, r.row, c.col, r0, r1, c0, c1 FROM ends, unnest(generate_series(r0, r1)) AS r(row), unnest(generate_series(c0, c1)) AS c(col)),
+x AS (SELECT s.*, coalesce(velocity, 0.0) AS n, CASE WHEN velocity IS NULL THEN 0.0 ELSE 1.0 END AS d FROM lattice s LEFT JOIN v USING (stack, row, col)),
+p1 AS (
+  SELECT x.stack, x.row, x.col, x.c0, x.c1, sum(w * y.n) AS n, sum(w * y.d) AS d
+  FROM x, k, x y WHERE y.stack = x.stack AND y.col = x.col AND y.row = least(greatest(x.row + o, x.r0), x.r1) GROUP BY ALL),
+p2 AS (
+  SELECT x.stack, x.row, x.col, sum(w * y.n) AS n, sum(w * y.d) AS d
+  FROM p1 x, k, p1 y WHERE y.stack = x.stack AND y.row = x.row AND y.col = least(greatest(x.col + o, x.c0), x.c1) GROUP BY ALL)
+SELECT stack, row, col, round(CASE WHEN d > 1e-3 THEN n / d END, 6) AS low, round(velocity - CASE WHEN d > 1e-3 THEN n / d END, 6) AS highpass
+FROM v JOIN p2 USING (stack, row, col)""",
+)
 def highpass(spark, sf_dir: str) -> DataFrame:
     """Velocities less their smoothed field."""
     px = px_pixels(spark, sf_dir).select("stack", "row", "col", F.when(F.col("coh").isNotNull(), F.col("velocity")).alias("velocity"))
@@ -405,9 +432,9 @@ _STEPS = " UNION ALL ".join(f"SELECT {i} AS i, {r} AS dr, {c} AS dc, {'1.0' if r
 @query(
     "g05_flow_accumulation",
     f"""{_W}, st AS ({_STEPS}),
-dr AS (SELECT a.stack, a.row, a.col, b.row AS to_row, b.col AS to_col, row_number() OVER (PARTITION BY a.stack, a.row, a.col ORDER BY (a.dem - b.dem) / d DESC, i) AS k
+dr AS MATERIALIZED (SELECT a.stack, a.row, a.col, b.row AS to_row, b.col AS to_col, row_number() OVER (PARTITION BY a.stack, a.row, a.col ORDER BY (a.dem - b.dem) / d DESC, i) AS k
   FROM px_pixels a, st JOIN px_pixels b ON b.stack = a.stack AND b.row = a.row + dr AND b.col = a.col + dc WHERE a.dem > b.dem),
-rv AS (SELECT * FROM dr WHERE k = 1),
+rv AS MATERIALIZED (SELECT * FROM dr WHERE k = 1),
 walk(stack, tr, tc) AS (SELECT stack, row, col FROM px_pixels UNION ALL SELECT w.stack, r.to_row, r.to_col FROM walk w JOIN rv r ON r.stack = w.stack AND r.row = w.tr AND r.col = w.tc)
 SELECT stack, tr AS row, tc AS col, count(*) AS accum FROM walk GROUP BY 1, 2, 3""",
 )
@@ -416,30 +443,22 @@ def flow(spark, sf_dir: str) -> DataFrame:
     return raster.flow_accumulation(px_pixels(spark, sf_dir), BY, "dem")
 
 
-def _runout(spark, sf_dir: str, reach: int | None) -> DataFrame:
-    px = px_pixels(spark, sf_dir).select("stack", "row", "col", "dem", "slope_deg")
-    out = raster.reach_angle(px, px.filter("slope_deg > 48.0"), BY, "dem", 80.0, reach)
-    a = F.col("angle_deg")
-    return out.select("stack", "row", "col", F.round(a, 6).alias("angle_deg"), F.when(a.isNull(), "OUTSIDE").when(a >= 10, "NEAR").when(a >= 3, "FAR").otherwise("CLEAR").alias("band"))
+_RUNOUT = f"""{W}, s AS (SELECT stack, row AS sr, col AS sc, dem AS sz FROM px_pixels WHERE slope_deg > 48.0),
+a AS (
+  SELECT p.stack, p.row, p.col, max((sz - dem) / greatest(sqrt((p.row - sr) * (p.row - sr) + (p.col - sc) * (p.col - sc)) * 80.0, 80.0)) AS t
+  FROM px_pixels p JOIN s ON s.stack = p.stack GROUP BY 1, 2, 3),
+runout AS (
+  SELECT p.stack, p.row, p.col, round(degrees(atan(t)), 6) AS angle_deg,
+         CASE WHEN t IS NULL THEN 'OUTSIDE' WHEN degrees(atan(t)) >= 10 THEN 'NEAR' WHEN degrees(atan(t)) >= 3 THEN 'FAR' ELSE 'CLEAR' END AS band
+  FROM px_pixels p LEFT JOIN a ON a.stack = p.stack AND a.row = p.row AND a.col = p.col)"""
 
 
-@query(
-    "g09_reach_angle",
-    f"""{W}, s AS (SELECT stack, row AS sr, col AS sc, dem AS sz FROM px_pixels WHERE slope_deg > 48.0),
-a AS (SELECT p.stack, p.row, p.col, max((sz - dem) / greatest(sqrt((p.row - sr) * (p.row - sr) + (p.col - sc) * (p.col - sc)) * 80.0, 80.0)) AS t FROM px_pixels p JOIN s ON s.stack = p.stack AND (p.row - sr) * (p.row - sr) + (p.col - sc) * (p.col - sc) <= 100 GROUP BY 1, 2, 3)
-SELECT p.stack, p.row, p.col, round(degrees(atan(t)), 6) AS angle_deg, CASE WHEN t IS NULL THEN 'OUTSIDE' WHEN degrees(atan(t)) >= 10 THEN 'NEAR' WHEN degrees(atan(t)) >= 3 THEN 'FAR' ELSE 'CLEAR' END AS band FROM px_pixels p LEFT JOIN a ON a.stack = p.stack AND a.row = p.row AND a.col = p.col""",
-)
+@query("g09_reach_angle", f"{_RUNOUT} SELECT * FROM runout")
+@query("g09_reach_angle_whole", f"{_RUNOUT} SELECT * FROM runout")
 def runout(spark, sf_dir: str) -> DataFrame:
-    """The steepest line from a source within ten cells, and its band."""
-    return _runout(spark, sf_dir, 10)
-
-
-@query(
-    "g09_reach_angle_whole",
-    f"""{W}, s AS (SELECT stack, row AS sr, col AS sc, dem AS sz FROM px_pixels WHERE slope_deg > 48.0),
-a AS (SELECT p.stack, p.row, p.col, max((sz - dem) / greatest(sqrt((p.row - sr) * (p.row - sr) + (p.col - sc) * (p.col - sc)) * 80.0, 80.0)) AS t FROM px_pixels p JOIN s ON s.stack = p.stack GROUP BY 1, 2, 3)
-SELECT p.stack, p.row, p.col, round(degrees(atan(t)), 6) AS angle_deg, CASE WHEN t IS NULL THEN 'OUTSIDE' WHEN degrees(atan(t)) >= 10 THEN 'NEAR' WHEN degrees(atan(t)) >= 3 THEN 'FAR' ELSE 'CLEAR' END AS band FROM px_pixels p LEFT JOIN a ON a.stack = p.stack AND a.row = p.row AND a.col = p.col""",
-)
-def runout_whole(spark, sf_dir: str) -> DataFrame:
-    """The steepest line from any source of the stack, however far, and its band."""
-    return _runout(spark, sf_dir, None)
+    """The steepest line from any source of the stack, however far, and its band."""
+    px = px_pixels(spark, sf_dir).select("stack", "row", "col", "dem", "slope_deg")
+    out = raster.reach_angle(px, px.filter("slope_deg > 48.0"), BY, "dem", 80.0, None)
+    a = F.col("angle_deg")
+    band = F.when(a.isNull(), "OUTSIDE").when(a >= 10, "NEAR").when(a >= 3, "FAR").otherwise("CLEAR")
+    return out.select("stack", "row", "col", F.round(a, 6).alias("angle_deg"), band.alias("band"))

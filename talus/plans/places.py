@@ -37,14 +37,14 @@ def band_pairs(spark, sf_dir: str) -> DataFrame:
 @query(
     "j08_anti_dedupe",
     """WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem),
-jobs AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_returnflag = 'A' THEN 'SUCCEEDED' END AS status FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_orderkey % 3 = 0),
+jobs AS (SELECT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, CASE WHEN l_returnflag = 'R' THEN 'FAILED' WHEN l_returnflag = 'A' THEN 'SUCCEEDED' END AS status FROM lineitem WHERE l_returnflag IN ('R', 'A')),
 done AS (SELECT lo, hi FROM jobs GROUP BY 1, 2 HAVING count(*) FILTER (status <> 'FAILED') > 0 OR count(*) FILTER (status = 'FAILED') >= 2)
 SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM done WHERE lo = least(a, b) AND hi = greatest(a, b))""",
 )
 def dedupe(spark, sf_dir: str) -> DataFrame:
     """Pairs that no job has done or twice failed."""
     li = _read(spark, sf_dir, "lineitem")
-    jobs = li.filter("l_returnflag in ('R', 'A') and l_orderkey % 3 = 0").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("SUCCEEDED").alias("status"))
+    jobs = li.filter("l_returnflag in ('R', 'A')").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("SUCCEEDED").alias("status"))
     return network.new_pairs(li.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct(), jobs)
 
 
@@ -178,51 +178,58 @@ def triage(spark, sf_dir: str) -> DataFrame:
 
 @query(
     "j15_active_zones_per_day",
-    f"""WITH {_CALENDAR}, {PX_ZONES}, d AS (SELECT site, date, alarm_level, least(water_mm / 40.0, 1.0) AS m FROM calendar WHERE site = '1-URGENT')
-SELECT site, date, alarm_level, (CASE WHEN alarm_level IN ('WATCH', 'ALERT') THEN (SELECT count(*) FROM px_zones WHERE m_star <= d.m) ELSE 0 END)::BIGINT AS n_active FROM d""",
+    f"""WITH {_CALENDAR}, {PX_ZONES}, d AS (SELECT site, date, alarm_level, least(water_mm / 40.0, 1.0) AS m FROM calendar),
+n AS (SELECT d.site, d.date, count(z.zone) AS n FROM d LEFT JOIN px_zones z ON z.site = d.site AND z.m_star <= d.m GROUP BY 1, 2)
+SELECT d.site, d.date, alarm_level, (CASE WHEN alarm_level IN ('WATCH', 'ALERT') THEN n ELSE 0 END)::BIGINT AS n_active
+FROM d JOIN n ON n.site = d.site AND n.date = d.date""",
 )
 def active(spark, sf_dir: str) -> DataFrame:
-    """Zones that the day's wetness activates, by one running count."""
-    days = calendar(spark, sf_dir).filter("site = '1-URGENT'").withColumn("saturation", F.least(F.col("water_mm") / 40.0, F.lit(1.0)))
-    z = px_zones(spark, sf_dir).select(F.lit("1-URGENT").alias("site"), F.col("m_star").alias("m_star_eff"))
+    """Zones of each site that the day's wetness activates, by running counts."""
+    days = calendar(spark, sf_dir).withColumn("saturation", F.least(F.col("water_mm") / 40.0, F.lit(1.0)))
+    z = px_zones(spark, sf_dir).select("site", F.col("m_star").alias("m_star_eff"))
     return zones.active_per_day(z, days, ["site"]).select("site", "date", "alarm_level", "n_active")
 
 
 # -- polygons, routes, epochs ---------------------------------------------------------------------
 
-#: Regions as rectangles and one concave polygon, from the nations' keys.
-_NATION = "(n_nationkey % 5) * 0.2 + 75.0"
-
 
 def _rings(spark, sf_dir: str) -> DataFrame:
-    x, y = (F.col("n_nationkey") % 5) * 0.2 + 75.0, F.floor(F.col("n_nationkey") / 5) * 0.2 + 33.0
+    """A concave region for each supplier."""
+    s = F.col("s_suppkey")
+    x, y = ((s * 6007) % 887).cast("double") / 887.0 + 75.0, ((s * 7013) % 883).cast("double") / 883.0 + 33.0
     at = lambda a, b: F.struct((x + a).alias("lon"), (y + b).alias("lat"))
-    return _read(spark, sf_dir, "nation").select("n_nationkey", F.lit(0).alias("ring"), F.array(at(0.0, 0.0), at(0.18, 0.0), at(0.18, 0.18), at(0.09, 0.05), at(0.0, 0.18)).alias("vertices"))
+    vertices = F.array(at(0.0, 0.0), at(0.18, 0.0), at(0.18, 0.18), at(0.09, 0.05), at(0.0, 0.18))
+    return _read(spark, sf_dir, "supplier").select(s.alias("region"), F.lit(0).alias("ring"), vertices.alias("vertices"))
 
 
-_EDGES = """pl AS (SELECT n_nationkey, (n_nationkey % 5) * 0.2::DOUBLE + 75.0 AS x, (n_nationkey // 5) * 0.2::DOUBLE + 33.0 AS y FROM nation),
-ed AS (SELECT n_nationkey, x + unnest([0.0, 0.18, 0.18, 0.09, 0.0]::DOUBLE[]) AS x1, y + unnest([0.0, 0.0, 0.18, 0.05, 0.18]::DOUBLE[]) AS y1, x + unnest([0.18, 0.18, 0.09, 0.0, 0.0]::DOUBLE[]) AS x2, y + unnest([0.0, 0.18, 0.05, 0.18, 0.0]::DOUBLE[]) AS y2 FROM pl)"""
+_EDGES = """pl AS (
+  SELECT s_suppkey AS region, ((s_suppkey * 6007) % 887)::DOUBLE / 887.0 + 75.0 AS x, ((s_suppkey * 7013) % 883)::DOUBLE / 883.0 + 33.0 AS y FROM supplier),
+ed AS (
+  SELECT region, x + unnest([0.0, 0.18, 0.18, 0.09, 0.0]::DOUBLE[]) AS x1, y + unnest([0.0, 0.0, 0.18, 0.05, 0.18]::DOUBLE[]) AS y1,
+         x + unnest([0.18, 0.18, 0.09, 0.0, 0.0]::DOUBLE[]) AS x2, y + unnest([0.0, 0.18, 0.05, 0.18, 0.0]::DOUBLE[]) AS y2 FROM pl)"""
+#: A point whose latitude an edge spans is left of the edge if it lies on that side in the direction of growing latitude.
+_LEFT = "((y1 > lat) <> (y2 > lat)) AND sign(y2 - y1) * ((x2 - x1) * (lat - y1) - (lon - x1) * (y2 - y1)) > 0"
 
 
-@query("f04_point_in_polygon", f"WITH {PX_POINTS}, {_EDGES} SELECT n_nationkey, point FROM px_points, ed WHERE ((y1 > lat) <> (y2 > lat)) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1 + 1e-30) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1")
+@query("f04_point_in_polygon", f"WITH {PX_POINTS}, {_EDGES} SELECT region, point FROM px_points, ed WHERE {_LEFT} GROUP BY 1, 2 HAVING count(*) % 2 = 1")
 def inside(spark, sf_dir: str) -> DataFrame:
     """places inside polygons."""
-    edges = exposure.polygon_edges(_rings(spark, sf_dir), ["n_nationkey"])
-    return exposure.points_in_polygons(px_points(spark, sf_dir), edges, ["n_nationkey"], "point")
+    edges = exposure.polygon_edges(_rings(spark, sf_dir), ["region"])
+    return exposure.points_in_polygons(px_points(spark, sf_dir), edges, ["region"], "point")
 
 
-@query("a34_polygon_stats", f"WITH {PX_POINTS}, {_EDGES}, i AS (SELECT n_nationkey, point FROM px_points, ed WHERE ((y1 > lat) <> (y2 > lat)) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1 + 1e-30) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1) SELECT n_nationkey, count(*) AS n, count(*) FILTER (label = 1) AS n_events, round(median(score), 6) AS median_score, CASE WHEN count(*) FILTER (label = 1) * 2 > count(*) THEN 'high' ELSE 'low' END AS verdict FROM i JOIN px_points USING (point) GROUP BY 1")
+@query("a34_polygon_stats", f"WITH {PX_POINTS}, {_EDGES}, i AS (SELECT region, point FROM px_points, ed WHERE {_LEFT} GROUP BY 1, 2 HAVING count(*) % 2 = 1) SELECT region, count(*) AS n, count(*) FILTER (label = 1) AS n_events, round(median(score), 6) AS median_score, CASE WHEN count(*) FILTER (label = 1) * 2 > count(*) THEN 'high' ELSE 'low' END AS verdict FROM i JOIN px_points USING (point) GROUP BY 1")
 def polygon_stats(spark, sf_dir: str) -> DataFrame:
     """Statistics and a verdict for each polygon."""
     met = inside(spark, sf_dir).join(px_points(spark, sf_dir), "point")
     n = F.count_if(F.col("label") == 1)
-    return met.groupBy("n_nationkey").agg(F.count("*").alias("n"), n.alias("n_events"), F.round(F.median("score"), 6).alias("median_score"), F.when(n * 2 > F.count("*"), "high").otherwise("low").alias("verdict"))
+    return met.groupBy("region").agg(F.count("*").alias("n"), n.alias("n_events"), F.round(F.median("score"), 6).alias("median_score"), F.when(n * 2 > F.count("*"), "high").otherwise("low").alias("verdict"))
 
 
-@query("s10_bounding_boxes", f"WITH {_EDGES} SELECT n_nationkey, round(min(x1) - 0.01, 6) AS lon0, round(min(y1) - 0.01, 6) AS lat0, round(max(x1) + 0.01, 6) AS lon1, round(max(y1) + 0.01, 6) AS lat1 FROM ed GROUP BY 1")
+@query("s10_bounding_boxes", f"WITH {_EDGES} SELECT region, round(min(x1) - 0.01, 6) AS lon0, round(min(y1) - 0.01, 6) AS lat0, round(max(x1) + 0.01, 6) AS lon1, round(max(y1) + 0.01, 6) AS lat1 FROM ed GROUP BY 1")
 def boxes(spark, sf_dir: str) -> DataFrame:
     """Boxes of polygons with a margin."""
-    return exposure.bounding_boxes(_rings(spark, sf_dir), ["n_nationkey"], 0.01).withColumns(r6("lon0", "lat0", "lon1", "lat1"))
+    return exposure.bounding_boxes(_rings(spark, sf_dir), ["region"], 0.01).withColumns(r6("lon0", "lat0", "lon1", "lat1"))
 
 
 def _route(spark, sf_dir: str) -> DataFrame:
@@ -300,13 +307,17 @@ def failures(spark, sf_dir: str) -> DataFrame:
 
 @query("a24_pattern_inversion")
 def inverted(spark, sf_dir: str) -> DataFrame:
-    """Vectors as observations of ten pairs of six dates, some missing, solved by pattern."""
-    from datetime import date
-
-    dates = [date(2024, 1, 1 + 12 * i) if i < 3 else date(2024, 2, 1 + 12 * (i - 3)) for i in range(5)]
-    net = inversion.Network([(f"p{i}{j}", dates[i], dates[j]) for i in range(5) for j in range(i + 1, 5)])
-    obs = F.transform(F.slice("embedding", 1, 10), lambda x, i: F.when(F.pmod(F.col("vec_id") * 7 + i * 3, F.lit(8)) != 0, x.cast("double") / 100))
-    out = inversion.invert(_read(spark, sf_dir, "embeddings").select("vec_id", obs.alias("obs")), net, ["vec_id"], 5)
+    """Whole vectors as observations of pairs of dates, some missing, solved by pattern."""
+    from datetime import date, timedelta
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    n = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    n_dates = next(k for k in range(3, n + 4) if k * (k - 1) // 2 >= n)
+    dates = [date(2024, 1, 1) + timedelta(days=12 * i) for i in range(n_dates)]
+    pairs = [(f"p{i}_{j}", dates[i], dates[j]) for i in range(n_dates) for j in range(i + 1, n_dates)]
+    net = inversion.Network(pairs[: max(n, 2)])
+    obs = F.transform("embedding", lambda x, i: F.when(F.pmod(F.col("vec_id") * 7 + i * 3, F.lit(8)) != 0, x.cast("double") / 100))
+    out = inversion.invert(vectors.select("vec_id", obs.alias("obs")), net, ["vec_id"], n_dates)
     return out.select("vec_id", F.transform("disp", lambda x: F.round(x, 9)).alias("disp"), F.round("velocity", 9).alias("velocity"), F.round("gamma", 6).alias("gamma"))
 
 
@@ -394,10 +405,11 @@ def semi(spark, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select("c_custkey").join(u, "c_custkey", "left_semi")
 
 
-@query("f01_keep_products", f"WITH {PX_PAIRS} SELECT stack, product FROM px_pairs WHERE decision = 'KEEP' AND stack < 20")
+@query("f01_keep_products", f"WITH {PX_PAIRS} SELECT stack, product, row_number() OVER (PARTITION BY stack ORDER BY product)::INT AS place FROM px_pairs WHERE decision = 'KEEP'")
 def kept(spark, sf_dir: str) -> DataFrame:
-    """kept products of some stacks."""
-    return px_pairs(spark, sf_dir).filter("decision = 'KEEP' and stack < 20").select("stack", "product")
+    """kept products of each stack, in order."""
+    place = F.row_number().over(Window.partitionBy("stack").orderBy("product"))
+    return px_pairs(spark, sf_dir).filter("decision = 'KEEP'").select("stack", "product", place.alias("place"))
 
 
 @query("u06_extents", "WITH g AS (SELECT l_suppkey % 50 AS stack, l_orderkey % 40 AS x, l_partkey % 30 AS y, l_quantity AS w FROM lineitem) SELECT stack, max(x)::DOUBLE AS left, max(y)::DOUBLE AS bottom, min(x + 40 + w)::DOUBLE AS right, min(y + 30 + w)::DOUBLE AS top FROM g GROUP BY 1")

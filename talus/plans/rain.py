@@ -76,13 +76,24 @@ def sweep(spark, sf_dir: str) -> DataFrame:
     return O.threshold_sweep(calendar(spark, sf_dir), BY, [0.5, 0.8, 1.0, 1.15, 2.0]).withColumns(r6("pct_days"))
 
 
-def big_orders(spark, sf_dir: str) -> DataFrame:
-    """Dated events: the days of a site's very large orders."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.col("o_orderkey") % 97 == 0)
-    return o.select(F.col("o_orderpriority").alias("site"), F.to_date("o_orderdate").alias("event_date")).distinct()
+#: An order of so many times its site's mean price is an event.
+LARGE = 1.97
 
 
-_EVENTS = "ev AS (SELECT DISTINCT o_orderpriority AS site, CAST(o_orderdate AS DATE) AS event_date FROM orders WHERE o_orderkey % 97 = 0)"
+def big_orders(spark, sf_dir: str) -> DataFrame:
+    """Dated events: the days of a site's very large orders."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("site"), F.to_date("o_orderdate").alias("event_date"), cents.alias("cents"))
+    mean = o.groupBy("site").agg((F.sum("cents").cast("double") / F.count("cents")).alias("mean"))
+    return o.join(mean, "site").filter(F.col("cents").cast("double") > LARGE * F.col("mean")).select("site", "event_date").distinct()
+
+
+_EVENTS = f"""big AS (
+  SELECT o_orderpriority AS site, CAST(o_orderdate AS DATE) AS event_date, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+ev AS (
+  SELECT DISTINCT big.site, event_date
+  FROM big JOIN (SELECT site, sum(cents)::BIGINT::DOUBLE / count(cents) AS mean FROM big GROUP BY site) m ON m.site = big.site
+  WHERE cents::DOUBLE > {LARGE}::DOUBLE * mean)"""
 _NEAR = lambda cond, name: f"SELECT e.site, e.event_date, min(abs(date_diff('day', c.date, e.event_date)))::INT AS {name} FROM ev e LEFT JOIN calendar c ON c.site = e.site AND {cond} GROUP BY 1, 2"
 
 

@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The sites of the daily series.
+SITES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
 def _cents(column: str):
     return F.round(F.col(column) * 100).cast("long")
 
@@ -56,8 +60,9 @@ px_burst AS (SELECT b.site, make_timestamp(slot * 1000000) AS ts, cents * 2.0::D
 
 
 def px_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixel tables of three stacks (the return flags) of 60 x 50 cells, with layers from integer sums."""
-    cell = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("stack"), (F.col("l_orderkey") % 60).cast("int").alias("row"), (F.col("l_partkey") % 50).cast("int").alias("col"))
+    """Pixel tables of 60 x 50 cells, three stacks (the return flags) for every fifty suppliers, with layers from integer sums."""
+    stack = F.concat("l_returnflag", F.lit("-"), F.floor(F.col("l_suppkey") / 50).cast("long").cast("string"))
+    cell = _table(spark, sf_dir, "lineitem").groupBy(stack.alias("stack"), (F.col("l_orderkey") % 60).cast("int").alias("row"), (F.col("l_partkey") % 50).cast("int").alias("col"))
     g = cell.agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("q"), F.sum(_cents("l_extendedprice")).alias("p"), F.sum(_cents("l_discount")).alias("d"))
     part = lambda c, m: (F.col(c) % m).cast("double") / F.lit(float(m))
     known = F.when(F.col("p") % 11 != 0, F.lit(1.0))
@@ -69,7 +74,7 @@ def px_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PX_PIXELS = """
-px_g AS (SELECT l_returnflag AS stack, (l_orderkey % 60)::INT AS row, (l_partkey % 50)::INT AS col, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS q,
+px_g AS (SELECT l_returnflag || '-' || (l_suppkey // 50)::VARCHAR AS stack, (l_orderkey % 60)::INT AS row, (l_partkey % 50)::INT AS col, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS q,
          sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS p, sum(CAST(round(l_discount * 100) AS BIGINT))::BIGINT AS d FROM lineitem GROUP BY 1, 2, 3),
 px_pixels AS (
   SELECT stack, row, col, n, CASE WHEN p % 11 <> 0 THEN 0.2::DOUBLE + 0.8::DOUBLE * ((p % 997)::DOUBLE / 997.0::DOUBLE) END AS coh, 6.0::DOUBLE * ((q % 31)::DOUBLE / 31.0::DOUBLE) - 3.0::DOUBLE AS phase,
@@ -94,11 +99,11 @@ px_points AS (SELECT c_custkey AS point, 75.0::DOUBLE + ((c_custkey * 7919) % 10
 
 
 def px_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alert zones of three looks."""
+    """Alert zones of three looks, each of the site of its nation."""
     s = F.col("s_suppkey")
     part = lambda a, m: ((s * a) % m).cast("double") / F.lit(float(m))
     return _table(spark, sf_dir, "supplier").select(
-        s.alias("zone"), F.concat(F.lit("look"), (s % 3).cast("string")).alias("stack"), (F.lit(75.0) + part(7919, 401)).alias("lon"), (F.lit(33.0) + part(104729, 409)).alias("lat"),
+        s.alias("zone"), F.element_at(F.array(*map(F.lit, SITES)), (F.col("s_nationkey") % 5 + 1).cast("int")).alias("site"), F.concat(F.lit("look"), (s % 3).cast("string")).alias("stack"), (F.lit(75.0) + part(7919, 401)).alias("lon"), (F.lit(33.0) + part(104729, 409)).alias("lat"),
         F.when(s % 7 == 0, "CRITICAL").otherwise("HIGH").alias("severity"), (0.4 + 0.6 * part(31, 97)).alias("mean_fs"), (-10.0 - 60.0 * part(37, 101)).alias("velocity"),
         (0.01 + 0.2 * part(41, 103)).alias("area_km2"), (s % 5 == 0).alias("llof"), part(43, 107).alias("m_star"), (0.05 + 0.9 * part(47, 109)).alias("p"), (4.0 + 9.0 * part(53, 113)).alias("twi"),
     )
@@ -109,28 +114,28 @@ def _part(a: int, m: int) -> str:
 
 
 PX_ZONES = f"""
-px_zones AS (SELECT s_suppkey AS zone, 'look' || (s_suppkey % 3)::VARCHAR AS stack, 75.0::DOUBLE + {_part(7919, 401)} AS lon, 33.0::DOUBLE + {_part(104729, 409)} AS lat,
+px_zones AS (SELECT s_suppkey AS zone, {list(SITES)}[s_nationkey % 5 + 1] AS site, 'look' || (s_suppkey % 3)::VARCHAR AS stack, 75.0::DOUBLE + {_part(7919, 401)} AS lon, 33.0::DOUBLE + {_part(104729, 409)} AS lat,
   CASE WHEN s_suppkey % 7 = 0 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 0.4::DOUBLE + 0.6::DOUBLE * ({_part(31, 97)}) AS mean_fs, -10.0::DOUBLE - 60.0::DOUBLE * ({_part(37, 101)}) AS velocity,
   0.01::DOUBLE + 0.2::DOUBLE * ({_part(41, 103)}) AS area_km2, s_suppkey % 5 = 0 AS llof, {_part(43, 107)} AS m_star, 0.05::DOUBLE + 0.9::DOUBLE * ({_part(47, 109)}) AS p, 4.0::DOUBLE + 9.0::DOUBLE * ({_part(53, 113)}) AS twi FROM supplier)"""
 
 
 def px_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image pairs: each user's neighbouring purchases, with measures and decisions; a stack for each user modulo 40."""
-    e = _table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    """Image pairs: each user's neighbouring events, with measures and decisions; a stack for each user."""
+    e = _table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     p = e.select("user_id", F.col("event_id").alias("ref"), F.lead("event_id").over(w).alias("sec")).filter("sec is not null")
     i = F.col("ref")
     part = lambda a, m: ((i * a) % m).cast("double") / F.lit(float(m))
     return p.select(
-        (F.col("user_id") % 40).alias("stack"), F.concat(F.lit("P"), i.cast("string"), F.lit("_"), F.col("sec").cast("string")).alias("product"), (i % 60).alias("ref"), (F.col("sec") % 60).alias("sec"),
+        F.col("user_id").alias("stack"), F.concat(F.lit("P"), i.cast("string"), F.lit("_"), F.col("sec").cast("string")).alias("product"), (i % 60).alias("ref"), (F.col("sec") % 60).alias("sec"),
         F.when(i % 3 == 0, "KEEP").when(i % 3 == 1, "CONCERN").otherwise("QUARANTINE").alias("decision"), F.when(i % 10 != 0, part(31, 97)).alias("r2"), (0.5 + 0.5 * part(37, 101)).alias("coherence"),
         F.when(i % 12 != 0, 100.0 * part(41, 103)).alias("pct"), F.lit(None).cast("double").alias("bperp"), F.when(i % 21 == 0, "RESCUED_FOR_CONNECTIVITY (was CONCERN)").otherwise("").alias("reasons"),
     )
 
 
 PX_PAIRS = """
-px_w AS (SELECT user_id, event_id AS ref, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sec FROM events WHERE event_type = 'purchase'),
+px_w AS (SELECT user_id, event_id AS ref, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sec FROM events),
 px_pairs AS (
-  SELECT user_id % 40 AS stack, 'P' || ref || '_' || sec AS product, ref % 60 AS ref, sec % 60 AS sec,
+  SELECT user_id AS stack, 'P' || ref || '_' || sec AS product, ref % 60 AS ref, sec % 60 AS sec,
          CASE WHEN px_w.ref % 3 = 0 THEN 'KEEP' WHEN px_w.ref % 3 = 1 THEN 'CONCERN' ELSE 'QUARANTINE' END AS decision
   FROM px_w WHERE sec IS NOT NULL)"""
