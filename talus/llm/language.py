@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-N-grams of one to three bytes of the lower-cased text, with all but letters made
-spaces, are hashed to buckets. Document frequencies are counted over all rows that may
+N-grams of one to three characters (code points) of the lower-cased text, with each run of
+other characters than letters made one space, are hashed to buckets. Document frequencies are counted over all rows that may
 be learned from. Weights are trained with follow-the-regularised-leader and an
 elastic-net penalty on a bounded sample, and a temperature fitted on a part of the sample that
 was not trained on turns them into probabilities.
@@ -14,30 +14,37 @@ long texts are read whole; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import bounded, byte_views, fold
+from talus.llm.common import fold
+from talus.llm.hashing import mixed
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 UNKNOWN = "und"
 
-_LETTERS = np.full(256, 32, np.uint32)
-for _c in range(256):
-    if _c >= 128 or chr(_c).isalpha():
-        _LETTERS[_c] = _c
 
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters, by Unicode."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
-def ngrams(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of a lower-cased text (UTF-8 bytes), and the count of each."""
-    b = _LETTERS[text]
-    two = b[:-1] << np.uint32(8) | b[1:]
-    three = two[:-1] << np.uint32(8) | b[2:]
-    codes = np.concatenate([b, two + np.uint32(1 << 16), three + np.uint32(1 << 25)])
-    counts = np.bincount(((codes * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64), minlength=BUCKETS)
+
+def ngrams(low: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of a lower-cased text, and the count of each."""
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(_letters()[c], c, np.uint32(32))
+    if len(c) > 1:
+        c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
+    one = mixed(c.astype(np.uint64) + np.uint64(1 << 32))
+    two = mixed(one[:-1] * np.uint64(3) + c[1:])
+    three = mixed(two[:-1] * np.uint64(3) + c[2:])
+    buckets = np.concatenate([one, two, three]) & np.uint64(BUCKETS - 1)
+    counts = np.bincount(buckets.astype(np.int64), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -59,7 +66,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
-            for text in byte_views(batch.column(0)):
+            for text in batch.column(0).to_pylist():
                 df[ngrams(text)[0]] += 1
                 df[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(df)], ["bucket", "n"])
@@ -118,12 +125,13 @@ def predict_language(docs: DataFrame, learn_from=None, max_sample: int = 4000, e
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [ngrams(x) for x in byte_views(batch.column(0))]
+            rows = [ngrams(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32()))], ["lang", "at", "n"])
 
     n_known = int(df[-1])
-    share = F.lit(True) if n_known <= max_sample else F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_sample / n_known))
-    sample = known.filter(share).orderBy(F.xxhash64("doc_id")).select("low", F.col("lang").cast("string").alias("lang")).mapInArrow(counted, "lang string, at array<int>, n array<int>").toPandas()
+    share = F.lit(True) if n_known <= max_sample else F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_sample / n_known))
+    # rows of equal doc_id, text and lang all fall in or out: they are one row of the sample
+    sample = known.filter(share).select("doc_id", "low", "lang").distinct().orderBy(F.xxhash64("doc_id", "low"), "lang").select("low", F.col("lang").cast("string").alias("lang")).mapInArrow(counted, "lang string, at array<int>, n array<int>").toPandas()
     names = sorted(sample["lang"].unique()) if len(sample) else []
     weights, heat = None, 1.0
     if names:
@@ -139,7 +147,7 @@ def predict_language(docs: DataFrame, learn_from=None, max_sample: int = 4000, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for text in byte_views(batch.column(1)):
+            for text in batch.column(1).to_pylist():
                 if text is None or weights is None:
                     langs.append(UNKNOWN)
                     scores.append(0.0)

@@ -41,9 +41,11 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
 )
 
-CUES = (b"licen", b"copyright", b"permission is", b"redistribut", b"all rights reserved", b"spdx")
-#: Characters before and after a cue that belong to its block.
-BEFORE, AFTER = 120, 420
+#: Where a block may be: words of a cue may stand on different lines, with signs between.
+CUES = r"licen|copyright|permission\W+is|redistribut|all\W+rights\W+reserved|spdx"
+_IN_TEXT, _IN_BYTES = re.compile(CUES), re.compile(CUES.encode())
+#: Characters around a match that are compressed with it.
+AROUND = 420
 _WORD = re.compile(r"[\w.+-]*\w")
 
 
@@ -59,17 +61,22 @@ class Found:
     differences: str
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Start and end of the stretches around cue words, in order; those that meet are joined."""
+def blocks(text: str, n_words: int) -> list[tuple[int, int]]:
+    """Start and end of the stretches of n words before and after cue words, in order; those that meet are joined."""
     low = text.lower()
     if len(low) != len(text):  # some letters have a longer lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    at = sorted(m.start() for cue in CUES for m in re.finditer(re.escape(cue.decode()), low))
+    at = [m.start() for m in _IN_TEXT.finditer(low)]
+    if not at:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in words]
     out: list[tuple[int, int]] = []
     for i in at:
-        start, end = max(0, i - BEFORE), min(len(text), i + AFTER)
+        k = bisect(starts, i)
+        start, end = min(i, starts[max(0, k - 1 - n_words)] if k else i), max(i, words[min(len(words), k + n_words) - 1][1])
         if out and start <= out[-1][1]:
-            out[-1] = out[-1][0], end
+            out[-1] = out[-1][0], max(end, out[-1][1])
         else:
             out.append((start, end))
     return out
@@ -91,6 +98,11 @@ class Scanner:
     def wordings(self) -> list[list[str]]:
         return [_WORD.findall(t) for _, t in self.templates]
 
+    @cached_property
+    def widest(self) -> int:
+        """Words that any template may stand for: a cue word in it is no farther from its ends."""
+        return max(ceil(1.5 * len(w)) + 2 for w in self.wordings)
+
     @cached_property
     def places(self) -> list[dict[str, int]]:
         """For each template the places of each of its words, as bits."""
@@ -102,7 +114,7 @@ class Scanner:
         return out
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("compressors", "wordings", "places")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("compressors", "wordings", "places", "widest")}
 
     def spans(self, template: int, given: list[str], low: int, high: int) -> list[tuple[int, int]]:
         """Stretches of given[low:high], apart from each other, that hold enough of the template's words in order.
@@ -147,7 +159,7 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[int, list[Found]]:
         """The number of candidate blocks, and the confirmed templates by bytes saved."""
-        found, stretches = [], blocks(text)
+        found, stretches = [], blocks(text, self.widest)
         for start, end in stretches:
             block = text[start:end]
             words = list(_WORD.finditer(block))
@@ -159,7 +171,7 @@ class Scanner:
                         for span in self.spans(t, given, low, high):
                             first, last, changes = self.aligned(t, given, span, low, high)
                             a, b = words[first].start(), words[last - 1].end()
-                            saved, alone = self.saving(t, block[max(0, a - AFTER) : b + AFTER])
+                            saved, alone = self.saving(t, block[max(0, a - AROUND) : b + AROUND])
                             matches.append((-saved, t, first, last, Found(self.templates[t][0], start + a, start + b, saved, saved / alone, changes)))
                 best = {m[2:4]: m[4] for m in sorted(matches, key=lambda m: m[:4], reverse=True)}  # the best of equal places is put last
                 taken = apart(m[2:4] for m in sorted(matches, key=lambda m: m[:4]))
@@ -203,7 +215,7 @@ def find_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
             counts, found = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 low = (text or b"").lower()
-                n, own = scanner.scan(text.decode()) if any(c in low for c in CUES) else (0, [])
+                n, own = scanner.scan(text.decode()) if _IN_BYTES.search(low) else (0, [])
                 counts.append(n)
                 found.append([vars(f) for f in own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], ["doc_id", "n_blocks", "found"])

@@ -17,9 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talus.llm.common import byte_views, fold, majority, stored
 
@@ -177,16 +179,29 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_on=None, shrink: flo
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all their columns, that score `least` or more; no shuffle of texts."""
-    model = fit_quality(document_statistics(docs), labels)
+    """The rows of `docs`, with all their columns, that score `least` or more; no shuffle of texts.
+
+    Rows are stored with their statistics, which are made once: the labelled ones among them
+    (all of their labels) fit the model, and all are scored by it, those that it was fitted on too.
+    """
     at = docs.columns.index("text")
+    name = next(c for c in ("stats", *(f"stats{i}" for i in range(len(docs.columns) + 1))) if c not in docs.columns)
+    kind, p = pa.list_(pa.float64()), len(STATISTICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in byte_views(batch.column(at))]).reshape(-1, len(STATISTICS))
-            yield batch.filter(pa.array(model.score(x) >= least))
+            rows = [statistics(t) for t in byte_views(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, name])
+
+    known = stored(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])), "quality-rows")
+    model = fit_quality(known.select("doc_id", F.col(name).alias("stats")), labels)
+
+    @F.pandas_udf(T.BooleanType())
+    def good(stats: pd.Series) -> pd.Series:
+        x = np.array(stats.to_list(), float).reshape(-1, p)
+        return pd.Series(model.score(x) >= least)
 
-    return docs.mapInArrow(run, docs.schema)
+    return known.filter(good(F.col(name))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A lexical transducer maps words to symbols: insults (with weights learned from t
 labels, over whole words and word beginnings), threats, targets, negations and
 reporting verbs. Small transducers for negation, reported speech and targets rewrite
 the symbols with what holds at each word; composed in a cascade, they end in one that
-emits the kind of match. A clause adds its weighted matches, and a logistic model over
-the sums of the clauses, learned from the labels, gives the score.
+emits the kind of match. A clause is of one kind and has one weight, however many words
+match in it, and a logistic model over the weights of the clauses by kind, learned from the
+labels, gives the score.
 
 Edge cases: a null text counts as empty; texts without any match get the score of no
 match; repeated rows are scored each; without labels of both classes the grammar has
@@ -28,15 +29,34 @@ from talus.llm.common import bounded, fold, majority
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "insult", "threat", "target", "negation", "report", "other"
 
-#: Words of the fixed classes, in the languages served; insults are learned.
+#: Verbs of threats, in the languages served (they are inflected by rule), and forms that the rules do not make.
+THREAT_VERBS = {
+    "en": "kill hurt destroy beat punch stab shoot murder strangle smash",
+    "de": "töten schlagen umbringen verletzen erschießen zerstören",
+    "fr": "tuer frapper détruire poignarder",
+    "es": "matar golpear destruir apuñalar",
+}
+IRREGULAR = "beaten shot schlägst schlägt schlug bringe bringst bringt erschoss détruis détruit destruye destruyo"
+#: Words of the other fixed classes; insults are learned.
 FIXED_WORDS = {
-    THREAT: "kill hurt destroy beat punch stab shoot murder töten schlagen umbringen verletzen tuer frapper détruire matar golpear destruir",
     TARGET: "you your yourself he she they him her them people du dich ihr euch sie er tu toi vous ils elles tú usted ustedes ellos",
     NEGATION: "not no never neither nor nobody without nicht kein keine nie niemals ohne ne pas jamais sans nunca jamás sin tampoco",
     REPORT: "said says say wrote writes claimed claims reported quoted called sagte sagt schrieb behauptet dit écrit affirme prétend dijo dice escribió afirma",
 }
+
+
+def inflected(verb: str, language: str) -> set[str]:
+    """The regular forms of a verb."""
+    if language == "en":
+        stem = verb.removesuffix("e")
+        doubled = verb + verb[-1] if verb[-1] in "bpt" and verb[-2] in "aeiou" and verb[-3] not in "aeiou" else stem
+        return {verb, verb + "s", verb + "es", stem + "ed", stem + "ing", doubled + "ed", doubled + "ing", stem + "er"}
+    cut, endings = {"de": (2, "e st est t et en te test tet ten end"), "fr": (2, "e es ons ez ent er ir re é ée és ai as a ait"), "es": (2, "o as a amos an ar ir é aste ó aron ando ado aré")}[language]
+    return {verb} | {verb[:-cut] + e for e in endings.split()}
+
+
 #: What the last transducer emits.
-KINDS = ("plain", "targeted", "negated", "reported", "threat")
+KINDS = ("threat", "targeted", "plain", "reported", "negated")
 
 _WORD = re.compile(r"\w+")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
@@ -67,7 +87,7 @@ def _match(state: int, x: tuple) -> tuple[int, tuple]:
     """Emits the kind of each match; a threat counts once a target follows within four words."""
     if x[0] == INSULT:
         kind = "negated" if "negated" in x else "reported" if "reported" in x else "targeted" if "targeted" in x else "plain"
-        return state, (kind,)
+        return max(state - 1, 0), (kind,)
     if x[0] == THREAT and "negated" not in x:
         return 4, ()
     if x[0] == TARGET and state:
@@ -81,15 +101,19 @@ class Cascade:
     def __init__(self, *machines: Machine) -> None:
         self.machines = machines
         self.states = {(0,) * len(machines): 0}
+        self.tuples = [*self.states]
         self.arcs: dict[tuple[int, str], tuple[int, tuple]] = {}
 
     def step(self, state: int, symbol: str) -> tuple[int, tuple]:
         if (arc := self.arcs.get((state, symbol))) is None:
-            now, x, after = next(k for k, v in self.states.items() if v == state), (symbol,), []
+            now, x, after = self.tuples[state], (symbol,), []
             for machine, s in zip(self.machines, now, strict=True):
                 s, x = machine(s, x)
                 after.append(s)
-            arc = self.arcs[state, symbol] = self.states.setdefault(tuple(after), len(self.states)), x
+            if (to := tuple(after)) not in self.states:
+                self.states[to] = len(self.tuples)
+                self.tuples.append(to)
+            arc = self.arcs[state, symbol] = self.states[to], x
         return arc
 
 
@@ -99,10 +123,11 @@ class Grammar:
     def __init__(self, insults: dict[str, float]) -> None:
         """insults: weight of each whole word, or of each beginning of a word if it ends in `*`."""
         self.insults = insults
-        self.fixed = {w: c for c, ws in FIXED_WORDS.items() for w in ws.split()}
+        self.fixed = {f: THREAT for k, verbs in THREAT_VERBS.items() for v in verbs.split() for f in inflected(v, k)}
+        self.fixed |= dict.fromkeys(IRREGULAR.split(), THREAT) | {w: c for c, ws in FIXED_WORDS.items() for w in ws.split()}
         self.lengths = sorted({len(k) - 1 for k in insults if k.endswith("*")}, reverse=True)
         self.cascade = Cascade(_negation, _reported, _target, _match)
-        triggers = [re.escape(k[:-1]) if k.endswith("*") else re.escape(k) + r"\b" for k in insults] + [w + r"\b" for w, c in self.fixed.items() if c == THREAT]
+        triggers = [re.escape(k[:-1]) if k.endswith("*") else re.escape(k) + r"\b" for k in insults] + sorted({w[:4] for w, c in self.fixed.items() if c == THREAT})
         self.trigger = re.compile(rf"\b(?:{'|'.join(sorted(triggers))})")
 
     def symbol(self, word: str) -> tuple[str, float]:
@@ -122,26 +147,26 @@ class Grammar:
             yield start, end
             at = end
 
-    def weigh(self, clause: str) -> dict[str, float]:
-        """Weight of each kind of match in one clause."""
+    def weigh(self, clause: str) -> tuple[str, float] | None:
+        """What one clause is: the strongest of the kinds that its matches are of (the first of KINDS), and its largest weight; None without a match."""
         state, out = 0, {}
         for word in _WORD.findall(clause):
             symbol, weight = self.symbol(word)
             state, kinds = self.cascade.step(state, symbol)
             for k in kinds:
-                out[k] = out.get(k, 0.0) + weight
-        return out
+                out[k] = max(out.get(k, 0.0), weight)
+        return next(((k, out[k]) for k in KINDS if k in out), None)
 
     def features(self, text: str | None) -> list[float]:
-        """Sums over the clauses by kind, the largest clause, and matched clauses, each on a log scale."""
+        """Weights of the clauses added up by kind, the largest clause, and matched clauses, each on a log scale."""
         low = (text or "").lower()
         sums, most, matched = dict.fromkeys(KINDS, 0.0), 0.0, 0
         for start, end in self.clauses(low):
             if found := self.weigh(low[start:end]):
+                kind, weight = found
                 matched += 1
-                most = max(most, sum(found.values()))
-                for k, v in found.items():
-                    sums[k] += v
+                most = max(most, weight)
+                sums[kind] += weight
         return [*(np.log1p(sums[k]) for k in KINDS), np.log1p(most), np.log1p(1000.0 * matched / (len(low) + 200))]
 
 
@@ -217,7 +242,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_on=None, max_labell
     known = majority(labels, "toxic")
     if train_on is not None:
         known = known.filter(train_on)
-    sample = docs.join(bounded(known, "doc_id", max_labelled), "doc_id").dropDuplicates(["text"]).select("text", "label").persist()
+    sample = docs.join(bounded(known, "doc_id", max_labelled), "doc_id").groupBy("text").agg(F.when(F.avg("label") >= 0.5, 1.0).otherwise(0.0).alias("label")).persist()
     grammar = Grammar(learn_insults(sample, evidence, least_weight))
 
     def matches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +264,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_on=None, max_labell
         for frame in frames:
             x = np.array([grammar.features(t) for t in frame["text"]], float).reshape(-1, width)
             score = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -500, 500)))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": score, "insults": np.expm1(x[:, :4]).sum(axis=1), "threats": np.expm1(x[:, 4])})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": score, "insults": np.expm1(x[:, 1 : len(KINDS)]).sum(axis=1), "threats": np.expm1(x[:, 0])})
 
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, insults double, threats double")
 

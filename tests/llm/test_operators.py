@@ -1,6 +1,7 @@
 """Small fixtures with edge cases, and brute-force versions of what SQL does not express."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -81,15 +82,55 @@ def test_toxicity_learns_words_and_handles_edges(spark, empty):
 
 def test_toxicity_grammar_reads_clauses():
     g = toxicity.Grammar({"scum": 4.0, "lowei*": 3.0})
-    assert g.weigh("they are scum") == {"targeted": 4.0}
-    assert g.weigh("this is not really scum") == {"negated": 4.0}
-    assert g.weigh("it was said that all is scum") == {"reported": 4.0}
-    assert g.weigh("a loweischaft") == {"plain": 3.0}
-    assert g.weigh("i will kill you") == {"threat": 1.0}
-    assert g.weigh("i will not kill you") == {}
+    assert g.weigh("they are scum") == ("targeted", 4.0)
+    assert g.weigh("this is not really scum") == ("negated", 4.0)
+    assert g.weigh("it was said that all is scum") == ("reported", 4.0)
+    assert g.weigh("a loweischaft") == ("plain", 3.0)
+    assert g.weigh("scum loweischaft scum") == ("plain", 4.0)  # one clause, one weight
+    for threat in ("i will kill you", "he kills you", "they stabbed him", "she is strangling them", "er schlägt dich", "il frappe vous", "golpeó ustedes"):
+        assert g.weigh(threat) == ("threat", 1.0), threat
+    assert g.weigh("i will not kill you") is None and g.weigh("a killer whale") is None
     assert [*g.clauses("all fine. what scum, yes! good")] == [(9, 24)]
 
 
+def test_toxicity_takes_the_majority_of_labels(spark):
+    docs = spark.createDataFrame([(i, f"a text {i} ok" if i % 2 else f"number {i // 4} you scum of all") for i in range(160)], "doc_id long, text string")
+    seen = []
+    for order in (1, -1):
+        known = [(i, 1, int(i % 2 == 0 and i % 8 != 4)) for i in range(160)][::order]  # every other pair of copies is labelled 0 and 1: a tie
+        seen.append({r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels(spark, known)).collect()})
+    assert seen[0] == pytest.approx(seen[1]) and all((v > 0.5) == (i % 2 == 0) for i, v in seen[0].items())
+
+
+def test_toxicity_matches_a_plain_recount(spark):
+    """Features and scores from a reading of the texts clause by clause without the transducers."""
+    g = toxicity.Grammar({"scum": 4.0, "fool*": 3.0})
+    fixed = {w: k for k, ws in toxicity.FIXED_WORDS.items() for w in ws.split()}
+    threats = {f for k, vs in toxicity.THREAT_VERBS.items() for v in vs.split() for f in toxicity.inflected(v, k)} | set(toxicity.IRREGULAR.split())
+
+    def plain(text):
+        sums, most, n = dict.fromkeys(toxicity.KINDS, 0.0), 0.0, 0
+        for clause in re.split(r"[.!?;:\n]", text.lower()):
+            w, found = re.findall(r"\w+", clause), {}
+            for i, x in enumerate(w):
+                weight = 4.0 if x == "scum" else 3.0 if x.startswith("fool") else 0.0
+                before = lambda kind, k, i=i: any(fixed.get(y) == kind for y in w[max(0, i - k) : i])
+                if weight:
+                    kind = "negated" if before(toxicity.NEGATION, 3) else "reported" if before(toxicity.REPORT, 99) else "targeted" if before(toxicity.TARGET, 4) else "plain"
+                    found[kind] = max(found.get(kind, 0), weight)
+                if x in threats and not before(toxicity.NEGATION, 3) and any(fixed.get(y) == toxicity.TARGET for y in w[i + 1 : i + 5]):
+                    found["threat"] = 1.0
+            kind = next((k for k in toxicity.KINDS if k in found), None)
+            if kind:
+                n, most, sums[kind] = n + 1, max(most, found[kind]), sums[kind] + found[kind]
+        return [*(math.log1p(sums[k]) for k in toxicity.KINDS), math.log1p(most), math.log1p(1000.0 * n / (len(text) + 200))]
+
+    vocabulary = "scum fools you they not said kill stabbed table the a green . ! never him".split()
+    for i in range(300):
+        text = " ".join(random.Random(i).choices(vocabulary, k=40))
+        assert g.features(text) == pytest.approx(plain(text)), text
+
+
 def test_language_predicts_and_handles_edges(spark, empty):
     syllables = {"en": "the of and ing er", "de": "der die ung sch ä", "fr": "eau le é que oi"}
     rows = []
@@ -106,6 +147,60 @@ def test_language_predicts_and_handles_edges(spark, empty):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_ngrams_are_of_characters():
+    """Buckets hold as much as a plain count of n-grams of letters does, whatever the script."""
+    for text in ("der Große Fluß — naïve “words” 12 😀 ñandú", "привет, мир", "a", "--", "日本語 text"):
+        low = text.lower()
+        plain = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in low))
+        grams = [plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)]
+        at, counts = language.ngrams(low)
+        assert counts.sum() == len(grams) and len(at) <= len(set(grams))
+        assert len(at) >= 0.95 * len(set(grams))  # few share a bucket
+
+
+def test_language_model_matches_a_plain_one():
+    """Follow-the-regularised-leader coordinate by coordinate, and a temperature that lowers the log loss."""
+    r = np.random.default_rng(5)
+    alpha, l1, l2, model = 0.5, 0.02, 0.1, language.SparseSoftmax(3, 0.5, 0.02, 0.1)
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i, k: 0.0 if abs(z[i, k]) <= l1 else (math.copysign(l1, z[i, k]) - z[i, k]) / ((1 + math.sqrt(n[i, k])) / alpha + l2)
+    for _ in range(60):
+        at, x, y = np.sort(r.choice(40, 5, replace=False)), r.random(5), int(r.integers(3))
+        model.learn(at, x, y)
+        w = [[weight(i, k) for k in range(3)] for i in at]
+        e = [math.exp(sum(v * row[k] for v, row in zip(x, w, strict=True))) for k in range(3)]
+        for i, v, row in zip(at, x, w, strict=True):
+            for k in range(3):
+                g = v * (e[k] / sum(e) - (k == y))
+                z[i, k] += g - (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / alpha * row[k]
+                n[i, k] += g * g
+    got = model.weights(np.arange(40))
+    assert np.allclose(got, [[weight(i, k) for k in range(3)] for i in range(40)])
+    logits, gold = r.normal(size=(200, 3)) * 8, r.integers(3, size=200)
+    t = language.temperature(logits, gold)
+    loss = lambda t: -np.log(language.softmax(logits / t)[np.arange(200), gold] + 1e-12).mean()
+    assert t > 1 and loss(t) <= min(loss(1.0), loss(2.0))
+
+
+def test_quality_matches_a_plain_discriminant():
+    """Log-densities by determinants and solved systems of shrunk covariances."""
+    r = np.random.default_rng(9)
+    p = len(quality.STATISTICS)
+    x = {1.0: r.normal(size=(90, p)), 0.0: r.normal(size=(60, p)) * 1.7 + 0.4}
+    model = quality.Discriminant({k: (len(v), v.sum(axis=0), v.T @ v) for k, v in x.items()}, 0.3, 0.05)
+    both = np.vstack([*x.values()])
+    centre, scale = both.mean(axis=0), both.std(axis=0)
+    unit = {k: (v - centre) / scale for k, v in x.items()}
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in unit.values()) / len(both)
+    new, logs = r.normal(size=(20, p)), {}
+    for k, v in unit.items():
+        c = 0.7 * np.cov(v.T, bias=True) + 0.3 * pooled
+        c = 0.95 * c + 0.05 * np.trace(c) / p * np.eye(p)
+        away = (new - centre) / scale - v.mean(axis=0)
+        logs[k] = math.log(len(v) / len(both)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,ij->i", away, np.linalg.solve(c, away.T).T)
+    assert np.allclose(model.score(new), 1 / (1 + np.exp(logs[0.0] - logs[1.0])))
+
+
 # -- secrets --------------------------------------------------------------------------------
 
 
@@ -384,6 +479,31 @@ def test_mixing_keeps_the_budget(spark, empty):
     assert mixing.mix(empty, entropy_share=0.9).count() == 0
 
 
+def test_mixing_meets_low_targets_and_refuses_what_cannot_be(spark):
+    docs = table(spark, [(i, "a b c", "en", "big" if i % 3 else f"s{i % 4}") for i in range(120)])
+    share = {r.source: r["sum(n_tokens)"] / 360 for r in mixing.token_counts(docs).groupBy("source").sum("n_tokens").collect()}
+    out = {r.source: r.weight for r in mixing.mix(docs, entropy_share=0.2).select("source", "weight").distinct().collect()}
+    entropy = -sum(w * math.log(w) for w in out.values())
+    assert entropy == pytest.approx(0.2 * math.log(len(share)), abs=1e-4) and out["big"] > share["big"]
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_repetition=1.5, budget_tokens=5 * 360)
+    with pytest.raises(ValueError):
+        mixing.mix(table(spark, [(i, "a b", "en", f"s{i}") for i in range(4)]), entropy_share=0.5)  # equal shares stay equal
+
+
+def test_digest_matches_a_plain_count():
+    for text in ("", "ab", "abc", "the quick brown fox é" * 9, "x" * 5000):
+        b = text.encode()
+        counts = [0] * 256
+        for i in range(len(b) - 2):
+            counts[(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761) % 2**32) >> 24] += 1
+        cuts = [sorted(counts)[k] for k in (63, 127, 191)]
+        code = [sum(c > cut for cut in cuts) for c in counts]
+        digits = "".join(f"{code[i] << 6 | code[i + 1] << 4 | code[i + 2] << 2 | code[i + 3]:02x}" for i in range(0, 256, 4))
+        length = min(255, round(math.log1p(len(b)) / math.log(1.1)))
+        assert fingerprint.digest(np.frombuffer(b, np.uint8)) == f"{length:02x}" + digits
+
+
 def test_fingerprints_compare_with_the_next(spark, empty):
     rows = [x for x in edge_rows() if x[0] != 8] + [(i, " ".join(words(30 + i, i)) + "é", "en", "a") for i in range(10, 60)]
     got = {r.doc_id: r for r in fingerprint.compare_neighbours(table(spark, rows)).collect()}
@@ -438,6 +558,26 @@ def test_every_license_of_a_block_is_found():
     assert len(scanner.scan(long)[1]) == 500
 
 
+def test_planted_licenses_are_found_whole():
+    """Random wordings around planted templates, whole, one word a line behind a comment sign, or with some words changed."""
+    scanner = licenses.Scanner()
+    for seed in range(40):
+        r = random.Random(seed)
+        parts, want = [], []
+        for _ in range(r.randrange(1, 5)):
+            name, wording = r.choice(licenses.TEMPLATES)
+            w = wording.split()
+            for _ in range(len(w) // 12):
+                at = r.randrange(4, len(w))
+                w[at] = w[at] if "icen" in w[at] else "changed"  # cue words stay
+            parts += words(r.randrange(200), r.randrange(10**6)) + ["\n# ".join(w) if r.random() < 0.5 else " ".join(w)]
+            want.append(name)
+        text = " ".join(parts)
+        found = sorted(scanner.scan(text)[1], key=lambda f: f.start)
+        assert [f.license for f in found] == want, seed
+        assert all(bool(f.differences) == ("changed" in text[f.start : f.end]) for f in found)
+
+
 def test_folds_follow_crc32(spark):
     from talus.llm.common import fold
 
