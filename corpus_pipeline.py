@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import stored
+from talus.llm.common import released, stored
 from talus.llm.decontamination import decontaminated
-from talus.llm.mixing import mix
+from talus.llm.mixing import with_draws
 from talus.llm.neardup import near_duplicates
 from talus.llm.quality import accepted
 from talus.llm.secrets import without_secrets
@@ -40,10 +40,12 @@ def scrub_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are drawn, with how often and where in their source's permutation."""
-    drawn = mix(docs, entropy_share=0.98, max_repetition=4.0).filter("n_copies > 0").groupBy("doc_id").agg(F.max("n_copies").alias("n_copies"), F.min("slot").alias("slot"), F.first("weight").alias("weight"))
-    same = F.col("doc_id").eqNullSafe(F.col("drawn_id"))
-    return docs.drop("n_copies", "slot", "weight").join(drawn.withColumnRenamed("doc_id", "drawn_id"), same).drop("drawn_id")
+    """Documents that are drawn, with how often (n_copies), where in their source's permutation (slot), and its weight.
+
+    Rows of one doc_id with different texts are drawn each; rows that are equal in doc_id, source and
+    text are drawn alike, as often as the one drawn most. Columns of these three names are replaced.
+    """
+    return with_draws(docs.drop("n_copies", "slot", "weight"), entropy_share=0.98, max_repetition=4.0)
 
 
 STAGES = [
@@ -62,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents, each on what its predecessor kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with released(spark):  # what the stage stored on its way
+            kept = stage(spark, docs, sf_dir)
+            docs = stored(kept, f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

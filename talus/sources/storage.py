@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that `stored` wrote within `released`, one list for each that is open.
+_OPEN: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
@@ -15,16 +20,34 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="talus-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The folder is left to its owner, unless the call lies within `released` and does not say `keep`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Folders that `stored` writes within are deleted at the end; nothing that reads them may be used after it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in _OPEN.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
