@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
-
-@pandas_udf(DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """Cumulative normal distribution; null for null."""
-    out = pd.Series(np.full(len(x), np.nan), dtype="object")
-    known = x.notna().to_numpy()
-    out[known] = [0.5 * (1.0 + math.erf(v / math.sqrt(2.0))) for v in x.to_numpy(float)[known]]
-    return out.where(pd.Series(known), None).astype("Float64")
+
+#: Coefficients of Abramowitz and Stegun's formula 7.1.26 for the error function (fixed values).
+ERF_P = 0.3275911
+ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_cdf(x: Column) -> Column:
+    """Cumulative normal distribution, to 1e-7; null for null."""
+    z = F.abs(x) / F.lit(2.0**0.5)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * z)
+    poly = F.lit(ERF_A[-1])
+    for a in ERF_A[-2::-1]:
+        poly = poly * t + F.lit(a)
+    tail = poly * t * F.exp(-z * z) / F.lit(2.0)
+    return F.when(x >= 0, F.lit(1.0) - tail).otherwise(F.when(x.isNotNull(), tail))
+
+
+def normal_cdf_sql(x: str) -> str:
+    """The same in SQL."""
+    z = f"(abs({x}) / {2.0**0.5!r}::DOUBLE)"
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + {ERF_P}::DOUBLE * {z}))"
+    poly = f"{ERF_A[-1]}::DOUBLE"
+    for a in ERF_A[-2::-1]:
+        poly = f"({poly} * {t} + ({a}::DOUBLE))"
+    tail = f"({poly} * {t} * exp(-{z} * {z}) / 2.0::DOUBLE)"
+    return f"CASE WHEN {x} >= 0 THEN 1.0::DOUBLE - {tail} WHEN {x} IS NOT NULL THEN {tail} END"
 
 
 def creep_confidence(velocity: Column, sigma: Column, threshold: float = -15.0) -> Column:

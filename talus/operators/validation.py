@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.geo import haversine_km
+from talus.sources.storage import stored
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, cell_deg: float = 0.1) -> DataFrame:
@@ -36,7 +37,7 @@ def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str,
         best = met.groupBy(*by, point).agg(F.min(F.struct(F.col("_km").alias("km"), F.col("_zone").alias("zone"))).alias("_best"))
         last = ring >= reach
         sure = F.lit(True) if last else F.col("_best.km") <= 111.0 * size * F.cos(F.radians(F.least(F.abs("lat") + 2 * size, F.lit(89.9))))
-        joined = left.join(best, [*by, point], "left")
+        joined = stored(left.join(best, [*by, point], "left"), "nearest-ring")
         found = joined.filter(sure).select(*points.columns, F.col("_best.km").alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
         out = found if out is None else out.unionByName(found)
         if last:

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from talus.functions import geo
 from talus.functions import physics as P
 from talus.functions import rain as R
-from talus.functions.stats import normal_cdf
+from talus.functions.stats import normal_cdf, normal_cdf_sql
 from talus.operators import network, raster, tables, validation, zones
 from talus.operators import rain as O
 from talus.plans.pixels import _W, _ZONES, W, zone_pixels
-from talus.plans.places import _KM, BUFFERS, _distances, _read
+from talus.plans.places import _KM, BUFFERS, KM_SQL, _distances, _read
 from talus.plans.rain import _CALENDAR, _WATER, BY, calendar
 from talus.plans.registry import query, r6
 from talus.sources.files import json_payload
-from talus.sources.proxies import PX_DAILY, PX_PAIRS, PX_PIXELS, PX_ZONES, px_daily, px_pairs, px_pixels, px_points, px_zones
+from talus.sources.storage import stored
+from talus.sources.proxies import PX_DAILY, PX_PAIRS, PX_PIXELS, PX_POINTS, PX_ZONES, px_daily, px_pairs, px_pixels, px_points, px_zones
 
 #: Saturations at which alerts are drawn.
 SCENARIOS = {"dry": 0.0, "operational": 0.5, "watch": 0.7, "monsoon": 1.0}
@@ -200,7 +201,13 @@ def zone_gate(spark, sf_dir: str) -> DataFrame:
     return n.select("site", "zone", F.round("m_star", 6).alias("m_star"), F.round("m", 6).alias("m_star_eff"), "n_days")
 
 
-@query("m12_confidence_tiers")
+@query(
+    "m12_confidence_tiers",
+    f"""WITH {PX_ZONES}, x AS (SELECT floor((lon - 75.0) * 20) * 100 + floor((lat - 33.0) * 20) AS place, (-15.0::DOUBLE - velocity) / 8.0 AS x FROM px_zones),
+c AS (SELECT place, 1.0 - product(1.0 - p) AS confidence FROM (SELECT place, {normal_cdf_sql("x")} AS p FROM x) GROUP BY place),
+tau AS (SELECT unnest([0.0, 0.7, 0.9])::DOUBLE AS tau)
+SELECT tau, count(*) AS n_zones, round(avg(confidence), 6) AS mean_confidence FROM c, tau WHERE confidence >= tau GROUP BY tau""",
+)
 def tiers(spark, sf_dir: str) -> DataFrame:
     """Confidence of each zone, and how many zones are left at cuts of it."""
     z = px_zones(spark, sf_dir).withColumn("p", normal_cdf((F.lit(-15.0) - F.col("velocity")) / 8.0)).withColumn("place", F.floor((F.col("lon") - 75.0) * 20) * 100 + F.floor((F.col("lat") - 33.0) * 20))
@@ -208,15 +215,31 @@ def tiers(spark, sf_dir: str) -> DataFrame:
     return c.withColumn("tau", F.explode(F.array(F.lit(0.0), F.lit(0.7), F.lit(0.9)))).filter("confidence >= tau").groupBy("tau").agg(F.count("*").alias("n_zones"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query("m07_ablation_ladder")
+#: Masks of the ladder; each is an expression on the zones that Spark and SQL both read.
+RUNGS = {"all": "true", "steep": "mean_fs < 0.8", "fast": "velocity < -40", "both": "mean_fs < 0.8 AND velocity < -40"}
+_RUNGS = " UNION ALL ".join(f"SELECT '{name}' AS rung, zone, lon, lat FROM px_zones WHERE {mask}" for name, mask in RUNGS.items())
+
+
+@query(
+    "m07_ablation_ladder",
+    f"""WITH {PX_POINTS}, {PX_ZONES}, z AS ({_RUNGS}), r AS (SELECT DISTINCT rung FROM z), b AS (SELECT unnest({BUFFERS})::DOUBLE AS buffer_km),
+dist AS (SELECT rung, point, label, min({KM_SQL}) AS km FROM px_points p, z GROUP BY ALL),
+rate AS (
+  SELECT rung, buffer_km, avg(CASE WHEN km <= buffer_km THEN 1.0 ELSE 0.0 END) FILTER (label = 1) AS t, avg(CASE WHEN km <= buffer_km THEN 1.0 ELSE 0.0 END) FILTER (label = 0) AS f
+  FROM dist, b GROUP BY ALL),
+e AS (SELECT rung, f AS x, t AS y, buffer_km AS o FROM rate UNION ALL SELECT rung, 0.0, 0.0, -1.0 FROM r UNION ALL SELECT rung, 1.0, 1.0, 1e9 FROM r),
+l AS (SELECT rung, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM e WINDOW w AS (PARTITION BY rung ORDER BY x, o)),
+auc AS (SELECT rung, sum(a) AS auc FROM l GROUP BY rung),
+best AS (
+  SELECT rung, buffer_km, t / nullif(f, 0) AS lift, row_number() OVER (PARTITION BY rung ORDER BY t / nullif(f, 0) DESC NULLS LAST, buffer_km) AS k FROM rate)
+SELECT auc.rung, round(auc, 6) AS auc, buffer_km AS best_km, round(lift, 6) AS best_lift FROM auc JOIN best ON best.rung = auc.rung AND k = 1""",
+)
 def ladder(spark, sf_dir: str) -> DataFrame:
-    """Several masks scored by one protocol, each with its best buffer."""
-    z = px_zones(spark, sf_dir)
-    masks = {"all": F.lit(True), "steep": F.col("mean_fs") < 0.8, "fast": F.col("velocity") < -40, "both": (F.col("mean_fs") < 0.8) & (F.col("velocity") < -40)}
-    out = None
-    for name, mask in masks.items():
-        d = validation.nearest_zone(px_points(spark, sf_dir), z.filter(mask), [], "point", "zone").withColumn("rung", F.lit(name))
-        out = d if out is None else out.unionByName(d)
+    """Several masks scored by one protocol, each with its best buffer."""
+    z, points = px_zones(spark, sf_dir), px_points(spark, sf_dir)
+    rungs = F.explode(F.array(*(F.when(F.expr(mask), F.lit(name)) for name, mask in RUNGS.items())))
+    asked = points.withColumn("rung", F.explode(F.array(*map(F.lit, RUNGS))))
+    out = stored(validation.nearest_zone(asked, z.withColumn("rung", rungs).filter("rung is not null"), ["rung"], "point", "zone"), "ladder")
     rows = validation.distance_roc(out, ["rung"], BUFFERS, digits=None)
     best = tables.first_of(rows, ["rung"], [F.desc_nulls_last("lift"), F.col("buffer_km")]).select("rung", F.col("buffer_km").alias("best_km"), F.round("lift", 6).alias("best_lift"))
     return validation.roc_area(rows, ["rung"]).join(best, "rung").withColumns(r6("auc"))
@@ -250,7 +273,12 @@ def three_days(spark, sf_dir: str) -> DataFrame:
     return px_daily(spark, sf_dir).select("site", "date", F.round(F.sum(x).over(w), 6).alias("rain_72h"))
 
 
-@query("k04_payload")
+@query(
+    "k04_payload",
+    f"""WITH {PX_ZONES}, z AS (SELECT stack, zone, severity, round(velocity, 3) AS velocity FROM px_zones)
+SELECT stack, '{{"n_zones":' || count(*) || ',"n_critical":' || count(*) FILTER (severity = 'CRITICAL') || ',"rows":['
+  || string_agg('{{"zone":' || zone || ',"severity":"' || severity || '","velocity":' || velocity::VARCHAR || '}}', ',' ORDER BY zone) || ']}}' AS payload FROM z GROUP BY stack""",
+)
 def payload(spark, sf_dir: str) -> DataFrame:
     """A JSON text for each look, with a summary and its zones in order."""
     z = px_zones(spark, sf_dir).select("stack", "zone", "severity", F.round("velocity", 3).alias("velocity"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions import physics as P
-from talus.functions.stats import creep_confidence
+from talus.functions.stats import creep_confidence, normal_cdf_sql
 from talus.operators import audit, inversion, raster, zones
 from talus.plans.registry import query, r6
 from talus.sources.proxies import PX_PIXELS, px_pixels
@@ -117,7 +117,14 @@ def noise(spark, sf_dir: str) -> DataFrame:
     return audit.robust_noise(px_pixels(spark, sf_dir), BY, "velocity").withColumns(r6("sigma"))
 
 
-@query("p17_confidence")
+@query(
+    "p17_confidence",
+    f"""{W}, m AS (SELECT stack, median(velocity) AS m, count(velocity) AS nv FROM px_pixels GROUP BY stack),
+s AS (SELECT p.stack, CASE WHEN max(nv) >= 100 THEN median(abs(velocity - m)) * 1.4826 END AS sigma FROM px_pixels p JOIN m ON p.stack = m.stack GROUP BY p.stack),
+x AS (SELECT p.stack, row, col, CASE WHEN sigma <> 0 THEN (-15.0 - velocity) / sigma END AS x FROM px_pixels p JOIN s ON s.stack = p.stack),
+c AS (SELECT stack, row, col, {normal_cdf_sql("x")} AS c FROM x)
+SELECT stack, row, col, round(c, 6) AS confidence, CASE WHEN c >= 0.9 THEN 'CONFIRMED' WHEN c >= 0.7 THEN 'LIKELY' WHEN c IS NOT NULL THEN 'UNCERTAIN' END AS tier FROM c""",
+)
 def confidence(spark, sf_dir: str) -> DataFrame:
     """How sure each pixel's creep is, given its stack's noise, and the band of that."""
     px = px_pixels(spark, sf_dir)
@@ -190,7 +197,25 @@ def suction(spark, sf_dir: str) -> DataFrame:
     return px_pixels(spark, sf_dir).select("stack", "row", "col", F.round(P.cohesion(m, SOIL, SUCTION), 6).alias("cohesion"), F.round(P.cohesion_correction(m, SOIL, SUCTION), 6).alias("correction"), F.round(P.cohesion_sensitivity(F.col("slope_deg"), SOIL), 6).alias("sensitivity"))
 
 
-@query("p14_mstar_nonlinear")
+@query(
+    "p14_mstar_nonlinear",
+    f"""{W}, k AS (SELECT i, i / 1023.0::DOUBLE AS m FROM (SELECT unnest(range(1024)) AS i)),
+c AS (
+  SELECT i, m, 5.0::DOUBLE + CASE WHEN m <= 0 THEN 13.5 WHEN m >= 1 THEN 0.0
+    ELSE least(13.5::DOUBLE, pow(pow(m, {-1.0 / (1.0 - 1.0 / SUCTION.n)!r}::DOUBLE) - 1.0, {1.0 / SUCTION.n!r}::DOUBLE) / {SUCTION.alpha}::DOUBLE * m * tan(radians(36.0::DOUBLE))) END
+    - ((1.0 - m) * 18.5 + m * 5.0) AS correction FROM k),
+px AS (
+  SELECT stack, row, col, fs_dry, fs_sat, CASE WHEN 57.0::DOUBLE * sin(radians(slope_deg)) * cos(radians(slope_deg)) > 1e-6 AND slope_deg >= 2.0
+    THEN 1.0 / (57.0::DOUBLE * sin(radians(slope_deg)) * cos(radians(slope_deg))) ELSE 0.0 END AS s FROM px_pixels),
+fs AS (SELECT stack, row, col, i, (1.0 - m) * fs_dry + m * fs_sat + correction * s AS fs FROM px, c WHERE fs_sat < fs_dry),
+met AS (SELECT stack, row, col, min(i) AS i FROM fs WHERE fs < 1.0 GROUP BY ALL),
+ends AS (
+  SELECT met.stack, met.row, met.col, met.i, max(fs) FILTER (fs.i = met.i) AS f1, max(fs) FILTER (fs.i = met.i - 1) AS f0
+  FROM met JOIN fs ON fs.stack = met.stack AND fs.row = met.row AND fs.col = met.col AND fs.i BETWEEN met.i - 1 AND met.i GROUP BY ALL)
+SELECT px.stack, px.row, px.col, round(CASE WHEN fs_sat < fs_dry THEN CASE WHEN e.i IS NULL THEN 1.0 WHEN e.i = 0 THEN 0.0
+  ELSE least(greatest((e.i - 1 + (1.0 - f0) / (f1 - f0)) / 1023.0::DOUBLE, 0.0), 1.0) END END, 6) AS m_star
+FROM px LEFT JOIN ends e ON e.stack = px.stack AND e.row = px.row AND e.col = px.col""",
+)
 def mstar_suction(spark, sf_dir: str) -> DataFrame:
     """Critical saturation with suction, from 1024 points."""
     m = P.critical_saturation_suction(F.col("fs_dry"), F.col("fs_sat"), F.col("slope_deg"), SOIL, SUCTION)

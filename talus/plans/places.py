@@ -11,9 +11,12 @@ from talus.operators import exposure, inversion, network, tables, validation, zo
 from talus.operators.audit import differences
 from talus.plans.rain import _CALENDAR, calendar
 from talus.plans.registry import query, r6
+from talus.sources.storage import stored
 from talus.sources.proxies import PX_PAIRS, PX_POINTS, PX_ZONES, px_pairs, px_points, px_zones
 
 BUFFERS = [5.0, 10.0, 20.0, 30.0, 50.0]
+#: Kilometres between a place p and a zone z.
+KM_SQL = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(z.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(z.lat)) * pow(sin(radians(z.lon - p.lon) / 2), 2))))"
 
 
 def _read(spark, sf_dir: str, name: str) -> DataFrame:
@@ -124,7 +127,7 @@ def rank_auc(spark, sf_dir: str) -> DataFrame:
 @query("a15_bootstrap_ci")
 def bootstrap(spark, sf_dir: str) -> DataFrame:
     """Interval of the area by resampling, and how often shuffled labels do as well."""
-    d = _distances(spark, sf_dir)
+    d = stored(_distances(spark, sf_dir), "distances")
     auc = validation.roc_area(validation.distance_roc(d, [], BUFFERS, digits=None), []).first()["auc"]
     return validation.confidence_interval(validation.bootstrap(d, BUFFERS), auc).withColumn("auc", F.lit(auc))
 
