@@ -57,15 +57,18 @@ def nearest_edge(points: DataFrame, zones: DataFrame, point: str, radius: str) -
     sized = stored(sized.withColumn("_zone", F.monotonically_increasing_id()), "edge-zones")
     sizes = sized.select("_size").distinct()
     asked = points.select(point, "lon", "lat").join(F.broadcast(sizes))  # a row for each power of two of the radii
-    near = stored(nearest_zone(asked, sized, ["_size"], point, "_zone").withColumn("_reach", F.col("nearest_km") + F.pow(F.lit(2.0), "_size")), "edge-near")
-    # all middles within reach of a point, in cells of at least the largest reach of their class
-    reach = near.groupBy("_size").agg(F.max("_reach").alias("_most"))
-    deg = lambda km: F.greatest(km / 111.0 / F.lit(0.5), F.lit(1e-3))  # noqa: E731  a degree of longitude is half as long at most up to 60 degrees
-    keyed = lambda df: df.join(F.broadcast(reach), "_size").withColumns({"_x": F.floor(F.col("lon") / deg(F.col("_most"))), "_y": F.floor(F.col("lat") / deg(F.col("_most")))})
+    near = nearest_zone(asked, sized, ["_size"], point, "_zone").withColumn("_reach", F.col("nearest_km") + F.pow(F.lit(2.0), "_size"))
+    ring = F.greatest(F.ceil(F.log2("_reach")), F.lit(-6)).cast("int")
+    near = stored(near.withColumn("_ring", ring), "edge-near")
+    # all middles within reach of a point: cells are as large as the reach, which is dealt to powers of two too
+    rings = near.select("_size", "_ring").distinct()
+    deg = F.pow(F.lit(2.0), "_ring") / (111.0 * 0.5)  # a degree of longitude is half as long at least, up to 60 degrees
+    keyed = lambda df: df.withColumns({"_x": F.floor(F.col("lon") / deg), "_y": F.floor(F.col("lat") / deg)})
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    sent = keyed(sized).withColumn("_o", steps).select("_size", (F.col("_x") + F.col("_o.i")).alias("_x"), (F.col("_y") + F.col("_o.j")).alias("_y"), F.col("lon").alias("_zlon"), F.col("lat").alias("_zlat"), "_radius")
+    sent = keyed(sized.join(F.broadcast(rings), "_size")).withColumn("_o", steps)  # some dozens of rings at most
+    sent = sent.select("_size", "_ring", (F.col("_x") + F.col("_o.i")).alias("_x"), (F.col("_y") + F.col("_o.j")).alias("_y"), F.col("lon").alias("_zlon"), F.col("lat").alias("_zlat"), "_radius")
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("_zlon"), F.col("_zlat"))
-    return keyed(near).join(sent, ["_size", "_x", "_y"]).groupBy(point).agg(F.min(km - F.col("_radius")).alias("edge_km"))
+    return keyed(near).join(sent, ["_size", "_ring", "_x", "_y"]).groupBy(point).agg(F.min(km - F.col("_radius")).alias("edge_km"))
 
 
 def _rounded(x: Column, digits: int | None) -> Column:

@@ -34,15 +34,14 @@ def _fresh(spark) -> str:
 
 @query("t01_live_bursts", SQL["w05_burst_daily"])
 def live_bursts(spark, sf_dir: str) -> DataFrame:
-    """Bursts told by a stateful stream as steps arrive in four parts; each day's last telling."""
+    """Bursts told by a stateful stream as steps arrive in four parts; each day's last telling."""
     top = _fresh(spark)
     steps = px_burst(spark, sf_dir).select("site", "ts", "rate_mm_h")
-    tell = lambda batch, _: batch.write.mode("append").parquet(f"{top}/told")
     for _ in _arrivals(steps, "ts", 4, f"{top}/steps"):
         stream = spark.readStream.schema(S.STEPS).parquet(f"{top}/steps")
-        S.run_available(S.burst_stream(stream, A, B), f"{top}/checkpoint", "update", tell)
+        S.run_available(S.burst_stream(stream, A, B), f"{top}/checkpoint", "update", S.told_to(f"{top}/told"))
     told = spark.read.parquet(f"{top}/told")
-    last = told.groupBy("site", "date").agg(F.max_by(F.struct(*(c for c in told.columns if c not in ("site", "date"))), "n_steps").alias("r")).select("site", "date", "r.*")
+    last = told.groupBy("site", "date").agg(F.max_by(F.struct(*(c for c in told.columns if c not in ("site", "date"))), "batch").alias("r")).select("site", "date", "r.*")
     return last.select(
         "site", "date", F.col("n_steps").cast("long").alias("n_steps"), (F.col("n_steps") < 48).alias("provisional"), "total_mm", "max_e", R.alarm_level(F.col("max_e"), 3.0).alias("level"),
         "duration_h", "burst_mm", (F.col("burst_mm") / F.col("duration_h")).alias("peak_mmph"), "window_end",
@@ -65,8 +64,7 @@ def live_changes(spark, sf_dir: str) -> DataFrame:
     """Level changes told by a stream that keeps each site's last level."""
     top = _fresh(spark)
     days = calendar(spark, sf_dir).select("site", "date", "alarm_level")
-    tell = lambda batch, _: batch.write.mode("append").parquet(f"{top}/told")
     for _ in _arrivals(days, "date", 3, f"{top}/days"):
         stream = spark.readStream.schema("site string, date date, alarm_level string").parquet(f"{top}/days")
-        S.run_available(S.level_changes(stream), f"{top}/checkpoint", "append", tell)
+        S.run_available(S.level_changes(stream), f"{top}/checkpoint", "append", S.told_to(f"{top}/told"))
     return spark.read.parquet(f"{top}/told").select("site", "date", "alarm_level", "previous")

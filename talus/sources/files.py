@@ -115,16 +115,19 @@ def write_table(df: DataFrame, path: str, partition: list[str], mode: str = "ove
     df.write.mode(mode).partitionBy(*partition).parquet(path)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder at the path, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_new(new: DataFrame, path: str, key: list[str]) -> None:
     """Rows of `new` whose key the table does not have yet are appended to it; the table is made if there is none."""
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not table_exists(spark, path):
         new.dropDuplicates(key).write.parquet(path)
         return
+    old = spark.read.parquet(path)
     new.dropDuplicates(key).join(old.select(*key), key, "left_anti").write.mode("append").parquet(path)
 
 

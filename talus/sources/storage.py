@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders that `stored` wrote within `released`, one list for each that is open.
+#: Lists that take down the folders that `stored` writes, innermost last.
 _OPEN: list[list[str]] = []
 
 
@@ -27,27 +27,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors.
 
-    The folder is left to its owner, unless the call lies within `released` and does not say `keep`.
+    Within `recorded` the folder is taken down, so that `dropped` can delete it; else it is left to the folder's owner.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _OPEN and not keep:
+    if _OPEN:
         _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Folders that `stored` writes within are deleted at the end; nothing that reads them may be used after it."""
-    _OPEN.append([])
+def recorded(folders: list[str]) -> Iterator[None]:
+    """Folders that `stored` writes within are added to the list."""
+    _OPEN.append(folders)
     try:
         yield
     finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for folder in _OPEN.pop():
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        _OPEN.pop()
+
+
+def dropped(spark: SparkSession, folders: list[str]) -> None:
+    """Delete the folders and empty the list; nothing that reads them may be used after it."""
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

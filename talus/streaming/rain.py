@@ -7,6 +7,7 @@ gapless days, and state changes are told once.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talus.functions import rain as R
 from talus.operators.rain import bursts, contiguous_prefix
-from talus.sources.files import append_new
+from talus.sources.files import append_new, table_exists
 
 STEPS = "site string, ts timestamp, rate_mm_h double"
 
@@ -42,41 +43,66 @@ def sliding_rain(steps: DataFrame, hours: int, late: str = "2 days") -> DataFram
     return steps.withWatermark("ts", late).groupBy("site", w.alias("w")).agg((F.sum("rate_mm_h") * 0.5).alias("mm")).select("site", F.col("w.end").alias("end_ts"), "mm")
 
 
-#: The last rates (a day of windows) with their times, the day that is being summed up, and its best burst.
-_STATE = "rates array<double>, day date, n int, total double, e double, h double, mm double, end timestamp"
+#: Times (microseconds) and rates of the steps that are kept, and the first day that may still change (microseconds).
+_STATE = "ts array<long>, rates array<double>, floor long"
 _BURST = "site string, date date, n_steps int, total_mm double, max_e double, duration_h double, burst_mm double, window_end timestamp"
+_DAY = 86_400_000_000
 
 
-def burst_stream(steps: DataFrame, a: float, b: float) -> DataFrame:
-    """Each day's largest burst so far, told again whenever steps of the day arrive (update mode).
+def day_bursts(ts: list[int], rates: list[float], first: int, spans: list[tuple[float, int, float]]) -> dict[int, tuple]:
+    """day: steps, rain, largest ratio, its duration, rain and end, for the steps in order from place `first` on."""
+    out: dict[int, tuple] = {}
+    for i in range(first, len(ts)):
+        n, total, e, h, mm, end = out.get(ts[i] // _DAY, (0, 0.0, 0.0, None, None, None))
+        for span, k, threshold in spans:
+            depth = sum(rates[max(0, i + 1 - k) : i + 1]) * 0.5
+            ratio = depth / span / threshold
+            if ratio > e or (ratio == e and h is not None and span < h):
+                e, h, mm, end = ratio, span, depth, ts[i]
+        out[ts[i] // _DAY] = n + 1, total + rates[i] * 0.5, e, h, mm, end
+    return out
 
-    State holds the last 48 steps of a site; steps must come in order, as a growing archive delivers
-    them, and windows are counted in steps, as in the batch operator.
+
+def burst_stream(steps: DataFrame, a: float, b: float, late_days: int = 2) -> DataFrame:
+    """Each day's largest burst so far, told again whenever steps arrive that its windows hold (update mode).
+
+    State holds a site's steps from `late_days` before its newest day on, and the steps of one longest window before
+    them: steps may come late by so much, in any order and again. Older ones are left out. Windows are
+    counted in steps, as in the batch operator.
     """
     spans = [(h, max(1, round(h / 0.5)), a * h**-b) for h in R.HOURS]
     longest = max(k for _, k, _ in spans)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rates, day, n, total, e, h, mm, end = state.get if state.exists else ([], None, 0, 0.0, 0.0, None, None, None)
-        rates = list(rates)
-        out = {}
-        for row in pd.concat(list(frames)).sort_values("ts").itertuples():
-            if row.ts.date() != day:
-                day, n, total, e, h, mm, end = row.ts.date(), 0, 0.0, 0.0, None, None, None
-            rates = [*rates, row.rate_mm_h][-longest:]
-            n, total = n + 1, total + row.rate_mm_h * 0.5
-            for span, k, threshold in spans:
-                depth = sum(rates[-k:]) * 0.5
-                ratio = depth / span / threshold
-                if ratio > e or (ratio == e and h is not None and span < h):
-                    e, h, mm, end = ratio, span, depth, row.ts
-            out[day] = (key[0], day, n, total, e, h, mm, end)
-        state.update((rates, day, n, total, e, h, mm, end))
-        yield pd.DataFrame(list(out.values()), columns=["site", "date", "n_steps", "total_mm", "max_e", "duration_h", "burst_mm", "window_end"])
+        old_ts, old_rates, floor = state.get if state.exists else ([], [], None)
+        known = dict(zip(old_ts, old_rates, strict=True))
+        new = pd.concat(list(frames)).dropna(subset=["ts"])
+        micros = new["ts"].astype("datetime64[us]").astype("int64")
+        fresh = {t: r for t, r in zip(micros.tolist(), new["rate_mm_h"].tolist(), strict=True) if t not in known and (floor is None or t >= floor)}
+        known |= fresh
+        ts = sorted(known)
+        rates = [known[t] for t in ts]
+        if fresh:
+            start = min(fresh) // _DAY * _DAY
+            days = day_bursts(ts, rates, bisect_left(ts, start), spans)
+            rows = [(key[0], pd.Timestamp(d * _DAY, unit="us").date(), *v[:5], None if v[5] is None else pd.Timestamp(v[5], unit="us")) for d, v in days.items()]
+            floor = (ts[-1] // _DAY - late_days) * _DAY
+            keep = max(0, bisect_left(ts, floor) - longest)
+            state.update((ts[keep:], rates[keep:], floor))
+            yield pd.DataFrame(rows, columns=["site", "date", "n_steps", "total_mm", "max_e", "duration_h", "burst_mm", "window_end"])
 
     return steps.groupBy("site").applyInPandasWithState(run, _BURST, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def told_to(folder: str):
+    """A foreachBatch sink: each batch in a folder of its own, so that a batch that runs again replaces itself; `batch` is its number."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return sink
+
+
 def upsert_days(folder: str, a: float, b: float):
     """A foreachBatch sink: days touched by a batch are computed anew from all their steps and written, one folder a day.
 
@@ -101,12 +127,8 @@ def append_contiguous(path: str):
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            last = spark.read.parquet(path).groupBy("site").agg(F.max("date").alias("last"))
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            last = batch.limit(0).groupBy("site").agg(F.max("date").alias("last"))
+        held = spark.read.parquet(path) if table_exists(spark, path) else batch.limit(0)
+        last = held.groupBy("site").agg(F.max("date").alias("last"))
         fresh = batch.dropDuplicates(["site", "date"]).join(last, "site", "left").filter("last is null or date > last")
         first = batch.groupBy("site").agg(F.date_sub(F.min("date"), 1).alias("before"))
         start = fresh.join(first, "site").withColumn("last", F.coalesce("last", "before")).drop("before")
@@ -116,19 +138,24 @@ def append_contiguous(path: str):
 
 
 def level_changes(days: DataFrame) -> DataFrame:
-    """Days (site, date, alarm_level) on which the level changes, and all ALERT days; the last level is kept as state."""
+    """Days (site, date, alarm_level) on which the level changes, and all ALERT days; the last day and level are kept as state.
+
+    A day that is no later than the last one told (a replay, or one that comes late) tells nothing.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, seen = state.get if state.exists else (None, None)
         out = []
         for row in pd.concat(list(frames)).sort_values("date").itertuples():
+            if seen is not None and row.date <= seen:
+                continue
             if row.alarm_level != last or row.alarm_level == "ALERT":
                 out.append((key[0], row.date, row.alarm_level, last))
-            last = row.alarm_level
-        state.update((last,))
+            last, seen = row.alarm_level, row.date
+        state.update((last, seen))
         yield pd.DataFrame(out, columns=["site", "date", "alarm_level", "previous"])
 
-    return days.groupBy("site").applyInPandasWithState(run, "site string, date date, alarm_level string, previous string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return days.groupBy("site").applyInPandasWithState(run, "site string, date date, alarm_level string, previous string", "last string, seen date", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(df: DataFrame, checkpoint: str, mode: str, sink=None, table: str | None = None) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Readers, sinks and streams on small files."""
 
 import json
+import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -142,3 +143,34 @@ def test_site_files(tmp_path, monkeypatch):
     (tmp_path / "b.json").write_text(json.dumps({"name": "B"}))
     with pytest.raises(ValueError, match="slug"):
         load_site(str(tmp_path / "b.json"))
+
+
+def test_late_repeated_and_shuffled_steps_tell_what_the_batch_tells(spark, tmp_path):
+    a, b = R.THRESHOLDS["nwhimalaya"]
+    r = random.Random(4)
+    rows = [(site, datetime(2025, 7, 1) + timedelta(minutes=30 * i), r.choice([0.0, 0.0, 1.5, 20.0])) for site in "xy" for i in range(48 * 4)]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][1], r.random()))
+    late = sorted(range(len(order)), key=lambda k: k + r.randrange(-150, 150))  # up to a day and a half out of order
+    parts = [[rows[order[k]] for k in late[at : at + 80]] for at in range(0, len(rows), 80)]
+    parts.insert(3, parts[1])  # a replay
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, S.STEPS).coalesce(1).write.mode("append").parquet(str(tmp_path / "steps"))
+        S.run_available(S.burst_stream(spark.readStream.schema(S.STEPS).parquet(str(tmp_path / "steps")), a, b), str(tmp_path / "check"), "update", S.told_to(str(tmp_path / "told")))
+    told = spark.read.parquet(str(tmp_path / "told"))
+    got = told.groupBy("site", "date").agg(F.max_by(F.struct("n_steps", "total_mm", "max_e", "duration_h"), "batch").alias("r")).select("site", "date", "r.*")
+    want = O.bursts(spark.createDataFrame(rows, S.STEPS), ["site"], a, b)
+    key = lambda df: sorted((x.site, x.date, x.n_steps, round(x.total_mm, 9), round(x.max_e, 9), x.duration_h) for x in df.collect())
+    assert key(got) == key(want)
+    n, again = told.count(), told.filter("batch = 0").drop("batch")
+    S.told_to(str(tmp_path / "told"))(spark.createDataFrame(again.collect(), again.schema), 0)
+    assert spark.read.parquet(str(tmp_path / "told")).count() == n
+
+
+def test_level_changes_are_told_once(spark, tmp_path):
+    schema = "site string, date date, alarm_level string"
+    parts = [[("s", date(2025, 7, 1), "WATCH"), ("s", date(2025, 7, 2), "WATCH")], [("s", date(2025, 7, 2), "WATCH"), ("s", date(2025, 7, 1), "ALERT"), ("s", date(2025, 7, 3), "ALERT")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "days"))
+        S.run_available(S.level_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "days"))), str(tmp_path / "check"), "append", S.told_to(str(tmp_path / "told")))
+    got = sorted((r.date.day, r.alarm_level, r.previous) for r in spark.read.parquet(str(tmp_path / "told")).collect())
+    assert got == [(1, "WATCH", None), (3, "ALERT", "WATCH")]
