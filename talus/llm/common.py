@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.sources.storage import released, stored
+from talus.sources.storage import dropped, recorded, stored
 
-__all__ = ["bounded", "byte_views", "fold", "integer_id", "majority", "released", "stored"]
+__all__ = ["bounded", "byte_views", "dropped", "fold", "integer_id", "majority", "recorded", "stored"]
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 

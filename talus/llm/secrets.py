@@ -184,10 +184,22 @@ def _joined(found: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat(F.element_at(kinds, s["rank"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
+#: Characters of the pieces in which a text is masked.
+PIECE = 4096
+
+
 def redacted(text: Column, found: Column) -> Column:
-    """`text` with each found span made asterisks."""
-    mask = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.repeat(F.lit("*"), s["end"] - s["start"]), F.substring(t, s["end"] + 1, F.length(t)))
-    return F.aggregate(found, text, mask)
+    """`text` with each found span made asterisks, piece by piece, so that many spans do not copy a long text each."""
+
+    def masked(piece: Column, k: Column) -> Column:
+        begin = k * PIECE
+        low = lambda s: F.greatest(s["start"] - begin, F.lit(0))
+        high = lambda s: F.least(s["end"] - begin, F.lit(PIECE))
+        mask = lambda t, s: F.concat(F.substring(t, F.lit(1), low(s)), F.repeat(F.lit("*"), high(s) - low(s)), F.substring(t, high(s) + 1, F.length(t)))
+        return F.aggregate(F.filter(found, lambda s: (s["start"] < begin + PIECE) & (s["end"] > begin)), piece, mask)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(found) == 0, text).otherwise(F.array_join(F.transform(pieces, masked), ""))
 
 
 def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

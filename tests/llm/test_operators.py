@@ -238,6 +238,23 @@ def test_secrets_are_masked_and_columns_stay(spark):
         assert len(r.text) == len(dict((i, t) for i, t, *_ in secret_rows())[r.doc_id] or "")
 
 
+def test_long_texts_are_masked_piece_by_piece(spark):
+    r = random.Random(3)
+    texts = []
+    for k in range(12):
+        parts = ["\U0001f600é\n" * r.randrange(1500)]
+        for _ in range(40):
+            parts += ["x" * r.randrange(900) + " ", f"token={r.randrange(16**12):012x}abcdefgh", " ", f"{r.randrange(16**40):040x}" * r.randrange(1, 3) + " "]
+        texts.append("".join(parts) if k else "token=" + "a" * 9000)
+    clean = secrets.without_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for i, got in clean.collect():
+        want = list(texts[i])
+        for span in brute_secrets(texts[i]).split(","):
+            a, b = map(int, span.split(":")[1:])
+            want[a:b] = "*" * (b - a)
+        assert got == "".join(want)
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r) for r in secrets.RULES}
     assert q["hex"] == secrets.ALL and len(q["assign"]) == 6
