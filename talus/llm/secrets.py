@@ -149,14 +149,30 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     )
 
 
+#: Matches of a text whose spans are gathered before they join the others.
+RUN = 256
+
+
 def _spans(rule: Rule, rank: int, at: str) -> Column:
-    """The rule's matches as structs of start, rank, end (code points), from columns m, g and p of the rule."""
+    """The rule's matches as structs of start, rank, end (code points), from columns m, g and p of the rule.
+
+    They are gathered in runs, so that each match adds to a short array, however many the text holds.
+    """
     m, g, p = (f"{x}_{at}" for x in "mgp")
-    none = "cast(array() as array<struct<start:int,rank:int,end:int>>)"
+    struct = "struct<start:int,rank:int,end:int>"
+    none, no_runs = f"cast(array() as array<{struct}>)", f"cast(array() as array<array<{struct}>>)"
     span = f"named_struct('start', a.at + length({p}[i]), 'rank', {rank}, 'end', a.at + length({p}[i]) + length({m}[i]))"
+    step = (
+        f"(a, i) -> named_struct('at', a.at + length({p}[i]) + length({m}[i]), "
+        f"'found', if(length({g}[i]) >= {rule.least}, concat(a.found, array({span})), a.found))"
+    )
+    run = (
+        f"aggregate(sequence(k, least(k + {RUN - 1}, size({m}) - 1)), named_struct('at', b.at, 'found', {none}), {step}, "
+        f"a -> named_struct('at', a.at, 'found', concat(b.found, array(a.found))))"
+    )
     return F.expr(
-        f"if(coalesce(size({m}), 0) <= 0, {none}, aggregate(sequence(0, size({m}) - 1), named_struct('at', 0, 'found', {none}), "
-        f"(a, i) -> named_struct('at', a.at + length({p}[i]) + length({m}[i]), 'found', if(length({g}[i]) >= {rule.least}, concat(a.found, array({span})), a.found)), a -> a.found))"
+        f"if(coalesce(size({m}), 0) <= 0, {none}, aggregate(sequence(0, size({m}) - 1, {RUN}), "
+        f"named_struct('at', 0, 'found', {no_runs}), (b, k) -> {run}, b -> flatten(b.found)))"
     )
 
 

@@ -229,6 +229,16 @@ def test_secrets_match_brute_force(spark, empty, tmp_path):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_many_secrets_in_one_text(spark, tmp_path):
+    one = lambda i: f"\U0001f511 token={'k' * (6 + i % 5)}{i:03d} {'AKIA' if i % 3 else 'XKIA'}{i:016d}"
+    texts = ["\n".join(one(i) for i in range(n)) for n in (1, secrets.RUN - 1, secrets.RUN, secrets.RUN + 1, 20_000)]
+    table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in secrets.op2_secrets(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(brute_secrets(t).encode()).hexdigest()
+        assert got[i].n_assign == t.count("token=")
+
+
 def test_secrets_are_masked_and_columns_stay(spark):
     docs = table(spark, secret_rows())
     clean = secrets.without_secrets(docs)
