@@ -97,18 +97,24 @@ def invert(observations: DataFrame, network: Network, by: list[str], least_pairs
     return observations.select(*by, "obs").mapInPandas(run, f"{kinds}, disp array<double>, velocity double, gamma double")
 
 
+#: Slowest velocity, in mm a day, that is movement.
+STILL = 1e-9
+
+
 def failure_times(series: DataFrame, by: list[str], least_r2: float = 0.6, horizon: float = 730.0, creep: float = -15.0, least_v: int = 5, least_share: float = 0.7) -> DataFrame:
     """Class and days to failure of each displacement series (t in days, d in mm), by the inverse velocity.
 
     The series must creep as a whole, and mostly in the direction of failure; then a falling
-    line through the inverse velocities of a good fit points to the time of failure.
+    line through the inverse velocities of a good fit points to the time of failure. Steps slower
+    than STILL do not creep: their sign is rounding, and their inverse would outweigh all others.
     """
     rows = series.filter(F.col("t").isNotNull() & F.col("d").isNotNull())
     v = centred_slope(rows, by, "t", "d")
-    inv = F.when(F.col("velocity") < 0, 1.0 / F.abs("velocity"))
+    creeps = F.col("velocity") < -STILL
+    inv = F.when(creeps, 1.0 / F.abs("velocity"))
     t_inv = F.when(inv.isNotNull(), F.col("t"))
     s = v.groupBy(*by).agg(
-        F.count("*").alias("n_obs"), (F.regr_slope("d", "t") * 365.25).alias("net"), F.avg(F.when(F.col("velocity") < 0, 1.0).when(F.col("velocity").isNotNull(), 0.0)).alias("share"),
+        F.count("*").alias("n_obs"), (F.regr_slope("d", "t") * 365.25).alias("net"), F.avg(F.when(creeps, 1.0).when(F.col("velocity").isNotNull(), 0.0)).alias("share"),
         F.count(inv).alias("n_creep"), F.regr_slope(inv, t_inv).alias("b"), F.regr_intercept(inv, t_inv).alias("a"), F.regr_r2(inv, t_inv).alias("r2"), F.max("t").alias("last"),
     )
     ttf = F.try_divide(-F.col("a"), F.col("b")) - F.col("last")

@@ -33,12 +33,19 @@ def vectors(spark, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").groupBy("user_id").agg(rows.alias("r"), F.count("*").alias("n")).select("user_id", F.array_join(F.transform("r", lambda x: x["event_id"].cast("string")), ",").alias("ids"), "n")
 
 
-@query("s19_cell_means", "SELECT floor(c_custkey % 100 / 10.0)::BIGINT AS cx, floor(c_custkey % 77 / 10.0)::BIGINT AS cy, count(*) AS n_points, round(sum(CAST(round(c_acctbal * 100) AS BIGINT)) / 100.0::DOUBLE / count(*), 6) AS mean FROM customer GROUP BY 1, 2")
+@query(
+    "s19_cell_means",
+    f"""WITH {PX_POINTS}
+SELECT floor((lon - 75.0) * 10.0)::BIGINT AS cx, floor((lat - 33.0) * 10.0)::BIGINT AS cy, count(*) AS n_points,
+       round(sum(CAST(round(score * 100) AS BIGINT)) / 100.0::DOUBLE / count(*), 6) AS mean
+FROM px_points GROUP BY 1, 2""",
+)
 def cell_means(spark, sf_dir: str) -> DataFrame:
-    """Points to rain cells, and the mean of each cell."""
-    k = F.col("c_custkey")
-    cents = F.sum(F.round(F.col("c_acctbal") * 100).cast("long"))
-    return _read(spark, sf_dir, "customer").groupBy(F.floor(k % 100 / 10.0).alias("cx"), F.floor(k % 77 / 10.0).alias("cy")).agg(F.count("*").alias("n_points"), F.round(cents / 100.0 / F.count("*"), 6).alias("mean"))
+    """Places to rain cells of 0.1 degrees, and the mean of each cell."""
+    cx, cy = F.floor((F.col("lon") - 75.0) * 10.0), F.floor((F.col("lat") - 33.0) * 10.0)
+    cents = F.sum(F.round(F.col("score") * 100).cast("long"))
+    cells = px_points(spark, sf_dir).groupBy(cx.alias("cx"), cy.alias("cy"))
+    return cells.agg(F.count("*").alias("n_points"), F.round(cents / 100.0 / F.count("*"), 6).alias("mean"))
 
 
 @query("s33_calendar_spine", f"WITH {PX_DAILY} SELECT site, count(*) AS n_days, count(rain_mm) AS n_known, min(date) AS first, max(date) AS last FROM px_daily GROUP BY 1")
@@ -49,12 +56,25 @@ def calendar_spine(spark, sf_dir: str) -> DataFrame:
     return days.groupBy("site").agg(F.count("*").alias("n_days"), F.count("rain_mm").alias("n_known"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-@query("p21_threshold_curve", f"SELECT p_size::BIGINT AS days, round({R.THRESHOLDS['caine1980'][0]} * pow(p_size * 24.0::DOUBLE, -{R.THRESHOLDS['caine1980'][1]}::DOUBLE), 6) AS intensity, round({R.THRESHOLDS['caine1980'][0]} * pow(p_size * 24.0::DOUBLE, -{R.THRESHOLDS['caine1980'][1]}::DOUBLE) * (p_size * 24.0), 6) AS depth, count(*) AS n FROM part GROUP BY p_size")
+@query(
+    "p21_threshold_curve",
+    f"""WITH {PX_DAILY},
+wet AS (SELECT site, rain_mm, date_diff('day', DATE '1970-01-01', date) - row_number() OVER (PARTITION BY site ORDER BY date) AS spell FROM px_daily WHERE rain_mm >= 6.0),
+spells AS (SELECT site, spell, count(*) AS days, sum(rain_mm) AS mm FROM wet GROUP BY 1, 2),
+curve AS (SELECT days, mm, {R.THRESHOLDS['caine1980'][0]} * pow(days * 24.0::DOUBLE, -{R.THRESHOLDS['caine1980'][1]}::DOUBLE) AS intensity FROM spells)
+SELECT days, round(intensity, 6) AS intensity, round(intensity * days * 24.0, 6) AS depth, count(*) AS n, count(*) FILTER (mm > intensity * days * 24.0) AS n_above
+FROM curve GROUP BY 1, 2, 3""",
+)
 def curve(spark, sf_dir: str) -> DataFrame:
-    """Threshold intensity and depth over durations."""
+    """Threshold intensity and depth at the lengths of the sites' spells of wet days, and how many spells exceed it."""
     a, b = R.THRESHOLDS["caine1980"]
-    d = F.col("p_size").cast("double")
-    return _read(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n")).select(F.col("p_size").cast("long").alias("days"), F.round(R.threshold_intensity(d * 24.0, a, b), 6).alias("intensity"), F.round(R.threshold_depth(d, a, b), 6).alias("depth"), "n")
+    place = F.row_number().over(Window.partitionBy("site").orderBy("date"))
+    wet = px_daily(spark, sf_dir).filter("rain_mm >= 6.0").select("site", "rain_mm", (F.unix_date("date") - place).alias("spell"))
+    spells = wet.groupBy("site", "spell").agg(F.count("*").alias("days"), F.sum("rain_mm").alias("mm"))
+    d = F.col("days").cast("double")
+    intensity, depth = R.threshold_intensity(d * 24.0, a, b), R.threshold_depth(d, a, b)
+    counted = spells.groupBy("days").agg(F.count("*").alias("n"), F.count_if(F.col("mm") > depth).alias("n_above"))
+    return counted.select("days", F.round(intensity, 6).alias("intensity"), F.round(depth, 6).alias("depth"), "n", "n_above")
 
 
 @query("p25_pixel_world", f"{W} SELECT stack, row, col, round((500000.0 + (col + 0.5) * 80.0)::DOUBLE, 6) AS x, round((3650000.0 + (row + 0.5) * -80.0)::DOUBLE, 6) AS y, floor((500000.0 + (col + 0.5) * 80.0 - 500000.0) / 80.0)::INT AS col_back FROM px_pixels")
@@ -64,7 +84,20 @@ def pixel_world(spark, sf_dir: str) -> DataFrame:
     return px_pixels(spark, sf_dir).select("stack", "row", "col", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), geo.pixel_of(x, 500_000, 80.0).alias("col_back"))
 
 
-@query("p25_lonlat")
+@query(
+    "p25_lonlat",
+    f"""{W},
+k AS (SELECT 0.00669438::DOUBLE AS e, 6378137.0::DOUBLE AS a),
+k2 AS (SELECT e, a, e / (1 - e) AS ep, (1 - sqrt(1 - e)) / (1 + sqrt(1 - e)) AS f, a * (1 - e / 4 - 3 * e * e / 64 - 5 * e * e * e / 256) AS m FROM k),
+u AS (SELECT stack, row, col, e, a, ep, f, (col + 0.5::DOUBLE) * 80.0::DOUBLE AS x, (3650000.0::DOUBLE - (row + 0.5::DOUBLE) * 80.0::DOUBLE) / 0.9996::DOUBLE / m AS mu FROM px_pixels, k2),
+v AS (SELECT *, mu + (3 * f / 2 - 27 * pow(f, 3) / 32) * sin(2 * mu) + (21 * f * f / 16 - 55 * pow(f, 4) / 32) * sin(4 * mu) + 151 * pow(f, 3) / 96 * sin(6 * mu) + 1097 * pow(f, 4) / 512 * sin(8 * mu) AS p FROM u),
+z AS (SELECT *, a / sqrt(1 - e * sin(p) * sin(p)) AS n, a * (1 - e) / pow(1 - e * sin(p) * sin(p), 1.5::DOUBLE) AS r, tan(p) * tan(p) AS t, ep * cos(p) * cos(p) AS c FROM v),
+q AS (SELECT *, x / (n * 0.9996::DOUBLE) AS d FROM z)
+SELECT stack, row, col,
+       round(75.0::DOUBLE + degrees((d - pow(d, 3) / 6 * (1 + 2 * t + c) + pow(d, 5) / 120 * (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t)) / cos(p)), 7) AS lon,
+       round(degrees(p - n * tan(p) / r * (d * d / 2 - pow(d, 4) / 24 * (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) + pow(d, 6) / 720 * (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c))), 7) AS lat
+FROM q""",
+)
 def lonlat(spark, sf_dir: str) -> DataFrame:
     """P25: longitude and latitude of pixels, by a series for the transverse projection."""
     lon, lat = geo.utm_to_lonlat(geo.pixel_centre(F.col("col"), 500_000, 80.0), geo.pixel_centre(F.col("row"), 3_650_000, -80.0), 43)
@@ -333,10 +366,18 @@ def status(spark, sf_dir: str) -> DataFrame:
     return last.select("site", "last", age.alias("age_d"), F.when(age <= 7, "fresh").when(age <= 14, "amber").otherwise("unknown").alias("state"))
 
 
-@query("g16_shared_grids", "WITH g AS (SELECT l_suppkey AS s, l_linenumber % (l_suppkey % 2 + 1) AS x0 FROM lineitem) SELECT s, count(DISTINCT x0) = 1 AS shared FROM g GROUP BY 1")
+@query(
+    "g16_shared_grids",
+    f"""{W}, g AS (
+  SELECT split_part(stack, '-', 2) AS path, stack, min(col) AS x, min(row) AS y, max(col) - min(col) + 1 AS w, max(row) - min(row) + 1 AS h
+  FROM px_pixels GROUP BY 1, 2)
+SELECT path, count(DISTINCT (x, y, w, h)) = 1 AS shared FROM g GROUP BY 1""",
+)
 def shared(spark, sf_dir: str) -> DataFrame:
-    """Whether all epochs of a group have one grid."""
-    s = F.col("l_suppkey")
-    g = _read(spark, sf_dir, "lineitem").select(s.alias("s"), (F.col("l_linenumber") % (s % 2 + 1)).alias("left"), *(F.lit(1).alias(c) for c in ("top", "res", "width", "height")))
-    return raster.shares_grid(g, ["s"])
+    """Whether all stacks of a path cover one grid."""
+    size = lambda c: F.max(c) - F.min(c) + 1
+    grids = px_pixels(spark, sf_dir).groupBy(F.split_part("stack", F.lit("-"), F.lit(2)).alias("path"), "stack").agg(
+        F.min("col").alias("left"), F.min("row").alias("top"), F.lit(80.0).alias("res"), size("col").alias("width"), size("row").alias("height")
+    )
+    return raster.shares_grid(grids, ["path"])
 

@@ -302,7 +302,17 @@ def trend(spark, sf_dir: str) -> DataFrame:
     return inversion.trends(_series(spark, sf_dir), ["user_id"], "t", "d").select("user_id", F.round("slope", 6).alias("slope"), F.col("n").cast("long").alias("n"))
 
 
-@query("m14_failure_times")
+@query(
+    "m14_failure_times",
+    f"""WITH {_SERIES},
+v AS (SELECT user_id, t, d, CASE WHEN count(d) OVER w >= 2 THEN regr_slope(d, t) OVER w END AS velocity FROM s WHERE d IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+i AS (SELECT *, CASE WHEN velocity < -1e-9 THEN 1.0::DOUBLE / -velocity END AS inv FROM v),
+f AS (SELECT user_id, count(*) AS n_obs, regr_slope(d, t) * 365.25::DOUBLE AS net, avg(CASE WHEN velocity < -1e-9 THEN 1.0::DOUBLE WHEN velocity IS NOT NULL THEN 0.0::DOUBLE END) AS share, count(inv) AS n_creep,
+             regr_slope(inv, t) AS b, regr_intercept(inv, t) AS a, regr_r2(inv, t) AS r2, max(t) AS last FROM i GROUP BY 1),
+g AS (SELECT *, CASE WHEN b <> 0 THEN -a / b - last END AS ttf, coalesce(net > 10.0, true) OR coalesce(share < 0.3, false) OR n_creep < 3 AS steady, coalesce(b < 0 AND coalesce(r2, 0.0) >= 0.2, false) AS fast FROM f),
+h AS (SELECT *, CASE WHEN n_obs < 6 THEN 'INSUFFICIENT' WHEN steady THEN 'STEADY' WHEN fast AND ttf > 0 AND ttf <= 730.0 THEN 'ACCELERATING' WHEN fast THEN 'ACCEL_BEYOND_HORIZON' ELSE 'STEADY' END AS klass FROM g)
+SELECT user_id, n_obs, round(net, 6) AS net_mmyr, round(share, 6) AS creep_share, round(r2, 6) AS r2, klass, CASE WHEN klass LIKE 'ACCEL%' THEN round(ttf, 4) END AS ttf_days FROM h""",
+)
 def failures(spark, sf_dir: str) -> DataFrame:
     """Classes and times to failure by the inverse velocity."""
     return inversion.failure_times(_series(spark, sf_dir), ["user_id"], creep=10.0, least_share=0.3, least_v=3, least_r2=0.2).withColumns(r6("net_mmyr", "creep_share", "r2") | {"ttf_days": F.round("ttf_days", 4)})
