@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talus.sources.storage import dropped, recorded, stored
 
-__all__ = ["bounded", "byte_views", "dropped", "fold", "integer_id", "majority", "recorded", "stored"]
+__all__ = ["bounded", "byte_views", "dropped", "fold", "integer_id", "majority", "recorded", "sampled", "stored"]
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
@@ -48,9 +48,13 @@ def bounded(df: DataFrame, key: str, bound: int, counted: DataFrame | None = Non
     `counted` is a cheaper frame with as many rows, to count instead of `df`.
     """
     n = (df if counted is None else counted).count()
-    if n <= bound:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < F.lit(int(1_000_000 * bound / n)))
+    return df if n <= bound else df.filter(sampled(bound / n, key))
+
+
+def sampled(share: float, *keys: str) -> Column:
+    """Whether a row falls in a share of all rows, by the 64-bit hash of its keys: shares of 1 in 10^15 still draw some."""
+    edge = min(int(share * 2.0**64) - 2**63, 2**63 - 1)
+    return F.xxhash64(F.lit("sample"), *keys) <= F.lit(edge)
 
 
 def majority(labels: DataFrame, column: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from talus.llm import decontamination, mixing, neardup, phrases, secrets
+from talus.llm import decontamination, importance, mixing, neardup, negatives, phrases, secrets
 from talus.llm.fingerprint import op7_fingerprint
 from talus.llm.language import op4_language
 from talus.llm.licenses import op6_license
 from talus.llm.quality import op5_quality
+from talus.llm.rules import op11_rules
 from talus.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -20,6 +21,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_neardup": neardup.op10_neardup,
+    "op11_rules": op11_rules,
+    "op12_importance": importance.op12_importance,
+    "op13_negatives": negatives.op13_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +32,6 @@ SQL: dict[str, str] = {
     "op8_mixing": mixing.SQL,
     "op9_decontamination": decontamination.SQL,
     "op10_neardup": neardup.SQL,
+    "op12_importance": importance.SQL,
+    "op13_negatives": negatives.SQL,
 }
