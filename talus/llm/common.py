@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talus.sources.storage import dropped, recorded, stored
 
-__all__ = ["bounded", "byte_views", "dropped", "fold", "integer_id", "majority", "recorded", "sampled", "stored"]
+__all__ = ["bounded", "byte_views", "dropped", "fold", "integer_id", "majority", "recorded", "sampled", "sampled_edge", "stored"]
 
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
@@ -53,8 +53,12 @@ def bounded(df: DataFrame, key: str, bound: int, counted: DataFrame | None = Non
 
 def sampled(share: float, *keys: str) -> Column:
     """Whether a row falls in a share of all rows, by the 64-bit hash of its keys: shares of 1 in 10^15 still draw some."""
-    edge = min(int(share * 2.0**64) - 2**63, 2**63 - 1)
-    return F.xxhash64(F.lit("sample"), *keys) <= F.lit(edge)
+    return F.xxhash64(F.lit("sample"), *keys) <= F.lit(sampled_edge(share))
+
+
+def sampled_edge(share: float) -> int:
+    """The 64-bit hash up to which a share of all rows lies."""
+    return min(int(share * 2.0**64) - 2**63, 2**63 - 1)
 
 
 def majority(labels: DataFrame, column: str) -> DataFrame:

@@ -3,7 +3,7 @@
 N-grams of one to three characters (code points) of the lower-cased text, with each run of
 other characters than letters made one space, are hashed to buckets. Document frequencies are counted over all rows that may
 be learned from. Weights are trained with follow-the-regularised-leader and an
-elastic-net penalty on a bounded sample, and a temperature fitted on a part of the sample that
+elastic-net penalty on a bounded sample that is dealt evenly to the languages, and a temperature fitted on a part of the sample that
 was not trained on turns them into probabilities.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; with no row
@@ -13,6 +13,7 @@ long texts are read whole; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import fold
+from talus.llm.common import fold, sampled_edge
 from talus.llm.hashing import mixed
 
 BUCKETS = 1 << 16
@@ -44,6 +45,9 @@ def ngrams(low: str) -> tuple[np.ndarray, np.ndarray]:
     two = mixed(one[:-1] * np.uint64(3) + c[1:])
     three = mixed(two[:-1] * np.uint64(3) + c[2:])
     buckets = np.concatenate([one, two, three]) & np.uint64(BUCKETS - 1)
+    if len(buckets) < BUCKETS // 16:
+        at, counts = np.unique(buckets.astype(np.int64), return_counts=True)
+        return at, counts
     counts = np.bincount(buckets.astype(np.int64), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at, counts[at]
@@ -60,21 +64,37 @@ def _lowered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("low", F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")))
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """In how many rows of `docs` (with `low`) each bucket stands; the number of rows comes last."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
+    """In how many rows of `docs` (with `low` and `lang`) each bucket stands, and how many rows each language has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(BUCKETS + 1, np.int64)
+        df, langs = np.zeros(BUCKETS, np.int64), Counter()
         for batch in batches:
+            langs.update(batch.column(1).to_pylist())
             for text in batch.column(0).to_pylist():
                 df[ngrams(text)[0]] += 1
-                df[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(df)], ["bucket", "n"])
-
-    total = np.zeros(BUCKETS + 1, np.int64)
-    for r in docs.select("low").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        total[r["bucket"]] = r["n"]
-    return total
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*at, *[-1] * len(langs)], pa.int64()), pa.array([*[None] * len(at), *langs], pa.string()), pa.array([*df[at], *langs.values()], pa.int64())], ["bucket", "lang", "n"]
+        )
+
+    total, rows = np.zeros(BUCKETS, np.int64), {}
+    counted = docs.select("low", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "bucket long, lang string, n long")
+    for r in counted.groupBy("bucket", "lang").agg(F.sum("n").alias("n")).collect():  # as many rows as buckets and languages
+        if r["lang"] is None:
+            total[r["bucket"]] = r["n"]
+        else:
+            rows[r["lang"]] = r["n"]
+    return total, rows
+
+
+def dealt_shares(rows: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's rows that a sample of about `most` takes: as many of each, as far as it has them."""
+    shares, left = {}, float(most)
+    for k, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        take = min(float(n), left / (len(rows) - k))
+        shares[lang], left = take / n, left - take
+    return shares
 
 
 class SparseSoftmax:
@@ -114,24 +134,26 @@ def predict_language(docs: DataFrame, learn_from=None, max_sample: int = 4000, e
     """doc_id, lang_pred and score for each row of `docs` (doc_id, text, lang).
 
     `learn_from` is a condition on doc_id: text and lang of rows that meet it are learned;
-    the weights are fitted on about `max_sample` of them, n-gram frequencies come from all.
+    the weights are fitted on about `max_sample` of them, dealt evenly to the languages (rare ones are taken whole);
+    n-gram frequencies come from all.
     """
     docs = _lowered(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"))
     known = docs.filter(F.col("lang").isNotNull() & F.col("low").isNotNull())
     if learn_from is not None:
         known = known.filter(learn_from)
-    df = document_frequencies(known)
-    idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
+    df, langs = document_frequencies(known)
+    idf = np.log((1.0 + sum(langs.values())) / (1.0 + df)) + 1.0
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [ngrams(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32()))], ["lang", "at", "n"])
 
-    n_known = int(df[-1])
-    share = F.lit(True) if n_known <= max_sample else F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_sample / n_known))
+    edges = [(lang, sampled_edge(share)) for lang, share in dealt_shares(langs, max_sample).items()]
+    # one row for each language: as many as the collected counts
+    drawn = known.withColumn("_lang", F.col("lang").cast("string")).join(docs.sparkSession.createDataFrame(edges, "_lang string, _edge long"), "_lang").filter(F.xxhash64(F.lit("sample"), "doc_id", "text") <= F.col("_edge"))
     # rows of equal doc_id, text and lang all fall in or out: they are one row of the sample
-    sample = known.filter(share).select("doc_id", "low", "lang").distinct().orderBy(F.xxhash64("doc_id", "low"), "lang").select("low", F.col("lang").cast("string").alias("lang")).mapInArrow(counted, "lang string, at array<int>, n array<int>").toPandas()
+    sample = drawn.select("doc_id", "low", "lang").distinct().orderBy(F.xxhash64("doc_id", "low"), "lang").select("low", F.col("lang").cast("string").alias("lang")).mapInArrow(counted, "lang string, at array<int>, n array<int>").toPandas()
     names = sorted(sample["lang"].unique()) if len(sample) else []
     weights, heat = None, 1.0
     if names:

@@ -8,7 +8,9 @@ the rest of the part a permutation of its blocks, cut where the budget ends.
 
 Edge cases: a null source is a source of its own; a null text or one without words has no
 tokens and is never drawn (n_copies 0); repeated rows are drawn each; ties in the
-permutation fall to the smaller doc_id; a single source gets the whole budget; an empty
+permutation fall to the smaller doc_id; a single source gets the whole budget; where no
+exponent gives weights of the target entropy (as when all shares are equal), sources keep their natural
+weights and target_met is false (ValueError if `strict`); an empty
 table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -54,18 +56,18 @@ def _measures(shares: DataFrame, exponents: list[float], budget_share: float) ->
     return [(math.log(r[f"z{i}"]) - a * r[f"s{i}"] / r[f"z{i}"], budget_share * r[f"r{i}"] / r[f"z{i}"]) for i, a in enumerate(exponents)]
 
 
-def bisect_exponent(shares: DataFrame, too_flat, budget_share: float) -> float:
+def bisect_exponent(shares: DataFrame, too_flat, budget_share: float) -> float | None:
     """The smallest exponent at which `too_flat(entropy, repetition)` no longer holds, to 2^-STEPS of the interval it lies in.
 
     The interval is from 0 to 1, or up to the first power of two at which it no longer holds;
-    ValueError if there is none up to MOST. One job evaluates all midpoints that the next AT_ONCE halvings could ask for.
+    None if there is none up to MOST. One job evaluates all midpoints that the next AT_ONCE halvings could ask for.
     """
     if not too_flat(*_measures(shares, [0.0], budget_share)[0]):
         return 0.0
     powers = [2.0**i for i in range(int(math.log2(MOST)) + 1)]
     enough = [p for p, m in zip(powers, _measures(shares, powers, budget_share), strict=True) if not too_flat(*m)]
     if not enough:
-        raise ValueError("no exponent gives weights that meet the target")
+        return None
     low, high = 0.0, enough[0]
     for _ in range(STEPS // AT_ONCE):
         parts = 2**AT_ONCE
@@ -80,14 +82,15 @@ def _shuffled(seed: int, *of: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("")) for c in of)))
 
 
-def mix(docs: DataFrame, entropy_share: float | None = None, max_repetition: float | None = None, budget_tokens: int | None = None, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, entropy_share: float | None = None, max_repetition: float | None = None, budget_tokens: int | None = None, seed: int = 0, strict: bool = False) -> DataFrame:
     """How often each document is drawn, and where.
 
     entropy_share: target entropy of the weights, as a share of the largest possible.
     max_repetition: no source is read more often than this (ValueError if the budget asks for more than that of all of them).
     budget_tokens: tokens to draw; as many as there are by default.
+    strict: a target entropy that no exponent meets is an error; else natural weights are taken.
     Returns doc_id, source, text_key (a hash of the text), n_tokens, weight (of the source), block, slot (place in its
-    source's permutation, from 0 to 1, by which sources are interleaved) and n_copies.
+    source's permutation, from 0 to 1, by which sources are interleaved), n_copies and target_met.
     """
     tokens = stored(token_counts(docs), "mix-tokens")
     sources = stored(tokens.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count("*").alias("source_docs")), "mix-sources")
@@ -96,10 +99,13 @@ def mix(docs: DataFrame, entropy_share: float | None = None, max_repetition: flo
     budget = total if budget_tokens is None else budget_tokens
     shares = sources.filter("source_tokens > 0").withColumn("share", F.col("source_tokens") / F.lit(float(max(total, 1))))
     budget_share = budget / max(total, 1)
-    exponent = 1.0
+    exponent, met = 1.0, True
     if entropy_share is not None and k:
         target = entropy_share * math.log(k)
-        exponent = bisect_exponent(shares, lambda entropy, _: entropy > target, budget_share)
+        found = bisect_exponent(shares, lambda entropy, _: entropy > target, budget_share)
+        exponent, met = (1.0, False) if found is None else (found, True)
+        if strict and not met:
+            raise ValueError("no exponent gives weights that meet the target")
     if max_repetition is not None and k and (entropy_share is None or _measures(shares, [exponent], budget_share)[0][1] > max_repetition):
         if budget_share > max_repetition:
             raise ValueError(f"{budget} tokens are more than {max_repetition} times all of them")
@@ -127,6 +133,7 @@ def mix(docs: DataFrame, entropy_share: float | None = None, max_repetition: flo
         "doc_id", "source", "text_key", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.when(drawn, F.col("block")).alias("block"),
         F.when(drawn, (F.col("end") - F.col("n_tokens")) / F.col("source_tokens")).alias("slot"),
         F.when(drawn, F.col("passes") + (F.col("end") <= F.col("rest")).cast("long")).otherwise(F.lit(0)).cast("long").alias("n_copies"),
+        F.lit(met).alias("target_met"),
     )
 
 
@@ -168,7 +175,7 @@ halving(i, low, high) AS (
   FROM (SELECT h.i, h.low, h.high,
                ln(sum(pow(q, (low + high) / 2))) - (low + high) / 2 * sum(pow(q, (low + high) / 2) * ln(q)) / sum(pow(q, (low + high) / 2)) > 0.98 * ln(max(k)) AS flat
         FROM halving h, shares WHERE h.i < 30 GROUP BY h.i, h.low, h.high)),
-first_exponent AS (SELECT high AS a FROM halving WHERE i = 30),
+first_exponent AS (SELECT coalesce(high, 1.0) AS a, high IS NOT NULL AS met FROM halving WHERE i = 30),
 repeating(i, low, high) AS (
   SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
   UNION ALL
@@ -179,7 +186,7 @@ repeating(i, low, high) AS (
         FROM repeating r, shares WHERE r.i < 30 GROUP BY r.i, r.low, r.high)),
 exponent AS (
   SELECT CASE WHEN (SELECT max(pow(q, a) / share) / sum(pow(q, a)) FROM shares) > 4.0
-              THEN (SELECT high FROM repeating WHERE i = 30) ELSE a END AS a
+              THEN (SELECT high FROM repeating WHERE i = 30) ELSE a END AS a, met
   FROM first_exponent),
 plan AS (
   SELECT source, source_tokens, weight, n_blocks, target // source_tokens AS passes, target % source_tokens AS rest
@@ -201,6 +208,7 @@ placed AS (
 SELECT doc_id, source, n_tokens, coalesce(weight, 0.0) AS weight,
        CASE WHEN n_tokens > 0 AND block IS NOT NULL THEN block END AS block,
        CASE WHEN n_tokens > 0 AND block IS NOT NULL THEN (last - n_tokens) / source_tokens::DOUBLE END AS slot,
-       (CASE WHEN n_tokens > 0 AND block IS NOT NULL THEN passes + (last <= rest)::BIGINT ELSE 0 END)::BIGINT AS n_copies
+       (CASE WHEN n_tokens > 0 AND block IS NOT NULL THEN passes + (last <= rest)::BIGINT ELSE 0 END)::BIGINT AS n_copies,
+       (SELECT met FROM exponent) AS target_met
 FROM placed
 """

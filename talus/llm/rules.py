@@ -139,7 +139,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, signs: np.ndarray, rounds: int = 60
     start = 40.0 * (2 * share - 1) if share in (0.0, 1.0) else float(np.log(share / (1 - share)))
     nodes: list[list[float]] = []  # statistic, threshold, left, right, value
     roots: list[int] = []
-    edges = [np.unique(np.quantile(c, np.arange(1, bins) / bins)) for c in x.T] if len(x) else []
+    edges = [np.unique(np.quantile(c, np.arange(1, bins) / bins)) if len(c) else np.empty(0) for c in x.T]
     codes = np.array([np.searchsorted(e, c) for e, c in zip(edges, x.T, strict=True)])
     sizes, margin = [len(e) + 1 for e in edges], np.full(len(y), start)
 
