@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.operators.forest import eldest_at, merge_forest
 from talus.sources.storage import stored
 
 
@@ -65,42 +65,30 @@ def gate_failure(df: DataFrame, gate: dict) -> DataFrame:
 
 
 def select_bridges(pairs: DataFrame, stack: str = "stack", gate: dict | None = None) -> DataFrame:
-    """Candidates that join separate parts of their stack's network, chosen one after the other.
+    """Candidates that join separate parts of their stack's network, as if chosen one after the other.
 
     Kept pairs are the base; pairs of concern, and kept ones that were rescued before,
-    are candidates, best coverage first, then lowest r2, then dates. A stack's network is
-    small (its pairs, not its pixels), and the choice is sequential by nature.
+    are candidates, best coverage first, then lowest r2, then dates. The base and the candidates that pass the
+    gate make one merge tree, whose height is the place in the order, the base before all: the candidates
+    that join parts in it are selected. One that fails the gate is told if its ends are
+    in different parts at its own place in the order.
     """
     gate = GATE | (gate or {})
+    by = [stack]
     rescued = F.contains(F.coalesce("reasons", F.lit("")), F.lit("RESCUED_FOR_CONNECTIVITY"))
-    role = F.when((F.col("decision") == "CONCERN") | ((F.col("decision") == "KEEP") & rescued), "candidate").when(F.col("decision") == "KEEP", "base")
-    rows = gate_failure(pairs, gate).withColumn("role", role).filter("role is not null").select(stack, "product", "role", "ref", "sec", "r2", "pct", "failure")
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def find(x):
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for r in frame[frame.role == "base"].itertuples():
-            parent[find(r.ref)] = find(r.sec)
-        ordered = frame[frame.role == "candidate"].assign(p=lambda d: -d.pct.fillna(-1.0), q=lambda d: d.r2.fillna(1.0)).sort_values(["p", "q", "ref", "sec", "product"])
-        out = []
-        for r in ordered.itertuples():
-            a, b = find(r.ref), find(r.sec)
-            if a == b:
-                continue
-            if r.failure is None:
-                parent[a] = b
-            out.append((getattr(r, stack), r.product, r.failure is None, r.failure))
-        return pd.DataFrame(out, columns=[stack, "product", "selected", "failure"])
-
-    kind = pairs.schema[stack].dataType.simpleString()
-    return rows.groupBy(stack).applyInPandas(choose, f"{stack} {kind}, product string, selected boolean, failure string")
+    candidate = (F.col("decision") == "CONCERN") | ((F.col("decision") == "KEEP") & rescued)
+    role = F.when(candidate, "candidate").when(F.col("decision") == "KEEP", "base")
+    place = F.struct((F.col("role") != "base").alias("later"), (-F.coalesce("pct", F.lit(-1.0))).alias("coverage"), F.coalesce("r2", F.lit(1.0)).alias("r2"), "ref", "sec", "product")
+    rows = gate_failure(pairs, gate).withColumn("role", role).filter("role is not null").withColumn("height", place)
+    rows = stored(rows.select(stack, "product", "role", "height", F.col("ref").alias("a"), F.col("sec").alias("b"), "failure"), "bridge-rows")
+    tree = stored(merge_forest(rows.filter("role = 'base' or failure is null").select(stack, "a", "b", "height"), by), "bridge-tree")
+    tried = rows.filter("role = 'candidate'")
+    chosen = tried.join(tree.select(stack, "height"), [stack, "height"], "left_semi").select(stack, "product", F.lit(True).alias("selected"), "failure")
+    failed = tried.filter("failure is not null")
+    ends = failed.select(stack, "product", "height", F.explode(F.array("a", "b")).alias("part"))
+    now = eldest_at(ends, tree, by, "part", "height").groupBy(stack, "product", "height").agg(F.count_distinct("eldest").alias("n")).filter("n = 2")
+    apart = failed.join(now.select(stack, "product", "height"), [stack, "product", "height"], "left_semi").select(stack, "product", F.lit(False).alias("selected"), "failure")
+    return chosen.unionByName(apart)
 
 
 def baseline_difference(pairs: DataFrame, scenes: DataFrame, by: list[str]) -> DataFrame:

@@ -78,6 +78,19 @@ def bursts(steps: DataFrame, by: list[str], a: float, b: float, hours: tuple[flo
     )
 
 
+def day_exceedance(rates: DataFrame, by: list[str], slot: str, a: float, b: float, hours: tuple[float, ...] = R.HOURS, step_h: float = 0.5) -> DataFrame:
+    """max_e of each series and day: the largest exceedance over all durations of windows that lie within the day.
+
+    `slot` is the second at which a step begins; missing steps are dry, so that windows are of time and not of rows.
+    """
+    day = F.floor(F.col(slot) / 86400)
+    line = Window.partitionBy(*by, "_day").orderBy(slot)
+    depth = F.col("rate_mm_h") * step_h
+    each = [F.sum(depth).over(line.rangeBetween(-int(h * 3600 - step_h * 3600), 0)) / (h * a * h**-b) for h in hours]
+    rows = rates.withColumn("_day", day).select(*by, "_day", F.greatest(*each).alias("_e"))
+    return rows.groupBy(*by, "_day").agg(F.max("_e").alias("max_e")).select(*by, F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day").cast("int")).alias("date"), "max_e")
+
+
 def peak_intensity(steps: DataFrame, by: list[str], hours: tuple[float, ...] = R.HOURS, step_h: float = 0.5) -> DataFrame:
     """For each series and duration the largest mean intensity of whole windows, and when the first such window ends."""
     series = Window.partitionBy(*by).orderBy("ts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,65 +11,89 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.geo import haversine_km
+from talus.operators.exposure import points_in_polygons, polygon_edges
 from talus.sources.storage import stored
 
 
-def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, cell_deg: float = 0.1) -> DataFrame:
-    """For each point the distance (km) to the nearest zone, and which; null where a group has no zone.
+#: Zones of a leaf, levels of the tree of cells, and bits of each level: a cell has 8 x 8 x 8 parts.
+LEAF, LEVELS, BITS = 64, 7, 3
+_FINEST = LEVELS * BITS
 
-    Zones are put in cells. A first look at the nine cells around each point settles what is
-    nearer than one cell; the ring is doubled for the points that are left, until it covers everything.
-    """
-    cell = lambda c: F.floor(F.col(c) / cell_deg).cast("long")
-    km = haversine_km(F.col("lon"), F.col("lat"), F.col("_zlon"), F.col("_zlat"))
-    z = zones.select(*by, F.col(zone).alias("_zone"), F.col("lon").alias("_zlon"), F.col("lat").alias("_zlat"))
-    out, left, ring = None, points, 1
-    ends = lambda df: tuple(df.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first())
-    spread = ends(points) + ends(zones)
-    known = [x for x in spread if x is not None]
-    reach = 1 if len(known) < 8 else int(max(max(spread[1], spread[5]) - min(spread[0], spread[4]), max(spread[3], spread[7]) - min(spread[2], spread[6])) / cell_deg) + 2
-    while True:
-        size = cell_deg * ring
-        coarse = lambda c, size=size: F.floor(F.col(c) / size).cast("long")
-        tiled = z.withColumns({"_x": F.floor(F.col("_zlon") / size).cast("long"), "_y": F.floor(F.col("_zlat") / size).cast("long")})
-        steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        asked = left.withColumn("_o", steps).withColumns({"_x": coarse("lon") + F.col("_o.i"), "_y": coarse("lat") + F.col("_o.j")}).drop("_o")
-        met = asked.join(tiled, [*by, "_x", "_y"]).withColumn("_km", km)
-        best = met.groupBy(*by, point).agg(F.min(F.struct(F.col("_km").alias("km"), F.col("_zone").alias("zone"))).alias("_best"))
-        last = ring >= reach
-        sure = F.lit(True) if last else F.col("_best.km") <= 111.0 * size * F.cos(F.radians(F.least(F.abs("lat") + 2 * size, F.lit(89.9))))
-        joined = stored(left.join(best, [*by, point], "left"), "nearest-ring")
-        found = joined.filter(sure).select(*points.columns, F.col("_best.km").alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
-        out = found if out is None else out.unionByName(found)
-        if last:
-            return out
-        left = joined.filter(~F.coalesce(sure, F.lit(False))).drop("_best")
-        ring = min(ring * 8, max(reach, ring + 1))
-
-
-def nearest_edge(points: DataFrame, zones: DataFrame, point: str, radius: str) -> DataFrame:
-    """`point`, edge_km: the distance to the nearest edge of discs around the zones' middles (negative inside).
-
-    Discs are dealt to classes of radii that double, so that within a class the nearest edge belongs to a middle that is
-    no farther than the nearest middle and one radius more: both meet in cells.
+
+def _on_sphere(df: DataFrame, lon: str, lat: str, name: str) -> DataFrame:
+    """`df` with coordinates of places on the unit sphere (`name`: an array), and as whole numbers _x, _y, _z of 2 ** _FINEST."""
+    a, b = F.radians(F.col(lon)), F.radians(F.col(lat))
+    df = df.withColumn(name, F.array(F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)))
+    whole = lambda c: F.least(F.floor((c + 1.0) * 2.0 ** (_FINEST - 1)), F.lit(2**_FINEST - 1)).cast("long")
+    return df.withColumns({c: whole(F.get(name, F.lit(i))) for i, c in enumerate(("_x", "_y", "_z"))})
+
+
+def _cell(level: str) -> Column:
+    """The cell of a place at a level: its level and place among the cells of that size."""
+    part = lambda c: F.expr(f"shiftright({c}, {_FINEST} - {BITS} * ({level}))").alias(c)
+    return F.struct(F.expr(f"cast({level} as int)").alias("level"), part("_x"), part("_y"), part("_z"))
+
+
+def _bounds(a: str, b: str, radius: Column) -> tuple[Column, Column]:
+    """The least and the largest distance (km) of an edge in cell b from a place in cell a, `radius` being the largest in b."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for c in ("_x", "_y", "_z"):
+        side = lambda cell: F.pow(F.lit(2.0), F.lit(_FINEST) - BITS * F.col(f"{cell}.level"))
+        a0, b0 = F.col(f"{a}.{c}") * side(a), F.col(f"{b}.{c}") * side(b)
+        gap = F.greatest(a0 - b0 - side(b), b0 - a0 - side(a), F.lit(0.0))
+        reach = F.greatest(a0 + side(a) - b0, b0 + side(b) - a0)
+        near, far = near + gap * gap, far + reach * reach
+    arc = lambda square: 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(square) / 2.0**_FINEST))
+    return arc(near) - radius, arc(far) - radius
+
+
+def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str | None = None) -> DataFrame:
+    """For each point the distance (km) to the nearest zone, and which; null where a group has no zone or the point no place.
+
+    With `radius` (km) zones are discs, and the distance is that to the nearest edge, negative inside.
+
+    Zones lie in the cells of a tree over the globe, which are parted until one holds LEAF zones at most: dense areas have small
+    cells, wherever they are. The cells that points lie in descend the tree together: of the cells in sight, those go that
+    are surely farther than another's farthest end, and the rest are parted, down to the leaves. Points
+    meet the zones of the leaves that are left. Zones at one place are one: that of largest radius, then smallest name.
     """
-    size = F.greatest(F.ceil(F.log2(F.greatest(F.col(radius), F.lit(1e-3)))), F.lit(-10)).cast("int")
-    sized = zones.select("lon", "lat", F.col(radius).alias("_radius"), size.alias("_size"))
-    sized = stored(sized.withColumn("_zone", F.monotonically_increasing_id()), "edge-zones")
-    sizes = sized.select("_size").distinct()
-    asked = points.select(point, "lon", "lat").join(F.broadcast(sizes))  # a row for each power of two of the radii
-    near = nearest_zone(asked, sized, ["_size"], point, "_zone").withColumn("_reach", F.col("nearest_km") + F.pow(F.lit(2.0), "_size"))
-    ring = F.greatest(F.ceil(F.log2("_reach")), F.lit(-6)).cast("int")
-    near = stored(near.withColumn("_ring", ring), "edge-near")
-    # all middles within reach of a point: cells are as large as the reach, which is dealt to powers of two too
-    rings = near.select("_size", "_ring").distinct()
-    deg = F.pow(F.lit(2.0), "_ring") / (111.0 * 0.5)  # a degree of longitude is half as long at least, up to 60 degrees
-    keyed = lambda df: df.withColumns({"_x": F.floor(F.col("lon") / deg), "_y": F.floor(F.col("lat") / deg)})
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    sent = keyed(sized.join(F.broadcast(rings), "_size")).withColumn("_o", steps)  # some dozens of rings at most
-    sent = sent.select("_size", "_ring", (F.col("_x") + F.col("_o.i")).alias("_x"), (F.col("_y") + F.col("_o.j")).alias("_y"), F.col("lon").alias("_zlon"), F.col("lat").alias("_zlat"), "_radius")
-    km = haversine_km(F.col("lon"), F.col("lat"), F.col("_zlon"), F.col("_zlat"))
-    return keyed(near).join(sent, ["_size", "_ring", "_x", "_y"]).groupBy(point).agg(F.min(km - F.col("_radius")).alias("edge_km"))
+    r = F.lit(0.0) if radius is None else F.col(radius)
+    first = F.min(F.struct((-r).alias("less"), F.col(zone).alias("zone"))).alias("_m")
+    placed = zones.filter("lon is not null and lat is not null").groupBy(*by, "lon", "lat").agg(first)
+    placed = _on_sphere(placed, "lon", "lat", "_there").select(*by, "_there", "_x", "_y", "_z", F.col("lon").alias("_zlon"), F.col("lat").alias("_zlat"), (-F.col("_m.less")).alias("_radius"), F.col("_m.zone").alias("_zone"))
+    placed = stored(placed.withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS)))).withColumn("_cell", _cell("_level")).drop("_x", "_y", "_z"), "nearest-placed")
+    tree = stored(placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.max("_radius").alias("_most")), "nearest-tree")
+    deepest = (tree.filter((F.col("_n") > LEAF) & (F.col("_cell.level") < LEVELS)).agg(F.max("_cell.level")).first()[0] or 0) + 1
+    up = lambda c: F.shiftright(F.col(f"_cell.{c}"), BITS).alias(c)
+    parent = F.struct((F.col("_cell.level") - 1).alias("level"), up("_x"), up("_y"), up("_z")).alias("_parent")
+    children = tree.select(*by, parent, F.col("_cell").alias("_child"), F.col("_n").alias("_child_n"), F.col("_most").alias("_child_most"))
+
+    asked = _on_sphere(points.select(*by, point, "lon", "lat").filter("lon is not null and lat is not null"), "lon", "lat", "_here").withColumn("_q", _cell(str(deepest))).drop("_x", "_y", "_z")
+    one = F.lit(1).alias("_one")
+    top = tree.filter("_cell.level = 1").select(*by, one, "_cell", "_n", "_most")  # some hundreds of cells at most
+    seen = asked.select(*by, "_q").distinct().withColumn("_one", F.lit(1)).join(top, [*by, "_one"]).drop("_one")
+    for level in range(1, deepest + 1):
+        near, far = _bounds("_q", "_cell", F.col("_most"))
+        least = F.min("_far").over(Window.partitionBy(*by, "_q"))
+        seen = seen.withColumns({"_near": near, "_far": far}).withColumn("_least", least).filter(F.col("_near") <= F.col("_least") + 1e-6).drop("_near", "_far", "_least")
+        if level < deepest:
+            whole = (F.col("_n") <= LEAF) | (F.col("_cell.level") < level)
+            # what stays whole meets no child, under keys of its own
+            nothing = F.struct(F.lit(-1).alias("level"), *(F.col(f"_q.{c}").alias(c) for c in ("_x", "_y", "_z")))
+            parts = seen.withColumn("_parent", F.when(whole, nothing).otherwise(F.col("_cell"))).join(children, [*by, "_parent"], "left")
+            seen = parts.select(*by, "_q", F.coalesce("_child", "_cell").alias("_cell"), F.coalesce("_child_n", "_n").alias("_n"), F.coalesce("_child_most", "_most").alias("_most"))
+    pairs = stored(seen.select(*by, "_q", "_cell"), "nearest-cells")
+    square = sum((F.get("_here", F.lit(i)) - F.get("_there", F.lit(i))) * (F.get("_here", F.lit(i)) - F.get("_there", F.lit(i))) for i in range(3))
+    far = square if radius is None else 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(square) / 2)) - F.col("_radius")
+    met = asked.join(pairs, [*by, "_q"]).join(placed, [*by, "_cell"]).select(*by, point, F.struct(far.alias("far"), F.col("_zone").alias("zone"), "_zlon", "_zlat").alias("_m"))
+    best = met.groupBy(*by, point).agg(F.min("_m").alias("_best"))
+    km = F.when(F.col("_best").isNotNull(), haversine_km(F.col("lon"), F.col("lat"), F.col("_best._zlon"), F.col("_best._zlat"))) if radius is None else F.col("_best.far")
+    return points.join(best, [*by, point], "left").select(*points.columns, km.alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
+
+
+def nearest_edge(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str) -> DataFrame:
+    """`by`, `point`, edge_km and nearest_zone: the nearest edge of discs around the zones' middles (negative inside)."""
+    return nearest_zone(points, zones, by, point, zone, radius).select(*by, point, F.col("nearest_km").alias("edge_km"), "nearest_zone")
 
 
 def _rounded(x: Column, digits: int | None) -> Column:
@@ -212,21 +237,32 @@ def kfold_auc(df: DataFrame, features: list[str], label: str, key: str, folds: i
     return out
 
 
-def null_points(spark, rings: list[list[tuple[float, float]]], n: int, seed: int = 20260606, cap: int = 50) -> DataFrame:
-    """n seeded points inside the rings, by rejection from their bounding box; ValueError if cap n draws do not hold n."""
-    g = np.random.default_rng(seed)
-    corners = np.array([p for ring in rings for p in ring])
-    lo, hi = corners.min(axis=0), corners.max(axis=0)
-    draws = lo + g.random((cap * n, 2)) * (hi - lo)
-    inside = np.zeros(len(draws), bool)
-    for ring in rings:
-        odd = np.zeros(len(draws), bool)
-        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-            spans = (y1 > draws[:, 1]) != (y2 > draws[:, 1])
-            side = (x2 - x1) * (draws[:, 1] - y1) - (draws[:, 0] - x1) * (y2 - y1)
-            odd ^= spans & (np.sign(y2 - y1) * side > 0)
-        inside |= odd
-    kept = draws[inside][:n]
-    if len(kept) < n:
-        raise ValueError(f"only {len(kept)} of {len(draws)} draws lie inside the rings, {n} were asked for")
-    return spark.createDataFrame(pd.DataFrame({"point": np.arange(len(kept)), "lon": kept[:, 0], "lat": kept[:, 1]}))
+def _uniform(seed: int, name: str) -> Column:
+    """A number from 0 to 1 by the hash of a seed, a name and the counter `k`: the same wherever it is drawn."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def null_points(spark, rings: DataFrame, n: int, seed: int = 20260606, cap: int = 50) -> DataFrame:
+    """k, lon, lat: the first n of numbered draws that lie inside any of the rings; ValueError if cap n draws do not hold n.
+
+    A draw is a hash of the seed and its number within the rings' box, so that it does not matter where and when it is
+    drawn. As many are drawn as the share that is met makes likely, in growing rounds; the first n by number stay.
+    """
+    edges = stored(polygon_edges(rings, []), "null-edges")
+    box = edges.agg(F.min("x1").alias("x"), F.max("x1").alias("x1"), F.min("y1").alias("y"), F.max("y1").alias("y1")).first()
+    if box["x"] is None:
+        raise ValueError("no rings to draw in")
+    at = lambda name, a, b: (F.lit(a) + _uniform(seed, name) * (b - a))
+    drawn, kept, found = 0, None, 0
+    while found < n and drawn < cap * n:
+        more = min(cap * n - drawn, max(2 * n, math.ceil(1.2 * (n - found) * drawn / max(found, 1))) if drawn else 2 * n)
+        draws = spark.range(drawn, drawn + more).select(F.col("id").alias("k")).select("k", at("lon", box["x"], box["x1"]).alias("lon"), at("lat", box["y"], box["y1"]).alias("lat"))
+        inside = stored(draws.join(points_in_polygons(draws, edges, [], "k"), "k", "left_semi"), "null-points")
+        kept, drawn = inside if kept is None else kept.unionByName(inside), drawn + more
+        found += inside.count()
+    if found < n:
+        raise ValueError(f"only {found} of {drawn} draws lie inside the rings, {n} were asked for")
+    if found == n or not n:
+        return kept.limit(n)
+    last = ordinal_ranks(kept, [], "k", "k").filter(F.col("rank") == n).first()["k"]
+    return kept.filter(F.col("k") <= last)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import physics as P
-from talus.operators.network import components
+from talus.sources.storage import stored
 
 
 def describe(pixels: DataFrame, by: list[str], size_m: float, velocity: str = "velocity", fs: str = "fs", slope: str = "slope_deg") -> DataFrame:
@@ -42,32 +41,36 @@ def valley_flag(zones: DataFrame, pixels: DataFrame, by: list[str], twi: str = "
 def merge_groups(zones: DataFrame, by: list[str], order: list[str], deg: float = 0.0015) -> DataFrame:
     """`seed`: the zone that each zone merges with: in order, a zone that is still free takes all later free ones near it.
 
-    Zones are put into components of nearness first (cells of the merging distance), so that the
-    sequential choice runs on places, each small, and not on whole sites.
+    All zones of a cell of the merging distance are near each other, so that a cell has one seed at most: the first of its
+    free zones, unless a free zone near it comes before. In each round all cells look at their neighbours at
+    once: whoever is first among all free zones near it is a seed, and takes those near it. Rounds are written out until
+    none is free; then each zone goes to the first seed near it.
     """
     cell = lambda c: F.floor(F.col(c) / deg).cast("long")
-    z = zones.withColumn("node", F.xxhash64(*order)).withColumns({"_x": cell("lon"), "_y": cell("lat")})
+    z = stored(zones.withColumn("node", F.xxhash64(*order)).withColumns({"_x": cell("lon"), "_y": cell("lat"), "_o": F.struct(*order)}), "merge-zones")
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    cells = z.select(*by, "_x", "_y").distinct().withColumn("_id", F.xxhash64("_x", "_y"))
-    near = cells.withColumn("o", steps).select(*by, (F.col("_x") + F.col("o.i")).alias("_x"), (F.col("_y") + F.col("o.j")).alias("_y"), F.col("_id").alias("b"))
-    edges = cells.withColumnRenamed("_id", "a").join(near, [*by, "_x", "_y"]).select(*by, "a", "b").filter("a <> b")
-    places = components(cells.select(*by, F.col("_id").alias("node")), edges, by).withColumnRenamed("node", "_id").withColumnRenamed("component", "_place")
-    dealt = z.join(cells, [*by, "_x", "_y"]).join(places, [*by, "_id"]).select(*by, "_place", "node", "lon", "lat", *order)
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order).reset_index(drop=True)
-        lon, lat = frame["lon"].to_numpy(), frame["lat"].to_numpy()
-        seed = [None] * len(frame)
-        for i in range(len(frame)):
-            if seed[i] is None:
-                for j in range(i, len(frame)):
-                    if seed[j] is None and abs(lat[j] - lat[i]) < deg and abs(lon[j] - lon[i]) < deg:
-                        seed[j] = frame["node"].iloc[i]
-        return frame.assign(seed=seed)[[*by, "node", "seed"]]
-
-    kinds = ", ".join(f"{c} {zones.schema[c].dataType.simpleString()}" for c in by)
-    seeds = dealt.groupBy(*by, "_place").applyInPandas(choose, f"{kinds}, node long, seed long")
-    return z.drop("_x", "_y").join(seeds, [*by, "node"]).drop("node")
+    near = (F.abs(F.col("lon") - F.col("_s.lon")) < deg) & (F.abs(F.col("lat") - F.col("_s.lat")) < deg)
+
+    def around(few: DataFrame) -> DataFrame:
+        """Each of a few zones, one a cell, sent to the nine cells around it."""
+        sent = few.select(*by, "_x", "_y", F.struct("_o", "node", "lon", "lat").alias("_s")).withColumn("_d", steps)
+        return sent.select(*by, (F.col("_x") + F.col("_d.i")).alias("_x"), (F.col("_y") + F.col("_d.j")).alias("_y"), "_s")
+
+    keys = ["_x", "_y", "_o", "node", "lon", "lat"]
+    free, seeds = z.select(*by, *keys), None
+    while not free.isEmpty():
+        first = free.groupBy(*by, "_x", "_y").agg(F.min(F.struct("_o", "node", "lon", "lat")).alias("_f")).select(*by, "_x", "_y", "_f.*")
+        met = stored(free.join(around(first), [*by, "_x", "_y"]).filter(near), "merge-met")
+        blocked = met.filter(F.col("_o") < F.col("_s._o")).select(*by, F.col("_s.node").alias("node")).distinct()
+        new = stored(first.join(blocked, [*by, "node"], "left_anti").select(*by, *keys), "merge-seeds")
+        taken = met.select(*by, "node", F.col("_s.node").alias("_by")).join(new.select(*by, F.col("node").alias("_by")), [*by, "_by"], "left_semi").select(*by, "node").distinct()
+        free = stored(free.join(taken, [*by, "node"], "left_anti"), "merge-free")
+        seeds = new if seeds is None else seeds.unionByName(new)
+    if seeds is None:
+        return zones.withColumn("seed", F.lit(None).cast("long"))
+    chosen = z.select(*by, *keys).join(around(seeds), [*by, "_x", "_y"]).filter(near & (F.col("_s._o") <= F.col("_o")))
+    chosen = chosen.groupBy(*by, "node").agg(F.min(F.struct(F.col("_s._o").alias("o"), F.col("_s.node").alias("seed"))).alias("_m")).select(*by, "node", "_m.seed")
+    return z.drop("_x", "_y", "_o").join(chosen, [*by, "node"]).drop("node")
 
 
 def merge_union(zones: DataFrame, by: list[str], group: str) -> DataFrame:

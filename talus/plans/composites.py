@@ -12,7 +12,7 @@ from talus.functions.stats import normal_cdf, normal_cdf_sql
 from talus.operators import network, raster, tables, validation, zones
 from talus.operators import rain as O
 from talus.plans.pixels import _W, _ZONES, W, zone_pixels
-from talus.plans.places import _KM, BUFFERS, KM_SQL, _distances, _read
+from talus.plans.places import _KM, BUFFERS, GREEDY_SQL, KM_SQL, _distances, _read
 from talus.plans.rain import _CALENDAR, _WATER, BY, calendar
 from talus.plans.registry import query, r6
 from talus.sources.files import json_payload
@@ -196,7 +196,25 @@ def middle_pixels(spark, sf_dir: str) -> DataFrame:
 # -- composites ---------------------------------------------------------------------------------------
 
 
-@query("m03_scenario_union")
+@query(
+    "m03_scenario_union",
+    f"""{_W}, sc AS (SELECT unnest({list(SCENARIOS)}) AS scenario, unnest({list(SCENARIOS.values())})::DOUBLE AS m),
+t0 AS (
+  SELECT scenario, stack, row, col, row::BIGINT * 1000000000 + col AS k, velocity, (1.0 - m) * fs_dry + m * fs_sat AS fs, slope_deg
+  FROM px_pixels, sc WHERE (1.0 - m) * fs_dry + m * fs_sat < 1.0 AND velocity < -15.0),
+te AS (SELECT a.scenario, a.stack, a.k AS a, b.k AS b FROM t0 a JOIN t0 b ON a.scenario = b.scenario AND a.stack = b.stack AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+tr(scenario, stack, a, b) AS (
+  SELECT scenario, stack, k, k FROM t0 UNION SELECT r.scenario, r.stack, r.a, e.b FROM tr r JOIN te e ON e.scenario = r.scenario AND e.stack = r.stack AND e.a = r.b),
+tl AS (SELECT scenario, stack, a AS k, min(b) AS zone FROM tr GROUP BY ALL),
+tz AS (
+  SELECT scenario, stack, zone, count(*) AS n, avg(row) AS r, avg(col) AS c, avg(velocity) AS v, avg(fs) AS fs FROM t0 JOIN tl USING (scenario, stack, k) GROUP BY ALL HAVING count(*) >= 3),
+mo AS (
+  SELECT scenario AS place, stack, zone, 75.0 + c * 0.0009 AS lon, 33.0 - r * 0.0007 AS lat, CASE WHEN v <= -50 OR fs <= 0.7 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, fs, v, n * 0.0064::DOUBLE AS area,
+         row_number() OVER (PARTITION BY scenario ORDER BY stack, zone) AS k FROM tz), {GREEDY_SQL.format(deg=0.0015)}
+SELECT place AS scenario, round(avg(lon), 9) AS lon, round(avg(lat), 9) AS lat, array_to_string(list_sort(list(DISTINCT stack)), ',') AS looks, count(DISTINCT stack) AS n_looks,
+       CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' ELSE 'HIGH' END AS severity, round(min(fs), 6) AS min_fs, round(min(v), 6) AS strongest_creep, round(max(area), 6) AS max_area_km2, false AS llof
+FROM taken GROUP BY place, seed""",
+)
 def scenario_union(spark, sf_dir: str) -> DataFrame:
     """Zones of each scenario and stack, merged over stacks where their middles are near."""
     px = px_pixels(spark, sf_dir)
@@ -206,7 +224,8 @@ def scenario_union(spark, sf_dir: str) -> DataFrame:
     z = zones.describe(lab, ["scenario", "stack"], 80.0)
     placed = z.select("scenario", "stack", "zone", (75.0 + F.col("centre_col") * 0.0009).alias("lon"), (33.0 - F.col("centre_row") * 0.0007).alias("lat"), "severity", "mean_fs", F.col("mean_velocity").alias("velocity"), "area_km2", F.lit(False).alias("llof"))
     merged = zones.merge_groups(placed, ["scenario"], ["stack", "zone"])
-    return zones.merge_union(merged, ["scenario"], "seed").drop("seed").withColumns(r6("lon", "lat", "min_fs", "strongest_creep", "max_area_km2"))
+    out = zones.merge_union(merged, ["scenario"], "seed").drop("seed").withColumns(r6("min_fs", "strongest_creep", "max_area_km2"))
+    return out.withColumns({c: F.round(c, 9) for c in ("lon", "lat")})
 
 
 @query("m10_alarm_report", f"WITH {_CALENDAR} SELECT site, count(*) FILTER (alarm_level = 'ALERT') AS n_alert, count(*) FILTER (alarm_level = 'WATCH') AS n_watch, count(*) AS n_days, round(max(exceedance), 6) AS max_exceedance, min(date) FILTER (alarm_level = 'ALERT') AS first_alert, max(date) FILTER (alarm_level = 'ALERT') AS last_alert FROM calendar GROUP BY site")

@@ -81,9 +81,35 @@ def bridging(spark, sf_dir: str) -> DataFrame:
     return network.bridging_edges(edges, _components(spark, sf_dir), ["stack"]).select("stack", "product", "a_component", "b_component").distinct()
 
 
-@query("g02_bridge_selection")
+_PART = lambda a, m: f"(({a} * px_w.ref) % {m})::DOUBLE / {m}.0::DOUBLE"
+_BRIDGE_ROWS = f"""px_w AS (SELECT user_id, event_id AS ref, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sec FROM events),
+bp AS (
+  SELECT user_id AS stack, 'P' || ref || '_' || sec AS product, ref % 60 AS ref, sec % 60 AS sec,
+         CASE WHEN px_w.ref % 3 = 0 THEN 'KEEP' WHEN px_w.ref % 3 = 1 THEN 'CONCERN' ELSE 'QUARANTINE' END AS decision, px_w.ref % 21 = 0 AS rescued,
+         CASE WHEN px_w.ref % 10 <> 0 THEN {_PART(31, 97)} END AS r2, 0.5::DOUBLE + 0.5::DOUBLE * ({_PART(37, 101)}) AS coherence,
+         CASE WHEN px_w.ref % 12 <> 0 THEN 100.0::DOUBLE * ({_PART(41, 103)}) END AS pct
+  FROM px_w WHERE sec IS NOT NULL),
+br AS (
+  SELECT *, CASE WHEN decision = 'CONCERN' OR (decision = 'KEEP' AND rescued) THEN 1 WHEN decision = 'KEEP' THEN 0 END AS role,
+         CASE WHEN r2 > 0.5 THEN 'atmos_r2' WHEN coherence < 0.6 THEN 'coherence' WHEN pct < 30.0 THEN 'surviving_pct' END AS failure FROM bp),
+bo AS (
+  SELECT *, row_number() OVER (PARTITION BY stack ORDER BY role, CASE WHEN role = 1 THEN -coalesce(pct, -1.0) END, CASE WHEN role = 1 THEN coalesce(r2, 1.0) END, ref, sec, product) AS k
+  FROM br WHERE role IS NOT NULL)"""
+
+
+@query(
+    "g02_bridge_selection",
+    f"""WITH RECURSIVE {_BRIDGE_ROWS},
+seq(stack, k, part, product, told, failure) AS (
+  SELECT stack, 0::BIGINT, range(60), NULL::VARCHAR, false, NULL::VARCHAR FROM (SELECT DISTINCT stack FROM bo)
+  UNION ALL
+  SELECT s.stack, b.k, CASE WHEN role = 0 OR b.failure IS NULL THEN list_transform(part, lambda x: CASE WHEN x = part[b.sec + 1] THEN part[b.ref + 1] ELSE x END) ELSE part END,
+         b.product, role = 1 AND part[b.ref + 1] <> part[b.sec + 1], b.failure
+  FROM seq s JOIN bo b ON b.stack = s.stack AND b.k = s.k + 1)
+SELECT stack, product, failure IS NULL AS selected, failure FROM seq WHERE told""",
+)
 def bridges(spark, sf_dir: str) -> DataFrame:
-    """Rescued pairs of each stack, chosen one after the other."""
+    """Rescued pairs of each stack, as chosen one after the other."""
     return network.select_bridges(px_pairs(spark, sf_dir))
 
 
@@ -163,7 +189,24 @@ def noisy_or(spark, sf_dir: str) -> DataFrame:
     return zones.combined_confidence(_grouped(spark, sf_dir), [], "place").withColumns(r6("confidence"))
 
 
-@query("j10_union_merge")
+#: Seeds in the order of a table `mo` (place, k, lon, lat), by a walk over it: how near, in degrees, is {deg}.
+GREEDY_SQL = """walk(place, k, seeds) AS (
+  SELECT place, 0::BIGINT, []::STRUCT(k BIGINT, lon DOUBLE, lat DOUBLE)[] FROM (SELECT DISTINCT place FROM mo)
+  UNION ALL
+  SELECT w.place, m.k, CASE WHEN len(list_filter(seeds, lambda s: abs(s.lon - m.lon) < {deg} AND abs(s.lat - m.lat) < {deg})) = 0
+         THEN list_append(seeds, {{'k': m.k, 'lon': m.lon, 'lat': m.lat}}) ELSE seeds END
+  FROM walk w JOIN mo m ON m.place IS NOT DISTINCT FROM w.place AND m.k = w.k + 1),
+last AS (SELECT place, max_by(seeds, k) AS seeds FROM walk GROUP BY place),
+taken AS (
+  SELECT m.*, list_min(list_transform(list_filter(seeds, lambda s: s.k <= m.k AND abs(s.lon - m.lon) < {deg} AND abs(s.lat - m.lat) < {deg}), lambda s: s.k)) AS seed
+  FROM mo m JOIN last l ON l.place IS NOT DISTINCT FROM m.place)"""
+
+
+@query(
+    "j10_union_merge",
+    f"""WITH RECURSIVE {PX_ZONES}, mo AS (SELECT 'all' AS place, zone, stack, lon, lat, row_number() OVER (ORDER BY stack, zone) AS k FROM px_zones), {GREEDY_SQL.format(deg=0.02)}
+SELECT t.zone, t.stack, s.zone AS seed_zone FROM taken t JOIN mo s ON s.k = t.seed""",
+)
 def union_merge(spark, sf_dir: str) -> DataFrame:
     """Seeds take the free zones near them, in the order of looks and ids."""
     z = px_zones(spark, sf_dir).withColumn("site", F.lit("all"))

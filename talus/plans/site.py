@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import physics as P
-from talus.operators import exposure, raster, tables, validation, zones
+from talus.operators import exposure, forest, raster, tables, validation, zones
 from talus.operators import rain as O
 from talus.plans.pixels import _RUNOUT, _W, _ZONES, SOIL, W, runout, zone_pixels
-from talus.plans.places import _DENSE, _KM, BUFFERS, KM_SQL, _distances, _read, _route
+from talus.plans.places import _DENSE, _KM, BUFFERS, KM_SQL, _read, _route
 from talus.plans.rain import _BURST, _CALENDAR, _EVENTS, A, B, BY, big_orders, calendar
+from talus.plans.regions import DEGREE, NULL_SQL, null_sample
 from talus.plans.registry import query, r6
 from talus.sources.proxies import PX_DAILY, PX_PIXELS, PX_POINTS, PX_ZONES, SITES, px_burst, px_daily, px_pixels, px_points, px_zones
 from talus.sources.storage import stored
@@ -69,12 +70,26 @@ def soil_combinations(spark, sf_dir: str) -> DataFrame:
 KAPPAS, WETNESS = [0.0, 0.03, 0.06, 0.1], [0.25, 0.5, 0.75, 1.0]
 
 
+#: Level above which a cell is unstable: its critical saturation, less what its wetness adds to the mean; always below 0, never from 1 on.
+_LEVEL = """CASE WHEN fs_sat < fs_dry AND velocity < -15.0 AND (fs_dry - 1.0) / (fs_dry - fs_sat) < 1.0
+  THEN CASE WHEN fs_dry < 1.0 THEN -1.0 ELSE (fs_dry - 1.0) / (fs_dry - fs_sat) - kappa * (twi - twi_mean) END END"""
+
+
 @query(
     "m04_kappa_sweep",
-    f"""WITH {PX_POINTS}, {PX_ZONES}, ks AS (SELECT unnest({KAPPAS})::DOUBLE AS kappa), ms AS (SELECT unnest({WETNESS})::DOUBLE AS m),
-eff AS (SELECT kappa, zone, lon, lat, least(greatest(m_star - kappa * (twi - avg(twi) OVER (PARTITION BY kappa)), 0.0), 1.0) AS m_eff FROM px_zones, ks),
-z AS (SELECT kappa, m, zone, lon, lat FROM eff, ms WHERE m_eff <= m),
-r AS (SELECT kappa, m, count(*) AS n_zones FROM z GROUP BY ALL), b AS (SELECT unnest({BUFFERS})::DOUBLE AS buffer_km),
+    f"""WITH RECURSIVE {PX_PIXELS}, {PX_POINTS}, ks AS (SELECT unnest({KAPPAS})::DOUBLE AS kappa), ms AS (SELECT unnest({WETNESS})::DOUBLE AS m),
+wet AS (
+  SELECT kappa, m, stack, row, col, row::BIGINT * 1000000000 + col AS k, velocity, fs_dry, fs_sat, least(greatest(m + kappa * (twi - avg(twi) OVER (PARTITION BY stack, kappa, m)), 0.0), 1.0) AS w
+  FROM px_pixels, ks, ms),
+t0 AS (SELECT * FROM wet WHERE (1.0 - w) * fs_dry + w * fs_sat < 1.0 AND fs_sat < fs_dry AND velocity < -15.0),
+te AS (SELECT a.kappa, a.m, a.stack, a.k AS a, b.k AS b FROM t0 a JOIN t0 b ON a.kappa = b.kappa AND a.m = b.m AND a.stack = b.stack AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+tr(kappa, m, stack, a, b) AS (
+  SELECT kappa, m, stack, k, k FROM t0 UNION SELECT r.kappa, r.m, r.stack, r.a, e.b FROM tr r JOIN te e ON e.kappa = r.kappa AND e.m = r.m AND e.stack = r.stack AND e.a = r.b),
+tl AS (SELECT kappa, m, stack, a AS k, min(b) AS zone FROM tr GROUP BY ALL),
+z AS (
+  SELECT kappa, m, stack, zone, count(*) AS n, 75.0::DOUBLE + (avg(col) + 0.5::DOUBLE) * 0.02::DOUBLE AS lon, 34.0::DOUBLE + (avg(row) + 0.5::DOUBLE) * (-1.0::DOUBLE / 60.0::DOUBLE) AS lat
+  FROM t0 JOIN tl USING (kappa, m, stack, k) GROUP BY ALL HAVING count(*) >= 3),
+r AS (SELECT kappa, m, count(*) AS n_zones, sum(n)::BIGINT AS n_cells, max(n) AS largest FROM z GROUP BY ALL), b AS (SELECT unnest({BUFFERS})::DOUBLE AS buffer_km),
 dist AS (SELECT kappa, m, point, label, min({KM_SQL}) AS km FROM px_points p, z GROUP BY ALL),
 rate AS (
   SELECT kappa, m, buffer_km, avg(CASE WHEN km <= buffer_km THEN 1.0 ELSE 0.0 END) FILTER (label = 1) AS t, avg(CASE WHEN km <= buffer_km THEN 1.0 ELSE 0.0 END) FILTER (label = 0) AS f
@@ -82,46 +97,55 @@ rate AS (
 e AS (SELECT kappa, m, f AS x, t AS y, buffer_km AS o FROM rate UNION ALL SELECT kappa, m, 0.0, 0.0, -1.0 FROM r UNION ALL SELECT kappa, m, 1.0, 1.0, 1e9 FROM r),
 l AS (SELECT kappa, m, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM e WINDOW w AS (PARTITION BY kappa, m ORDER BY x, o)),
 auc AS (SELECT kappa, m, sum(a) AS auc FROM l GROUP BY ALL)
-SELECT auc.kappa, auc.m, n_zones, round(auc, 6) AS auc FROM auc JOIN r ON r.kappa = auc.kappa AND r.m = auc.m""",
+SELECT auc.kappa, auc.m, n_zones, n_cells, largest, round(auc, 6) AS auc FROM auc JOIN r ON r.kappa = auc.kappa AND r.m = auc.m""",
 )
 def kappa_sweep(spark, sf_dir: str) -> DataFrame:
-    """Zones drawn at each redistribution and wetness, scored by the same protocol, all in one pass."""
-    z = px_zones(spark, sf_dir).withColumn("kappa", F.explode(F.array(*map(F.lit, KAPPAS))))
-    z = z.join(z.groupBy("kappa").agg(F.avg("twi").alias("twi_mean")), "kappa")
-    m_eff = P.clip(F.col("m_star") - F.col("kappa") * (F.col("twi") - F.col("twi_mean")), 0, 1)
-    z = z.withColumns({"m_eff": m_eff, "m": F.explode(F.array(*map(F.lit, WETNESS)))}).filter("m_eff <= m")
-    z = stored(z.select("kappa", "m", "zone", "lon", "lat"), "kappa-zones")
-    n = z.groupBy("kappa", "m").agg(F.count("*").alias("n_zones"))
-    asked = px_points(spark, sf_dir).join(n.select("kappa", "m"))  # a few scenarios for each place
-    rows = validation.distance_roc(validation.nearest_zone(asked, z, ["kappa", "m"], "point", "zone"), ["kappa", "m"], BUFFERS, digits=None)
+    """Zones redrawn from the pixels at each redistribution and wetness, from one merge tree, and scored by one protocol."""
+    px = px_pixels(spark, sf_dir)
+    px = px.join(px.groupBy("stack").agg(F.avg("twi").alias("twi_mean")), "stack").withColumn("kappa", F.explode(F.array(*map(F.lit, KAPPAS))))
+    cells = px.select("kappa", "stack", "row", "col", F.expr(_LEVEL).alias("level"))
+    on = forest.zones_at_levels(cells, ["kappa", "stack"], F.col("level"), WETNESS)
+    z = on.groupBy("kappa", F.col("at").alias("m"), "stack", "zone").agg(F.count("*").alias("n"), F.avg("row").alias("r"), F.avg("col").alias("c"))
+    z = z.withColumns({"lon": DEGREE.x(F.col("c")), "lat": DEGREE.y(F.col("r"))})
+    z = stored(z.withColumn("zone", F.struct("stack", "zone")), "kappa-zones")
+    n = z.groupBy("kappa", "m").agg(F.count("*").alias("n_zones"), F.sum("n").alias("n_cells"), F.max("n").alias("largest"))
+    asked = px_points(spark, sf_dir).withColumn("_s", F.explode(F.array(*(F.struct(F.lit(k).alias("kappa"), F.lit(m).alias("m")) for k in KAPPAS for m in WETNESS)))).select("*", "_s.*").drop("_s")
+    near = validation.nearest_zone(asked, z, ["kappa", "m"], "point", "zone").filter("nearest_km is not null")
+    rows = validation.distance_roc(near, ["kappa", "m"], BUFFERS, digits=None)
     return validation.roc_area(stored(rows, "kappa-rates"), ["kappa", "m"]).join(n, ["kappa", "m"]).withColumns(r6("auc"))
 
 
 @query(
     "m06_scored_backtest",
-    f"""WITH {_CALENDAR}, {_EVENTS}, {_KM},
+    f"""WITH {_CALENDAR}, {_EVENTS}, {_KM}, {NULL_SQL}, b AS (SELECT unnest({BUFFERS})::DOUBLE AS buffer_km),
 near AS (SELECT e.site, e.event_date, min(abs(date_diff('day', c.date, e.event_date))) AS d FROM ev e LEFT JOIN calendar c ON c.site = e.site AND c.alarm_level = 'ALERT' GROUP BY 1, 2),
 chance AS (
   SELECT x.site, x.date, min(abs(date_diff('day', c.date, x.date))) AS d FROM calendar x LEFT JOIN calendar c ON c.site = x.site AND c.alarm_level = 'ALERT' AND abs(date_diff('day', c.date, x.date)) <= 3 GROUP BY 1, 2),
 t AS (SELECT site, count(*) AS n_events, avg(CASE WHEN d <= 3 THEN 1.0 ELSE 0.0 END) AS hit FROM near GROUP BY site),
 k AS (SELECT site, avg(CASE WHEN d <= 3 THEN 1.0 ELSE 0.0 END) AS null_hit FROM chance GROUP BY site),
-s AS (SELECT avg(CASE WHEN nearest_km <= 10.0 THEN 1.0 ELSE 0.0 END) FILTER (label = 1) AS tpr, avg(CASE WHEN nearest_km <= 10.0 THEN 1.0 ELSE 0.0 END) FILTER (label = 0) AS fpr FROM dist)
-SELECT t.site, n_events, round(hit, 6) AS share_near_alert, round(null_hit, 6) AS share_of_all_days, round(hit / nullif(null_hit, 0), 6) AS temporal_lift,
-       round(tpr, 6) AS tpr_10km, round(fpr, 6) AS null_10km, round(tpr / nullif(fpr, 0), 6) AS spatial_lift
-FROM t JOIN k ON k.site = t.site, s""",
+nd AS (SELECT p.k, min({KM_SQL}) AS km FROM nulls p, px_zones z GROUP BY p.k),
+s AS (SELECT buffer_km, avg(CASE WHEN nearest_km <= buffer_km THEN 1.0 ELSE 0.0 END) FILTER (label = 1) AS tpr FROM dist, b GROUP BY 1),
+f AS (SELECT buffer_km, avg(CASE WHEN km <= buffer_km THEN 1.0 ELSE 0.0 END) AS fpr FROM nd, b GROUP BY 1),
+m AS (SELECT median(km) AS null_median FROM nd)
+SELECT t.site, s.buffer_km, n_events, round(hit, 6) AS share_near_alert, round(null_hit, 6) AS share_of_all_days, round(hit / nullif(null_hit, 0), 6) AS temporal_lift,
+       round(tpr, 6) AS tpr, round(fpr, 6) AS null_rate, round(tpr / nullif(fpr, 0), 6) AS spatial_lift, round(null_median, 6) AS null_median_km
+FROM t JOIN k ON k.site = t.site, s JOIN f ON f.buffer_km = s.buffer_km, m""",
 )
 def scored_backtest(spark, sf_dir: str) -> DataFrame:
-    """Events against alert days and against all days, inventory places against null places."""
+    """Events against alert days and against all days; inventory places against points drawn in the area, at every distance."""
     days = stored(calendar(spark, sf_dir).select("site", "date", "alarm_level"), "backtest-days")
     alert, near = F.col("alarm_level") == "ALERT", F.avg(F.when(F.col("delta_days") <= 3, 1.0).otherwise(0.0))
     t = O.nearest_alert(big_orders(spark, sf_dir), days, BY, alert).groupBy("site").agg(F.count("*").alias("n_events"), near.alias("hit"))
     k = O.nearest_alert(days.select("site", F.col("date").alias("event_date")), days, BY, alert).groupBy("site").agg(near.alias("null_hit"))
-    inside = F.when(F.col("nearest_km") <= 10.0, 1.0).otherwise(0.0)
-    s = _distances(spark, sf_dir).agg(F.avg(F.when(F.col("label") == 1, inside)).alias("tpr"), F.avg(F.when(F.col("label") == 0, inside)).alias("fpr"))
-    both = t.join(k, "site").join(F.broadcast(s))  # one row
+    places = px_points(spark, sf_dir).filter("label = 1").select(F.struct(F.lit("place").alias("kind"), F.col("point").alias("k")).alias("point"), "lon", "lat", F.lit(1).alias("label"))
+    drawn = null_sample(spark).select(F.struct(F.lit("null").alias("kind"), "k").alias("point"), "lon", "lat", F.lit(0).alias("label"))
+    d = stored(validation.nearest_zone(places.unionByName(drawn), px_zones(spark, sf_dir), [], "point", "zone"), "backtest-distances")
+    rates = validation.distance_roc(d, [], BUFFERS, digits=None).select("buffer_km", "tpr", "fpr")
+    middle = d.filter("label = 0").agg(F.median("nearest_km")).first()[0]
+    both = t.join(k, "site").withColumn("buffer_km", F.explode(F.array(*map(F.lit, BUFFERS)))).join(rates, "buffer_km").withColumn("null_median", F.lit(middle))
     return both.select(
-        "site", "n_events", F.round("hit", 6).alias("share_near_alert"), F.round("null_hit", 6).alias("share_of_all_days"), F.round(F.try_divide("hit", "null_hit"), 6).alias("temporal_lift"),
-        F.round("tpr", 6).alias("tpr_10km"), F.round("fpr", 6).alias("null_10km"), F.round(F.try_divide("tpr", "fpr"), 6).alias("spatial_lift"),
+        "site", "buffer_km", "n_events", F.round("hit", 6).alias("share_near_alert"), F.round("null_hit", 6).alias("share_of_all_days"), F.round(F.try_divide("hit", "null_hit"), 6).alias("temporal_lift"),
+        F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("null_rate"), F.round(F.try_divide("tpr", "fpr"), 6).alias("spatial_lift"), F.round("null_median", 6).alias("null_median_km"),
     )
 
 
@@ -143,15 +167,17 @@ SELECT *, row_number() OVER (PARTITION BY way ORDER BY cls, nearest_km, length_m
 def route_exposure(spark, sf_dir: str) -> DataFrame:
     """Route samples by their distance to the edges of zones, as ranked stretches.
 
-    A zone's edge is its middle less the radius of a disc of its area; the nearest edge lies among zones whose middles
-    are no farther than the nearest edge and the largest radius, so that samples and zones meet in cells of that size.
+    A zone's edge is its middle less the radius of a disc of its area. Critical zones and all zones are searched in one run.
     """
     samples = exposure.densify(_route(spark, sf_dir), ["way"], "seq0", 100.0).withColumns({"lon": 75.0 + F.col("x") / 1000.0, "lat": 33.0 + F.col("y") / 1000.0})
     samples = stored(samples.select("way", "seq", "lon", "lat").withColumn("sample", F.struct("way", "seq")), "route-samples")
     z = px_zones(spark, sf_dir).withColumn("radius", F.sqrt(F.col("area_km2") / 3.141592653589793))
-    core = validation.nearest_edge(samples, z.filter("severity = 'CRITICAL'"), "sample", "radius").select("sample", F.col("edge_km").alias("core"))
-    every = validation.nearest_edge(samples, z, "sample", "radius").select("sample", F.col("edge_km").alias("any_zone"))
-    d = samples.join(core, "sample", "left").join(every, "sample", "left")
+    scenario = lambda core: F.explode(F.array(*map(F.lit, ("core", "any_zone") if core else ("any_zone",))))
+    both = z.filter("severity = 'CRITICAL'").withColumn("of", scenario(True)).unionByName(z.filter("severity <> 'CRITICAL'").withColumn("of", scenario(False)))
+    asked = samples.withColumn("of", scenario(True))
+    edges = validation.nearest_edge(asked, both, ["of"], "sample", "zone", "radius")
+    of = lambda name: F.min(F.when(F.col("of") == name, F.col("edge_km"))).alias(name)
+    d = edges.groupBy("sample").agg(of("core"), of("any_zone")).select("sample.*", "core", "any_zone")
     d = d.withColumn("cls", exposure.exposure_class(F.col("core"), {"WATCH": F.col("any_zone")}, 1.0))
     out = exposure.segments(d, ["way"], "seq", "cls", 100.0, keep={"nearest_km": F.round(F.min("any_zone"), 6)})
     return tables.ranked(out, ["way"], [F.col("cls"), F.col("nearest_km"), F.desc("length_m"), F.col("start")])
