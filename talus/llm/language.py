@@ -27,6 +27,8 @@ from talus.llm.hashing import mixed
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
+#: Languages whose shares of the sample are broadcast at most; more meet the texts in a shuffle.
+MOST_BROADCAST = 10_000
 
 
 @cache
@@ -150,8 +152,8 @@ def predict_language(docs: DataFrame, learn_from=None, max_sample: int = 4000, e
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32()))], ["lang", "at", "n"])
 
     edges = [(lang, sampled_edge(share)) for lang, share in dealt_shares(langs, max_sample).items()]
-    # one row for each language: as many as the collected counts
-    drawn = known.withColumn("_lang", F.col("lang").cast("string")).join(docs.sparkSession.createDataFrame(edges, "_lang string, _edge long"), "_lang").filter(F.xxhash64(F.lit("sample"), "doc_id", "text") <= F.col("_edge"))
+    table = docs.sparkSession.createDataFrame(edges, "_lang string, _edge long")  # a row for each language
+    drawn = known.withColumn("_lang", F.col("lang").cast("string")).join(F.broadcast(table) if len(edges) <= MOST_BROADCAST else table, "_lang").filter(F.xxhash64(F.lit("sample"), "doc_id", "text") <= F.col("_edge"))
     # rows of equal doc_id, text and lang all fall in or out: they are one row of the sample
     sample = drawn.select("doc_id", "low", "lang").distinct().orderBy(F.xxhash64("doc_id", "low"), "lang").select("low", F.col("lang").cast("string").alias("lang")).mapInArrow(counted, "lang string, at array<int>, n array<int>").toPandas()
     names = sorted(sample["lang"].unique()) if len(sample) else []
