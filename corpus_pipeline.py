@@ -2,11 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's `docs`; tables that a stage stores on its way are
-deleted when the next one is called, so its output has to be written by then.
+deleted when the next one is called in the same thread, so its output has to be written by then.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -20,8 +21,15 @@ from talus.llm.neardup import near_duplicates
 from talus.llm.quality import accepted
 from talus.llm.secrets import without_secrets
 
-#: Folders that the stage called last has stored on its way.
-_ON_THE_WAY: list[str] = []
+
+class _OnTheWay(threading.local):
+    """Folders that the stage called last has stored on its way; runs in several threads have their own."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+
+_on_the_way = _OnTheWay()
 
 
 def _stage(f: Callable) -> Callable:
@@ -30,10 +38,10 @@ def _stage(f: Callable) -> Callable:
     @wraps(f)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if first:
-            _ON_THE_WAY.clear()
+            _on_the_way.folders.clear()
         else:
-            dropped(spark, _ON_THE_WAY)
-        with recorded(_ON_THE_WAY):
+            dropped(spark, _on_the_way.folders)
+        with recorded(_on_the_way.folders):
             return f(spark, docs, sf_dir)
 
     return stage

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Lists that take down the folders that `stored` writes, innermost last.
-_OPEN: list[list[str]] = []
+class _Open(threading.local):
+    """Lists that take down the folders that `stored` writes, innermost last; each thread has its own."""
+
+    def __init__(self) -> None:
+        self.lists: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,19 +42,19 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _open.lists:
+        _open.lists[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def recorded(folders: list[str]) -> Iterator[None]:
-    """Folders that `stored` writes within are added to the list."""
-    _OPEN.append(folders)
+    """Folders that `stored` writes within, in this thread, are added to the list."""
+    _open.lists.append(folders)
     try:
         yield
     finally:
-        _OPEN.pop()
+        _open.lists.pop()
 
 
 def dropped(spark: SparkSession, folders: list[str]) -> None:
