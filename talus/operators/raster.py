@@ -148,8 +148,8 @@ def resample_bilinear(pixels: DataFrame, points: DataFrame, by: list[str], value
 
 
 def sample_points(points: DataFrame, pixels: DataFrame, by: list[str], value: str, key: str, priority: str) -> DataFrame:
-    """For each point (key, row, col in each of several grids) the value of the first grid, by `priority`, that has one."""
-    met = points.join(pixels.select(*by, "row", "col", value), [*by, "row", "col"]).filter(F.col(value).isNotNull())
+    """For each point (key, row, col, and perhaps some of `by`) the value of the first grid, by `priority`, that has one."""
+    met = points.join(pixels.select(*by, "row", "col", value), [*(c for c in by if c in points.columns), "row", "col"]).filter(F.col(value).isNotNull())
     return met.groupBy(key).agg(F.min_by(F.struct(*by, value), priority).alias("r")).select(key, "r.*")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.operators.validation import ordinal_ranks
+
 
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first n rows; the order should leave no ties."""
@@ -23,10 +25,9 @@ def first_of(df: DataFrame, by: list, order: list[Column]) -> DataFrame:
     return ranked(df, by, order).filter("place = 1").drop("place")
 
 
-def every(df: DataFrame, by: list[str], order: list[str], step: int) -> DataFrame:
-    """Every step-th row of each group, from the first."""
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("_i", i).filter(F.col("_i") % step == 0).drop("_i")
+def every(df: DataFrame, by: list[str], order: str, tie: str, step: int) -> DataFrame:
+    """Every step-th row of each group, from the first; rows are numbered within ranges of the order."""
+    return ordinal_ranks(df, by, order, tie).filter((F.col("rank") - 1) % step == 0).drop("rank")
 
 
 def newer(scenes: DataFrame, library: DataFrame, by: list[str], time: str) -> DataFrame:

@@ -16,7 +16,7 @@ from talus.sources.storage import stored
 
 
 #: Zones of a leaf, levels of the tree of cells, and bits of each level: a cell has 8 x 8 x 8 parts.
-LEAF, LEVELS, BITS = 64, 7, 3
+LEAF, LEVELS, BITS = 8, 7, 3
 _FINEST = LEVELS * BITS
 
 
@@ -47,10 +47,8 @@ def _bounds(a: str, b: str, radius: Column) -> tuple[Column, Column]:
     return arc(near) - radius, arc(far) - radius
 
 
-def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str | None = None) -> DataFrame:
-    """For each point the distance (km) to the nearest zone, and which; null where a group has no zone or the point no place.
-
-    With `radius` (km) zones are discs, and the distance is that to the nearest edge, negative inside.
+def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str | None) -> DataFrame:
+    """`by`, point with the zones (_zone, _zlon, _zlat, _radius) that may be nearest to it, among them the nearest, and `square` of the chord.
 
     Zones lie in the cells of a tree over the globe, which are parted until one holds LEAF zones at most: dense areas have small
     cells, wherever they are. The cells that points lie in descend the tree together: of the cells in sight, those go that
@@ -84,16 +82,22 @@ def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str,
             seen = parts.select(*by, "_q", F.coalesce("_child", "_cell").alias("_cell"), F.coalesce("_child_n", "_n").alias("_n"), F.coalesce("_child_most", "_most").alias("_most"))
     pairs = stored(seen.select(*by, "_q", "_cell"), "nearest-cells")
     square = sum((F.get("_here", F.lit(i)) - F.get("_there", F.lit(i))) * (F.get("_here", F.lit(i)) - F.get("_there", F.lit(i))) for i in range(3))
-    far = square if radius is None else 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(square) / 2)) - F.col("_radius")
-    met = asked.join(pairs, [*by, "_q"]).join(placed, [*by, "_cell"]).select(*by, point, F.struct(far.alias("far"), F.col("_zone").alias("zone"), "_zlon", "_zlat").alias("_m"))
-    best = met.groupBy(*by, point).agg(F.min("_m").alias("_best"))
-    km = F.when(F.col("_best").isNotNull(), haversine_km(F.col("lon"), F.col("lat"), F.col("_best._zlon"), F.col("_best._zlat"))) if radius is None else F.col("_best.far")
+    return asked.join(pairs, [*by, "_q"]).join(placed, [*by, "_cell"]).select(*by, point, "lon", "lat", "_zone", "_zlon", "_zlat", "_radius", square.alias("square"))
+
+
+def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str) -> DataFrame:
+    """For each point the distance (km) to the nearest zone, and which; null where a group has no zone or the point no place."""
+    met = _met(points, zones, by, point, zone, None)
+    best = met.groupBy(*by, point).agg(F.min(F.struct("square", F.col("_zone").alias("zone"), "_zlon", "_zlat")).alias("_best"))
+    km = F.when(F.col("_best").isNotNull(), haversine_km(F.col("lon"), F.col("lat"), F.col("_best._zlon"), F.col("_best._zlat")))
     return points.join(best, [*by, point], "left").select(*points.columns, km.alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
 
 
-def nearest_edge(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str) -> DataFrame:
-    """`by`, `point`, edge_km and nearest_zone: the nearest edge of discs around the zones' middles (negative inside)."""
-    return nearest_zone(points, zones, by, point, zone, radius).select(*by, point, F.col("nearest_km").alias("edge_km"), "nearest_zone")
+def nearest_edge(points: DataFrame, zones: DataFrame, by: list[str], point: str, radius: str) -> DataFrame:
+    """`by`, `point`, edge_km: the distance to the nearest edge of discs (`radius` in km) around the zones' middles, negative inside; null as in nearest_zone."""
+    met = _met(points, zones.withColumn("_name", F.lit(0)), by, point, "_name", radius)
+    edge = 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt("square") / 2)) - F.col("_radius")
+    return points.select(*by, point).join(met.groupBy(*by, point).agg(F.min(edge).alias("edge_km")), [*by, point], "left")
 
 
 def _rounded(x: Column, digits: int | None) -> Column:

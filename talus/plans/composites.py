@@ -149,11 +149,11 @@ def looks(spark, sf_dir: str) -> DataFrame:
 # -- joins ------------------------------------------------------------------------------------------
 
 
-@query("j03_layer_join", f"{W}, h AS (SELECT stack, row, col, coh FROM px_pixels WHERE (row + col) % 3 <> 0) SELECT p.stack, count(*) AS n, round(avg(p.dem), 6) AS dem, round(avg(h.coh), 6) AS coh FROM px_pixels p JOIN h ON h.stack = p.stack AND h.row = p.row AND h.col = p.col GROUP BY 1")
+@query("j03_layer_join", f"{W}, h AS (SELECT stack, row, col, coh FROM px_pixels WHERE coh IS NOT NULL) SELECT p.stack, count(*) AS n, round(avg(p.dem), 6) AS dem, round(avg(h.coh), 6) AS coh FROM px_pixels p JOIN h ON h.stack = p.stack AND h.row = p.row AND h.col = p.col GROUP BY 1")
 def layers(spark, sf_dir: str) -> DataFrame:
     """Two layers on one grid, where both are known."""
     px = px_pixels(spark, sf_dir)
-    h = px.filter((F.col("row") + F.col("col")) % 3 != 0).select("stack", "row", "col", "coh")
+    h = px.filter("coh is not null").select("stack", "row", "col", "coh")
     return px.drop("coh").join(h, ["stack", "row", "col"]).groupBy("stack").agg(F.count("*").alias("n"), F.round(F.avg("dem"), 6).alias("dem"), F.round(F.avg("coh"), 6).alias("coh"))
 
 
@@ -162,23 +162,23 @@ def layers(spark, sf_dir: str) -> DataFrame:
     f"""{W}, pt AS (SELECT c_custkey AS point, (c_custkey % 60)::INT AS row, (c_custkey * 7 % 50)::INT AS col FROM customer),
 m AS (
   SELECT point, p.stack, fs_sat, row_number() OVER (PARTITION BY point ORDER BY p.stack) AS k
-  FROM pt JOIN px_pixels p ON p.row = pt.row AND p.col = pt.col AND p.stack IN ('A-0', 'N-0', 'R-0') WHERE fs_sat IS NOT NULL) SELECT point, stack, round(fs_sat, 6) AS fs_sat FROM m WHERE k = 1""",
+  FROM pt JOIN px_pixels p ON p.row = pt.row AND p.col = pt.col WHERE fs_sat IS NOT NULL) SELECT point, stack, round(fs_sat, 6) AS fs_sat FROM m WHERE k = 1""",
 )
 def sampled(spark, sf_dir: str) -> DataFrame:
     """Each place's value from the first stack that has one."""
     k = F.col("c_custkey")
-    pts = _read(spark, sf_dir, "customer").select(k.alias("point"), (k % 60).cast("int").alias("row"), (k * 7 % 50).cast("int").alias("col")).withColumn("stack", F.explode(F.array(*(F.lit(f"{k}-0") for k in "ANR"))))
+    pts = _read(spark, sf_dir, "customer").select(k.alias("point"), (k % 60).cast("int").alias("row"), (k * 7 % 50).cast("int").alias("col"))
     return raster.sample_points(pts, px_pixels(spark, sf_dir), ["stack"], "fs_sat", "point", "stack").withColumns(r6("fs_sat"))
 
 
 @query(
     "j19_baseline_difference",
-    f"WITH {PX_PAIRS}, sc AS (SELECT DISTINCT stack, ref AS scene FROM px_pairs), b AS (SELECT stack, scene, ((stack * 31 + scene * 17) % 400)::DOUBLE AS bperp FROM sc WHERE scene % 5 <> 0) SELECT p.stack, product, abs(y.bperp - x.bperp) AS bperp FROM px_pairs p LEFT JOIN b x ON x.stack = p.stack AND x.scene = p.ref LEFT JOIN b y ON y.stack = p.stack AND y.scene = p.sec",
+    f"WITH {PX_PAIRS}, sc AS (SELECT DISTINCT stack, ref AS scene FROM px_pairs), b AS (SELECT stack, scene, ((stack * 31 + scene * 17) % 400)::DOUBLE AS bperp FROM sc WHERE (stack * 31 + scene * 17) % 400 >= 80) SELECT p.stack, product, abs(y.bperp - x.bperp) AS bperp FROM px_pairs p LEFT JOIN b x ON x.stack = p.stack AND x.scene = p.ref LEFT JOIN b y ON y.stack = p.stack AND y.scene = p.sec",
 )
 def baselines(spark, sf_dir: str) -> DataFrame:
     """Baseline between a pair's ends."""
     p = px_pairs(spark, sf_dir).drop("bperp")
-    scenes = p.select("stack", F.col("ref").alias("scene")).distinct().filter("scene % 5 <> 0").withColumn("bperp", ((F.col("stack") * 31 + F.col("scene") * 17) % 400).cast("double"))
+    scenes = p.select("stack", F.col("ref").alias("scene")).distinct().withColumn("bperp", ((F.col("stack") * 31 + F.col("scene") * 17) % 400).cast("double")).filter("bperp >= 80")
     return network.baseline_difference(p, scenes, ["stack"]).select("stack", "product", "bperp")
 
 
@@ -327,14 +327,15 @@ def three_days(spark, sf_dir: str) -> DataFrame:
 
 @query(
     "k04_payload",
-    f"""WITH {PX_ZONES}, z AS (SELECT stack, zone, severity, round(velocity, 3) AS velocity FROM px_zones)
-SELECT stack, '{{"n_zones":' || count(*) || ',"n_critical":' || count(*) FILTER (severity = 'CRITICAL') || ',"rows":['
-  || string_agg('{{"zone":' || zone || ',"severity":"' || severity || '","velocity":' || velocity::VARCHAR || '}}', ',' ORDER BY zone) || ']}}' AS payload FROM z GROUP BY stack""",
+    f"""WITH {PX_ZONES}, z AS (
+  SELECT stack, zone, severity, round(velocity, 3) AS velocity, (row_number() OVER (PARTITION BY stack ORDER BY zone) - 1) // 20 AS part FROM px_zones)
+SELECT stack, part, '{{"n_zones":' || count(*) || ',"n_critical":' || count(*) FILTER (severity = 'CRITICAL') || ',"rows":['
+  || string_agg('{{"zone":' || zone || ',"severity":"' || severity || '","velocity":' || velocity::VARCHAR || '}}', ',' ORDER BY zone) || ']}}' AS payload FROM z GROUP BY stack, part""",
 )
 def payload(spark, sf_dir: str) -> DataFrame:
-    """A JSON text for each look, with a summary and its zones in order."""
+    """JSON texts for each look, of twenty zones in order, each with a summary."""
     z = px_zones(spark, sf_dir).select("stack", "zone", "severity", F.round("velocity", 3).alias("velocity"))
-    return json_payload(z, ["stack"], {"n_zones": F.count("*"), "n_critical": F.count_if(F.col("severity") == "CRITICAL")}, "zone")
+    return json_payload(z, ["stack"], {"n_zones": F.count("*"), "n_critical": F.count_if(F.col("severity") == "CRITICAL")}, "zone", most=20)
 
 
 @query("p37_explanations", f"WITH {PX_ZONES} SELECT zone, 'fs ' || printf('%.2f', round(mean_fs, 2)) || ' under ' || severity || ' with ' || (floor(-velocity))::BIGINT || ' mm a year' AS reason FROM px_zones")

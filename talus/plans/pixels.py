@@ -85,24 +85,26 @@ def decision_pivot(spark, sf_dir: str) -> DataFrame:
     return audit.group_counts(d, ["stack"], "decision", ["KEEP", "CONCERN", "QUARANTINE"])
 
 
-@query("k05_contamination_flags", f"WITH {_AUDIT} SELECT product, CASE WHEN product % 4 <> 0 THEN 'job' || product END AS job_id, round_even(r_squared, 4) AS r_squared, coalesce(round_even(r_squared, 4) > 0.5, false) AS is_contaminated FROM aud")
+@query("k05_contamination_flags", f"WITH {_AUDIT} SELECT product, CASE WHEN product IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 7000) THEN 'job' || product END AS job_id, round_even(r_squared, 4) AS r_squared, coalesce(round_even(r_squared, 4) > 0.5, false) AS is_contaminated FROM aud")
 def flags(spark, sf_dir: str) -> DataFrame:
     """The exported flags with the ids of jobs."""
     a = _audited(spark, sf_dir)
-    jobs = a.filter("product % 4 <> 0").select("product", F.concat(F.lit("job"), F.col("product").cast("string")).alias("job_id"))
+    poor = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_acctbal < 7000").select(F.col("s_suppkey").alias("product"))
+    jobs = a.join(poor, "product", "left_semi").select("product", F.concat(F.lit("job"), F.col("product").cast("string")).alias("job_id"))
     return audit.contamination_flags(a, jobs, "product")
 
 
 @query(
     "j06_apply_rescues",
-    f"""WITH {_DECIDED}, d2 AS (SELECT *, product % 6 = 0 AS hit FROM dec)
+    f"""WITH {_DECIDED}, d2 AS (SELECT *, product IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 6000) AS hit FROM dec)
 SELECT product, CASE WHEN hit AND decision <> 'KEEP' THEN 'KEEP' ELSE decision END AS decision, CASE WHEN hit AND decision <> 'KEEP' THEN 'promoted' WHEN hit THEN 'already_keep' END AS outcome,
 CASE WHEN hit AND decision <> 'KEEP' THEN concat_ws('; ', nullif(reasons, ''), 'RESCUED_FOR_CONNECTIVITY (was ' || decision || ', bridges: b' || product || ')') ELSE reasons END AS reasons FROM d2""",
 )
 def rescues(spark, sf_dir: str) -> DataFrame:
     """Rescued products are kept and say why."""
     d = _decided(spark, sf_dir).select("product", "decision", "reasons")
-    r = d.filter("product % 6 = 0").select("product", F.concat(F.lit("b"), F.col("product").cast("string")).alias("bridges"))
+    rich = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_acctbal >= 6000").select(F.col("s_suppkey").alias("product"))
+    r = d.join(rich, "product", "left_semi").select("product", F.concat(F.lit("b"), F.col("product").cast("string")).alias("bridges"))
     return audit.apply_rescues(d, r, "product")
 
 
@@ -479,7 +481,6 @@ runout AS (
 
 
 @query("g09_reach_angle", f"{_RUNOUT} SELECT * FROM runout")
-@query("g09_reach_angle_whole", f"{_RUNOUT} SELECT * FROM runout")
 def runout(spark, sf_dir: str) -> DataFrame:
     """The steepest line from any source of the stack, however far, and its band."""
     px = px_pixels(spark, sf_dir).select("stack", "row", "col", "dem", "slope_deg")

@@ -280,10 +280,10 @@ def boxes(spark, sf_dir: str) -> DataFrame:
 
 def _route(spark, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
-    return o.select((F.col("o_custkey") % 50).alias("way"), F.col("o_orderkey").alias("seq0"), ((F.col("o_orderkey") * 31) % 997).cast("double").alias("x"), ((F.col("o_orderkey") * 57) % 991).cast("double").alias("y"))
+    return o.select(F.col("o_custkey").alias("way"), F.col("o_orderkey").alias("seq0"), ((F.col("o_orderkey") * 31) % 997).cast("double").alias("x"), ((F.col("o_orderkey") * 57) % 991).cast("double").alias("y"))
 
 
-_ROUTE = "v AS (SELECT o_custkey % 50 AS way, o_orderkey AS k, ((o_orderkey * 31) % 997)::DOUBLE AS x, ((o_orderkey * 57) % 991)::DOUBLE AS y FROM orders), sg AS (SELECT way, k, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS i FROM v WINDOW w AS (PARTITION BY way ORDER BY k))"
+_ROUTE = "v AS (SELECT o_custkey AS way, o_orderkey AS k, ((o_orderkey * 31) % 997)::DOUBLE AS x, ((o_orderkey * 57) % 991)::DOUBLE AS y FROM orders), sg AS (SELECT way, k, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS i FROM v WINDOW w AS (PARTITION BY way ORDER BY k))"
 _DENSE = f"""{_ROUTE}, n AS (SELECT *, greatest(floor(sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) / 100.0), 1)::INT AS n FROM sg),
 pt AS (SELECT way, k, 0 AS j, x, y FROM n WHERE i = 1 UNION ALL SELECT way, k, j, x + (x1 - x) * j / n, y + (y1 - y) * j / n FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM n WHERE x1 IS NOT NULL)),
 smp AS (SELECT way, (row_number() OVER (PARTITION BY way ORDER BY k, j) - 1)::INT AS seq, x, y FROM pt)"""
@@ -295,20 +295,6 @@ def densify(spark, sf_dir: str) -> DataFrame:
     return exposure.densify(_route(spark, sf_dir), ["way"], "seq0", 100.0).select("way", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query(
-    "w10_islands",
-    f"""WITH {_DENSE}, c AS (SELECT *, CASE WHEN x < 300 THEN 'CORE' WHEN y < 400 THEN 'WATCH' ELSE 'CLEAR' END AS cls FROM smp),
-f AS (SELECT *, CASE WHEN lag(cls) OVER (PARTITION BY way ORDER BY seq) = cls THEN 0 ELSE 1 END AS ch FROM c),
-s AS (SELECT *, sum(ch) OVER (PARTITION BY way ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM f)
-SELECT way, segment, cls, min(seq) AS start, count(*) AS n_samples, count(*) * 100.0::DOUBLE AS length_m, round(min(x), 6) AS min_x FROM s WHERE cls <> 'CLEAR' GROUP BY 1, 2, 3""",
-)
-def islands(spark, sf_dir: str) -> DataFrame:
-    """Stretches of one class along routes."""
-    s = exposure.densify(_route(spark, sf_dir), ["way"], "seq0", 100.0)
-    s = s.withColumn("cls", F.when(F.col("x") < 300, "CORE").when(F.col("y") < 400, "WATCH").otherwise("CLEAR"))
-    return exposure.segments(s, ["way"], "seq", "cls", 100.0, keep={"min_x": F.round(F.min("x"), 6)})
-
-
 _EPOCHS = "e AS (SELECT user_id % 200 AS poly, CAST(ts AS DATE) AS epoch, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100000.0 AS coh, count(*)::DOUBLE / 10.0 AS rel FROM events GROUP BY 1, 2), ev AS (SELECT poly, epoch, CASE WHEN coh > 0.02 THEN coh END AS coh, rel FROM e)"
 
 
@@ -403,14 +389,18 @@ def best(spark, sf_dir: str) -> DataFrame:
 
 @query("o13_even_subsample", "WITH r AS (SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem) SELECT l_returnflag, l_orderkey, l_linenumber FROM r WHERE i % 7 = 0")
 def subsample(spark, sf_dir: str) -> DataFrame:
-    return tables.every(_read(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_orderkey", "l_linenumber"], 7).select("l_returnflag", "l_orderkey", "l_linenumber")
+    return tables.every(_read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_orderkey", "l_linenumber", 7).select("l_returnflag", "l_orderkey", "l_linenumber")
 
 
-@query("u03_set_diff", "(SELECT l_partkey AS k, 'left' AS side FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 7 EXCEPT SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 7)) UNION ALL (SELECT l_partkey, 'right' FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 7 EXCEPT SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 7))")
+@query(
+    "u03_set_diff",
+    """WITH r AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A')
+SELECT k, 'left' AS side FROM (SELECT k FROM r EXCEPT SELECT k FROM a) UNION ALL SELECT k, 'right' FROM (SELECT k FROM a EXCEPT SELECT k FROM r)""",
+)
 def set_diff(spark, sf_dir: str) -> DataFrame:
-    """What stands in one of two sets only."""
-    li = _read(spark, sf_dir, "lineitem").filter("l_quantity = 7")
-    of = lambda flag: li.filter(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("k")).distinct()
+    """Orders that stand in one of two sets only."""
+    li = _read(spark, sf_dir, "lineitem")
+    of = lambda flag: li.filter(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("k")).distinct()
     return differences(of("R"), of("A"))
 
 

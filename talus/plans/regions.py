@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions import geo
-from talus.functions import physics as P
 from talus.functions import rain as R
-from talus.operators import areas, exposure, forest, grids, validation
+from talus.operators import areas, exposure, grids, validation
 from talus.operators import rain as O
 from talus.operators.grids import Grid
 from talus.plans.pixels import W
-from talus.plans.places import _LEFT, _read
+from talus.plans.places import _DENSE, _LEFT, _read, _route
 from talus.plans.rain import _WATER, BY, A, B
 from talus.plans.registry import query, r6
 from talus.sources.proxies import PX_DAILY, PX_PIXELS, PX_ZONES, SITES, px_daily, px_pixels, px_zones
@@ -113,6 +112,33 @@ def distances(spark, sf_dir: str) -> DataFrame:
     return out.select("stack", "row", "col", F.round(F.sqrt("square") * 80.0, 6).alias("distance_m"))
 
 
+_WAY_STACKS = """sk AS (SELECT stack, row_number() OVER (ORDER BY stack) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT stack FROM px_pixels))"""
+
+
+@query(
+    "w10_islands",
+    f"""{W}, {_WAY_STACKS}, {_DENSE},
+flagged AS (SELECT stack, row AS fr, col AS fc FROM px_pixels WHERE {_CREEPS}),
+sm AS (SELECT way, seq, stack, floor(y * 60 / 1000)::INT AS row, floor(x / 20)::INT AS col FROM smp JOIN sk ON sk.i = way % sk.n),
+near AS (SELECT stack, row, col, min((row - fr) * (row - fr) + (col - fc) * (col - fc)) AS s FROM (SELECT DISTINCT stack, row, col FROM sm) JOIN flagged USING (stack) GROUP BY ALL),
+c AS (SELECT way, seq, s, CASE WHEN s = 0 THEN 'CORE' WHEN s <= 9 THEN 'WATCH' ELSE 'CLEAR' END AS cls FROM sm LEFT JOIN near USING (stack, row, col)),
+f AS (SELECT *, CASE WHEN lag(cls) OVER (PARTITION BY way ORDER BY seq) = cls THEN 0 ELSE 1 END AS ch FROM c),
+g AS (SELECT *, sum(ch) OVER (PARTITION BY way ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM f)
+SELECT way, segment, cls, min(seq) AS start, count(*) AS n_samples, count(*) * 100.0::DOUBLE AS length_m, round(min(sqrt(s) * 80.0::DOUBLE), 6) AS nearest_m FROM g WHERE cls <> 'CLEAR' GROUP BY 1, 2, 3""",
+)
+def islands(spark, sf_dir: str) -> DataFrame:
+    """Stretches of one class along routes, by their distance to unstable pixels of the stack that a route crosses."""
+    px = px_pixels(spark, sf_dir).select("stack", "row", "col", "fs_sat", "velocity")
+    away = grids.distance_transform(px, ["stack"], F.expr(_CREEPS), every=True)
+    names = [r["stack"] for r in px.select("stack").distinct().orderBy("stack").collect()]  # as many as stacks
+    of = spark.createDataFrame([(i, s) for i, s in enumerate(names)], "_i long, stack string")
+    samples = exposure.densify(_route(spark, sf_dir), ["way"], "seq0", 100.0)
+    cell = {"_i": F.col("way") % max(len(names), 1), "row": F.floor(F.col("y") * 60 / 1000).cast("int"), "col": F.floor(F.col("x") / 20).cast("int")}
+    met = samples.withColumns(cell).join(of, "_i").join(away, ["stack", "row", "col"], "left")
+    met = met.withColumn("cls", F.when(F.col("square") == 0, "CORE").when(F.col("square") <= 9, "WATCH").otherwise("CLEAR"))
+    return exposure.segments(met, ["way"], "seq", "cls", 100.0, keep={"nearest_m": F.round(F.min(F.sqrt("square") * 80.0), 6)})
+
+
 # -- areas and common grids -------------------------------------------------------------------
 
 def utm_sql(lon: str, lat: str, zone: int, of: str, keep: str) -> str:

@@ -175,7 +175,7 @@ def route_exposure(spark, sf_dir: str) -> DataFrame:
     scenario = lambda core: F.explode(F.array(*map(F.lit, ("core", "any_zone") if core else ("any_zone",))))
     both = z.filter("severity = 'CRITICAL'").withColumn("of", scenario(True)).unionByName(z.filter("severity <> 'CRITICAL'").withColumn("of", scenario(False)))
     asked = samples.withColumn("of", scenario(True))
-    edges = validation.nearest_edge(asked, both, ["of"], "sample", "zone", "radius")
+    edges = validation.nearest_edge(asked, both, ["of"], "sample", "radius")
     of = lambda name: F.min(F.when(F.col("of") == name, F.col("edge_km"))).alias(name)
     d = edges.groupBy("sample").agg(of("core"), of("any_zone")).select("sample.*", "core", "any_zone")
     d = d.withColumn("cls", exposure.exposure_class(F.col("core"), {"WATCH": F.col("any_zone")}, 1.0))

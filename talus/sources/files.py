@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talus.operators.validation import ordinal_ranks
+
 DAILY = {"rain_mm": None, "snowmelt_mm": 0.0, "tmin_c": None, "tmax_c": None}
 
 
@@ -139,8 +141,12 @@ def union_of_columns(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def json_payload(rows: DataFrame, by: list[str], summary: dict, order: str) -> DataFrame:
-    """One JSON text for each group: summary aggregates and its rows in order. Groups are products, and small."""
+def json_payload(rows: DataFrame, by: list[str], summary: dict, order: str, most: int = 1000) -> DataFrame:
+    """JSON texts for each group and `part`: summary aggregates of the part and its rows in order, `most` of them at most.
+
+    Rows are numbered within ranges of the order, so that a group of any size is dealt to many tasks.
+    """
+    numbered = ordinal_ranks(rows, by, order, order).withColumn("part", F.floor((F.col("rank") - 1) / most).cast("long")).drop("rank")
     row = F.struct(order, *(c for c in rows.columns if c not in by and c != order))
-    agg = rows.groupBy(*by).agg(*(c.alias(k) for k, c in summary.items()), F.sort_array(F.collect_list(row)).alias("rows"))
-    return agg.select(*by, F.to_json(F.struct(*summary, "rows")).alias("payload"))
+    agg = numbered.groupBy(*by, "part").agg(*(c.alias(k) for k, c in summary.items()), F.sort_array(F.collect_list(row)).alias("rows"))
+    return agg.select(*by, "part", F.to_json(F.struct(*summary, "rows")).alias("payload"))

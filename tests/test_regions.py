@@ -144,7 +144,7 @@ def test_nearest_zones_in_dense_areas_and_far_north(spark, monkeypatch):
     z = spark.createDataFrame(zs, "g string, zone int, lon double, lat double, radius double")
     p = spark.createDataFrame(pts, "g string, point int, lon double, lat double")
     near = {x.point: x for x in validation.nearest_zone(p, z, ["g"], "point", "zone").collect()}
-    edge = {x.point: x for x in validation.nearest_edge(p, z, ["g"], "point", "zone", "radius").collect()}
+    edge = {x.point: x for x in validation.nearest_edge(p, z, ["g"], "point", "radius").collect()}
     assert len(near) == len(edge) == len(pts)
     for g, i, a, b in pts:
         own = [(km((a, b), (x, y)), k, rad) for h, k, x, y, rad in zs if h == g and x is not None] if a is not None else []
