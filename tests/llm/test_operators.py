@@ -91,7 +91,14 @@ def test_toxicity_grammar_reads_clauses():
     assert g.weigh("scum loweischaft scum") == ("plain", 4.0)  # one clause, one weight
     for threat in ("i will kill you", "he kills you", "they stabbed him", "she is strangling them", "er schlägt dich", "il frappe vous", "golpeó ustedes"):
         assert g.weigh(threat) == ("threat", 1.0), threat
-    assert g.weigh("i will not kill you") is None and g.weigh("a killer whale") is None
+    for threat in ("you will be killed", "they deserve to be stabbed", "we will make sure you are beaten", "du wirst getötet werden von uns, er schlägt dich"):
+        assert g.weigh(threat)[0] == "threat", threat
+    for reported in ("he said he will kill you", "she wrote: 'i will kill you'", "it says you will be killed"):
+        assert g.weigh(reported) == ("reported threat", 1.0), reported
+    assert g.weigh("i will not kill you") == ("negated threat", 1.0) and g.weigh("you will never be killed") == ("negated threat", 1.0)
+    for none in ("this will kill your startup time", "a killer whale", "they are killing it", "he kills time", "you are here to shooted beated"):
+        assert g.weigh(none) is None, none
+    assert toxicity.Grammar({}, {"killed": 2.5}).weigh("you will be killed") == ("threat", 2.5)
     assert [*g.clauses("all fine. what scum, yes! good")] == [(9, 24)]
 
 
@@ -112,22 +119,34 @@ def test_toxicity_matches_a_plain_recount(spark):
 
     def plain(text):
         sums, most, n = dict.fromkeys(toxicity.KINDS, 0.0), 0.0, 0
-        for clause in re.split(r"[.!?;:\n]", text.lower()):
-            w, found = re.findall(r"\w+", clause), {}
+        for clause in re.split(r"[.!?;\n]", text.lower()):
+            w, found, open_from = re.findall(r"\w+", clause), {}, None
+            is_threat = lambda x: x in threats or x in toxicity.IRREGULAR.split()
+            at = lambda kind, i: 0 <= i < len(w) and fixed.get(w[i]) == kind
+            # auxiliaries that a target comes before, or one of their own within four words
+            bound = []
+            for i in range(len(w)):
+                bound.append(at(toxicity.PASSIVE, i) and (any(at(toxicity.TARGET, j) for j in range(i - 4, i)) or any(bound[max(0, i - 4) : i])))
             for i, x in enumerate(w):
-                weight = 4.0 if x == "scum" else 3.0 if x.startswith("fool") else 0.0
-                before = lambda kind, k, i=i: any(fixed.get(y) == kind for y in w[max(0, i - k) : i])
-                if weight:
-                    kind = "negated" if before(toxicity.NEGATION, 3) else "reported" if before(toxicity.REPORT, 99) else "targeted" if before(toxicity.TARGET, 4) else "plain"
+                before = lambda kind, k, i=i: any(at(kind, j) for j in range(i - k, i))
+                state = "negated" if before(toxicity.NEGATION, 3) else "reported" if before(toxicity.REPORT, 99) else ""
+                if weight := 4.0 if x == "scum" else 3.0 if x.startswith("fool") else 0.0:
+                    kind = state or ("targeted" if before(toxicity.TARGET, 4) else "plain")
                     found[kind] = max(found.get(kind, 0), weight)
-                if x in threats and not before(toxicity.NEGATION, 3) and any(fixed.get(y) == toxicity.TARGET for y in w[i + 1 : i + 5]):
-                    found["threat"] = 1.0
+                elif is_threat(x):
+                    kind = f"{state} threat".strip()
+                    if any(bound[max(0, i - 4) : i]) and not x.endswith("ing"):
+                        found[kind], open_from = 1.0, None
+                    else:
+                        open_from = i, kind
+                elif at(toxicity.TARGET, i) and open_from and i - open_from[0] <= 4:
+                    found[open_from[1]], open_from = 1.0, None
             kind = next((k for k in toxicity.KINDS if k in found), None)
             if kind:
                 n, most, sums[kind] = n + 1, max(most, found[kind]), sums[kind] + found[kind]
         return [*(math.log1p(sums[k]) for k in toxicity.KINDS), math.log1p(most), math.log1p(1000.0 * n / (len(text) + 200))]
 
-    vocabulary = "scum fools you they not said kill stabbed table the a green . ! never him".split()
+    vocabulary = "scum fools you they not said kill stabbed killing table the a be green . ! never him are your".split()
     for i in range(300):
         text = " ".join(random.Random(i).choices(vocabulary, k=40))
         assert g.features(text) == pytest.approx(plain(text)), text
