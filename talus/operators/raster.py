@@ -7,7 +7,6 @@ shifted cells, so that a grid is spread over tasks by its lines.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,30 +95,28 @@ def gaussian_highpass(pixels: DataFrame, by: list[str], value: str, sigma: float
     """low and highpass of a grid with holes: weighted means with edges repeated, first along rows, then along columns.
 
     Absent cells are holes like cells without a value: each line is laid on all places from the
-    grid's first to its last, one line a task at least.
+    grid's first to its last, and weighs the cells before and after by windows over the line.
     """
     weights = gaussian_weights(sigma)
     reach = len(weights) // 2
     ends = pixels.groupBy(*by).agg(*(f(c).cast("int").alias(f"_{c}{k}") for c in ("row", "col") for k, f in ((0, F.min), (1, F.max))))
     known = F.col(value).isNotNull()
-    df = pixels.select(*by, "row", "col", F.when(known, F.col(value).cast("double")).otherwise(0.0).alias("_n"), F.when(known, 1.0).otherwise(0.0).alias("_d")).join(ends, by)
-
-    def along(line: str, order: str):
-        def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-            first = frame.iloc[0]
-            low, high = int(first[f"_{order}0"]), int(first[f"_{order}1"])
-            place = frame[order].to_numpy() - low
-            out = {c: first[c] for c in (*by, line)} | {order: np.arange(low, high + 1)}
-            for c in ("_n", "_d"):
-                dense = np.zeros(high - low + 1)
-                dense[place] = frame[c].to_numpy()
-                out[c] = np.convolve(np.pad(dense, reach, mode="edge"), weights, mode="valid")
-            return pd.DataFrame(out | {c: first[c] for c in ("_row0", "_row1", "_col0", "_col1")})[list(frame.columns)]
-
-        return smooth
+    df = pixels.select(*by, "row", "col", F.when(known, F.col(value).cast("double")).otherwise(0.0).alias("_n"), F.when(known, 1.0).otherwise(0.0).alias("_d"))
 
     for _, line, order in _AXES:
-        df = df.groupBy(*by, line).applyInPandas(along(line, order), df.schema)
+        spine = df.select(*by, line).distinct().join(ends, by).select(*by, line, F.explode(F.sequence(f"_{order}0", f"_{order}1")).alias(order))
+        whole = spine.join(df, [*by, line, order], "left").fillna(0.0, ["_n", "_d"])
+        w = Window.partitionBy(*by, line).orderBy(order)
+        all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        whole = whole.withColumns({f"{c}{k}": f(c).over(all_of) for c in ("_n", "_d") for k, f in ((0, F.first), (1, F.last))})
+
+        def smoothed(c: str, w=w) -> Column:
+            terms = [F.lit(weights[reach]) * F.col(c)]
+            for k in range(1, reach + 1):
+                terms.append(F.lit(weights[reach + k]) * (F.coalesce(F.lag(c, k).over(w), F.col(f"{c}0")) + F.coalesce(F.lead(c, k).over(w), F.col(f"{c}1"))))
+            return sum(terms[1:], terms[0]).alias(c)
+
+        df = whole.select(*by, "row", "col", smoothed("_n"), smoothed("_d"))
     low = F.when(F.col("_d") > 1e-3, F.col("_n") / F.col("_d"))
     smoothed = df.select(*by, "row", "col", low.alias("low"))
     return pixels.join(smoothed, [*by, "row", "col"], "left").withColumn("highpass", F.col(value) - F.col("low"))
