@@ -203,20 +203,23 @@ class _Mine:
         self.anchors = stored(_nearest(anchors.withColumn("bucket", bucket), self.centres, "cluster"), "negatives-anchors")
         cut, self.parts_of = _dealt(_nearest(classes.withColumn("bucket", bucket), self.cells, "cell"), "bucket", "cell", PART, "part", pack=False)
         self.parts = stored(cut, "negatives-parts")
-        every = self.parts_of.agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).withColumn("outer", F.lit(0))
-        self.all_parts = every
+        self.all_parts = tuple(self.parts_of.agg(F.min("_low"), F.max("_high")).first())
         self.summary = self.parts.groupBy("part", "cell").agg(F.max("length").alias("longest"), F.max("angle").alias("spread"))
         cosine = np.clip(self.centres @ self.cells.T, -1, 1)
         between = [(int(c), int(d), float(np.arccos(cosine[c, d])), bool(d == np.argmax(cosine[c]))) for c in range(len(self.centres)) for d in range(len(self.cells))]
         self.between = rows.sparkSession.createDataFrame(between, "cluster int, cell int, apart double, home boolean")  # clusters times cells at most
 
-    def pairs(self, members: DataFrame, ranges: DataFrame, outer: str, home: bool | None) -> DataFrame:
+    def pairs(self, members: DataFrame, ranges: DataFrame | tuple[int, int], outer: str, home: bool | None) -> DataFrame:
         """(group, part) in which some member may find what it seeks (`floor`), by the bound of a whole part.
 
         `home`: only parts nearest to a cluster of the group, or only others.
         """
         clusters = members.groupBy("group", outer, "cluster").agg(F.max("angle").alias("radius"), F.max("length").alias("most"), F.min("floor").alias("floor"))
-        near = clusters.join(F.broadcast(ranges), outer).withColumn("part", F.explode(F.sequence("_low", "_high"))).join(self.summary, "part").join(F.broadcast(self.between), ["cluster", "cell"])
+        if isinstance(ranges, tuple):  # all parts
+            clusters = clusters.withColumns({"_low": F.lit(ranges[0]), "_high": F.lit(ranges[1])})
+        else:
+            clusters = clusters.join(F.broadcast(ranges), outer)
+        near = clusters.withColumn("part", F.explode(F.sequence("_low", "_high"))).join(self.summary, "part").join(F.broadcast(self.between), ["cluster", "cell"])
         angle = F.greatest(F.lit(0.0), F.col("apart") - F.col("spread") - F.col("radius"))
         reach = F.col("most") * F.col("longest") * (F.cos(angle) + SLACK)
         able = near.groupBy("group", "part").agg(F.bool_or(reach >= F.col("floor")).alias("able"), F.bool_or("home").alias("home")).filter("able")
