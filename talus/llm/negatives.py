@@ -216,14 +216,14 @@ class _Mine:
         """
         clusters = members.groupBy("group", outer, "cluster").agg(F.max("angle").alias("radius"), F.max("length").alias("most"), F.min("floor").alias("floor"))
         if isinstance(ranges, tuple):  # all parts
-            clusters = clusters.withColumns({"_low": F.lit(ranges[0]), "_high": F.lit(ranges[1])})
+            clusters = clusters.withColumns({"_low": F.lit(ranges[0]).cast("long"), "_high": F.lit(ranges[1]).cast("long")})
         else:
             clusters = clusters.join(F.broadcast(ranges), outer)
         near = clusters.withColumn("part", F.explode(F.sequence("_low", "_high"))).join(self.summary, "part").join(F.broadcast(self.between), ["cluster", "cell"])
         angle = F.greatest(F.lit(0.0), F.col("apart") - F.col("spread") - F.col("radius"))
         reach = F.col("most") * F.col("longest") * (F.cos(angle) + SLACK)
         able = near.groupBy("group", "part").agg(F.bool_or(reach >= F.col("floor")).alias("able"), F.bool_or("home").alias("home")).filter("able")
-        return (able if home is None else able.filter(F.col("home") == home)).select("group", "part")
+        return (able if home is None else able.filter(F.col("home") == home)).select(F.col("group").cast("long").alias("group"), F.col("part").cast("long").alias("part"))  # both sides of a co-group are dealt by the same type
 
     def sought(self, members: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
         pairs = stored(pairs, "negatives-pairs")
