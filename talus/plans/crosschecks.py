@@ -276,3 +276,72 @@ def manifest_of_products(spark, sf_dir: str) -> DataFrame:
     epochs = entries.select("stack", F.to_date(manifest.pair_dates(F.col("product"))[0]).alias("date")).distinct()
     whole = manifest.covered(entries, epochs).select("product", F.lit(True).alias("covered"))
     return entries.join(whole, "product", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+# -- tier cards -------------------------------------------------------------------------------
+
+#: Saturations at which footprints are drawn, those for which scores were made anew later, and the reach within which zones of several looks are one.
+TIERS = {"dry": 0.3, "operational": 0.5, "monsoon": 1.0}
+RESCORED = ("operational", "monsoon")
+TIER_DEG, AT_KM, LIFT_KM = 0.05, 20.0, 10.0
+_TIER_ROWS = ", ".join(f"('{n}', {m}::DOUBLE, {str(n in RESCORED).lower()})" for n, m in TIERS.items())
+
+
+def _scored_sql(name: str, where: str) -> str:
+    """<name>: area, rates at AT_KM and lift at LIFT_KM of a footprint's zones; <name>r: the area by ranks of distances."""
+    return f"""{name}d AS (SELECT place, point, label, min({KM_SQL}) AS km FROM px_points p, (SELECT * FROM foot WHERE {where}) z GROUP BY ALL),
+{name}b AS (
+  SELECT place, buffer_km, avg(CASE WHEN km <= buffer_km THEN 1.0 ELSE 0.0 END) FILTER (label = 1) AS t, avg(CASE WHEN km <= buffer_km THEN 1.0 ELSE 0.0 END) FILTER (label = 0) AS f
+  FROM {name}d, (SELECT unnest({BUFFERS})::DOUBLE AS buffer_km) GROUP BY ALL),
+{name}e AS (SELECT place, f AS x, t AS y, buffer_km AS o FROM {name}b UNION ALL SELECT DISTINCT place, 0.0, 0.0, -1.0 FROM {name}b UNION ALL SELECT DISTINCT place, 1.0, 1.0, 1e9 FROM {name}b),
+{name}l AS (SELECT place, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM {name}e WINDOW w AS (PARTITION BY place ORDER BY x, o)),
+{name}a AS (SELECT place, sum(a) AS auc FROM {name}l GROUP BY place),
+{name} AS (
+  SELECT b.place, max(auc) AS auc, max(t) FILTER (buffer_km = {AT_KM}) AS recall, max(1 - f) FILTER (buffer_km = {AT_KM}) AS specificity, max(CASE WHEN f > 0 THEN t / f END) FILTER (buffer_km = {LIFT_KM}) AS lift
+  FROM {name}b b JOIN {name}a a ON a.place = b.place GROUP BY b.place)"""
+
+
+@query(
+    "j22_tier_card",
+    f"""WITH RECURSIVE {PX_POINTS}, {PX_ZONES}, tiers(scenario, m, rescored) AS (VALUES {_TIER_ROWS}),
+mo AS (
+  SELECT site || '/' || scenario AS place, lon, lat, stack, severity, row_number() OVER (PARTITION BY site, scenario ORDER BY stack, zone) AS k FROM px_zones, tiers WHERE m_star <= m), {GREEDY_SQL.format(deg=TIER_DEG)},
+foot AS (SELECT place, seed, avg(lon) AS lon, avg(lat) AS lat, bool_or(severity = 'CRITICAL') AS crit, count(DISTINCT stack) AS n_looks FROM taken GROUP BY 1, 2),
+c AS (SELECT place, count(*) AS n_zones, count(*) FILTER (crit) AS n_crit, count(*) FILTER (n_looks >= 2) AS n_multi FROM foot GROUP BY 1),
+{_scored_sql("sc", "true")}, {_scored_sql("co", "n_looks >= 2")},
+rk AS (SELECT place, label, row_number() OVER (PARTITION BY place ORDER BY -km, point) AS i FROM scd),
+ra AS (
+  SELECT place, (sum(i) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / nullif((count(*) FILTER (label = 1) * count(*) FILTER (label = 0))::DOUBLE, 0) AS auc FROM rk GROUP BY 1)
+SELECT s.site, t.scenario, m, coalesce(n_zones, 0) AS n_zones, coalesce(n_crit, 0) AS n_crit, coalesce(n_multi, 0) AS n_multi,
+       round(CASE WHEN rescored THEN coalesce(ra.auc, sc.auc) ELSE sc.auc END, 6) AS auc, round(sc.recall, 6) AS recall, round(sc.specificity, 6) AS specificity, round(sc.lift, 6) AS lift,
+       round(co.auc, 6) AS core_auc, round(co.lift, 6) AS core_lift
+FROM (SELECT DISTINCT site FROM px_zones) s CROSS JOIN tiers t LEFT JOIN c ON c.place = site || '/' || scenario LEFT JOIN sc ON sc.place = site || '/' || scenario
+LEFT JOIN co ON co.place = site || '/' || scenario LEFT JOIN ra ON ra.place = site || '/' || scenario""",
+)
+def tier_card(spark, sf_dir: str) -> DataFrame:
+    """Each site's footprint at some saturations with its back-test, scores made later in place of earlier ones, and the core of zones that two looks see."""
+    by = ["site", "scenario"]
+    z = px_zones(spark, sf_dir)
+    tiers = F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(m).alias("m")) for n, m in TIERS.items())))
+    cards = z.select("site").distinct().withColumn("t", tiers).select("site", "t.*")
+    shown = z.withColumn("t", tiers).filter("m_star <= t.m").withColumn("scenario", F.col("t.scenario"))
+    seeds = zones.merge_groups(shown, by, ["stack", "zone"], TIER_DEG).groupBy(*by, "seed")
+    foot = seeds.agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.bool_or(F.col("severity") == "CRITICAL").alias("crit"), F.count_distinct("stack").alias("n_looks"))
+    foot = stored(foot.withColumnRenamed("seed", "zone"), "tier-footprint")
+    counts = foot.groupBy(*by).agg(F.count("*").alias("n_zones"), F.count_if("crit").alias("n_crit"), F.count_if(F.col("n_looks") >= 2).alias("n_multi"))
+    asked = px_points(spark, sf_dir).withColumn("site", F.explode(F.array(*map(F.lit, SITES)))).withColumn("t", tiers).withColumn("scenario", F.col("t.scenario")).drop("t")
+    near = stored(validation.nearest_zone(asked, foot, by, "point", "zone").filter("nearest_km is not null"), "tier-distances")
+    core = validation.nearest_zone(asked, foot.filter("n_looks >= 2"), by, "point", "zone").filter("nearest_km is not null")
+
+    def scored(distances: DataFrame) -> DataFrame:
+        rows = stored(validation.distance_roc(distances, by, BUFFERS, digits=None), "tier-rates")
+        at = lambda km, c: F.max(F.when(F.col("buffer_km") == km, F.col(c)))
+        rates = rows.groupBy(*by).agg(at(AT_KM, "tpr").alias("recall"), at(AT_KM, "specificity").alias("specificity"), at(LIFT_KM, "lift").alias("lift"))
+        return rates.join(validation.roc_area(rows, by), by)
+
+    later = near.filter(F.col("scenario").isin(*RESCORED)).withColumn("closeness", -F.col("nearest_km"))
+    later = validation.rank_auc(later, by, "closeness", "label", "point").select(*by, F.col("auc").alias("_later"))
+    second = scored(core).select(*by, F.col("auc").alias("core_auc"), F.col("lift").alias("core_lift"))
+    card = cards.join(counts, by, "left").join(scored(near), by, "left").join(later, by, "left").join(second, by, "left")
+    card = card.withColumn("auc", F.coalesce("_later", "auc")).drop("_later").fillna(0, ["n_zones", "n_crit", "n_multi"])
+    return card.withColumns(r6("auc", "recall", "specificity", "lift", "core_auc", "core_lift"))
