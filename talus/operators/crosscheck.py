@@ -46,6 +46,19 @@ def slope_velocity_report(pixels: DataFrame, by: list[str], velocity: str, c: st
     return sums
 
 
+def velocity_inspection(pixels: DataFrame, by: list[str], velocity: str, coherence: str, least: float, fast: float) -> DataFrame:
+    """One row a group and set ("all", "coherent"): number, mean, deviation, extremes, 2nd percentile, median, 98th percentile, and how many are faster than `fast`.
+
+    Groups without a velocity in a set have no row for it; unknown coherences are not coherent.
+    """
+    kept = F.coalesce(F.col(coherence) >= least, F.lit(False))
+    sets = F.when(kept, F.array(F.lit("all"), F.lit("coherent"))).otherwise(F.array(F.lit("all")))
+    each = pixels.filter(F.col(velocity).isNotNull()).select(*by, F.explode(sets).alias("set"), F.col(velocity).alias("_v"))
+    v, key = F.col("_v"), [*by, "set"]
+    sums = each.groupBy(*key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.count_if(F.abs(v) > fast).alias("n_fast"))
+    return sums.join(exact_quantiles(each, key, "_v", {"p02": 0.02, "median": 0.5, "p98": 0.98}), key)
+
+
 def delay_crosscheck(layers: DataFrame, by: list[str], epoch: str, factor: int) -> DataFrame:
     """For each two epochs that follow each other: the apparent motion that an independent zenith delay predicts, against height and observed motion.
 

@@ -48,6 +48,18 @@ def slope_velocity_report(spark, sf_dir: str) -> DataFrame:
     return out.withColumns(r6("blind_share", "median_sensitivity", "median_amplification", "max_v_slope"))
 
 
+@query(
+    "m34_velocity_inspection",
+    f"""{W}, e AS (SELECT stack, 'all' AS set, velocity AS v FROM px_pixels UNION ALL SELECT stack, 'coherent', velocity FROM px_pixels WHERE coh >= 0.7)
+SELECT stack, set, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most, count(*) FILTER (abs(v) > 60.0) AS n_fast,
+       round(quantile_cont(v, 0.02), 6) AS p02, round(median(v), 6) AS median, round(quantile_cont(v, 0.98), 6) AS p98 FROM e WHERE v IS NOT NULL GROUP BY 1, 2""",
+)
+def velocity_inspection(spark, sf_dir: str) -> DataFrame:
+    """Velocities of all pixels and of the coherent ones, and those too fast to be trusted."""
+    out = crosscheck.velocity_inspection(px_pixels(spark, sf_dir), BY, "velocity", "coh", 0.7, 60.0)
+    return out.withColumns(r6("mean", "std", "least", "most", "p02", "median", "p98"))
+
+
 # -- delays of pairs --------------------------------------------------------------------------
 
 _SITE_EPOCH = "split_part(stack, '-', 1) AS site, split_part(stack, '-', 2)::INT AS epoch"

@@ -69,6 +69,23 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     return k.select("name", F.lit(0).alias("ring"), F.transform(points, lambda v: F.struct(at(v, 0).alias("lon"), at(v, 1).alias("lat"))).alias("vertices"))
 
 
+def read_buildings(spark: SparkSession, path: str) -> DataFrame:
+    """Buildings of a map extract (id, kind, lon, lat): nodes by their own place, areas by their centre; those without any are left out."""
+    place = "lat:double,lon:double"
+    schema = f"elements array<struct<id:long,type:string,{place},center:struct<{place}>,tags:map<string,string>>>"
+    e = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("elements").alias("e"))
+    at = {c: F.coalesce(F.col(f"e.center.{c}"), F.col(f"e.{c}")) for c in ("lon", "lat")}
+    placed = e.select(F.col("e.id").alias("id"), F.try_element_at("e.tags", F.lit("building")).alias("kind"), *(x.alias(c) for c, x in at.items()))
+    return placed.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+
+
+def newest_season(spark: SparkSession, folder: str, glob: str, year: str = r"(\d{4})") -> DataFrame:
+    """file and year of the files below a folder whose name matches the glob and states the latest year; names without a year do not count."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("file"))
+    dated = files.withColumn("year", F.regexp_extract(F.element_at(F.split("file", "/"), -1), year, 1).try_cast("int")).filter("year is not null")
+    return dated.join(dated.agg(F.max("year").alias("year")), "year", "left_semi").select("file", "year")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Curated historical events of a JSON list, with sources as structs."""
     schema = "name string, date date, lat double, lon double, deaths int, injured int, damage string, damage_score int, confidence string, confidence_score int, confidence_reason string, review_needed boolean, sources array<struct<label:string,url:string>>"

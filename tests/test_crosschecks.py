@@ -55,6 +55,17 @@ def test_slope_velocity_report_matches_plain(spark):
     assert (out["blind"].blind_share, out["blind"].max_v_slope, out["blind"].median_amplification) == (1.0, None, None)
 
 
+def test_velocity_inspection_matches_numpy(spark):
+    r = random.Random(29)
+    rows = [(g, r.choice([None, 0.5, 0.9]), None if r.random() < 0.1 else r.uniform(-150, 90)) for g in "ab" for _ in range(60)] + [("dim", 0.1, 3.0), ("void", 0.9, None)]
+    out = {(x.g, x["set"]): x for x in crosscheck.velocity_inspection(spark.createDataFrame(rows, "g string, coh double, v double"), ["g"], "v", "coh", 0.7, 100.0).collect()}
+    assert set(out) == {("a", "all"), ("a", "coherent"), ("b", "all"), ("b", "coherent"), ("dim", "all")}
+    for (g, kept), x in out.items():
+        v = np.array([b for k, c, b in rows if k == g and b is not None and (kept == "all" or (c or 0) >= 0.7)])
+        assert (x.n, x.n_fast) == (len(v), int((abs(v) > 100).sum()))
+        assert [x.mean, x.std, x.p02, x.median, x.p98] == pytest.approx([v.mean(), v.std(), *np.quantile(v, [0.02, 0.5, 0.98])])
+
+
 def test_delay_crosscheck_matches_plain(spark):
     r = random.Random(11)
     rows = [("s", e, i, j, r.uniform(2, 3), r.uniform(0.5, 0.9), 100.0 * i + r.random(), None if r.random() < 0.3 else r.uniform(-9, 9)) for e in (1, 4, 9) for i in range(8) for j in range(6) if r.random() > 0.3]

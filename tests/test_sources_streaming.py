@@ -174,3 +174,17 @@ def test_level_changes_are_told_once(spark, tmp_path):
         S.run_available(S.level_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "days"))), str(tmp_path / "check"), "append", S.told_to(str(tmp_path / "told")))
     got = sorted((r.date.day, r.alarm_level, r.previous) for r in spark.read.parquet(str(tmp_path / "told")).collect())
     assert got == [(1, "WATCH", None), (3, "ALERT", "WATCH")]
+
+
+def test_buildings_and_newest_season(spark, tmp_path):
+    area = {"type": "way", "id": 2, "center": {"lat": 31.5, "lon": 77.5}, "tags": {"building": "barn"}}
+    elements = [{"type": "node", "id": 1, "lat": 31.0, "lon": 77.0}, area, {"type": "way", "id": 3, "tags": {"building": "yes"}}, {"type": "node", "id": 4, "lat": 0.0, "lon": 0.0, "tags": {"name": "x"}}]
+    (tmp_path / "map.json").write_text(json.dumps({"elements": elements}))
+    got = {r.id: (r.kind, r.lon, r.lat) for r in files.read_buildings(spark, f"{tmp_path}/map.json").collect()}
+    assert got == {1: (None, 77.0, 31.0), 2: ("barn", 77.5, 31.5), 4: (None, 0.0, 0.0)}
+    (tmp_path / "rain" / "more").mkdir(parents=True)
+    for name in ("season_2029.csv", "season_2031.csv", "more/season_2031b.csv", "season_none.csv", "other_2044.txt"):
+        (tmp_path / "rain" / name).write_text("x")
+    newest = files.newest_season(spark, f"{tmp_path}/rain", "season_*.csv").collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.year) for r in newest) == [("season_2031.csv", 2031), ("season_2031b.csv", 2031)]
+    assert files.newest_season(spark, f"{tmp_path}/rain", "season_n*.csv").count() == 0
