@@ -37,6 +37,15 @@ def creep_confidence(velocity: Column, sigma: Column, threshold: float = -15.0)
     return normal_cdf(F.try_divide(F.lit(threshold) - velocity, sigma))
 
 
+def exact_mean(x: Column) -> Column:
+    """Aggregate: mean that does not depend on the order of rows: decimals are added, and rounded to a double once.
+
+    Values from 1e20 on, which such decimals do not hold, are averaged as doubles.
+    """
+    d = x.cast("double").try_cast("decimal(38,18)")
+    return F.when(F.count(d) == F.count(x), F.sum(d).cast("double") / F.count(x)).otherwise(F.avg(x))
+
+
 def any_of(p: Column) -> Column:
     """Aggregate: probability that at least one of independent events holds."""
     return 1.0 - F.product(1.0 - p)

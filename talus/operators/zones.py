@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import physics as P
+from talus.functions.stats import exact_mean
 from talus.sources.storage import stored
 
 
 def describe(pixels: DataFrame, by: list[str], size_m: float, velocity: str = "velocity", fs: str = "fs", slope: str = "slope_deg") -> DataFrame:
-    """Size, area, middle, mean and strongest motion, mean safety factor, slope and severity of each zone."""
+    """Size, area, middle, mean and strongest motion, mean safety factor, slope and severity of each zone.
+
+    Means are exact sums rounded once: a zone that lies on a limit is on the same side of it in each run.
+    """
     z = pixels.groupBy(*by, "zone").agg(
-        F.count("*").alias("n_pixels"), F.avg("row").alias("centre_row"), F.avg("col").alias("centre_col"), F.avg(velocity).alias("mean_velocity"),
-        F.min(velocity).alias("max_velocity"), F.avg(fs).alias("mean_fs"), F.avg(slope).alias("mean_slope"),
+        F.count("*").alias("n_pixels"), F.avg("row").alias("centre_row"), F.avg("col").alias("centre_col"), exact_mean(F.col(velocity)).alias("mean_velocity"),
+        F.min(velocity).alias("max_velocity"), exact_mean(F.col(fs)).alias("mean_fs"), exact_mean(F.col(slope)).alias("mean_slope"),
         F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"),
     )
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("mean_velocity", "zone"))

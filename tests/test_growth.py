@@ -1,8 +1,12 @@
 """Steps that must not grow with pairs, with single tasks or with the order of rows."""
 
+import itertools
+from functools import reduce
+from operator import add
+
 from pyspark.sql import functions as F
 
-from talus.operators import raster
+from talus.operators import raster, zones
 
 
 def plan_of(df) -> str:
@@ -18,3 +22,13 @@ def test_points_meet_one_row_of_a_cell(spark):
     assert plan.index("Join") < plan.index("Aggregate")  # the grids of a cell are one row before points meet it
     of_stack = raster.sample_points(points.withColumn("stack", F.lit("s07")), px, ["stack"], "v", "point", "stack")
     assert sorted(map(tuple, of_stack.collect())) == [(1, "s07", 7.0), (2, "s07", 7.0)]
+
+
+def test_zones_on_a_limit_do_not_depend_on_the_order_of_rows(spark):
+    values = [10.0 - 80.0 * (k / 211.0) for k in (168, 67, 195, 116, 172, 186, 201, 161)]  # their exact mean is -50
+    orders = list(itertools.permutations(values))[::371]
+    assert len({reduce(add, o) for o in orders}) > 1  # plain sums differ
+    rows = [("s", k, i, 0, v, 0.9, 30.0) for k, o in enumerate(orders) for i, v in enumerate(o)]
+    px = spark.createDataFrame(rows, "stack string, zone int, row int, col int, velocity double, fs double, slope_deg double").coalesce(1)
+    out = zones.describe(px, ["stack"], 80.0).select("mean_velocity", "severity").distinct().collect()
+    assert [tuple(r) for r in out] == [(-50.0, "CRITICAL")]
