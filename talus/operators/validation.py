@@ -47,13 +47,24 @@ def _bounds(a: str, b: str, radius: Column) -> tuple[Column, Column]:
     return arc(near) - radius, arc(far) - radius
 
 
+def _parallel(df: DataFrame) -> int:
+    """Tasks for few rows with much work, which would be put together by their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _square(z: Column) -> Column:
+    """Square of the chord from a place to a zone of a leaf."""
+    return sum((F.get("_here", F.lit(i)) - F.get(z["there"], F.lit(i))) * (F.get("_here", F.lit(i)) - F.get(z["there"], F.lit(i))) for i in range(3))
+
+
 def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str | None) -> DataFrame:
-    """`by`, point with the zones (_zone, _zlon, _zlat, _radius) that may be nearest to it, among them the nearest, and `square` of the chord.
+    """`by`, point, lon, lat, _here with lists `_zones` (zone, lon, lat, radius, there) of zones that may be nearest to it, among them the nearest.
 
     Zones lie in the cells of a tree over the globe, which are parted until one holds LEAF zones at most: dense areas have small
     cells, wherever they are. The cells that points lie in descend the tree together: of the cells in sight, those go that
     are surely farther than another's farthest end, and the rest are parted, down to the leaves. Points
-    meet the zones of the leaves that are left. Zones at one place are one: that of largest radius, then smallest name.
+    meet the zones of the leaves that are left, a leaf in a row. Zones at one place are one: that of largest radius, then smallest name.
+    Cells in sight and points are dealt to tasks by their keys, however small the tables are in bytes.
     """
     r = F.lit(0.0) if radius is None else F.col(radius)
     first = F.min(F.struct((-r).alias("less"), F.col(zone).alias("zone"))).alias("_m")
@@ -67,9 +78,10 @@ def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: s
     children = tree.select(*by, parent, F.col("_cell").alias("_child"), F.col("_n").alias("_child_n"), F.col("_most").alias("_child_most"))
 
     asked = _on_sphere(points.select(*by, point, "lon", "lat").filter("lon is not null and lat is not null"), "lon", "lat", "_here").withColumn("_q", _cell(str(deepest))).drop("_x", "_y", "_z")
-    one = F.lit(1).alias("_one")
-    top = tree.filter("_cell.level = 1").select(*by, one, "_cell", "_n", "_most")  # some hundreds of cells at most
-    seen = asked.select(*by, "_q").distinct().withColumn("_one", F.lit(1)).join(top, [*by, "_one"]).drop("_one")
+    top = tree.filter("_cell.level = 1").select(*by, "_cell", "_n", "_most")  # some hundreds of cells of each group at most
+    # written out: a shuffle that follows the one of `distinct` directly is left out, and with it the number of tasks
+    sights = stored(asked.select(*by, "_q").distinct(), "nearest-sights")
+    seen = (sights.join(top, by) if by else sights.crossJoin(F.broadcast(top))).repartition(_parallel(points), *by, "_q")
     for level in range(1, deepest + 1):
         near, far = _bounds("_q", "_cell", F.col("_most"))
         least = F.min("_far").over(Window.partitionBy(*by, "_q"))
@@ -81,14 +93,20 @@ def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: s
             parts = seen.withColumn("_parent", F.when(whole, nothing).otherwise(F.col("_cell"))).join(children, [*by, "_parent"], "left")
             seen = parts.select(*by, "_q", F.coalesce("_child", "_cell").alias("_cell"), F.coalesce("_child_n", "_n").alias("_n"), F.coalesce("_child_most", "_most").alias("_most"))
     pairs = stored(seen.select(*by, "_q", "_cell"), "nearest-cells")
-    square = sum((F.get("_here", F.lit(i)) - F.get("_there", F.lit(i))) * (F.get("_here", F.lit(i)) - F.get("_there", F.lit(i))) for i in range(3))
-    return asked.join(pairs, [*by, "_q"]).join(placed, [*by, "_cell"]).select(*by, point, "lon", "lat", "_zone", "_zlon", "_zlat", "_radius", square.alias("square"))
+    # cells of the last level may hold any number of zones, which are dealt to several lists
+    part = F.when(F.col("_cell.level") == LEVELS, F.pmod(F.xxhash64("_zlon", "_zlat"), F.lit(1024))).otherwise(F.lit(0)).alias("_part")
+    leaf = tree.filter((F.col("_n") <= LEAF) | (F.col("_cell.level") == LEVELS)).select(*by, "_cell")
+    listed = F.struct(F.col("_zone").alias("zone"), F.col("_zlon").alias("lon"), F.col("_zlat").alias("lat"), F.col("_radius").alias("radius"), F.col("_there").alias("there"))
+    leaves = stored(placed.join(leaf, [*by, "_cell"], "left_semi").groupBy(*by, "_cell", part).agg(F.collect_list(listed).alias("_zones")), "nearest-leaves")
+    asked = asked.repartition(_parallel(points), *by, point)
+    return asked.join(pairs, [*by, "_q"]).join(leaves, [*by, "_cell"]).select(*by, point, "lon", "lat", "_here", "_zones")
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str) -> DataFrame:
     """For each point the distance (km) to the nearest zone, and which; null where a group has no zone or the point no place."""
     met = _met(points, zones, by, point, zone, None)
-    best = met.groupBy(*by, point).agg(F.min(F.struct("square", F.col("_zone").alias("zone"), "_zlon", "_zlat")).alias("_best"))
+    least = F.array_min(F.transform("_zones", lambda z: F.struct(_square(z).alias("square"), z["zone"].alias("zone"), z["lon"].alias("_zlon"), z["lat"].alias("_zlat"))))
+    best = met.select(*by, point, least.alias("_least")).groupBy(*by, point).agg(F.min("_least").alias("_best"))
     km = F.when(F.col("_best").isNotNull(), haversine_km(F.col("lon"), F.col("lat"), F.col("_best._zlon"), F.col("_best._zlat")))
     return points.join(best, [*by, point], "left").select(*points.columns, km.alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
 
@@ -96,8 +114,9 @@ def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str,
 def nearest_edge(points: DataFrame, zones: DataFrame, by: list[str], point: str, radius: str) -> DataFrame:
     """`by`, `point`, edge_km: the distance to the nearest edge of discs (`radius` in km) around the zones' middles, negative inside; null as in nearest_zone."""
     met = _met(points, zones.withColumn("_name", F.lit(0)), by, point, "_name", radius)
-    edge = 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt("square") / 2)) - F.col("_radius")
-    return points.select(*by, point).join(met.groupBy(*by, point).agg(F.min(edge).alias("edge_km")), [*by, point], "left")
+    edge = F.array_min(F.transform("_zones", lambda z: 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(_square(z)) / 2)) - z["radius"]))
+    least = met.select(*by, point, edge.alias("_edge")).groupBy(*by, point).agg(F.min("_edge").alias("edge_km"))
+    return points.select(*by, point).join(least, [*by, point], "left")
 
 
 def _rounded(x: Column, digits: int | None) -> Column:

@@ -6,7 +6,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from talus.operators import raster, zones
+from talus.operators import raster, validation, zones
 
 
 def plan_of(df) -> str:
@@ -32,3 +32,21 @@ def test_zones_on_a_limit_do_not_depend_on_the_order_of_rows(spark):
     px = spark.createDataFrame(rows, "stack string, zone int, row int, col int, velocity double, fs double, slope_deg double").coalesce(1)
     out = zones.describe(px, ["stack"], 80.0).select("mean_velocity", "severity").distinct().collect()
     assert [tuple(r) for r in out] == [(-50.0, "CRITICAL")]
+
+
+def test_cells_in_sight_are_dealt_to_tasks(spark, monkeypatch):
+    parts, stored = {}, validation.stored
+
+    def counted(df, name="step"):
+        parts[name] = df.rdd.getNumPartitions()
+        return stored(df, name)
+
+    monkeypatch.setattr(validation, "stored", counted)
+    at = lambda n, a, b: spark.range(n).select(F.col("id").alias("k"), (F.col("id") * a % 997 / 997.0 + 75.0).alias("lon"), (F.col("id") * b % 991 / 991.0 + 33.0).alias("lat"))
+    points, places = at(300, 7919, 6007).withColumnRenamed("k", "point"), at(60, 317, 419).withColumnRenamed("k", "zone")
+    out = validation.nearest_zone(points, places, [], "point", "zone").collect()
+    assert parts["nearest-cells"] == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1  # not one task, however few bytes these are
+    held = places.collect()
+    for r in out:
+        d = lambda z, r=r: (z["lon"] - r["lon"]) ** 2 * 0.7 + (z["lat"] - r["lat"]) ** 2
+        assert r["nearest_km"] <= 111.4 * min(map(d, held)) ** 0.5 * 1.05
