@@ -109,5 +109,11 @@ def method_comparison(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that stand in one of two tables only, with the side."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows that stand in one of two tables only, with the side; as often as they stand there more often than in the other.
+
+    Both tables are counted in one aggregation, one with a minus.
+    """
+    more = F.sum("_side")
+    counted = a.withColumn("_side", F.lit(1)).union(b.withColumn("_side", F.lit(-1))).groupBy(*a.columns).agg(more.alias("_more")).filter("_more <> 0")
+    each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_more"))))
+    return each.select(*a.columns, F.when(F.col("_more") > 0, "left").otherwise("right").alias("side"))

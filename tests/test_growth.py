@@ -6,7 +6,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from talus.operators import raster, validation, zones
+from talus.operators import audit, raster, validation, zones
 
 
 def plan_of(df) -> str:
@@ -50,3 +50,11 @@ def test_cells_in_sight_are_dealt_to_tasks(spark, monkeypatch):
     for r in out:
         d = lambda z, r=r: (z["lon"] - r["lon"]) ** 2 * 0.7 + (z["lat"] - r["lat"]) ** 2
         assert r["nearest_km"] <= 111.4 * min(map(d, held)) ** 0.5 * 1.05
+
+
+def test_differences_count_both_tables_once(spark):
+    a = spark.createDataFrame([(1,), (1,), (1,), (2,), (None,), (None,)], "k int")
+    b = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
+    out = audit.differences(a, b)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "left"), (1, "left"), (None, "left"), (3, "right")]))
+    assert plan_of(out).count("Aggregate") == 1
