@@ -31,16 +31,16 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """`component`, the smallest node that each node reaches; nodes (node), edges (a, b), each with `by`.
 
     Labels spread to neighbours and then jump to the label of their label, until nothing
-    changes, with each round written out.
+    changes, with each round written out. Joins are merge joins at every size: labels grow with the input, and none are gathered in the driver.
     """
     both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both)
     labels = stored(nodes.select(*by, "node", F.col("node").alias("component")))
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(seen, [*by, "node"], "left").select(*by, "node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        seen = both.join(labels.withColumnRenamed("node", "b").hint("merge"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        low = labels.join(seen.hint("merge"), [*by, "node"], "left").select(*by, "node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = low.select(*by, F.col("node").alias("component"), F.col("component").alias("further"))
-        new = stored(low.join(jump, [*by, "component"], "left").select(*by, "node", "old", F.least("component", "further").alias("component")))
+        new = stored(low.join(jump.hint("merge"), [*by, "component"], "left").select(*by, "node", "old", F.least("component", "further").alias("component")))
         if new.filter("old <> component").isEmpty():
             return new.drop("old")
         labels = new.drop("old")
@@ -48,7 +48,7 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
 
 def bridging_edges(edges: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
     """Edges whose ends lie in different components."""
-    at = lambda end: labels.select(*by, F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    at = lambda end: labels.select(*by, F.col("node").alias(end), F.col("component").alias(f"{end}_component")).hint("merge")
     return edges.join(at("a"), [*by, "a"]).join(at("b"), [*by, "b"]).filter("a_component <> b_component")
 
 
@@ -83,11 +83,11 @@ def select_bridges(pairs: DataFrame, stack: str = "stack", gate: dict | None = N
     rows = stored(rows.select(stack, "product", "role", "height", F.col("ref").alias("a"), F.col("sec").alias("b"), "failure"), "bridge-rows")
     tree = stored(merge_forest(rows.filter("role = 'base' or failure is null").select(stack, "a", "b", "height"), by), "bridge-tree")
     tried = rows.filter("role = 'candidate'")
-    chosen = tried.join(tree.select(stack, "height"), [stack, "height"], "left_semi").select(stack, "product", F.lit(True).alias("selected"), "failure")
+    chosen = tried.join(tree.select(stack, "height").hint("merge"), [stack, "height"], "left_semi").select(stack, "product", F.lit(True).alias("selected"), "failure")
     failed = tried.filter("failure is not null")
     ends = failed.select(stack, "product", "height", F.explode(F.array("a", "b")).alias("part"))
     now = eldest_at(ends, tree, by, "part", "height").groupBy(stack, "product", "height").agg(F.count_distinct("eldest").alias("n")).filter("n = 2")
-    apart = failed.join(now.select(stack, "product", "height"), [stack, "product", "height"], "left_semi").select(stack, "product", F.lit(False).alias("selected"), "failure")
+    apart = failed.join(now.select(stack, "product", "height").hint("merge"), [stack, "product", "height"], "left_semi").select(stack, "product", F.lit(False).alias("selected"), "failure")
     return chosen.unionByName(apart)
 
 

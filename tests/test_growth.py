@@ -6,7 +6,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from talus.operators import audit, raster, validation, zones
+from talus.operators import audit, network, raster, validation, zones
 
 
 def plan_of(df) -> str:
@@ -58,3 +58,26 @@ def test_differences_count_both_tables_once(spark):
     out = audit.differences(a, b)
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "left"), (1, "left"), (None, "left"), (3, "right")]))
     assert plan_of(out).count("Aggregate") == 1
+
+
+def broadcasts_of(run, monkeypatch, *modules):
+    """Results of `run`, and how many of its tables (written on the way, or its result) plan to gather a table in the driver."""
+    found, plain = [], {m: m.stored for m in modules}
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+    for m in modules:
+        monkeypatch.setattr(m, "stored", lambda df, name="step", m=m: (found.append(planned(df)), plain[m](df, name))[1])
+    out = run()
+    return out.collect(), sum(found) + planned(out)
+
+
+def test_labels_and_components_gather_no_table(spark, monkeypatch):
+    nodes = spark.range(40).select(F.lit("s").alias("stack"), F.col("id").alias("node"))
+    edges = spark.range(39).filter("id % 10 <> 9").select(F.lit("s").alias("stack"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    rows, gathered = broadcasts_of(lambda: network.components(nodes, edges, ["stack"]), monkeypatch, network)
+    assert {r["node"]: r["component"] for r in rows} == {k: k // 10 * 10 for k in range(40)} and gathered == 0
+    px = spark.range(60).select(F.lit("s").alias("stack"), (F.col("id") / 10).cast("int").alias("row"), (F.col("id") % 10).cast("int").alias("col"))
+    rows, gathered = broadcasts_of(lambda: raster.label_zones(px, ["stack"], F.col("col") % 4 != 3), monkeypatch, network, raster)
+    assert {(r["col"] // 4, r["zone"]) for r in rows} == {(0, 0), (1, 4), (2, 8)} and len(rows) == 48 and gathered == 0
+    labels = nodes.withColumn("component", F.floor(F.col("node") / 10))
+    rows, gathered = broadcasts_of(lambda: network.bridging_edges(spark.createDataFrame([("s", 9, 10), ("s", 1, 2)], "stack string, a long, b long"), labels, ["stack"]), monkeypatch, network)
+    assert [(r["a"], r["b"]) for r in rows] == [(9, 10)] and gathered == 0
