@@ -3,6 +3,9 @@
 Nodes are born at a level and joined by edges at levels. Every node points to an elder one (born earlier, ties by
 name) with which it is in one part from a level on, the lowest at which any elder one is: who
 follows pointers up to a level comes to the eldest node of the part at that level.
+
+Tables of nodes and pointers grow with the input, but are small as Parquet: their joins are merge joins at every
+size, so that none of them is gathered in the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ def _roots(pointers: DataFrame, by: list[str], name: str) -> DataFrame:
         new = now
         for step in ("_once", "_twice"):
             ahead = now.select(*by, F.col("node").alias("root"), F.col("root").alias(step))
-            new = new.join(ahead, [*by, "root"], "left").withColumn("root", F.coalesce(step, "root"))
+            new = new.join(ahead.hint("merge"), [*by, "root"], "left").withColumn("root", F.coalesce(step, "root"))
         new = stored(new.select(*by, "node", "root", F.col("_twice").isNotNull().alias("_moved")), name)
         if new.filter("_moved").isEmpty():
             return new.drop("_moved")
@@ -48,7 +51,7 @@ def merge_forest(edges: DataFrame, by: list[str]) -> DataFrame:
         tree = joined if tree is None else tree.unionByName(joined)
         roots = _roots(joined, by, "forest-roots")
         for end in ("a", "b"):
-            edges = edges.join(roots.withColumnRenamed("node", end), [*by, end], "left").withColumn(end, F.coalesce("root", end)).drop("root")
+            edges = edges.join(roots.withColumnRenamed("node", end).hint("merge"), [*by, end], "left").withColumn(end, F.coalesce("root", end)).drop("root")
         edges = lowest(edges)
     return edges.select(*by, F.col("a").alias("node"), F.col("b").alias("up"), "height") if tree is None else tree
 
@@ -57,9 +60,9 @@ def eldest_at(asked: DataFrame, tree: DataFrame, by: list[str], node: str, level
     """`asked` with `eldest`: the eldest node of the part that its node is in at its level (joined below it, or up to it)."""
     levels = stored(asked.select(*by, level).distinct(), "forest-levels")
     below = F.col("_height") < F.col(level) if strict else F.col("_height") <= F.col(level)
-    at = tree.withColumnRenamed("height", "_height").join(levels, by).filter(below).select(*by, level, "node", "up")
+    at = tree.withColumnRenamed("height", "_height").join(levels.hint("merge"), by).filter(below).select(*by, level, "node", "up")
     roots = _roots(stored(at, "forest-pointers"), [*by, level], "forest-at-levels")
-    return asked.join(roots.withColumnRenamed("node", node), [*by, level, node], "left").withColumn("eldest", F.coalesce("root", node)).drop("root")
+    return asked.join(roots.withColumnRenamed("node", node).hint("merge"), [*by, level, node], "left").withColumn("eldest", F.coalesce("root", node)).drop("root")
 
 
 def saddle_edges(cells: DataFrame, by: list[str], level: Column) -> tuple[DataFrame, DataFrame]:
@@ -72,13 +75,13 @@ def saddle_edges(cells: DataFrame, by: list[str], level: Column) -> tuple[DataFr
     own = stored(cells.withColumn("_level", level).filter("_level is not null").withColumn("node", F.struct(F.col("_level").alias("level"), code.alias("code"))), "basin-cells")
     steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, 0), (0, -1), (-1, 0))))
     sent = own.select(*by, "row", "col", "node", F.explode(steps).alias("_s")).select(*by, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), F.col("node").alias("_other"))
-    touching = stored(own.select(*by, "row", "col", "node").join(sent, [*by, "row", "col"]).select(*by, "node", "_other"), "basin-touching")
+    touching = stored(own.select(*by, "row", "col", "node").join(sent.hint("merge"), [*by, "row", "col"]).select(*by, "node", "_other"), "basin-touching")
     down = touching.groupBy(*by, "node").agg(F.min("_other").alias("up")).filter(F.col("up") < F.col("node"))
     roots = _roots(stored(down, "basin-pointers"), by, "basin-roots")
-    named = stored(own.join(roots, [*by, "node"], "left").withColumn("basin", F.coalesce("root", "node")).drop("root"), "basins")
+    named = stored(own.join(roots.hint("merge"), [*by, "node"], "left").withColumn("basin", F.coalesce("root", "node")).drop("root"), "basins")
     at = named.select(*by, "node", "basin")
-    met = touching.filter(F.col("_other") < F.col("node")).join(at.withColumnRenamed("basin", "a"), [*by, "node"])
-    met = met.join(at.select(*by, F.col("node").alias("_other"), F.col("basin").alias("b")), [*by, "_other"]).filter("a <> b")
+    met = touching.filter(F.col("_other") < F.col("node")).join(at.withColumnRenamed("basin", "a").hint("merge"), [*by, "node"])
+    met = met.join(at.select(*by, F.col("node").alias("_other"), F.col("basin").alias("b")).hint("merge"), [*by, "_other"]).filter("a <> b")
     return named, met.select(*by, "a", "b", F.col("node.level").alias("height"))
 
 
@@ -91,6 +94,6 @@ def zones_at_levels(cells: DataFrame, by: list[str], level: Column, levels: list
     tree = stored(merge_forest(edges, by), "merge-tree")
     asked = named.withColumn("at", F.explode(F.array(*map(F.lit, levels)))).filter(F.col("_level") < F.col("at"))
     basins = eldest_at(asked.select(*by, "at", "basin").distinct(), tree, by, "basin", "at").withColumnRenamed("eldest", "zone")
-    on = stored(asked.join(basins, [*by, "at", "basin"]).drop("_level", "node", "basin"), "zones-at-levels")
+    on = stored(asked.join(basins.hint("merge"), [*by, "at", "basin"]).drop("_level", "node", "basin"), "zones-at-levels")
     sizes = on.groupBy(*by, "at", "zone").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    return on.join(sizes.select(*by, "at", "zone"), [*by, "at", "zone"], "left_semi")
+    return on.join(sizes.select(*by, "at", "zone").hint("merge"), [*by, "at", "zone"], "left_semi")

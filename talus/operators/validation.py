@@ -64,7 +64,8 @@ def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: s
     cells, wherever they are. The cells that points lie in descend the tree together: of the cells in sight, those go that
     are surely farther than another's farthest end, and the rest are parted, down to the leaves. Points
     meet the zones of the leaves that are left, a leaf in a row. Zones at one place are one: that of largest radius, then smallest name.
-    Cells in sight and points are dealt to tasks by their keys, however small the tables are in bytes.
+    Cells in sight and points are dealt to tasks by their keys, however small the tables are in bytes; joins are merge
+    joins at every size, so that neither points nor zones are gathered in the driver.
     """
     r = F.lit(0.0) if radius is None else F.col(radius)
     first = F.min(F.struct((-r).alias("less"), F.col(zone).alias("zone"))).alias("_m")
@@ -90,16 +91,16 @@ def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: s
             whole = (F.col("_n") <= LEAF) | (F.col("_cell.level") < level)
             # what stays whole meets no child, under keys of its own
             nothing = F.struct(F.lit(-1).alias("level"), *(F.col(f"_q.{c}").alias(c) for c in ("_x", "_y", "_z")))
-            parts = seen.withColumn("_parent", F.when(whole, nothing).otherwise(F.col("_cell"))).join(children, [*by, "_parent"], "left")
-            seen = parts.select(*by, "_q", F.coalesce("_child", "_cell").alias("_cell"), F.coalesce("_child_n", "_n").alias("_n"), F.coalesce("_child_most", "_most").alias("_most"))
+            parts = seen.withColumn("_parent", F.when(whole, nothing).otherwise(F.col("_cell"))).join(children.hint("merge"), [*by, "_parent"], "left")
+            seen = parts.select(*by, "_q", F.coalesce("_child", "_cell").alias("_cell"), F.coalesce("_child_n", "_n").alias("_n"), F.coalesce("_child_most", "_most").alias("_most")).repartition(_parallel(points), *by, "_q")
     pairs = stored(seen.select(*by, "_q", "_cell"), "nearest-cells")
     # cells of the last level may hold any number of zones, which are dealt to several lists
     part = F.when(F.col("_cell.level") == LEVELS, F.pmod(F.xxhash64("_zlon", "_zlat"), F.lit(1024))).otherwise(F.lit(0)).alias("_part")
     leaf = tree.filter((F.col("_n") <= LEAF) | (F.col("_cell.level") == LEVELS)).select(*by, "_cell")
     listed = F.struct(F.col("_zone").alias("zone"), F.col("_zlon").alias("lon"), F.col("_zlat").alias("lat"), F.col("_radius").alias("radius"), F.col("_there").alias("there"))
-    leaves = stored(placed.join(leaf, [*by, "_cell"], "left_semi").groupBy(*by, "_cell", part).agg(F.collect_list(listed).alias("_zones")), "nearest-leaves")
+    leaves = stored(placed.join(leaf.hint("merge"), [*by, "_cell"], "left_semi").groupBy(*by, "_cell", part).agg(F.collect_list(listed).alias("_zones")), "nearest-leaves")
     asked = asked.repartition(_parallel(points), *by, point)
-    return asked.join(pairs, [*by, "_q"]).join(leaves, [*by, "_cell"]).select(*by, point, "lon", "lat", "_here", "_zones")
+    return asked.join(pairs.hint("merge"), [*by, "_q"]).join(leaves.hint("merge"), [*by, "_cell"]).select(*by, point, "lon", "lat", "_here", "_zones")
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str) -> DataFrame:
@@ -108,7 +109,7 @@ def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str,
     least = F.array_min(F.transform("_zones", lambda z: F.struct(_square(z).alias("square"), z["zone"].alias("zone"), z["lon"].alias("_zlon"), z["lat"].alias("_zlat"))))
     best = met.select(*by, point, least.alias("_least")).groupBy(*by, point).agg(F.min("_least").alias("_best"))
     km = F.when(F.col("_best").isNotNull(), haversine_km(F.col("lon"), F.col("lat"), F.col("_best._zlon"), F.col("_best._zlat")))
-    return points.join(best, [*by, point], "left").select(*points.columns, km.alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
+    return points.join(best.hint("merge"), [*by, point], "left").select(*points.columns, km.alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
 
 
 def nearest_edge(points: DataFrame, zones: DataFrame, by: list[str], point: str, radius: str) -> DataFrame:
@@ -116,7 +117,7 @@ def nearest_edge(points: DataFrame, zones: DataFrame, by: list[str], point: str,
     met = _met(points, zones.withColumn("_name", F.lit(0)), by, point, "_name", radius)
     edge = F.array_min(F.transform("_zones", lambda z: 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(_square(z)) / 2)) - z["radius"]))
     least = met.select(*by, point, edge.alias("_edge")).groupBy(*by, point).agg(F.min("_edge").alias("edge_km"))
-    return points.select(*by, point).join(least, [*by, point], "left")
+    return points.select(*by, point).join(least.hint("merge"), [*by, point], "left")
 
 
 def _rounded(x: Column, digits: int | None) -> Column:

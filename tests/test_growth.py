@@ -6,7 +6,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from talus.operators import audit, network, raster, validation, zones
+from talus.operators import audit, forest, network, raster, validation, zones
 
 
 def plan_of(df) -> str:
@@ -81,3 +81,11 @@ def test_labels_and_components_gather_no_table(spark, monkeypatch):
     labels = nodes.withColumn("component", F.floor(F.col("node") / 10))
     rows, gathered = broadcasts_of(lambda: network.bridging_edges(spark.createDataFrame([("s", 9, 10), ("s", 1, 2)], "stack string, a long, b long"), labels, ["stack"]), monkeypatch, network)
     assert [(r["a"], r["b"]) for r in rows] == [(9, 10)] and gathered == 0
+
+
+def test_merge_trees_gather_no_table(spark, monkeypatch):
+    cells = spark.range(60).select(F.lit("s").alias("stack"), (F.col("id") / 10).cast("int").alias("row"), (F.col("id") % 10).cast("int").alias("col"))
+    rows, gathered = broadcasts_of(lambda: forest.zones_at_levels(cells, ["stack"], F.when(F.col("col") % 4 != 3, F.col("col") * 0.01), [0.05, 1.0]), monkeypatch, forest)
+    assert len(rows) == 6 * 4 + 48 and len({(r["at"], r["zone"]) for r in rows}) == 5 and gathered == 0
+    rows, gathered = broadcasts_of(lambda: raster.flow_accumulation(cells.withColumn("z", F.col("col") * 1.0), ["stack"], "z"), monkeypatch, raster)
+    assert sum(r["accum"] for r in rows if r["col"] == 0) == 60 and gathered == 0
