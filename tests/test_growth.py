@@ -6,7 +6,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from talus.operators import audit, forest, network, raster, validation, zones
+from talus.operators import audit, exposure, forest, network, raster, validation, zones
 
 
 def plan_of(df) -> str:
@@ -89,3 +89,17 @@ def test_merge_trees_gather_no_table(spark, monkeypatch):
     assert len(rows) == 6 * 4 + 48 and len({(r["at"], r["zone"]) for r in rows}) == 5 and gathered == 0
     rows, gathered = broadcasts_of(lambda: raster.flow_accumulation(cells.withColumn("z", F.col("col") * 1.0), ["stack"], "z"), monkeypatch, raster)
     assert sum(r["accum"] for r in rows if r["col"] == 0) == 60 and gathered == 0
+
+
+def squares(spark, rows):
+    at = lambda a, b: F.struct((F.col("x") + a).alias("lon"), (F.col("y") + b).alias("lat"))
+    vertices = F.array(at(0.0, 0.0), at(2.0, 0.0), at(2.0, 2.0), at(0.0, 2.0))
+    return spark.createDataFrame(rows, "district string, region long, ring int, x double, y double").select("district", "region", "ring", vertices.alias("vertices"))
+
+
+def test_places_in_polygons_are_judged_where_they_meet(spark):
+    rings = squares(spark, [("d", 1, 0, 0.0, 0.0), ("d", 1, 1, 1.0, 1.0), ("d", 2, 0, 10.0, 0.0)])
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 2.5, 2.5), (4, 5.0, 1.0), (5, 11.0, 1.0), (6, None, 1.0)], "point int, lon double, lat double")
+    out = exposure.points_in_polygons(points, exposure.polygon_edges(rings, ["region"]), ["region"], "point", 0.7)
+    assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 2), (1, 3), (2, 5)]  # inside two rings of a group: one row
+    assert "Aggregate" not in plan_of(out).split("Join")[0]  # no shuffle of pairs
