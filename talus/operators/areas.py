@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.operators.exposure import points_in_polygons, polygon_edges
+from talus.operators.exposure import points_uncovered, polygon_edges
 from talus.sources.storage import stored
 
 
@@ -29,7 +29,7 @@ def union_boundary(rings: DataFrame, by: list[str], part: str, cell: float) -> D
     """`by`, x1, y1, x2, y2: the directed edges (inside on their left) of the boundary of what the parts of each group cover together.
 
     Edges are cut where they cross those of other parts, which they meet in cells; a piece whose middle lies in
-    another part is covered and goes. Each part is one ring without holes; parts with stretches of
+    another part of its group is covered and goes: a piece looks for one such part among those of its cell, not for all. Each part is one ring without holes; parts with stretches of
     boundary in common are not told apart there.
     """
     edges = polygon_edges(_counter_clockwise(rings, [*by, part]), [*by, part]).drop("ring")
@@ -52,13 +52,7 @@ def union_boundary(rings: DataFrame, by: list[str], part: str, cell: float) -> D
         along("x", (F.col("_t") + F.col("_to")) / 2).alias("lon"), along("y", (F.col("_t") + F.col("_to")) / 2).alias("lat"),
     )
     cut = stored(cut, "union-pieces")
-    own = {c: F.col(c) for c in by}
-    inside = points_in_polygons(cut, edges.withColumn("ring", F.lit(0)), [*by, part], "piece", band=cell).select(*(c.alias(f"_{k}") for k, c in own.items()), F.col(part).alias("_part"), "piece")
-    same = [F.col(f"_{c}") == F.col(c) for c in by]
-    covered = cut.join(inside, "piece").filter(F.col("_part") != F.col(part))
-    for s in same:
-        covered = covered.filter(s)
-    return cut.join(covered.select("piece").distinct(), "piece", "left_anti").select(*by, "x1", "y1", "x2", "y2")
+    return points_uncovered(cut, edges.withColumn("ring", F.lit(0)), by, part, cell).select(*by, "x1", "y1", "x2", "y2")
 
 
 def enclosed_area(boundary: DataFrame, by: list[str]) -> DataFrame:

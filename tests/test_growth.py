@@ -6,7 +6,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from talus.operators import audit, exposure, forest, network, raster, validation, zones
+from talus.operators import areas, audit, exposure, forest, network, raster, validation, zones
 
 
 def plan_of(df) -> str:
@@ -103,3 +103,12 @@ def test_places_in_polygons_are_judged_where_they_meet(spark):
     out = exposure.points_in_polygons(points, exposure.polygon_edges(rings, ["region"]), ["region"], "point", 0.7)
     assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 2), (1, 3), (2, 5)]  # inside two rings of a group: one row
     assert "Aggregate" not in plan_of(out).split("Join")[0]  # no shuffle of pairs
+
+
+def test_pieces_of_a_boundary_meet_their_own_group(spark):
+    rings = squares(spark, [("d", 1, 0, 0.0, 0.0), ("d", 2, 0, 1.0, 1.0), ("e", 3, 0, 0.5, 0.5)])
+    out = areas.union_boundary(rings, ["district"], "region", 0.7)
+    got = {r["district"]: (round(r["area"], 9), round(r["length"], 9)) for r in areas.enclosed_area(out, ["district"]).collect()}
+    assert got == {"d": (7.0, 12.0), "e": (4.0, 8.0)}
+    plan = plan_of(out)
+    assert plan.count("Join") == 1 and "LeftAnti" in plan and "district" in plan.split("Join LeftAnti")[1].split("\n")[0]
