@@ -28,23 +28,37 @@ def _on_sphere(df: DataFrame, lon: str, lat: str, name: str) -> DataFrame:
     return df.withColumns({c: whole(F.get(name, F.lit(i))) for i, c in enumerate(("_x", "_y", "_z"))})
 
 
-def _cell(level: str) -> Column:
-    """The cell of a place at a level: its level and place among the cells of that size."""
-    part = lambda c: F.expr(f"shiftright({c}, {_FINEST} - {BITS} * ({level}))").alias(c)
-    return F.struct(F.expr(f"cast({level} as int)").alias("level"), part("_x"), part("_y"), part("_z"))
+def _cell(bits: str) -> Column:
+    """The cell of a place with so many bits of its coordinates: their number, and its place among the cells of that size."""
+    part = lambda c: F.expr(f"shiftright({c}, {_FINEST} - {bits})").alias(c)
+    return F.struct(F.expr(f"cast({bits} as int)").alias("bits"), part("_x"), part("_y"), part("_z"))
 
 
 def _bounds(a: str, b: str, radius: Column) -> tuple[Column, Column]:
     """The least and the largest distance (km) of an edge in cell b from a place in cell a, `radius` being the largest in b."""
     near, far = F.lit(0.0), F.lit(0.0)
     for c in ("_x", "_y", "_z"):
-        side = lambda cell: F.pow(F.lit(2.0), F.lit(_FINEST) - BITS * F.col(f"{cell}.level"))
+        side = lambda cell: F.pow(F.lit(2.0), F.lit(_FINEST) - F.col(f"{cell}.bits"))
         a0, b0 = F.col(f"{a}.{c}") * side(a), F.col(f"{b}.{c}") * side(b)
         gap = F.greatest(a0 - b0 - side(b), b0 - a0 - side(a), F.lit(0.0))
         reach = F.greatest(a0 + side(a) - b0, b0 + side(b) - a0)
         near, far = near + gap * gap, far + reach * reach
-    arc = lambda square: 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(square) / 2.0**_FINEST))
-    return arc(near) - radius, arc(far) - radius
+    return _arc(near) - radius, _arc(far) - radius
+
+
+def _arc(square: Column) -> Column:
+    """Kilometres of a chord, from its square in units of the finest cells."""
+    return 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(square) / 2.0**_FINEST))
+
+
+def _ends(radius: Column) -> tuple[Column, Column]:
+    """The least and the largest distance (km) of the edge of zone _zone from a place in cell _q."""
+    side, near, far = F.pow(F.lit(2.0), F.lit(_FINEST) - F.col("_q.bits")), F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        at = (F.col(f"_zone.{c}") + 1.0) * 2.0 ** (_FINEST - 1) - F.col(f"_q._{c}") * side
+        gap, reach = F.greatest(-at, at - side, F.lit(0.0)), F.greatest(at, side - at)
+        near, far = near + gap * gap, far + reach * reach
+    return _arc(near) - radius, _arc(far) - radius
 
 
 def _parallel(df: DataFrame) -> int:
@@ -53,71 +67,97 @@ def _parallel(df: DataFrame) -> int:
 
 
 def _square(z: Column) -> Column:
-    """Square of the chord from a place to a zone of a leaf."""
-    return sum((F.get("_here", F.lit(i)) - F.get(z["there"], F.lit(i))) * (F.get("_here", F.lit(i)) - F.get(z["there"], F.lit(i))) for i in range(3))
+    """Square of the chord from a place to a zone of a list."""
+    return sum((z[c] - F.col(f"_h{c}")) * (z[c] - F.col(f"_h{c}")) for c in "xyz")
 
 
-def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str | None) -> DataFrame:
-    """`by`, point, lon, lat, _here with lists `_zones` (zone, lon, lat, radius, there) of zones that may be nearest to it, among them the nearest.
+#: Zones of a list, and points that meet the lists of a cell in one task.
+LIST, HOT = 1024, 20_000
+
+
+def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str | None, best) -> DataFrame:
+    """The points, of each group where they do not name one, with `_best`: the least of `best` over lists of zones that may be nearest, among them the nearest.
 
     Zones lie in the cells of a tree over the globe, which are parted until one holds LEAF zones at most: dense areas have small
-    cells, wherever they are. The cells that points lie in descend the tree together: of the cells in sight, those go that
-    are surely farther than another's farthest end, and the rest are parted, down to the leaves. Points
-    meet the zones of the leaves that are left, a leaf in a row. Zones at one place are one: that of largest radius, then smallest name.
-    Cells in sight and points are dealt to tasks by their keys, however small the tables are in bytes; joins are merge
-    joins at every size, so that neither points nor zones are gathered in the driver.
+    cells, wherever they are. The cells that points lie in, twice as wide as the smallest, descend the tree together: of the cells in sight, those go that
+    are surely farther than another's farthest end, and the rest are parted, down to the leaves and then to their zones. What is left
+    for a cell of points is a list (x, y, z, radius, zone, lon, lat), and a point meets this one row: nothing is shuffled or gathered by
+    pairs of points and zones. Only lists of more than LIST zones are cut, and points that meet several are put together again.
+    Points that lack some of `by` are asked of all groups by one join. Zones at one place are one: that of largest radius, then smallest name.
+    Cells in sight and points are dealt to tasks by their keys, however small the tables are in bytes, and cells of many points to several; joins are merge
+    joins at every size, so that neither points nor zones are gathered in the driver, but a row for each HOT points of a full cell.
     """
+    shared, n = [c for c in by if c in points.columns], _parallel(points)
+    rest = [c for c in by if c not in shared]
     r = F.lit(0.0) if radius is None else F.col(radius)
     first = F.min(F.struct((-r).alias("less"), F.col(zone).alias("zone"))).alias("_m")
     placed = zones.filter("lon is not null and lat is not null").groupBy(*by, "lon", "lat").agg(first)
-    placed = _on_sphere(placed, "lon", "lat", "_there").select(*by, "_there", "_x", "_y", "_z", F.col("lon").alias("_zlon"), F.col("lat").alias("_zlat"), (-F.col("_m.less")).alias("_radius"), F.col("_m.zone").alias("_zone"))
-    placed = stored(placed.withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS)))).withColumn("_cell", _cell("_level")).drop("_x", "_y", "_z"), "nearest-placed")
-    tree = stored(placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.max("_radius").alias("_most")), "nearest-tree")
-    deepest = (tree.filter((F.col("_n") > LEAF) & (F.col("_cell.level") < LEVELS)).agg(F.max("_cell.level")).first()[0] or 0) + 1
+    there = F.struct(*(F.get("_there", F.lit(i)).alias(c) for i, c in enumerate("xyz")), (-F.col("_m.less")).alias("radius"), F.col("_m.zone").alias("zone"), "lon", "lat").alias("_zone")
+    placed = _on_sphere(placed, "lon", "lat", "_there").select(*by, there, "_x", "_y", "_z")
+    placed = stored(placed.withColumn("_bits", F.explode(F.array(*(F.lit(BITS * k) for k in range(1, LEVELS + 1))))).withColumn("_cell", _cell("_bits")).drop("_x", "_y", "_z", "_bits"), "nearest-placed")
+    tree = stored(placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.max("_zone.radius").alias("_most")), "nearest-tree")
+    deepest = (tree.filter((F.col("_n") > LEAF) & (F.col("_cell.bits") < _FINEST)).agg(F.max("_cell.bits")).first()[0] or 0) // BITS + 1
     up = lambda c: F.shiftright(F.col(f"_cell.{c}"), BITS).alias(c)
-    parent = F.struct((F.col("_cell.level") - 1).alias("level"), up("_x"), up("_y"), up("_z")).alias("_parent")
+    parent = F.struct((F.col("_cell.bits") - BITS).alias("bits"), up("_x"), up("_y"), up("_z")).alias("_parent")
     children = tree.select(*by, parent, F.col("_cell").alias("_child"), F.col("_n").alias("_child_n"), F.col("_most").alias("_child_most"))
 
-    asked = _on_sphere(points.select(*by, point, "lon", "lat").filter("lon is not null and lat is not null"), "lon", "lat", "_here").withColumn("_q", _cell(str(deepest))).drop("_x", "_y", "_z")
-    top = tree.filter("_cell.level = 1").select(*by, "_cell", "_n", "_most")  # some hundreds of cells of each group at most
-    # written out: a shuffle that follows the one of `distinct` directly is left out, and with it the number of tasks
-    sights = stored(asked.select(*by, "_q").distinct(), "nearest-sights")
-    seen = (sights.join(top, by) if by else sights.crossJoin(F.broadcast(top))).repartition(_parallel(points), *by, "_q")
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    asked = _on_sphere(points, "lon", "lat", "_here").withColumn("_q", F.when(known, _cell(str(BITS * deepest - 1))))
+    asked = asked.select(*points.columns, "_q", *(F.get("_here", F.lit(i)).alias(f"_h{c}") for i, c in enumerate("xyz")))
+    top = tree.filter(F.col("_cell.bits") == BITS).select(*by, "_cell", "_n", "_most")  # some hundreds of cells of each group at most
+    # written out: a shuffle that follows the one of the counts directly is left out, and with it the number of tasks
+    sights = stored(asked.filter("_q is not null").groupBy(*shared, "_q").agg(F.count("*").alias("_asked")), "nearest-sights")
+    at = sights.drop("_asked")
+    seen = (at.join(top, shared) if shared else at.crossJoin(F.broadcast(top))).repartition(n, *by, "_q")
     for level in range(1, deepest + 1):
         near, far = _bounds("_q", "_cell", F.col("_most"))
         least = F.min("_far").over(Window.partitionBy(*by, "_q"))
         seen = seen.withColumns({"_near": near, "_far": far}).withColumn("_least", least).filter(F.col("_near") <= F.col("_least") + 1e-6).drop("_near", "_far", "_least")
         if level < deepest:
-            whole = (F.col("_n") <= LEAF) | (F.col("_cell.level") < level)
+            whole = (F.col("_n") <= LEAF) | (F.col("_cell.bits") < BITS * level)
             # what stays whole meets no child, under keys of its own
-            nothing = F.struct(F.lit(-1).alias("level"), *(F.col(f"_q.{c}").alias(c) for c in ("_x", "_y", "_z")))
+            nothing = F.struct(F.lit(-1).alias("bits"), *(F.col(f"_q.{c}").alias(c) for c in ("_x", "_y", "_z")))
             parts = seen.withColumn("_parent", F.when(whole, nothing).otherwise(F.col("_cell"))).join(children.hint("merge"), [*by, "_parent"], "left")
-            seen = parts.select(*by, "_q", F.coalesce("_child", "_cell").alias("_cell"), F.coalesce("_child_n", "_n").alias("_n"), F.coalesce("_child_most", "_most").alias("_most")).repartition(_parallel(points), *by, "_q")
-    pairs = stored(seen.select(*by, "_q", "_cell"), "nearest-cells")
-    # cells of the last level may hold any number of zones, which are dealt to several lists
-    part = F.when(F.col("_cell.level") == LEVELS, F.pmod(F.xxhash64("_zlon", "_zlat"), F.lit(1024))).otherwise(F.lit(0)).alias("_part")
-    leaf = tree.filter((F.col("_n") <= LEAF) | (F.col("_cell.level") == LEVELS)).select(*by, "_cell")
-    listed = F.struct(F.col("_zone").alias("zone"), F.col("_zlon").alias("lon"), F.col("_zlat").alias("lat"), F.col("_radius").alias("radius"), F.col("_there").alias("there"))
-    leaves = stored(placed.join(leaf.hint("merge"), [*by, "_cell"], "left_semi").groupBy(*by, "_cell", part).agg(F.collect_list(listed).alias("_zones")), "nearest-leaves")
-    asked = asked.repartition(_parallel(points), *by, point)
-    return asked.join(pairs.hint("merge"), [*by, "_q"]).join(leaves.hint("merge"), [*by, "_cell"]).select(*by, point, "lon", "lat", "_here", "_zones")
+            seen = parts.select(*by, "_q", F.coalesce("_child", "_cell").alias("_cell"), F.coalesce("_child_n", "_n").alias("_n"), F.coalesce("_child_most", "_most").alias("_most")).repartition(n, *by, "_q")
+    pairs = stored(seen.select(*by, "_q", "_cell", F.ceil(F.sum("_n").over(Window.partitionBy(*by, "_q")) / LIST).alias("_lists")), "nearest-cells")
+    near, far = _ends(F.col("_zone.radius"))
+    listed = placed.join(pairs.hint("merge"), [*by, "_cell"]).withColumns({"_near": near, "_far": far, "_list": F.pmod(F.xxhash64("_zone.lon", "_zone.lat"), F.col("_lists"))})
+    listed = listed.groupBy(*by, "_q", "_list").agg(F.collect_list(F.struct("_near", "_zone")).alias("_all"), F.min("_far").alias("_least"))
+    left = F.transform(F.filter("_all", lambda z: z["_near"] <= F.col("_least") + 1e-6), lambda z: z["_zone"])
+    lists = stored(listed.select(*by, "_q", "_list", left.alias("_zones")), "nearest-lists")
+
+    hot = F.broadcast(sights.filter(F.col("_asked") > HOT).select(*shared, "_q", F.ceil(F.col("_asked") / HOT).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    lists_of = lists.join(hot, [*shared, "_q"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    dealt = asked.join(hot, [*shared, "_q"], "left").withColumn("_part", F.pmod(F.xxhash64(point), parts).cast("int")).drop("_parts")
+    keys = [*shared, "_q", "_part"]
+    met = dealt.repartition(n, *keys).join(lists_of.repartition(n, *keys).hint("merge"), keys, "inner" if rest else "left")
+    # as a generated row, so that no later filter or column evaluates the list again
+    met = met.select(*points.columns, *rest, F.explode_outer(F.array(F.array_min(F.transform("_zones", best)))).alias("_best"))
+    if not lists.filter("_list > 0").isEmpty():
+        met = met.groupBy(*by, point).agg(F.first(F.struct(*points.columns)).alias("_p"), F.min("_best").alias("_best")).select("_p.*", *rest, "_best")
+    if rest:  # points without a place are in no group's cells
+        nowhere = points.filter(~known).crossJoin(F.broadcast(zones.select(*rest).distinct()))
+        met = met.unionByName(nowhere.withColumn("_best", F.lit(None).cast(met.schema["_best"].dataType)))
+    return met
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str) -> DataFrame:
-    """For each point the distance (km) to the nearest zone, and which; null where a group has no zone or the point no place."""
-    met = _met(points, zones, by, point, zone, None)
-    least = F.array_min(F.transform("_zones", lambda z: F.struct(_square(z).alias("square"), z["zone"].alias("zone"), z["lon"].alias("_zlon"), z["lat"].alias("_zlat"))))
-    best = met.select(*by, point, least.alias("_least")).groupBy(*by, point).agg(F.min("_least").alias("_best"))
-    km = F.when(F.col("_best").isNotNull(), haversine_km(F.col("lon"), F.col("lat"), F.col("_best._zlon"), F.col("_best._zlat")))
-    return points.join(best.hint("merge"), [*by, point], "left").select(*points.columns, km.alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
+    """For each point the distance (km) to the nearest zone, and which; null where a group has no zone or the point no place.
+
+    Points (each once) that lack columns of `by` have a row for each group of them that there is.
+    """
+    best = lambda z: F.struct(_square(z).alias("square"), z["zone"].alias("zone"), z["lon"].alias("lon"), z["lat"].alias("lat"))
+    met = _met(points, zones, by, point, zone, None, best)
+    km = F.when(F.col("_best").isNotNull(), haversine_km(F.col("lon"), F.col("lat"), F.col("_best.lon"), F.col("_best.lat")))
+    return met.select(*(c for c in met.columns if c != "_best"), km.alias("nearest_km"), F.col("_best.zone").alias("nearest_zone"))
 
 
 def nearest_edge(points: DataFrame, zones: DataFrame, by: list[str], point: str, radius: str) -> DataFrame:
-    """`by`, `point`, edge_km: the distance to the nearest edge of discs (`radius` in km) around the zones' middles, negative inside; null as in nearest_zone."""
-    met = _met(points, zones.withColumn("_name", F.lit(0)), by, point, "_name", radius)
-    edge = F.array_min(F.transform("_zones", lambda z: 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(_square(z)) / 2)) - z["radius"]))
-    least = met.select(*by, point, edge.alias("_edge")).groupBy(*by, point).agg(F.min("_edge").alias("edge_km"))
-    return points.select(*by, point).join(least.hint("merge"), [*by, point], "left")
+    """`by`, `point`, edge_km: the distance to the nearest edge of discs (`radius` in km) around the zones' middles, negative inside; null and groups as in nearest_zone."""
+    edge = lambda z: 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(_square(z)) / 2)) - z["radius"]
+    met = _met(points.select(*(c for c in by if c in points.columns), point, "lon", "lat"), zones.withColumn("_name", F.lit(0)), by, point, "_name", radius, edge)
+    return met.select(*by, point, F.col("_best").alias("edge_km"))
 
 
 def _rounded(x: Column, digits: int | None) -> Column:

@@ -14,7 +14,7 @@ from talus.plans.places import BUFFERS, GREEDY_SQL, KM_SQL, _read
 from talus.plans.regions import DEGREE
 from talus.plans.registry import query, r6
 from talus.sources import manifest
-from talus.sources.proxies import PX_POINTS, PX_ZONES, SITES, px_pixels, px_points, px_zones
+from talus.sources.proxies import PX_POINTS, PX_ZONES, px_pixels, px_points, px_zones
 from talus.sources.storage import shared_folder, stored
 
 
@@ -341,9 +341,11 @@ def tier_card(spark, sf_dir: str) -> DataFrame:
     foot = seeds.agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.bool_or(F.col("severity") == "CRITICAL").alias("crit"), F.count_distinct("stack").alias("n_looks"))
     foot = stored(foot.withColumnRenamed("seed", "zone"), "tier-footprint")
     counts = foot.groupBy(*by).agg(F.count("*").alias("n_zones"), F.count_if("crit").alias("n_crit"), F.count_if(F.col("n_looks") >= 2).alias("n_multi"))
-    asked = px_points(spark, sf_dir).withColumn("site", F.explode(F.array(*map(F.lit, SITES)))).withColumn("t", tiers).withColumn("scenario", F.col("t.scenario")).drop("t")
-    near = stored(validation.nearest_zone(asked, foot, by, "point", "zone").filter("nearest_km is not null"), "tier-distances")
-    core = validation.nearest_zone(asked, foot.filter("n_looks >= 2"), by, "point", "zone").filter("nearest_km is not null")
+    # all zones and the core are asked of in one search, with the places of all sites
+    sets = F.explode(F.when(F.col("n_looks") >= 2, F.array(F.lit("all"), F.lit("core"))).otherwise(F.array(F.lit("all"))))
+    both = validation.nearest_zone(px_points(spark, sf_dir).select("point", "lon", "lat", "label"), foot.withColumn("of", sets), [*by, "of"], "point", "zone")
+    both = stored(both.filter("nearest_km is not null").select(*by, "of", "point", "label", "nearest_km"), "tier-distances")
+    near, core = both.filter("of = 'all'"), both.filter("of = 'core'")
 
     def scored(distances: DataFrame) -> DataFrame:
         rows = stored(validation.distance_roc(distances, by, BUFFERS, digits=None), "tier-rates")

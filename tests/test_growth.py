@@ -1,6 +1,7 @@
 """Steps that must not grow with pairs, with single tasks or with the order of rows."""
 
 import itertools
+import math
 from functools import reduce
 from operator import add
 
@@ -120,3 +121,30 @@ def test_ranges_of_ranks_are_found_by_halving(spark):
     rows = sorted(out.collect(), key=lambda r: (r["score"] is not None, r["score"] or 0, r["id"]))
     assert [r["rank"] for r in rows] == list(range(1, 1001))
     assert "filter(" not in plan_of(out).lower()  # no walk over all cuts
+
+
+def test_points_meet_one_list_of_zones(spark, monkeypatch):
+    at = lambda n, a, b: spark.range(n).select(F.col("id").alias("k"), (F.col("id") * a % 97 / 97.0 + 75.0).alias("lon"), (F.col("id") * b % 89 / 89.0 + 33.0).alias("lat"))
+    points = at(150, 31, 17).withColumnRenamed("k", "point").unionByName(spark.createDataFrame([(999, None, 33.0)], "point long, lon double, lat double"))
+    places = at(70, 41, 23).withColumnRenamed("k", "zone").withColumn("rung", F.explode(F.when(F.col("zone") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))))
+    monkeypatch.setattr(validation, "HOT", 1)  # full cells are dealt to several tasks
+    plain = {}
+    for most in (1024, 1):  # lists in one row, and cut
+        monkeypatch.setattr(validation, "LIST", most)
+        out = validation.nearest_zone(points, places, ["rung"], "point", "zone")
+        rows = {(r["rung"], r["point"]): (r["nearest_km"], r["nearest_zone"]) for r in out.collect()}
+        assert len(rows) == out.count() == 2 * 151 and rows["b", 999] == (None, None)
+        assert plain.setdefault("rows", rows) == rows
+        if most > 1:
+            assert "Aggregate" not in plan_of(out).split("Join")[0]  # nothing is gathered by pairs of points and zones
+    held = places.collect()
+    for r in points.filter("lon is not null").collect():
+        for rung in "ab":
+            near = [validation_km(r, z) for z in held if z["rung"] == rung]
+            assert abs(rows[rung, r["point"]][0] - min(near)) < 1e-9
+
+
+def validation_km(p, z) -> float:
+    rad = math.radians
+    a = math.sin(rad(z["lat"] - p["lat"]) / 2) ** 2 + math.cos(rad(p["lat"])) * math.cos(rad(z["lat"])) * math.sin(rad(z["lon"] - p["lon"]) / 2) ** 2
+    return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(a)))
