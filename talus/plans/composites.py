@@ -9,7 +9,7 @@ from talus.functions import geo
 from talus.functions import physics as P
 from talus.functions import rain as R
 from talus.functions.stats import normal_cdf, normal_cdf_sql
-from talus.operators import network, raster, tables, validation, zones
+from talus.operators import crosscheck, network, raster, tables, validation, zones
 from talus.operators import rain as O
 from talus.plans.pixels import _W, _ZONES, W, zone_pixels
 from talus.plans.places import _KM, BUFFERS, GREEDY_SQL, KM_SQL, _distances, _read
@@ -290,8 +290,7 @@ def ladder(spark, sf_dir: str) -> DataFrame:
     """Several masks scored by one protocol, each with its best buffer."""
     z, points = px_zones(spark, sf_dir), px_points(spark, sf_dir)
     rungs = F.explode(F.array(*(F.when(F.expr(mask), F.lit(name)) for name, mask in RUNGS.items())))
-    asked = points.withColumn("rung", F.explode(F.array(*map(F.lit, RUNGS))))
-    out = stored(validation.nearest_zone(asked, z.withColumn("rung", rungs).filter("rung is not null"), ["rung"], "point", "zone"), "ladder")
+    out = stored(validation.nearest_zone(points, z.withColumn("rung", rungs).filter("rung is not null"), ["rung"], "point", "zone"), "ladder")
     rows = validation.distance_roc(out, ["rung"], BUFFERS, digits=None)
     best = tables.first_of(rows, ["rung"], [F.desc_nulls_last("lift"), F.col("buffer_km")]).select("rung", F.col("buffer_km").alias("best_km"), F.round("lift", 6).alias("best_lift"))
     return validation.roc_area(rows, ["rung"]).join(best, "rung").withColumns(r6("auc"))
@@ -314,7 +313,10 @@ def kfold(spark, sf_dir: str) -> DataFrame:
 @query("m06_backtest", f"WITH {_KM} SELECT label, count(*) AS n, round(median(nearest_km), 6) AS median_km, round(avg(CASE WHEN nearest_km <= 10.0 THEN 1.0 ELSE 0.0 END), 6) AS share_10km FROM dist GROUP BY label")
 def backtest(spark, sf_dir: str) -> DataFrame:
     """Distances of the inventory against those of other places."""
-    return _distances(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.round(F.median("nearest_km"), 6).alias("median_km"), F.round(F.avg(F.when(F.col("nearest_km") <= 10.0, 1.0).otherwise(0.0)), 6).alias("share_10km"))
+    d = stored(_distances(spark, sf_dir).select("label", "nearest_km"), "backtest-distances")
+    rates = d.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("nearest_km") <= 10.0, 1.0).otherwise(0.0)), 6).alias("share_10km"))
+    middle = crosscheck.exact_quantiles(d, ["label"], "nearest_km", {"median_km": 0.5}).withColumns(r6("median_km"))
+    return rates.join(middle, "label", "left").select("label", "n", "median_km", "share_10km")
 
 
 @query("w07_three_day_rain", f"WITH {_WATER} SELECT site, date, round(sum(water_mm) OVER (PARTITION BY site ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS rain_72h FROM w")
