@@ -187,8 +187,7 @@ def soils_scored(spark, sf_dir: str) -> DataFrame:
     z = on.groupBy("soil", "stack", "zone").agg(F.count("*").alias("n"), F.avg("row").alias("r"), F.avg("col").alias("c"))
     z = stored(z.withColumns({"lon": DEGREE.x(F.col("c")), "lat": DEGREE.y(F.col("r")), "zone": F.struct("stack", "zone")}), "soil-zones")
     n = spark.createDataFrame([(s,) for s in SOILS], "soil string").join(z.groupBy("soil").agg(F.count("*").alias("n_zones"), F.sum("n").alias("n_cells")), "soil", "left").fillna(0)
-    asked = px_points(spark, sf_dir).withColumn("soil", F.explode(F.array(*map(F.lit, SOILS))))
-    near = validation.nearest_zone(asked, z, ["soil"], "point", "zone").filter("nearest_km is not null")
+    near = validation.nearest_zone(px_points(spark, sf_dir), z, ["soil"], "point", "zone").filter("nearest_km is not null")
     rows = stored(validation.distance_roc(near, ["soil"], BUFFERS, digits=None), "soil-rates")
     base = n.filter("soil = 'baseline'").first()
     more = {f"more_{c}": F.col(f"n_{c}") - F.lit(base[f"n_{c}"]) for c in ("zones", "cells")}

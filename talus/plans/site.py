@@ -109,8 +109,7 @@ def kappa_sweep(spark, sf_dir: str) -> DataFrame:
     z = z.withColumns({"lon": DEGREE.x(F.col("c")), "lat": DEGREE.y(F.col("r"))})
     z = stored(z.withColumn("zone", F.struct("stack", "zone")), "kappa-zones")
     n = z.groupBy("kappa", "m").agg(F.count("*").alias("n_zones"), F.sum("n").alias("n_cells"), F.max("n").alias("largest"))
-    asked = px_points(spark, sf_dir).withColumn("_s", F.explode(F.array(*(F.struct(F.lit(k).alias("kappa"), F.lit(m).alias("m")) for k in KAPPAS for m in WETNESS)))).select("*", "_s.*").drop("_s")
-    near = validation.nearest_zone(asked, z, ["kappa", "m"], "point", "zone").filter("nearest_km is not null")
+    near = validation.nearest_zone(px_points(spark, sf_dir), z, ["kappa", "m"], "point", "zone").filter("nearest_km is not null")
     rows = validation.distance_roc(near, ["kappa", "m"], BUFFERS, digits=None)
     return validation.roc_area(stored(rows, "kappa-rates"), ["kappa", "m"]).join(n, ["kappa", "m"]).withColumns(r6("auc"))
 
@@ -174,8 +173,7 @@ def route_exposure(spark, sf_dir: str) -> DataFrame:
     z = px_zones(spark, sf_dir).withColumn("radius", F.sqrt(F.col("area_km2") / 3.141592653589793))
     scenario = lambda core: F.explode(F.array(*map(F.lit, ("core", "any_zone") if core else ("any_zone",))))
     both = z.filter("severity = 'CRITICAL'").withColumn("of", scenario(True)).unionByName(z.filter("severity <> 'CRITICAL'").withColumn("of", scenario(False)))
-    asked = samples.withColumn("of", scenario(True))
-    edges = validation.nearest_edge(asked, both, ["of"], "sample", "radius")
+    edges = validation.nearest_edge(samples, both, ["of"], "sample", "radius")
     of = lambda name: F.min(F.when(F.col("of") == name, F.col("edge_km"))).alias(name)
     d = edges.groupBy("sample").agg(of("core"), of("any_zone")).select("sample.*", "core", "any_zone")
     d = d.withColumn("cls", exposure.exposure_class(F.col("core"), {"WATCH": F.col("any_zone")}, 1.0))
