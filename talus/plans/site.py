@@ -221,7 +221,7 @@ SELECT stack, count(*) AS n_zones, count(*) FILTER (proxy = routed) AS n_agree,
 )
 def flag_agreement(spark, sf_dir: str) -> DataFrame:
     """Valley flags of zones by the wetness index against those by routed flow."""
-    px = px_pixels(spark, sf_dir)
+    px = stored(px_pixels(spark, sf_dir).select("stack", "row", "col", "dem", "twi"), "flag-pixels")
     z = stored(zones.describe(zone_pixels(spark, sf_dir).withColumn("fs", F.col("fs_sat")), ["stack"], 80.0), "flag-zones")
     flow = raster.flow_accumulation(px, ["stack"], "dem").withColumn("accum", F.col("accum").cast("double"))
     proxy = zones.valley_flag(z, px, ["stack"]).select("stack", "zone", F.col("llof_potential").alias("proxy"))
