@@ -174,6 +174,7 @@ SELECT s.stack, n_common, round(r, 6) AS r, creep_a, creep_b, round(creep_iou, 6
 def hazard_delta(spark, sf_dir: str) -> DataFrame:
     """Creep, the highest class and its zones by raw and by high-passed velocities on the same stability."""
     px = px_pixels(spark, sf_dir).select("stack", "row", "col", "fs_sat", P.coherence_masked(F.col("velocity"), F.col("coh")).alias("velocity"))
+    px = stored(px, "hazard-pixels")
     both = stored(raster.gaussian_highpass(px, BY, "velocity", 2.0), "hazard-velocities")
     return crosscheck.hazard_delta(both, BY, "fs_sat", "velocity", "highpass").withColumns(r6("r", "creep_iou", "high_iou"))
 
