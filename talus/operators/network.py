@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.operators.forest import eldest_at, merge_forest
+from talus.operators.forest import eldest_in, histories, merge_forest
 from talus.sources.storage import stored
 
 
@@ -69,7 +69,7 @@ def select_bridges(pairs: DataFrame, stack: str = "stack", gate: dict | None = N
 
     Kept pairs are the base; pairs of concern, and kept ones that were rescued before,
     are candidates, best coverage first, then lowest r2, then dates. The base and the candidates that pass the
-    gate make one merge tree, whose height is the place in the order, the base before all: the candidates
+    gate make one merge tree, whose height is the place in the order, the base in one place before all: the candidates
     that join parts in it are selected. One that fails the gate is told if its ends are
     in different parts at its own place in the order.
     """
@@ -78,17 +78,18 @@ def select_bridges(pairs: DataFrame, stack: str = "stack", gate: dict | None = N
     rescued = F.contains(F.coalesce("reasons", F.lit("")), F.lit("RESCUED_FOR_CONNECTIVITY"))
     candidate = (F.col("decision") == "CONCERN") | ((F.col("decision") == "KEEP") & rescued)
     role = F.when(candidate, "candidate").when(F.col("decision") == "KEEP", "base")
-    place = F.struct((F.col("role") != "base").alias("later"), (-F.coalesce("pct", F.lit(-1.0))).alias("coverage"), F.coalesce("r2", F.lit(1.0)).alias("r2"), "ref", "sec", "product")
+    order = {"coverage": -F.coalesce("pct", F.lit(-1.0)), "r2": F.coalesce("r2", F.lit(1.0)), "ref": F.col("ref"), "sec": F.col("sec"), "product": F.col("product")}
+    later = F.col("role") != "base"
+    place = F.struct(later.alias("later"), *(F.when(later, c).alias(n) for n, c in order.items()))
     rows = gate_failure(pairs, gate).withColumn("role", role).filter("role is not null").withColumn("height", place)
-    rows = stored(rows.select(stack, "product", "role", "height", F.col("ref").alias("a"), F.col("sec").alias("b"), "failure"), "bridge-rows")
+    rows = stored(rows.select(stack, "role", "height", F.col("ref").alias("a"), F.col("sec").alias("b"), "failure"), "bridge-rows")
     tree = stored(merge_forest(rows.filter("role = 'base' or failure is null").select(stack, "a", "b", "height"), by), "bridge-tree")
-    tried = rows.filter("role = 'candidate'")
-    chosen = tried.join(tree.select(stack, "height").hint("merge"), [stack, "height"], "left_semi").select(stack, "product", F.lit(True).alias("selected"), "failure")
-    failed = tried.filter("failure is not null")
-    ends = failed.select(stack, "product", "height", F.explode(F.array("a", "b")).alias("part"))
-    now = eldest_at(ends, tree, by, "part", "height").groupBy(stack, "product", "height").agg(F.count_distinct("eldest").alias("n")).filter("n = 2")
-    apart = failed.join(now.select(stack, "product", "height").hint("merge"), [stack, "product", "height"], "left_semi").select(stack, "product", F.lit(False).alias("selected"), "failure")
-    return chosen.unionByName(apart)
+    chosen = tree.filter("height.later").select(stack, "height.product", F.lit(True).alias("selected"), F.lit(None).cast("string").alias("failure"))
+    apart, known = rows.filter("role = 'candidate' and failure is not null and a <> b"), histories(tree, by)
+    for end in ("a", "b"):
+        apart = eldest_in(apart, known, by, end, "height").withColumnRenamed("eldest", f"{end}_part")
+    told = apart.filter("a_part <> b_part").select(stack, "height.product", F.lit(False).alias("selected"), "failure")
+    return chosen.unionByName(told)
 
 
 def baseline_difference(pairs: DataFrame, scenes: DataFrame, by: list[str]) -> DataFrame:

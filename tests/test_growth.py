@@ -177,3 +177,23 @@ def test_pixels_are_shuffled_once_to_label_and_drain(spark, monkeypatch):
     for out in (raster.label_zones(px, ["stack"], F.col("z") > 9), raster.flow_accumulation(px, ["stack"], "z")):
         plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) == 4 and sum(p.count("Exchange") for p in plans) == 2
+
+
+def test_a_tree_is_asked_for_many_levels_without_copies(spark, monkeypatch):
+    base = [("s", f"k{i:02}", "KEEP", i, i + 1, 0.1, 0.9, 90.0) for i in range(29) if i % 10 != 9]
+    good = [("s", "g0", "CONCERN", 9, 10, 0.1, 0.9, 50.0), ("s", "g1", "CONCERN", 3, 25, 0.1, 0.9, 40.0)]
+    bad = [("s", f"b{i:02}", "CONCERN", i % 30, i * 7 % 30, 0.9, 0.9, 31.0 + i) for i in range(60)]
+    rows = base + good + good[:1] + bad + bad[11:12]  # a row that is there twice is chosen once, and told twice if it fails
+    df = spark.createDataFrame([(*r, "", None) for r in rows], "stack string, product string, decision string, ref long, sec long, r2 double, coherence double, pct double, reasons string, bperp double")
+    want, label = [], [i // 10 for i in range(30)]
+    for r in sorted(good + good[:1] + bad + bad[11:12], key=lambda r: -r[7]):
+        a, b = label[r[3]], label[r[4]]
+        if a != b:
+            want.append((r[1], r[1][0] == "g"))
+            if r[1][0] == "g":
+                label = [a if x == b else x for x in label]
+    written, plain = [], forest.stored
+    monkeypatch.setattr(forest, "stored", lambda d, name="step": (out := plain(d, name), written.append((out.count(), name)))[0])
+    out = network.select_bridges(df)
+    assert sorted((r["product"], r["selected"]) for r in out.collect()) == sorted(want) and sum(s for _, s in want) == 2
+    assert max(written)[0] <= len(rows), max(written)  # not the tree for each level
