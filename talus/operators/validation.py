@@ -16,7 +16,7 @@ from talus.sources.storage import stored
 
 
 #: Zones of a leaf, levels of the tree of cells, and bits of each level: a cell has 8 x 8 x 8 parts.
-LEAF, LEVELS, BITS = 8, 7, 3
+LEAF, LEVELS, BITS = 64, 7, 3
 _FINEST = LEVELS * BITS
 
 
@@ -71,20 +71,51 @@ def _square(z: Column) -> Column:
     return sum((z[c] - F.col(f"_h{c}")) * (z[c] - F.col(f"_h{c}")) for c in "xyz")
 
 
-#: Zones of a list, and points that meet the lists of a cell in one task.
-LIST, HOT = 1024, 20_000
+#: Zones of a list, and points of a cell that meet it in one row; points that a cell holds on average, unless there are few cells; rows of a task.
+LIST, HOT, SHARED, FEW, ROWS = 1024, 4096, 512, 256, 128
+
+
+def _first_nearest(here: np.ndarray, there: np.ndarray, radius: np.ndarray | None) -> np.ndarray:
+    """For each place (column of x, y, z) the first of the zones that are nearest to it, by their middles or, with radii, by their edges; in blocks that stay in the processor's cache."""
+    out, step = np.empty(here.shape[1], np.int32), max(1, 2**16 // max(there.shape[1], 1))
+    for i in range(0, here.shape[1], step):
+        d = [there[k][None, :] - here[k, i : i + step, None] for k in range(3)]
+        square = (d[0] * d[0] + d[1] * d[1]) + d[2] * d[2]
+        away = square if radius is None else 2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(square) / 2)) - radius
+        out[i : i + step] = away.argmin(axis=1)
+    return out
+
+
+def _nearest_of_list(edges: bool):
+    """Arrays of places and of zones: the place in the list of each place's nearest zone; null without a list."""
+
+    @F.pandas_udf("array<int>")
+    def nearest(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for lists in batches:
+            found = [None if x[3] is None else _first_nearest(np.stack(x[:3]), np.stack(x[3:6]), x[6] if edges else None) for x in zip(*lists, strict=True)]
+            yield pd.Series(found, dtype=object)
+
+    return nearest
+
+
+def _bits_of_points(points: DataFrame, shared: list[str], deepest: int) -> int:
+    """Bits of the cells of points (with _x, _y, _z): the most, up to twice as wide as the smallest cells of zones, with which cells hold SHARED points or are FEW."""
+    most = BITS * deepest - 1
+    count = points.agg(F.count("*"), *(F.approx_count_distinct(F.struct(*shared, _cell(str(k)))) for k in range(2, most + 1))).first()
+    return max((k for k in range(2, most + 1) if count[k - 1] <= max(FEW, count[0] / SHARED)), default=2)
 
 
 def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str, radius: str | None, best) -> DataFrame:
     """The points, of each group where they do not name one, with `_best`: the least of `best` over lists of zones that may be nearest, among them the nearest.
 
     Zones lie in the cells of a tree over the globe, which are parted until one holds LEAF zones at most: dense areas have small
-    cells, wherever they are. The cells that points lie in, twice as wide as the smallest, descend the tree together: of the cells in sight, those go that
+    cells, wherever they are. The cells that points lie in, shared by some hundred of them, descend the tree together: of the cells in sight, those go that
     are surely farther than another's farthest end, and the rest are parted, down to the leaves and then to their zones. What is left
-    for a cell of points is a list (x, y, z, radius, zone, lon, lat), and a point meets this one row: nothing is shuffled or gathered by
-    pairs of points and zones. Only lists of more than LIST zones are cut, and points that meet several are put together again.
+    for a cell of points is a list (zone, x, y, z, radius, lon, lat), by name, which its points meet as one row: nothing is shuffled or gathered by
+    pairs of points and zones, nor by points and groups: only a cell's points together are asked of each group's list.
+    Only lists of more than LIST zones are cut, and points that meet several are put together again.
     Points that lack some of `by` are asked of all groups by one join. Zones at one place are one: that of largest radius, then smallest name.
-    Cells in sight and points are dealt to tasks by their keys, however small the tables are in bytes, and cells of many points to several; joins are merge
+    Cells in sight and points are dealt to tasks by their keys, however small the tables are in bytes, and cells of many points to several rows; joins are merge
     joins at every size, so that neither points nor zones are gathered in the driver, but a row for each HOT points of a full cell.
     """
     shared, n = [c for c in by if c in points.columns], _parallel(points)
@@ -92,21 +123,23 @@ def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: s
     r = F.lit(0.0) if radius is None else F.col(radius)
     first = F.min(F.struct((-r).alias("less"), F.col(zone).alias("zone"))).alias("_m")
     placed = zones.filter("lon is not null and lat is not null").groupBy(*by, "lon", "lat").agg(first)
-    there = F.struct(*(F.get("_there", F.lit(i)).alias(c) for i, c in enumerate("xyz")), (-F.col("_m.less")).alias("radius"), F.col("_m.zone").alias("zone"), "lon", "lat").alias("_zone")
-    placed = _on_sphere(placed, "lon", "lat", "_there").select(*by, there, "_x", "_y", "_z")
-    placed = stored(placed.withColumn("_bits", F.explode(F.array(*(F.lit(BITS * k) for k in range(1, LEVELS + 1))))).withColumn("_cell", _cell("_bits")).drop("_x", "_y", "_z", "_bits"), "nearest-placed")
-    tree = stored(placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"), F.max("_zone.radius").alias("_most")), "nearest-tree")
+    there = F.struct(F.col("_m.zone").alias("zone"), *(F.get("_there", F.lit(i)).alias(c) for i, c in enumerate("xyz")), (-F.col("_m.less")).alias("radius"), "lon", "lat").alias("_zone")
+    placed = stored(_on_sphere(placed, "lon", "lat", "_there").select(*by, there, "_x", "_y", "_z"), "nearest-placed")
+    levels = F.explode(F.array(*(F.lit(BITS * k) for k in range(1, LEVELS + 1))))
+    tree = placed.select(*by, "_zone.radius", "_x", "_y", "_z", levels.alias("_bits")).groupBy(*by, _cell("_bits").alias("_cell"))
+    tree = stored(tree.agg(F.count("*").alias("_n"), F.max("radius").alias("_most")), "nearest-tree")
     deepest = (tree.filter((F.col("_n") > LEAF) & (F.col("_cell.bits") < _FINEST)).agg(F.max("_cell.bits")).first()[0] or 0) // BITS + 1
     up = lambda c: F.shiftright(F.col(f"_cell.{c}"), BITS).alias(c)
     parent = F.struct((F.col("_cell.bits") - BITS).alias("bits"), up("_x"), up("_y"), up("_z")).alias("_parent")
     children = tree.select(*by, parent, F.col("_cell").alias("_child"), F.col("_n").alias("_child_n"), F.col("_most").alias("_child_most"))
 
     known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    asked = _on_sphere(points, "lon", "lat", "_here").withColumn("_q", F.when(known, _cell(str(BITS * deepest - 1))))
+    asked = _on_sphere(points.filter(known), "lon", "lat", "_here")
+    asked = asked.withColumn("_q", _cell(str(_bits_of_points(asked, shared, deepest))))
     asked = asked.select(*points.columns, "_q", *(F.get("_here", F.lit(i)).alias(f"_h{c}") for i, c in enumerate("xyz")))
     top = tree.filter(F.col("_cell.bits") == BITS).select(*by, "_cell", "_n", "_most")  # some hundreds of cells of each group at most
     # written out: a shuffle that follows the one of the counts directly is left out, and with it the number of tasks
-    sights = stored(asked.filter("_q is not null").groupBy(*shared, "_q").agg(F.count("*").alias("_asked")), "nearest-sights")
+    sights = stored(asked.groupBy(*shared, "_q").agg(F.count("*").alias("_asked")), "nearest-sights")
     at = sights.drop("_asked")
     seen = (at.join(top, shared) if shared else at.crossJoin(F.broadcast(top))).repartition(n, *by, "_q")
     for level in range(1, deepest + 1):
@@ -121,25 +154,34 @@ def _met(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: s
             seen = parts.select(*by, "_q", F.coalesce("_child", "_cell").alias("_cell"), F.coalesce("_child_n", "_n").alias("_n"), F.coalesce("_child_most", "_most").alias("_most")).repartition(n, *by, "_q")
     pairs = stored(seen.select(*by, "_q", "_cell", F.ceil(F.sum("_n").over(Window.partitionBy(*by, "_q")) / LIST).alias("_lists")), "nearest-cells")
     near, far = _ends(F.col("_zone.radius"))
-    listed = placed.join(pairs.hint("merge"), [*by, "_cell"]).withColumns({"_near": near, "_far": far, "_list": F.pmod(F.xxhash64("_zone.lon", "_zone.lat"), F.col("_lists"))})
+    # zones meet the leaves that are in sight, at the depths that these have
+    depths = [r[0] for r in pairs.select("_cell.bits").distinct().collect()]
+    leaves = placed.withColumn("_bits", F.explode(F.array(*map(F.lit, depths)).cast("array<int>"))).select(*by, "_zone", _cell("_bits").alias("_cell"))
+    listed = leaves.join(pairs.hint("merge"), [*by, "_cell"]).withColumns({"_near": near, "_far": far, "_list": F.pmod(F.xxhash64("_zone.lon", "_zone.lat"), F.col("_lists"))})
     listed = listed.groupBy(*by, "_q", "_list").agg(F.collect_list(F.struct("_near", "_zone")).alias("_all"), F.min("_far").alias("_least"))
     left = F.transform(F.filter("_all", lambda z: z["_near"] <= F.col("_least") + 1e-6), lambda z: z["_zone"])
-    lists = stored(listed.select(*by, "_q", "_list", left.alias("_zones")), "nearest-lists")
+    lists = stored(listed.select(*by, "_q", "_list", F.array_sort(left).alias("_zones")), "nearest-lists")
 
     hot = F.broadcast(sights.filter(F.col("_asked") > HOT).select(*shared, "_q", F.ceil(F.col("_asked") / HOT).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
-    lists_of = lists.join(hot, [*shared, "_q"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    lists_of = lists.join(hot, [*shared, "_q"], "left")
+    tasks = max(n, math.ceil((lists_of.agg(F.sum(parts)).first()[0] or 0) / ROWS))
+    lists_of = lists_of.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     dealt = asked.join(hot, [*shared, "_q"], "left").withColumn("_part", F.pmod(F.xxhash64(point), parts).cast("int")).drop("_parts")
     keys = [*shared, "_q", "_part"]
-    met = dealt.repartition(n, *keys).join(lists_of.repartition(n, *keys).hint("merge"), keys, "inner" if rest else "left")
-    # as a generated row, so that no later filter or column evaluates the list again
-    met = met.select(*points.columns, *rest, F.explode_outer(F.array(F.array_min(F.transform("_zones", best)))).alias("_best"))
+    here = F.struct(*points.columns, "_hx", "_hy", "_hz")
+    groups = dealt.repartition(tasks, *keys).groupBy(*keys).agg(F.collect_list(here).alias("_points"))
+    met = groups.join(lists_of.repartition(tasks, *keys).hint("merge"), keys, "inner" if rest else "left")
+    met = met.withColumn("_i", _nearest_of_list(radius is not None)(*(f"_points._h{c}" for c in "xyz"), *(f"_zones.{c}" for c in "xyz"), "_zones.radius"))
+    chosen = F.transform("_points", lambda p, k: F.struct(p.alias("p"), F.get("_zones", F.get("_i", k)).alias("z")))
+    met = met.select(*rest, F.explode(chosen).alias("_e")).select(*rest, "_e.p.*", F.col("_e.z").alias("_z"))
+    met = met.select(*points.columns, *rest, F.when(F.col("_z").isNotNull(), best(F.col("_z"))).alias("_best"))
     if not lists.filter("_list > 0").isEmpty():
         met = met.groupBy(*by, point).agg(F.first(F.struct(*points.columns)).alias("_p"), F.min("_best").alias("_best")).select("_p.*", *rest, "_best")
-    if rest:  # points without a place are in no group's cells
-        nowhere = points.filter(~known).crossJoin(F.broadcast(zones.select(*rest).distinct()))
-        met = met.unionByName(nowhere.withColumn("_best", F.lit(None).cast(met.schema["_best"].dataType)))
-    return met
+    nowhere = points.filter(~known)  # in no group's cells
+    if rest:
+        nowhere = nowhere.crossJoin(F.broadcast(zones.select(*rest).distinct()))
+    return met.unionByName(nowhere.withColumn("_best", F.lit(None).cast(met.schema["_best"].dataType)))
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, by: list[str], point: str, zone: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions import physics as P
-from talus.operators import exposure, forest, raster, tables, validation, zones
+from talus.operators import exposure, raster, tables, validation, zones
 from talus.operators import rain as O
 from talus.plans.pixels import _RUNOUT, _W, _ZONES, SOIL, W, runout, zone_pixels
 from talus.plans.places import _DENSE, _KM, BUFFERS, KM_SQL, _read, _route
@@ -100,14 +100,16 @@ auc AS (SELECT kappa, m, sum(a) AS auc FROM l GROUP BY ALL)
 SELECT auc.kappa, auc.m, n_zones, n_cells, largest, round(auc, 6) AS auc FROM auc JOIN r ON r.kappa = auc.kappa AND r.m = auc.m""",
 )
 def kappa_sweep(spark, sf_dir: str) -> DataFrame:
-    """Zones redrawn from the pixels at each redistribution and wetness, from one merge tree, and scored by one protocol."""
-    px = px_pixels(spark, sf_dir)
-    px = px.join(px.groupBy("stack").agg(F.avg("twi").alias("twi_mean")), "stack").withColumn("kappa", F.explode(F.array(*map(F.lit, KAPPAS))))
-    cells = px.select("kappa", "stack", "row", "col", F.expr(_LEVEL).alias("level"))
-    on = forest.zones_at_levels(cells, ["kappa", "stack"], F.col("level"), WETNESS)
-    z = on.groupBy("kappa", F.col("at").alias("m"), "stack", "zone").agg(F.count("*").alias("n"), F.avg("row").alias("r"), F.avg("col").alias("c"))
-    z = z.withColumns({"lon": DEGREE.x(F.col("c")), "lat": DEGREE.y(F.col("r"))})
-    z = stored(z.withColumn("zone", F.struct("stack", "zone")), "kappa-zones")
+    """Zones redrawn from the pixels at each redistribution and wetness, labelled all at once by tiles, and scored by one protocol."""
+    px = px_pixels(spark, sf_dir).select("stack", "row", "col", "velocity", "fs_dry", "fs_sat", "twi")
+    px = stored(px, "kappa-pixels")  # their means are needed before their levels
+    px = px.join(px.groupBy("stack").agg(F.avg("twi").alias("twi_mean")), "stack")
+    each = [(kappa, m) for kappa in KAPPAS for m in WETNESS]
+    levels = {kappa: F.expr(_LEVEL.replace("kappa", f"{kappa!r}D")) for kappa in KAPPAS}
+    z = raster.zones_of_masks(px, ["stack"], [levels[kappa] < m for kappa, m in each])
+    at = lambda k: F.get(F.array(*(F.lit(x[k]) for x in each)), F.col("mask"))
+    z = z.select(at(0).alias("kappa"), at(1).alias("m"), F.struct("stack", "zone").alias("zone"), "n", DEGREE.x(F.col("col")).alias("lon"), DEGREE.y(F.col("row")).alias("lat"))
+    z = stored(z, "kappa-zones")
     n = z.groupBy("kappa", "m").agg(F.count("*").alias("n_zones"), F.sum("n").alias("n_cells"), F.max("n").alias("largest"))
     near = validation.nearest_zone(px_points(spark, sf_dir), z, ["kappa", "m"], "point", "zone").filter("nearest_km is not null")
     rows = validation.distance_roc(near, ["kappa", "m"], BUFFERS, digits=None)

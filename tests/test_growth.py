@@ -197,3 +197,38 @@ def test_a_tree_is_asked_for_many_levels_without_copies(spark, monkeypatch):
     out = network.select_bridges(df)
     assert sorted((r["product"], r["selected"]) for r in out.collect()) == sorted(want) and sum(s for _, s in want) == 2
     assert max(written)[0] <= len(rows), max(written)  # not the tree for each level
+
+
+def test_zones_of_masks_are_those_of_each_mask_and_pixels_move_once(spark, monkeypatch):
+    px = spark.range(2 * 400).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("stack"), (F.col("id") / 2 % 400 / 20).cast("int").alias("row"), (F.floor(F.col("id") / 2) % 20).cast("int").alias("col"), (F.col("id") * 7919 % 101).alias("v")
+    )
+    masks = [F.col("v") < 60, F.col("v") < 0, F.col("v") % 3 != 0, F.when(F.col("v") > 5, F.col("v") < 90)]
+    want = set()
+    for k, m in enumerate(masks):
+        plain = raster.label_zones(px, ["stack"], m).groupBy("stack", "zone").agg(F.count("*").alias("n"), F.avg("row").alias("row"), F.avg("col").alias("col"))
+        want |= {(r["stack"], k, r["zone"], r["n"], r["row"], r["col"]) for r in plain.collect()}
+    assert len({k for _, k, *_ in want}) == 3
+    for side in (64, 5, 3):
+        monkeypatch.setattr(raster, "TILE", side)
+        got = [(r["stack"], r["mask"], r["zone"], r["n"], r["row"], r["col"]) for r in raster.zones_of_masks(px, ["stack"], masks).collect()]
+        assert len(got) == len(want) and set(got) == want, side
+    shuffled, stored = [], raster.stored
+    monkeypatch.setattr(raster, "TILE", 64)
+    monkeypatch.setattr(raster, "stored", lambda df, name="step": (shuffled.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")), stored(df, name))[1])
+    raster.zones_of_masks(px, ["stack"], masks).collect()
+    assert shuffled == [1]
+
+
+def test_many_points_of_a_cell_are_asked_together(spark, monkeypatch):
+    at = lambda n, a, b: spark.range(n).select(F.col("id").alias("k"), (F.col("id") * a % 9973 / 9973.0 + 75.0).alias("lon"), (F.col("id") * b % 9967 / 9967.0 + 33.0).alias("lat"))
+    points, places = at(3000, 7919, 6007).withColumnRenamed("k", "point"), at(900, 317, 419).withColumnRenamed("k", "zone").withColumn("rung", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    written, stored = {}, validation.stored
+    monkeypatch.setattr(validation, "FEW", 4)
+    monkeypatch.setattr(validation, "stored", lambda df, name="step": (out := stored(df, name), written.update({name: out.count()}))[0])
+    rows = validation.nearest_zone(points, places, ["rung"], "point", "zone").collect()
+    assert written["nearest-sights"] * 100 < 3000 and written["nearest-cells"] < 3000  # not cells of each point and group
+    held = places.filter("rung = 'a'").collect()
+    assert len(rows) == 2 * 3000
+    for r in rows[::97]:
+        assert abs(r["nearest_km"] - min(validation_km(r, z) for z in held)) < 1e-9
