@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talus.functions import physics as P
 from talus.functions import rain as R
 from talus.functions.stats import any_of, creep_confidence, normal_cdf_sql
-from talus.operators import forest, validation, zones
+from talus.operators import raster, validation, zones
 from talus.operators import rain as O
 from talus.plans.pixels import _W, _ZONES, KAPPA, SOIL, zone_pixels
 from talus.plans.places import BUFFERS, GREEDY_SQL, KM_SQL
@@ -178,14 +178,15 @@ def soils_scored(spark, sf_dir: str) -> DataFrame:
     """Zones of fourteen soils at the operational saturation, with the corners, scored by distance to the inventory and against the baseline."""
     px = px_pixels(spark, sf_dir).filter(P.creeping(F.col("velocity")))
     ends = F.array(*(
-        F.struct(F.lit(n).alias("soil"), P.factor_of_safety(F.col("slope_deg"), s.cohesion_dry, 0.0, s).alias("dry"), P.factor_of_safety(F.col("slope_deg"), s.cohesion_wet, 1.0, s).alias("wet"))
-        for n, s in _SOIL.items()
+        F.struct(P.factor_of_safety(F.col("slope_deg"), s.cohesion_dry, 0.0, s).alias("dry"), P.factor_of_safety(F.col("slope_deg"), s.cohesion_wet, 1.0, s).alias("wet"))
+        for s in _SOIL.values()
     ))
-    each = px.select("stack", "row", "col", F.explode(ends).alias("x")).select("stack", "row", "col", "x.*")
-    weak = (F.col("wet") < F.col("dry")) & (P.safety_at(F.lit(SOIL_M), F.col("dry"), F.col("wet")) < 1.0)
-    on = forest.zones_at_levels(each, ["soil", "stack"], F.when(weak, 0.0), [1.0])  # one level: a cell is weak or not
-    z = on.groupBy("soil", "stack", "zone").agg(F.count("*").alias("n"), F.avg("row").alias("r"), F.avg("col").alias("c"))
-    z = stored(z.withColumns({"lon": DEGREE.x(F.col("c")), "lat": DEGREE.y(F.col("r")), "zone": F.struct("stack", "zone")}), "soil-zones")
+    each = px.select("stack", "row", "col", ends.alias("ends"))
+    end = lambda k, which: F.get("ends", F.lit(k))[which]
+    weak = [(end(k, "wet") < end(k, "dry")) & (P.safety_at(F.lit(SOIL_M), end(k, "dry"), end(k, "wet")) < 1.0) for k in range(len(_SOIL))]
+    z = raster.zones_of_masks(each, ["stack"], weak)
+    soil = F.get(F.array(*map(F.lit, _SOIL)), F.col("mask")).alias("soil")
+    z = stored(z.select(soil, F.struct("stack", "zone").alias("zone"), "n", DEGREE.x(F.col("col")).alias("lon"), DEGREE.y(F.col("row")).alias("lat")), "soil-zones")
     n = spark.createDataFrame([(s,) for s in SOILS], "soil string").join(z.groupBy("soil").agg(F.count("*").alias("n_zones"), F.sum("n").alias("n_cells")), "soil", "left").fillna(0)
     near = validation.nearest_zone(px_points(spark, sf_dir), z, ["soil"], "point", "zone").filter("nearest_km is not null")
     rows = stored(validation.distance_roc(near, ["soil"], BUFFERS, digits=None), "soil-rates")
